@@ -42,3 +42,61 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planespark.llm.packing import pack
 
     return pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def held_out(key: str = "doc_id") -> F.Column:
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm import language_id
+
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm import warc
+
+    work = Workspace(spark, "warc")
+    folder = f"{work.path}/archives"
+    work.save(warc.write(warc.classified(read(spark, sf_dir, "pages")), folder), "manifest")
+    if work.spark.read.parquet(f"{work.path}/manifest").isEmpty():
+        return spark.createDataFrame([], warc.READ).drop("url", "payload")
+    return warc.read(spark, folder).drop("url", "payload")
+
+
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm import gif
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), gif.payload(F.col("text")).alias("payload"))
+    shown = gif.frames(gif.to_media(docs, "payload")).select("doc_id", "n_bytes", "media", F.expr("aggregate(transform(frames, f -> f.pixels), cast('' as binary), (a, x) -> a || x)").alias("back"), F.expr(f"aggregate(frames, array_repeat(0L, {gif.BINS}), (a, f) -> zip_with(a, f.histogram, (x, y) -> x + y))").alias("bins"), F.size("frames").alias("n_frames"))
+    return shown.select(
+        "doc_id", "n_bytes", F.octet_length("back").cast("long").alias("payload_bytes"), F.sha2("back", 256).alias("payload_sha256"), F.crc32(F.expr("substring(back, -16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";bins="), F.array_join(F.col("bins").cast("array<string>"), ",")).alias("feature"),
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm import chat
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.format_conversations(turns.unionByName(tricky)))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm import topk
+
+    vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
+    return topk.search(spark, vectors, vectors.where("vec_id % 100 = 0"))
