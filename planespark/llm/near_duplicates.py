@@ -338,13 +338,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     if large is not None:
         wanted = wanted.union(large.select("id"))
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = work.save(source.join(wanted.distinct().toDF("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = work.save(source.join(wanted.distinct().toDF("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     confirmed = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     links = work.save(confirmed.select("a", "b", "text", "text_a").mapInArrow(_verify_pairs(words), "a long, b long"), "links")
     found = work.save(components(links, work), "components")
 
     # What shares a node and is still apart, compared exactly.
-    apart = _apart(leaf_rows, large, texts, found, leaf)
+    apart = _apart(leaf_rows, large, texts, sketches, found, leaf)
     more = work.save(apart.mapInArrow(_verify_groups(words), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         found = work.save(components(links.union(more), work, "again"), "all")
@@ -363,7 +363,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, found: DataFrame, leaf: int) -> DataFrame:
+def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, sketches: DataFrame, found: DataFrame, leaf: int) -> DataFrame:
     """Members, with texts, of the nodes whose members are in several components, sorted by node.
 
     In a node above the leaf size, members outside the largest component meet
@@ -390,4 +390,20 @@ def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, foun
         every = rows.withColumn("j", block(across, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), down - 1))).withColumn("side", F.lit(1))
         blocks = minor.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "id", "component", "side")
         out = out.union(blocks)
-    return out.join(texts, "id").repartition("node").sortWithinPartitions("node", "id").select("node", "id", "component", "side", "text")
+    near = out.join(sketches, "id").select("node", "id", "component", "side", "sketch").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_still_close, "node long, id long, component long, side int")
+    return near.join(texts.hint("merge"), "id").repartition("node").sortWithinPartitions("node", "id").select("node", "id", "component", "side", "text")
+
+
+def _still_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members whose sketch is close to that of a member of another component in their node."""
+    for table in whole_groups(batches, "node"):
+        node = table["node"].to_numpy()
+        component = table["component"].to_numpy()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+        keep = np.zeros(len(node), bool)
+        bounds = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            for k in range(lo, hi):
+                close = (sketch[lo:hi] == sketch[k]).mean(axis=1) >= CLOSE
+                keep[k] = (close & (component[lo:hi] != component[k])).any()
+        yield table.select(["node", "id", "component", "side"]).filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=1 << 20)[0] if keep.any() else pa.RecordBatch.from_pylist([], schema=table.select(["node", "id", "component", "side"]).schema)
