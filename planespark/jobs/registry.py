@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planespark.jobs import queries as q
+from planespark.jobs import sql
+
 FLAGSHIP = "particles"
 
+#: Queries without SQL: iterative or numeric work on whole planes, tested against brute force.
+_NO_SQL = ("particles", "particle_summary", "gaussian", "top_hat", "distance_map", "holes_filled", "spectrum")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: getattr(q, name) for name in (*sql.SQL, *_NO_SQL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
