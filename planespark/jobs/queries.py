@@ -12,15 +12,14 @@ from planespark.sources import derived as D
 
 W, H = D.WIDTH, D.HEIGHT
 IMAGE = ["image_id"]
-v = F.col("v")
 
 
 def pixel_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
-    return D.pixels(spark, sf).select("image_id", "x", "y", P.add(v, 40).alias("added"), P.subtract(v, 20).alias("subtracted"), P.multiply(v, 1.5).alias("multiplied"), P.divide(v, 3).alias("divided"), P.bit_and(v, 12).alias("anded"), P.bit_or(v, 3).alias("ored"), P.bit_xor(v, 255).alias("xored"), P.raise_to(v, 5).cast("int").alias("raised"), P.lower_to(v, 30).cast("int").alias("lowered"))
+    return D.pixels(spark, sf).select("image_id", "x", "y", P.add(F.col("v"), 40).alias("added"), P.subtract(F.col("v"), 20).alias("subtracted"), P.multiply(F.col("v"), 1.5).alias("multiplied"), P.divide(F.col("v"), 3).alias("divided"), P.bit_and(F.col("v"), 12).alias("anded"), P.bit_or(F.col("v"), 3).alias("ored"), P.bit_xor(F.col("v"), 255).alias("xored"), P.raise_to(F.col("v"), 5).cast("int").alias("raised"), P.lower_to(F.col("v"), 30).cast("int").alias("lowered"))
 
 
 def pixel_functions(spark: SparkSession, sf: str) -> DataFrame:
-    return D.pixels(spark, sf).select("image_id", "x", "y", P.gamma(v, 0.5).alias("gamma"), P.log(v).alias("log"), P.square(v).alias("square"), F.round(P.root(v, 32), 6).alias("root"), F.round(P.reciprocal(v + 1), 6).alias("reciprocal"), P.invert(v).alias("inverted"), P.threshold(v, 20).alias("binary"), P.mask(v, 10, 40).alias("mask"), F.round(P.optical_density(v), 6).alias("density"), F.round(P.polynomial(v.cast("double"), [1.0, 0.5, 0.01]), 6).alias("polynomial"), P.calibrated(F.col("x"), 2.0, 0.5).alias("cal_x"))
+    return D.pixels(spark, sf).select("image_id", "x", "y", P.gamma(F.col("v"), 0.5).alias("gamma"), P.log(F.col("v")).alias("log"), P.square(F.col("v")).alias("square"), F.round(P.root(F.col("v"), 32), 6).alias("root"), F.round(P.reciprocal(F.col("v") + 1), 6).alias("reciprocal"), P.invert(F.col("v")).alias("inverted"), P.threshold(F.col("v"), 20).alias("binary"), P.mask(F.col("v"), 10, 40).alias("mask"), F.round(P.optical_density(F.col("v")), 6).alias("density"), F.round(P.polynomial(F.col("v").cast("double"), [1.0, 0.5, 0.01]), 6).alias("polynomial"), P.calibrated(F.col("x"), 2.0, 0.5).alias("cal_x"))
 
 
 def pixel_expression(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +30,7 @@ def pixel_expression(spark: SparkSession, sf: str) -> DataFrame:
 def type_conversion(spark: SparkSession, sf: str) -> DataFrame:
     px = D.pixels(spark, sf)
     ends = px.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return px.join(ends, "image_id").select("image_id", "x", "y", P.to_8bit(v, F.col("lo"), F.col("hi")).alias("v"))
+    return px.join(ends, "image_id").select("image_id", "x", "y", P.to_8bit(F.col("v"), F.col("lo"), F.col("hi")).alias("v"))
 
 
 def rgb_gray_hsb(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +127,7 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def histogram_binned(spark: SparkSession, sf: str) -> DataFrame:
-    return S.binned(D.pixels(spark, sf).withColumn("v", v.cast("double")), IMAGE, 16)
+    return S.binned(D.pixels(spark, sf).withColumn("v", F.col("v").cast("double")), IMAGE, 16)
 
 
 def statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +141,7 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thresholded_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return D.pixels(spark, sf).where(v.between(20, 60)).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return D.pixels(spark, sf).where(F.col("v").between(20, 60)).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 def mode_median(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +150,7 @@ def mode_median(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stack_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return D.stack(spark, sf).groupBy("image_id").agg(F.count("*").alias("voxels"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"), F.round(100.0 * F.sum(F.when(v > 0, 1).otherwise(0)) / F.count("*"), 6).alias("percent_volume"))
+    return D.stack(spark, sf).groupBy("image_id").agg(F.count("*").alias("voxels"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"), F.round(100.0 * F.sum(F.when(F.col("v") > 0, 1).otherwise(0)) / F.count("*"), 6).alias("percent_volume"))
 
 
 def z_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +186,7 @@ def fractal_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def otsu_threshold(spark: SparkSession, sf: str) -> DataFrame:
     px = D.pixels(spark, sf)
     level = S.otsu(S.histogram(px, IMAGE), IMAGE)
-    return px.join(level, "image_id").groupBy("image_id", "level").agg(F.sum(F.when(v > F.col("level"), 1).otherwise(0)).alias("foreground"))
+    return px.join(level, "image_id").groupBy("image_id", "level").agg(F.sum(F.when(F.col("v") > F.col("level"), 1).otherwise(0)).alias("foreground"))
 
 
 def contrast_stretch(spark: SparkSession, sf: str) -> DataFrame:
