@@ -238,19 +238,39 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (small + large - common)
 
 
-def _verify_pairs(words: int):
+def _together(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """node, a, id, text: each first member with the members it is compared with, sorted so that it comes before them.
+
+    Every text moves once by its id and once to its node. A first member with
+    many others gets a node, and a copy of its own text, for each LEAF of them.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("parts"))
+    node = lambda part: F.xxhash64("a", part).alias("node")
+    members = pairs.join(parts, "a").select(node(F.pmod(F.xxhash64("b"), F.col("parts"))), "a", F.col("b").alias("id"))
+    firsts = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(node(F.col("part")), "a", F.col("a").alias("id"))
+    return with_texts(members.union(firsts), source).select("node", "a", "id", "text").repartition("node").sortWithinPartitions("node", "a", F.col("id") != F.col("a"))
+
+
+def with_texts(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows with the text of their id (one of them, where several rows share an id); always a shuffle, as the ids grow with the data."""
+    wanted = source.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    return rows.join(wanted.hint("merge"), "id")
+
+
+def _verify_stars(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for a, b in slices(batch.column(2), STEP_BYTES):
-                part = batch.slice(a, b - a)
-                once: dict[str, np.ndarray] = {}
-                texts = list(dict.fromkeys(part.column(3).to_pylist()))
-                for text, found in zip(texts, shingle_sets(pa.array(texts, pa.string()), words), strict=True):
-                    once[text] = found
-                left = [once[x] for x in part.column(3).to_pylist()]
-                right = shingle_sets(part.column(2), words)
-                ok = pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
+            for lo, hi in slices(batch.column(3), STEP_BYTES):
+                part = batch.slice(lo, hi - lo)
+                found_a, found_b = [], []
+                for a, b, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(3), words), strict=True):
+                    if a == b:
+                        first, own = a, x
+                    elif a == first and linked(own, x):
+                        found_a.append(a)
+                        found_b.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -334,20 +354,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         wide = wide.distinct().join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
         pairs = pairs.union(wide.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"))
     pairs = work.save(pairs.distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b"))
-    if large is not None:
-        wanted = wanted.union(large.select("id"))
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = work.save(source.join(wanted.distinct().toDF("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    confirmed = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = work.save(confirmed.select("a", "b", "text", "text_a").mapInArrow(_verify_pairs(words), "a long, b long"), "links")
+    links = work.save(_together(pairs, source).mapInArrow(_verify_stars(words), "a long, b long"), "links")
     found = work.save(components(links, work), "components")
 
     # What shares a node and is still apart, compared exactly.
-    apart = _apart(leaf_rows, large, texts, sketches, found, leaf)
-    more = work.save(apart.mapInArrow(_verify_groups(words), "a long, b long").distinct(), "more")
-    if not more.isEmpty():
-        found = work.save(components(links.union(more), work, "again"), "all")
+    near = work.save(_apart(pairs, leaf_rows, large, sketches, found, leaf), "apart")
+    if not near.isEmpty():
+        apart = with_texts(near, source).repartition("node").sortWithinPartitions("node", "id").select("node", "id", "component", "side", "text")
+        more = work.save(apart.mapInArrow(_verify_groups(words), "a long, b long").distinct(), "more")
+        if not more.isEmpty():
+            found = work.save(components(links.union(more), work, "again"), "all")
 
     rep = least.join(found.withColumnRenamed("id", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component_id"))
     out = feats.select("id", "n", "digest").join(rep, "digest", "left")
@@ -363,13 +380,16 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, sketches: DataFrame, found: DataFrame, leaf: int) -> DataFrame:
-    """Members, with texts, of the nodes whose members are in several components, sorted by node.
+def _apart(pairs: DataFrame, leaf_rows: DataFrame, large: DataFrame | None, sketches: DataFrame, found: DataFrame, leaf: int) -> DataFrame:
+    """Members of the nodes whose members are in several components, where a sketch of another component is close.
 
     In a node above the leaf size, members outside the largest component meet
     all others in blocks: both sides are dealt into blocks of the leaf size.
     """
-    labelled = texts.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    paired = pairs.select("a").union(pairs.select("b"))  # who is in no pair is close to nobody in a leaf
+    if large is not None:
+        paired = paired.union(large.select("id"))
+    labelled = paired.distinct().toDF("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
     def mixed(rows: DataFrame) -> DataFrame:
         rows = rows.join(labelled, "id")
@@ -390,8 +410,7 @@ def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, sket
         every = rows.withColumn("j", block(across, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), down - 1))).withColumn("side", F.lit(1))
         blocks = minor.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "id", "component", "side")
         out = out.union(blocks)
-    near = out.join(sketches, "id").select("node", "id", "component", "side", "sketch").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_still_close, "node long, id long, component long, side int")
-    return near.join(texts.hint("merge"), "id").repartition("node").sortWithinPartitions("node", "id").select("node", "id", "component", "side", "text")
+    return out.join(sketches, "id").select("node", "id", "component", "side", "sketch").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_still_close, "node long, id long, component long, side int")
 
 
 def _still_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
