@@ -171,3 +171,13 @@ def polar(x: Column, y: Column, width: int, height: int) -> tuple[Column, Column
     dx, dy = x - (width - 1) / 2.0, (height - 1) / 2.0 - y
     angle = F.atan2(dy, dx)
     return F.sqrt(dx * dx + dy * dy), F.when(angle < 0, angle + 2 * F.pi()).otherwise(angle)
+
+
+def looked_up(v: Column, table: list[int]) -> Column:
+    """The table's entry for each value (8- or 16-bit)."""
+    return F.element_at(F.array(*map(F.lit, table)), v + 1)
+
+
+def windowed(v: Column, lower: int, upper: int) -> Column:
+    """8-bit values with [lower, upper] spread over 0..255 and the rest cut off."""
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v - lower) * 256.0 / (upper - lower + 1) + 0.5))).cast("int")

@@ -9,6 +9,7 @@ from planespark.functions import pixel as P
 from planespark.operators import combine, geometry, planes, stacks
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
+from planespark.sources import text
 
 W, H = D.WIDTH, D.HEIGHT
 IMAGE = ["image_id"]
@@ -244,6 +245,49 @@ def event_frames(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("t", "x", "y", F.round("v", 4).alias("v"))
 
 
+def text_image(spark: SparkSession, sf: str) -> DataFrame:
+    return text.to_lines(D.pixels(spark, sf), IMAGE)
+
+
+def text_image_read(spark: SparkSession, sf: str) -> DataFrame:
+    return text.from_lines(text.to_lines(D.pixels(spark, sf), IMAGE), IMAGE)
+
+
+def xy_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    return text.coordinates(D.pixels(spark, sf), H)
+
+
+def image_to_table(spark: SparkSession, sf: str) -> DataFrame:
+    return text.to_table(D.pixels(spark, sf).where("x < 16"), IMAGE, 16)
+
+
+def measure_stack(spark: SparkSession, sf: str) -> DataFrame:
+    out = D.stack(spark, sf).groupBy("image_id", "z").agg(*S.basic())
+    return out.select("image_id", "z", "n", "least", "most", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def lane_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return S.lanes(D.pixels(spark, sf), IMAGE, 16).select("image_id", "lane", "y", F.round("mean", 6).alias("mean"), F.round("percent", 6).alias("percent"))
+
+
+def lookup_table(spark: SparkSession, sf: str) -> DataFrame:
+    return D.pixels(spark, sf).select("image_id", "x", "y", P.looked_up(F.col("v"), [(k * 7 + 3) % 256 for k in range(256)]).alias("v"))
+
+
+def window_level(spark: SparkSession, sf: str) -> DataFrame:
+    return D.pixels(spark, sf).select("image_id", "x", "y", P.windowed(F.col("v"), 10, 90).alias("v"))
+
+
+def merge_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return combine.merged(split_channels(spark, sf), ["image_id", "x", "y"], {1: "b", 2: "g", 3: "r"})
+
+
+def region_algebra(spark: SparkSession, sf: str) -> DataFrame:
+    px = D.pixels(spark, sf)
+    first, second = px.where("x < 40 and y < 20 and v > 0"), px.where("x >= 24 and y >= 8 and v > 0")
+    return combine.algebra(first, second, ["image_id", "x", "y"]).groupBy("image_id").agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in ("both", "either", "one")))
+
+
 def _filtered(function, px=None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         p = planes.per_plane(D.to_planes(D.pixels(spark, sf)), function)

@@ -108,6 +108,16 @@ SELECT image_id, x, y, CAST(CASE WHEN px.v = lo THEN 0 WHEN px.v = hi THEN 255 E
     "table_sorted": "WITH r AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, n, CAST(rank() OVER (ORDER BY TRY_CAST(o_orderpriority AS DOUBLE) IS NOT NULL, CASE WHEN TRY_CAST(o_orderpriority AS DOUBLE) IS NULL THEN o_orderpriority END NULLS FIRST, TRY_CAST(o_orderpriority AS DOUBLE) NULLS FIRST) AS INT) AS rank FROM r",
     "line_fits": "SELECT l_suppkey, round(regr_intercept(l_extendedprice, l_quantity), 3) AS a, round(regr_slope(l_extendedprice, l_quantity), 4) AS b, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_suppkey",
     "event_frames": "SELECT CAST(hour(ts) AS INT) AS t, CAST(user_id % 16 AS INT) AS x, CAST(event_id % 16 AS INT) AS y, round(sum(value), 4) AS v FROM events GROUP BY ALL",
+    "text_image": _px("SELECT image_id, y, string_agg(CAST(v AS VARCHAR), chr(9) ORDER BY x) AS line FROM px GROUP BY image_id, y"),
+    "text_image_read": _px("SELECT image_id, x, y, CAST(v AS DOUBLE) AS v FROM px"),
+    "xy_coordinates": _px("SELECT image_id, x, 31 - y AS y, v FROM px WHERE v <> 0"),
+    "image_to_table": _px("SELECT image_id, 'Y' || CAST(y AS VARCHAR) AS label, " + ", ".join(f"CAST(max(CASE WHEN x = {k} THEN v END) AS DOUBLE) AS X{k}" for k in range(16)) + " FROM px GROUP BY image_id, y"),
+    "measure_stack": _st("SELECT image_id, z, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd FROM st GROUP BY image_id, z"),
+    "lane_profiles": _px(", l AS (SELECT image_id, x // 16 AS lane, y, avg(v) AS mean FROM px GROUP BY ALL), t AS (SELECT *, sum(mean) OVER (PARTITION BY image_id, lane) AS total FROM l) SELECT image_id, lane, y, round(mean, 6) AS mean, round(CASE WHEN total <> 0 THEN 100.0 * mean / total ELSE 0 END, 6) AS percent FROM t"),
+    "lookup_table": _px("SELECT image_id, x, y, (v * 7 + 3) % 256 AS v FROM px"),
+    "window_level": _px("SELECT image_id, x, y, CAST(greatest(0, least(255, floor((v - 10) * CAST(256 AS DOUBLE) / 81 + 0.5))) AS INT) AS v FROM px"),
+    "merge_channels": f"WITH {RGB} SELECT image_id, x, y, r AS b, g, b AS r FROM rgb",
+    "region_algebra": _px("SELECT image_id, CAST(sum(CASE WHEN p AND q THEN 1 ELSE 0 END) AS BIGINT) AS both, count(*) AS either, CAST(sum(CASE WHEN p <> q THEN 1 ELSE 0 END) AS BIGINT) AS one FROM (SELECT image_id, x < 40 AND y < 20 AS p, x >= 24 AND y >= 8 AS q FROM px WHERE v > 0) WHERE p OR q GROUP BY image_id"),
     "smooth": _near("CAST(floor((sum(n.v) + 4) / 9.0) AS DOUBLE)"),
     "convolve": _near("round(CAST(sum(n.v * (2 - abs(dx)) * (2 - abs(dy))) AS DOUBLE) / 16, 6)"),
     "rank_mean": _near("round(avg(n.v), 6)"),

@@ -72,3 +72,15 @@ def compare(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], s
 
 
 __all__ = ["calculate", "compare", "contains", "inside", "outside", "paste"]
+
+
+def merged(px: DataFrame, at: list[str], names: dict[int, str]) -> DataFrame:
+    """One row a position with a column per channel (c -> name): one aggregation in place of a join for each channel."""
+    return px.groupBy(*at).agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in names.items()))
+
+
+def algebra(first: DataFrame, second: DataFrame, at: list[str]) -> DataFrame:
+    """Positions of two regions with the flags both (AND), either (OR) and one (XOR)."""
+    rows = first.select(*at, F.lit(1).alias("side")).union(second.select(*at, F.lit(2).alias("side")))
+    sides = rows.groupBy(*at).agg(F.bit_or("side").alias("sides"))
+    return sides.select(*at, (F.col("sides") == 3).alias("both"), F.lit(True).alias("either"), (F.col("sides") != 3).alias("one"))

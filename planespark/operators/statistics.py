@@ -124,3 +124,10 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
     ends = ends.select("lo", "hi", F.greatest(F.lit(2), F.floor((F.col("hi") - F.col("lo")) / F.col("width") + 0.5)).cast("int").alias("bins"))
     at = F.least(((v - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))).cast("int"), F.col("bins") - 1)
     return rows.where(v.isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row of ends
+
+
+def lanes(px: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Mean of each row of equal lanes side by side, and its share, in percent, of the lane's total."""
+    rows = px.groupBy(*keys, F.floor(F.col("x") / width).cast("int").alias("lane"), "y").agg(F.avg("v").alias("mean"))
+    total = F.sum("mean").over(Window.partitionBy(*keys, "lane"))
+    return rows.withColumn("percent", F.when(total != 0, 100.0 * F.col("mean") / total).otherwise(0.0))
