@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
-from planespark.operators import combine, geometry, planes, stacks
+from planespark.operators import combine, geometry, planes, stacks, thresholds, volumes
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
-from planespark.sources import text
+from planespark.sources import raw, text
+from planespark.streaming import live
 
 W, H = D.WIDTH, D.HEIGHT
 IMAGE = ["image_id"]
@@ -288,6 +289,62 @@ def region_algebra(spark: SparkSession, sf: str) -> DataFrame:
     return combine.algebra(first, second, ["image_id", "x", "y"]).groupBy("image_id").agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in ("both", "either", "one")))
 
 
+def filter_3d(spark: SparkSession, sf: str) -> DataFrame:
+    out = volumes.filter3d(D.stack(spark, sf), IMAGE, (1, 1, 1))
+    return out.select("image_id", "x", "y", "z", F.round("mean", 6).alias("mean"), "least", "most", F.round("variance", 6).alias("variance"))
+
+
+def depth_rescaled(spark: SparkSession, sf: str) -> DataFrame:
+    return volumes.rescale_z(D.stack(spark, sf), IMAGE, 7, 4).where("v > 0")
+
+
+def line_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return volumes.sampled(D.pixels(spark, sf), IMAGE, [(4 * k + 0.5, 2 * k + 0.25) for k in range(15)])
+
+
+def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    px = D.pixels(spark, sf)
+    return volumes.beside(px, px.withColumn("image_id", F.col("image_id") + 1), W)
+
+
+def curve_fits(spark: SparkSession, sf: str) -> DataFrame:
+    out = volumes.fits(D.table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return out.select("l_suppkey", F.round("exp_b", 6).alias("exp_b"), F.round(F.log("exp_a"), 6).alias("exp_log_a"), F.round("power_b", 6).alias("power_b"), F.round(F.log("power_a"), 6).alias("power_log_a"), *(F.round(f"p{k}", 2).alias(f"p{k}") for k in range(3)))
+
+
+def table_edits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.table(spark, sf, "orders").where("not o_orderkey between 10 and 40")
+    rows = rows.withColumn("Ratio", F.expr("o_totalprice / (o_custkey + 1)")).withColumnRenamed("o_orderstatus", "State")
+    return rows.select("o_orderkey", "State", "Ratio", F.printf(F.lit("%.2f"), F.col("o_totalprice").cast("double")).alias("shown"))
+
+
+def raw_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    files = raw.encode(D.to_planes(D.pixels(spark, sf)), "16u")
+    px = D.to_pixels(raw.decode(files, "16u", W, H))
+    return px.select("image_id", F.col("x").cast("int").alias("x"), "y", F.col("v").cast("int").alias("v"))
+
+
+def stream_frame_profile(spark: SparkSession, sf: str) -> DataFrame:
+    rows = live.arriving(spark, f"{sf}/events*.parquet")
+    out = live.append(live.frame_profile(rows, "ts", ["event_type"], F.col("value"), "6 hours", "1 hour"), "frame-profile")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "most")
+
+
+def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
+    rows = live.arriving(spark, f"{sf}/events*.parquet").select((F.col("user_id") % 16).cast("int").alias("x"), (F.col("event_id") % 16).cast("int").alias("y"), "value")
+    out = live.latest(live.running_projection(rows, ["x", "y"], F.col("value")), "projection")
+    return out.select("x", "y", "n", "most", "least", F.round("total", 4).alias("total"), F.round("average", 6).alias("average"))
+
+
+def stream_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    rows = live.arriving(spark, f"{sf}/events*.parquet")
+    return live.latest(live.running_histogram(rows, ["event_type"], F.floor(F.col("value") / 10)), "histogram")
+
+
+def auto_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return thresholds.levels(D.pixels(spark, sf), IMAGE)
+
+
 def _filtered(function, px=None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         p = planes.per_plane(D.to_planes(D.pixels(spark, sf)), function)

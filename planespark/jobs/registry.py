@@ -12,7 +12,7 @@ from planespark.jobs import sql
 FLAGSHIP = "particles"
 
 #: Queries without SQL: iterative or numeric work on whole planes, tested against brute force.
-_NO_SQL = ("particles", "particle_summary", "gaussian", "top_hat", "distance_map", "holes_filled", "spectrum")
+_NO_SQL = ("particles", "particle_summary", "gaussian", "top_hat", "distance_map", "holes_filled", "spectrum", "auto_thresholds")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

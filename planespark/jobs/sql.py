@@ -126,5 +126,22 @@ SELECT image_id, x, y, CAST(CASE WHEN px.v = lo THEN 0 WHEN px.v = hi THEN 255 E
     "sobel": _near("least(255, floor(sqrt(pow(sum(n.v * dx * (2 - abs(dy))), 2) + pow(sum(n.v * dy * (2 - abs(dx))), 2))))"),
     "erode": _px(", q AS (" + _AROUND.format(t=0) + ") SELECT image_id, x, y, CASE WHEN v > 0 AND k = 8 THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM q"),
     "dilate": _px(", q AS (" + _AROUND.format(t=20) + ") SELECT image_id, x, y, CASE WHEN v > 20 OR k >= 3 THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM q"),
+    "filter_3d": _st("SELECT p.image_id, p.x, p.y, p.z, round(avg(n.v), 6) AS mean, min(n.v) AS least, max(n.v) AS most, round(coalesce(var_samp(n.v), 0), 6) AS variance FROM (SELECT st.*, unnest([[0, 0, 0], [1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]]) AS d FROM st) p JOIN st n ON n.image_id = p.image_id AND n.x = p.x + d[1] AND n.y = p.y + d[2] AND n.z = p.z + d[3] GROUP BY p.image_id, p.x, p.y, p.z"),
+    "depth_rescaled": _st("SELECT image_id, x, y, k AS z, sum(v * (1.0::DOUBLE - abs(k * 2 - 1 - z))) AS v FROM st JOIN (SELECT CAST(unnest(range(1, 5)) AS INT) AS k) ON abs(k * 2 - 1 - z) < 1 GROUP BY image_id, x, y, k HAVING sum(v * (1.0::DOUBLE - abs(k * 2 - 1 - z))) > 0"),
+    "line_profile": _px("SELECT image_id, k AS i, sum(v * (1 - abs(4 * k + 0.5::DOUBLE - x)) * (1 - abs(2 * k + 0.25::DOUBLE - y))) AS v FROM px JOIN (SELECT CAST(unnest(range(15)) AS INT) AS k) ON x BETWEEN 4 * k AND 4 * k + 1 AND y BETWEEN 2 * k AND 2 * k + 1 GROUP BY image_id, k"),
+    "side_by_side": _px("SELECT * FROM px UNION ALL SELECT image_id + 1, x + 64, y, v FROM px"),
+    "curve_fits": """WITH q AS (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+c AS (SELECT q.*, x - avg(x) OVER w AS u, avg(x) OVER w AS mx FROM q WINDOW w AS (PARTITION BY l_suppkey)),
+m AS (SELECT l_suppkey, any_value(mx) AS mx, count(*) AS n, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(y) AS t0, sum(u * y) AS t1, sum(u * u * y) AS t2 FROM c GROUP BY l_suppkey),
+b AS (SELECT *, (t2 - s2 * t0 / n - s3 * t1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) AS c2 FROM m),
+p AS (SELECT l_suppkey, c2, (t1 - c2 * s3) / s2 AS c1, (t0 - c2 * s2) / n AS c0, mx FROM b),
+g AS (SELECT l_suppkey, regr_slope(ln(y), x) AS exp_b, regr_intercept(ln(y), x) AS exp_log_a, regr_slope(ln(y), ln(x)) AS power_b, regr_intercept(ln(y), ln(x)) AS power_log_a FROM q WHERE x > 0 AND y > 0 GROUP BY l_suppkey)
+SELECT l_suppkey, round(exp_b, 6) AS exp_b, round(exp_log_a, 6) AS exp_log_a, round(power_b, 6) AS power_b, round(power_log_a, 6) AS power_log_a, round(c0 - c1 * mx + c2 * mx * mx, 2) AS p0, round(c1 - 2 * c2 * mx, 2) AS p1, round(c2, 2) AS p2 FROM p JOIN g USING (l_suppkey)""",
+    "table_edits": "SELECT o_orderkey, o_orderstatus AS State, o_totalprice / (o_custkey + 1) AS Ratio, printf('%.2f', CAST(o_totalprice AS DOUBLE)) AS shown FROM orders WHERE NOT o_orderkey BETWEEN 10 AND 40",
+    "raw_round_trip": _px("SELECT image_id, x, y, v FROM px"),
+    "stream_frame_profile": "SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM events) WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY start, event_type",
+    "stream_projection": "SELECT CAST(user_id % 16 AS INT) AS x, CAST(event_id % 16 AS INT) AS y, count(*) AS n, max(value) AS most, min(value) AS least, round(sum(value), 4) AS total, round(avg(value), 6) AS average FROM events GROUP BY ALL",
+    "stream_histogram": "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL",
 }
+
 SQL = {k: s.replace("\n,", ",").replace("\n, ", ", ") for k, s in SQL.items()}
