@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
-from planespark.operators import combine, geometry, planes, stacks, thresholds, volumes
+from planespark.functions import points
+from planespark.operators import combine, geometry, objects, planes, spectra, stacks, thresholds, volumes
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
 from planespark.sources import raw, text
@@ -375,3 +376,33 @@ def particles(spark: SparkSession, sf: str) -> DataFrame:
 def particle_summary(spark: SparkSession, sf: str) -> DataFrame:
     found = particles(spark, sf).where("area >= 2 and not edge")
     return found.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.round(F.avg("area"), 6).alias("mean_area"), F.round(100.0 * F.sum("area") / (W * H), 6).alias("percent"))
+
+
+shadows = _filtered(objects.shadows(0))
+outline = _filtered(lambda a: objects.outline(a > 0) * 255)
+skeleton = _filtered(lambda a: objects.thinned(a > 0) * 255)
+watershed = _filtered(lambda a: objects.split_touching(a > 0) * 255)
+ultimate_points = _filtered(lambda a: objects.ultimate_points(a > 0))
+ball_subtracted = _filtered(lambda a: a - objects.ball_background(6)(a))
+band_passed = _filtered(spectra.band_pass(20, 3))
+unsharp_mask = _filtered(planes.unsharp(1.0, 0.6))
+
+
+def find_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    return objects.maxima(D.to_planes(D.pixels(spark, sf)), 30)
+
+
+def hull_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    return objects.shapes(D.to_planes(D.pixels(spark, sf)), 1, 255)
+
+
+def correlated_planes(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.to_planes(D.pixels(spark, sf))
+    return spectra.pairs(p, p.withColumn("image_id", F.col("image_id") + 1), IMAGE, "correlate")
+
+
+def region_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    rows = D.table(spark, sf, "orders").select("o_orderkey", F.array(corner(customer % 64, key % 32), corner(key % 50, customer % 20), corner(F.lit(70), F.lit(40))).alias("p"))
+    return rows.select("o_orderkey", F.round(points.length(F.col("p")), 6).alias("length"), points.shoelace(F.col("p")).alias("area"))

@@ -141,6 +141,9 @@ SELECT l_suppkey, round(exp_b, 6) AS exp_b, round(exp_log_a, 6) AS exp_log_a, ro
     "raw_round_trip": _px("SELECT image_id, x, y, v FROM px"),
     "stream_frame_profile": "SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM events) WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY start, event_type",
     "stream_projection": "SELECT CAST(user_id % 16 AS INT) AS x, CAST(event_id % 16 AS INT) AS y, count(*) AS n, max(value) AS most, min(value) AS least, round(sum(value), 4) AS total, round(avg(value), 6) AS average FROM events GROUP BY ALL",
+    "shadows": _near("CAST(least(255, greatest(0, sum(n.v * (CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE -dy * (2 - abs(dx)) END)))) AS DOUBLE)"),
+    "outline": _px("SELECT p.image_id, p.x, p.y, CASE WHEN any_value(p.v) > 0 AND count(n.v) < 9 THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM (SELECT * FROM px, (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dx), (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dy)) p LEFT JOIN px n ON n.image_id = p.image_id AND n.x = p.x + dx AND n.y = p.y + dy AND n.v > 0 GROUP BY p.image_id, p.x, p.y"),
+    "region_lengths": "WITH q AS (SELECT o_orderkey, o_custkey % 64 AS ax, o_orderkey % 32 AS ay, o_orderkey % 50 AS bx, o_custkey % 20 AS b_y FROM orders) SELECT o_orderkey, round(sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) + sqrt(pow(70 - bx, 2) + pow(40 - b_y, 2)), 6) AS length, abs(ax * b_y - bx * ay + bx * 40 - 70 * b_y + 70 * ay - ax * 40) / 2 AS area FROM q",
     "stream_histogram": "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL",
 }
 

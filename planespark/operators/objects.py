@@ -1,0 +1,199 @@
+"""Peaks, basins, hulls and thinned shapes of single planes; each a function of one plane, dealt by Spark plane by plane."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from planespark.operators.planes import convolve, distance, label, shifted
+
+
+def basins(a: np.ndarray, tolerance: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Basins (numbered from 1, highest peak first; 0 on the ridges between them) and the (y, x) of their peaks.
+
+    Pixels are flooded from high to low. A peak counts if it rises by more than
+    the tolerance above the highest pass to a higher one (the highest peak: above
+    the lowest pixel). A flat peak stands at the pixel nearest to its middle.
+    NaN pixels are ridges. The time is n log n in the pixels of a plane.
+    """
+    h, w = a.shape
+    flat = a.ravel()
+    order = np.argsort(-flat, kind="stable")
+    order = order[~np.isnan(flat[order])]
+    if not len(order):
+        return np.zeros((h, w), int), []
+    value = flat.tolist()
+    owner = [-1] * (h * w)
+    up: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        return p
+
+    for p in order.tolist():
+        y, x = divmod(p, w)
+        around = [j * w + i for j in range(max(y - 1, 0), min(y + 2, h)) for i in range(max(x - 1, 0), min(x + 2, w)) if owner[j * w + i] >= 0]
+        met = sorted({root(owner[q]) for q in around}, key=lambda r: (-value[r], r))
+        if not met:
+            up[p] = owner[p] = p
+            continue
+        high = [met[0], *(r for r in met[1:] if value[r] - value[p] > tolerance)]
+        for r in met[1:]:
+            if r not in high:
+                up[r] = met[0]
+        if len(high) == 1:
+            owner[p] = met[0]
+    ids = np.array([root(o) if o >= 0 else -1 for o in owner])
+    peaks = sorted({int(r) for r in ids if r >= 0}, key=lambda r: (-value[r], r))
+    low = value[int(order[-1])]
+    peaks = [r for r in peaks if value[r] - low > tolerance]
+    out, places = np.zeros(h * w, int), []
+    for k, r in enumerate(peaks, 1):
+        mine = ids == r
+        out[mine] = k
+        y, x = np.divmod(np.flatnonzero(mine & (flat == value[r])), w)
+        middle = ((y - y.mean()) ** 2 + (x - x.mean()) ** 2).argmin()
+        places.append((int(y[middle]), int(x[middle])))
+    return out.reshape(h, w), places
+
+
+def maxima(planes: DataFrame, tolerance: float, exclude_edges: bool = False) -> DataFrame:
+    """keys, rank (1 is the highest), x, y, v of the peaks of every plane."""
+    keys = [f for f in planes.schema.fields if f.name not in ("width", "height", "pixels")]
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                a = np.asarray(r.pixels, float).reshape(r.height, r.width)
+                found = [p for p in basins(a, tolerance)[1] if not exclude_edges or (0 < p[0] < r.height - 1 and 0 < p[1] < r.width - 1)]
+                rows += [(*(getattr(r, f.name) for f in keys), k, x, y, float(a[y, x])) for k, (y, x) in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=[*(f.name for f in keys), "rank", "x", "y", "v"])
+
+    return planes.mapInPandas(run, f"{head}, rank int, x int, y int, v double")
+
+
+def split_touching(on: np.ndarray, tolerance: float = 0.5) -> np.ndarray:
+    """A mask cut along the ridges between the peaks of its distance map (watershed)."""
+    depth = distance(on)
+    return on & (basins(np.where(on, depth, np.nan), tolerance)[0] > 0) if on.any() and not on.all() else on.copy()
+
+
+def ultimate_points(on: np.ndarray, tolerance: float = 0.5) -> np.ndarray:
+    """Distance values at the peaks of the distance map, 0 elsewhere."""
+    depth, out = distance(on), np.zeros(on.shape)
+    for y, x in basins(depth, tolerance)[1]:
+        out[y, x] = depth[y, x]
+    return out
+
+
+def outline(on: np.ndarray) -> np.ndarray:
+    """Foreground pixels with background among their eight neighbours; outside the plane is background."""
+    p = np.pad(on, 1)
+    h, w = on.shape
+    inner = np.logical_and.reduce([p[1 + j : 1 + j + h, 1 + i : 1 + i + w] for j in (-1, 0, 1) for i in (-1, 0, 1)])
+    return on & ~inner
+
+
+def shadows(direction: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Relief of an 8-bit plane lit from one of eight directions: 0 is north, then clockwise."""
+    ring = np.roll([1, 2, 1, 0, -1, -2, -1, 0], direction)
+    kernel = np.ones((3, 3))
+    for (y, x), k in zip([(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)], ring, strict=True):
+        kernel[y, x] = k
+    relief = convolve(kernel, normalise=False)
+    return lambda a: np.clip(relief(a), 0, 255)
+
+
+def thinned(on: np.ndarray) -> np.ndarray:
+    """Skeleton by alternating passes until nothing changes (Zhang and Suen 1984)."""
+    on = on.copy()
+    while True:
+        before = on.copy()
+        for half in (0, 1):
+            p = np.pad(on, 1)
+            h, w = on.shape
+            n, ne, e, se, s, sw, west, nw = (p[1 + j : 1 + j + h, 1 + i : 1 + i + w] for j, i in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)))
+            ring = [n, ne, e, se, s, sw, west, nw]
+            count = sum(r.astype(int) for r in ring)
+            turns = sum((~a & b).astype(int) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
+            open_sides = ~(n & e & s) & ~(e & s & west) if half == 0 else ~(n & e & west) & ~(n & s & west)
+            on = on & ~((count >= 2) & (count <= 6) & (turns == 1) & open_sides)
+        if (on == before).all():
+            return on
+
+
+def ball_background(radius: int) -> Callable[[np.ndarray], np.ndarray]:
+    """What a ball rolled under the surface reaches: the opening by a half sphere (Sternberg 1983)."""
+    spots = [(dy, dx, float(np.sqrt(radius * radius - dy * dy - dx * dx))) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+
+    def run(a: np.ndarray) -> np.ndarray:
+        low = np.minimum.reduce([shifted(a, dy, dx) - z for dy, dx, z in spots])
+        return np.minimum(np.maximum.reduce([shifted(low, -dy, -dx) + z for dy, dx, z in spots]), a)
+
+    return run
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of (x, y) points, counter-clockwise (monotone chain)."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def half(rows: np.ndarray) -> list:
+        out: list = []
+        for p in rows.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    return np.array(half(points)[:-1] + half(points[::-1])[:-1])
+
+
+def calipers(corners: np.ndarray) -> tuple[float, float, float, float]:
+    """Area, largest diameter and its angle (degrees, 0..180), and smallest width of a convex polygon."""
+    x, y = corners[:, 0].astype(float), corners[:, 1].astype(float)
+    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    dx, dy = x[:, None] - x, y[:, None] - y
+    i, j = divmod(int((dx * dx + dy * dy).argmax()), len(x))
+    ex, ey = np.roll(x, -1) - x, np.roll(y, -1) - y
+    across = (-ey[:, None] * x + ex[:, None] * y) / np.hypot(ex, ey)[:, None]
+    return float(area), float(np.hypot(dx[i, j], dy[i, j])), float(np.degrees(np.arctan2(-dy[i, j], dx[i, j])) % 180), float((across.max(1) - across.min(1)).min())
+
+
+SHAPES = "label int, area long, hull_area double, solidity double, feret double, feret_angle double, min_feret double"
+
+
+def shapes(planes: DataFrame, lower: float, upper: float, eight: bool = True) -> DataFrame:
+    """Hull and diameters, on pixel corners, of every object with values in [lower, upper]: the keys of the plane and SHAPES."""
+    keys = [f for f in planes.schema.fields if f.name not in ("width", "height", "pixels")]
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+    names = [f.name for f in keys]
+
+    def measured(ids: np.ndarray) -> Iterator[tuple]:
+        y, x = np.nonzero(ids)
+        order = np.argsort(ids[y, x], kind="stable")
+        y, x = y[order], x[order]
+        cuts = np.flatnonzero(np.diff(ids[y, x])) + 1
+        for k, (ys, xs) in enumerate(zip(np.split(y, cuts), np.split(x, cuts), strict=True), 1):
+            corners = hull(np.concatenate([np.stack([xs + i, ys + j], axis=1) for i in (0, 1) for j in (0, 1)]))
+            area, feret, angle, least = calipers(corners)
+            yield k, len(ys), area, len(ys) / area, feret, angle, least
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                a = np.asarray(r.pixels, float).reshape(r.height, r.width)
+                on = (a >= lower) & (a <= upper)
+                if on.any():
+                    rows += [(*(getattr(r, n) for n in names), *x) for x in measured(label(on, eight))]
+            yield pd.DataFrame(rows, columns=[*names, *(x.split()[0] for x in SHAPES.split(", "))])
+
+    return planes.mapInPandas(run, f"{head}, {SHAPES}")
