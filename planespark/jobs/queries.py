@@ -327,7 +327,7 @@ def raw_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_frame_profile(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.arriving(spark, f"{sf}/events*.parquet")
-    out = live.append(live.frame_profile(rows, "ts", ["event_type"], F.col("value"), "6 hours", "1 hour"), "frame-profile")
+    out = live.latest(live.running_profile(rows, "ts", ["event_type"], F.col("value"), "6 hours"), "frame-profile")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "most")
 
 

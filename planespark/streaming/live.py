@@ -14,10 +14,15 @@ def arriving(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataF
 
 
 def frame_profile(rows: DataFrame, time: str, keys: list[str], value: Column, width: str, late: str, slide: str | None = None) -> DataFrame:
-    """n, mean, least and most per window of event time and key; rows later than ``late`` behind the newest are dropped."""
-    at = F.window(time, width, slide) if slide else F.window(time, width)
+    """The running profile of windows that are over, for ``append``; rows later than ``late`` behind the newest are dropped, and windows still open are not returned."""
     rows = rows.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs a time with zone
-    out = rows.withWatermark(time, late).groupBy(at.alias("at"), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return running_profile(rows.withWatermark(time, late), time, keys, value, width, slide)
+
+
+def running_profile(rows: DataFrame, time: str, keys: list[str], value: Column, width: str, slide: str | None = None) -> DataFrame:
+    """n, mean, least and most per window of event time and key, over all rows seen so far in any order; the state is one row a window and key."""
+    at = F.window(time, width, slide) if slide else F.window(time, width)
+    out = rows.groupBy(at.alias("at"), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
     return out.select(F.col("at.start").alias("start"), F.col("at.end").alias("stop"), *keys, "n", "mean", "least", "most")
 
 
