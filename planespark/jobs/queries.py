@@ -166,7 +166,7 @@ def grouped_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def z_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return S.profile(D.stack(spark, sf).where("x < 32"), IMAGE, "z")
+    return S.profile(D.stack(spark, sf), IMAGE, "z")
 
 
 def axis_profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +260,7 @@ def xy_coordinates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_to_table(spark: SparkSession, sf: str) -> DataFrame:
-    return text.to_table(D.pixels(spark, sf).where("x < 16"), IMAGE, 16)
+    return text.to_table(D.pixels(spark, sf), IMAGE, W)
 
 
 def measure_stack(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,8 +4,9 @@ import functools
 import os
 
 import duckdb
+import pytest
 
-from planespark.jobs import queries
+from planespark.jobs import queries, sql
 from planespark.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -15,6 +16,24 @@ def rounded(rows):
     return sorted(tuple(str(round(x, 6) + 0.0 if isinstance(x, float) else x) for x in r) for r in rows)
 
 
+#: As in ``planespark.jobs.sql``, without the cuts that are there.
+WHOLE = {
+    "image_to_table": sql._px("SELECT image_id, 'Y' || CAST(y AS VARCHAR) AS label, " + ", ".join(f"CAST(max(CASE WHEN x = {k} THEN v END) AS DOUBLE) AS X{k}" for k in range(64)) + " FROM px GROUP BY image_id, y"),
+    "z_profile": sql._st("SELECT image_id, z, avg(v) AS mean FROM st GROUP BY image_id, z"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_images(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    got, want = getattr(queries, name)(spark, SF), con.sql(WHOLE[name])
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    at = [want.columns.index(c) for c in columns]
+    assert rounded(got.select(*columns).collect()) == rounded([tuple(r[k] for k in at) for r in want.fetchall()])
+
+
 def test_stream_profile_of_files_out_of_time_order(spark, tmp_path, monkeypatch):
     """Nine files in nine batches, the newest rows first: no row is late, and the last windows are returned."""
     con = duckdb.connect()
