@@ -79,11 +79,11 @@ def bin_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reslice(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.reslice(D.stack(spark, sf)).where("v > 0")
+    return geometry.reslice(D.stack(spark, sf))
 
 
 def montage(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.montage(D.stack(spark, sf), W, H, 3).where("v > 0")
+    return geometry.montage(D.stack(spark, sf), W, H, 3)
 
 
 def tile_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ def thresholded_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mode_median(spark: SparkSession, sf: str) -> DataFrame:
-    h = S.histogram(D.pixels(spark, sf).where("v > 0"), IMAGE)
+    h = S.histogram(D.pixels(spark, sf), IMAGE)
     return S.mode(h, IMAGE).join(S.median(h, IMAGE), "image_id")
 
 
@@ -162,7 +162,7 @@ def z_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grouped_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return S.grouped_projection(D.stack(spark, sf), IMAGE, 2).where("average > 0")
+    return S.grouped_projection(D.stack(spark, sf), IMAGE, 2)
 
 
 def z_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,19 +201,19 @@ def equalised(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def substack(spark: SparkSession, sf: str) -> DataFrame:
-    return stacks.substack(D.stack(spark, sf).where("v > 0"), IMAGE, "2-7-2", 7)
+    return stacks.substack(D.stack(spark, sf), IMAGE, "2-7-2", 7)
 
 
 def delete_slices(spark: SparkSession, sf: str) -> DataFrame:
-    return stacks.substack(D.stack(spark, sf).where("v > 0"), IMAGE, "1,4", 7, delete=True)
+    return stacks.substack(D.stack(spark, sf), IMAGE, "1,4", 7, delete=True)
 
 
 def reduced_stack(spark: SparkSession, sf: str) -> DataFrame:
-    return stacks.reduce(D.stack(spark, sf), 3).where("v > 0")
+    return stacks.reduce(D.stack(spark, sf), 3)
 
 
 def concatenated(spark: SparkSession, sf: str) -> DataFrame:
-    px = D.stack(spark, sf).where("v > 0")
+    px = D.stack(spark, sf)
     return stacks.concatenate(px, geometry.flip(px, "z", 7), 7)
 
 
@@ -296,7 +296,7 @@ def filter_3d(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def depth_rescaled(spark: SparkSession, sf: str) -> DataFrame:
-    return volumes.rescale_z(D.stack(spark, sf), IMAGE, 7, 4).where("v > 0")
+    return volumes.rescale_z(D.stack(spark, sf), IMAGE, 7, 4)
 
 
 def line_profile(spark: SparkSession, sf: str) -> DataFrame:

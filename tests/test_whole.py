@@ -19,6 +19,15 @@ def rounded(rows):
 #: As in ``planespark.jobs.sql``, without the cuts that are there.
 WHOLE = {
     "image_to_table": sql._px("SELECT image_id, 'Y' || CAST(y AS VARCHAR) AS label, " + ", ".join(f"CAST(max(CASE WHEN x = {k} THEN v END) AS DOUBLE) AS X{k}" for k in range(64)) + " FROM px GROUP BY image_id, y"),
+    "mode_median": sql._px("SELECT image_id, mode, median FROM (SELECT image_id, v AS mode FROM (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, v) AS k FROM px GROUP BY image_id, v) WHERE k = 1) JOIN (SELECT image_id, min(v) AS median FROM (SELECT image_id, v, sum(count(*)) OVER (PARTITION BY image_id ORDER BY v) AS below, sum(count(*)) OVER (PARTITION BY image_id) AS total FROM px GROUP BY image_id, v) WHERE below > total / 2.0 GROUP BY image_id) USING (image_id)"),
+    "reslice": sql._st("SELECT image_id, y + 1 AS z, x, z - 1 AS y, v FROM st"),
+    "montage": sql._st("SELECT image_id, x + (z - 1) % 3 * 64 AS x, y + (z - 1) // 3 * 32 AS y, v FROM st"),
+    "grouped_projection": sql._st("SELECT image_id, (z - 1) // 2 AS slab, x, y, avg(v) AS average FROM st GROUP BY ALL"),
+    "substack": sql._st("SELECT image_id, x, y, v, dense_rank() OVER (PARTITION BY image_id ORDER BY z) AS z FROM st WHERE z IN (2, 4, 6)"),
+    "delete_slices": sql._st("SELECT image_id, x, y, v, dense_rank() OVER (PARTITION BY image_id ORDER BY z) AS z FROM st WHERE z NOT IN (1, 4)"),
+    "reduced_stack": sql._st("SELECT image_id, (z - 1) // 3 + 1 AS z, x, y, v FROM st WHERE (z - 1) % 3 = 0"),
+    "concatenated": sql._st("SELECT image_id, z, x, y, v FROM st UNION ALL SELECT image_id, 15 - z, x, y, v FROM st"),
+    "depth_rescaled": sql._st("SELECT image_id, x, y, k AS z, sum(v * (1.0::DOUBLE - abs(k * 2 - 1 - z))) AS v FROM st JOIN (SELECT CAST(unnest(range(1, 5)) AS INT) AS k) ON abs(k * 2 - 1 - z) < 1 GROUP BY image_id, x, y, k"),
     "z_profile": sql._st("SELECT image_id, z, avg(v) AS mean FROM st GROUP BY image_id, z"),
 }
 
