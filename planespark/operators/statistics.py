@@ -101,7 +101,7 @@ def equalise(px: DataFrame, keys: list[str], classic: bool = False) -> DataFrame
     return px.join(lut, [*keys, "v"]).select(*keys, "x", "y", F.col("to").alias("v"))
 
 
-def fractal(px: DataFrame, keys: list[str], sizes: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16)) -> DataFrame:
+def fractal(px: DataFrame, keys: list[str], sizes: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16, 32, 64)) -> DataFrame:
     """Occupied boxes of each size, from the corner of the foreground's bounding box, and the box-counting dimension."""
     on = px.where("v > 0")
     corner = on.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))

@@ -1,12 +1,16 @@
 """Queries that cover every row, against values computed in DuckDB without any filter."""
 
 import functools
+import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planespark.jobs import queries, sql
+from planespark.operators import statistics
 from planespark.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +23,7 @@ def rounded(rows):
 #: As in ``planespark.jobs.sql``, without the cuts that are there.
 WHOLE = {
     "image_to_table": sql._px("SELECT image_id, 'Y' || CAST(y AS VARCHAR) AS label, " + ", ".join(f"CAST(max(CASE WHEN x = {k} THEN v END) AS DOUBLE) AS X{k}" for k in range(64)) + " FROM px GROUP BY image_id, y"),
+    "fractal_boxes": sql._px("SELECT image_id, round(-regr_slope(ln(k), ln(s)), 6) AS dimension, max(k) AS most_boxes FROM (SELECT image_id, s, count(*) AS k FROM (SELECT DISTINCT image_id, s, (x - x0) // s AS bx, (y - y0) // s AS by_ FROM (SELECT image_id, x, y, unnest([2, 3, 4, 6, 8, 12, 16, 32, 64]) AS s FROM px WHERE v > 0) JOIN (SELECT image_id, min(x) AS x0, min(y) AS y0 FROM px WHERE v > 0 GROUP BY image_id) USING (image_id)) GROUP BY image_id, s) GROUP BY image_id"),
     "mode_median": sql._px("SELECT image_id, mode, median FROM (SELECT image_id, v AS mode FROM (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, v) AS k FROM px GROUP BY image_id, v) WHERE k = 1) JOIN (SELECT image_id, min(v) AS median FROM (SELECT image_id, v, sum(count(*)) OVER (PARTITION BY image_id ORDER BY v) AS below, sum(count(*)) OVER (PARTITION BY image_id) AS total FROM px GROUP BY image_id, v) WHERE below > total / 2.0 GROUP BY image_id) USING (image_id)"),
     "reslice": sql._st("SELECT image_id, y + 1 AS z, x, z - 1 AS y, v FROM st"),
     "montage": sql._st("SELECT image_id, x + (z - 1) % 3 * 64 AS x, y + (z - 1) // 3 * 32 AS y, v FROM st"),
@@ -55,3 +60,12 @@ def test_stream_profile_of_files_out_of_time_order(spark, tmp_path, monkeypatch)
     want = con.sql("select time_bucket(interval 6 hours, ts) as start, event_type, count(*), round(avg(value), 6), min(value), max(value) from dealt group by all").fetchall()
     assert sum(r.n for r in got) == con.sql("select count(*) from dealt").fetchall()[0][0]
     assert rounded(got) == rounded(want)
+
+
+def test_fractal_boxes_of_a_full_plane(spark):
+    """Nine box sizes by hand: a full plane of 64 x 32 has ceil(64 / s) * ceil(32 / s) boxes of size s."""
+    px = spark.range(64 * 32).select(F.lit(1).alias("image_id"), (F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"), F.lit(255).alias("v"))
+    sizes = [2, 3, 4, 6, 8, 12, 16, 32, 64]
+    slope = np.polyfit(np.log(sizes), [math.log(math.ceil(64 / s) * math.ceil(32 / s)) for s in sizes], 1)[0]
+    got = statistics.fractal(px, ["image_id"]).collect()[0]
+    assert math.isclose(got.dimension, -slope, abs_tol=1e-9) and got.most_boxes == 512
