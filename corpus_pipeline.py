@@ -29,9 +29,20 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8); rows with a null id stay."""
-    kept = near_duplicates.near_duplicates(spark, docs, words=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id; rows with a null id stay.
+
+    Rows are members by a number of their own: different texts under one id are
+    compared like any others and both stay unless they are near-duplicates.
+    Rows that repeat id and text are one; texts without a word are near nothing.
+    """
+    work = Workspace(spark, "distinct")
+    named = docs.where("doc_id is not null")
+    blank = F.coalesce(F.btrim("text", F.lit("\t\n\x0b\x0c\r ")), F.lit("")) == ""
+    rows = work.save(named.where(~blank).withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
+    groups = near_duplicates.near_duplicates(spark, rows, key="_row", words=5).select("_row", "component_id")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    filled = rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return filled.unionByName(named.where(blank).dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
