@@ -11,8 +11,12 @@ ones branch again. Links are then confirmed on the full shingle sets:
 2. after the components of these links, all pairs of members that share a node
    and are still in different components.
 
-So two members of one node are either in one component already or compared
-exactly, and groups of any size are never expanded into all their pairs.
+So two members of a leaf, or of a large node of the last level, are either in
+one component already or compared by sketch and then exactly. Members of a large
+node above the last level are compared with its first member and branch again: a
+pair that no child keeps together is not compared. Groups of any size are never
+expanded into all their pairs. Roots and picks are constants; they are not
+derived from a target recall, and the recall is not measured.
 """
 
 from __future__ import annotations
