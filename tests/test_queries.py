@@ -6,7 +6,6 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from planespark.jobs import registry
 
 SF = "/root/testdata/sf0.001"
@@ -27,8 +26,3 @@ def test_sql(spark, name):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert values(got.select(*columns).collect()) == values([tuple(r[i] for i in at) for r in want.fetchall()])
-
-
-def test_entry(spark):
-    assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) <= set(entry.queries())

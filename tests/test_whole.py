@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from planespark.jobs import queries, sql
 from planespark.operators import statistics
 from planespark.streaming import live
@@ -70,13 +69,3 @@ def test_fractal_boxes_of_a_full_plane(spark):
     slope = np.polyfit(np.log(sizes), [math.log(math.ceil(64 / s) * math.ceil(32 / s)) for s in sizes], 1)[0]
     got = statistics.fractal(px, ["image_id"]).collect()[0]
     assert math.isclose(got.dimension, -slope, abs_tol=1e-9) and got.most_boxes == 512
-
-
-def test_pipeline_keeps_different_texts_under_one_id(spark):
-    first, second, third = (" ".join(f"{c}{k}" for k in range(80)) for c in "abc")
-    rows = [(5, first), (5, second), (5, first), (9, second + " end"), (2, third), (7, third), (3, ""), (3, ""), (3, None), (None, "x"), (None, "x")]
-    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
-    got = corpus_pipeline.distinct(spark, docs, SF)
-    assert got.columns == docs.columns
-    want = [(5, first), (5, second), (2, third), (3, ""), (3, None), (None, "x"), (None, "x")]
-    assert sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, want))
