@@ -24,8 +24,18 @@ DELAY_MS = 40
 BINS = 8
 
 _CLEAR, _END = 256, 257
-#: Width of the k-th code after a clear code, for 8-bit samples.
-_WIDTHS = np.array([9] + [min(12, (257 + k).bit_length()) for k in range(1, 8192)])
+#: Codes of a full table, and codes that the reader looks at before it looks further for the end of a run.
+TABLE = 1 << 12
+LOOK = 1 << 13
+
+
+def code_widths(code_size: int, n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code: they grow with the table and stay at 12 once it is full."""
+    grown = [code_size + 1] + [min(12, ((1 << code_size) + 1 + k).bit_length()) for k in range(1, min(n, TABLE))]
+    return np.concatenate([grown, np.full(max(n - TABLE, 0), 12)]).astype(np.int64)[:n]
+
+
+_WIDTHS = code_widths(8, TABLE)
 
 
 # Writing
@@ -122,60 +132,73 @@ def write_gifs(payloads: list[bytes], delay_ms: int = DELAY_MS) -> list[bytes]:
 
 
 def unpack_lzw(data: bytes, code_size: int, most: int) -> bytes:
-    """Samples of an LZW code stream, at most ``most``; works through it one run between clear codes at a time."""
+    """The first ``most`` samples of an LZW code stream, worked through one run between clear codes at a time.
+
+    A run may be of any length: once the table is full it stays as it is. A
+    stream with fewer samples, or with a code that is not in the table, raises.
+    """
+    if not 1 <= code_size <= 8:
+        raise ValueError(f"code size {code_size}")
     clear, end = 1 << code_size, (1 << code_size) + 1
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
     bits, at = 8 * len(data), 0
-    if not 1 <= code_size <= 8:
-        raise ValueError(f"code size {code_size}")
-    widths = _WIDTHS if code_size == 8 else np.array([code_size + 1] + [min(12, (end + k).bit_length()) for k in range(1, 8192)])
-    ends = np.cumsum(widths)
     out: list[bytes] = []
     size = 0
     while at < bits and size < most:
-        n = int(np.searchsorted(ends, bits - at, "right"))
-        place = at + ends[:n] - widths[:n]
-        first = place >> 3
-        codes = (raw[first] | raw[first + 1] << 8 | raw[first + 2] << 16) >> (place & 7) & (1 << widths[:n]) - 1
-        stops = np.flatnonzero((codes == clear) | (codes == end))
+        look = LOOK
+        while True:
+            widths = code_widths(code_size, look)
+            ends = np.cumsum(widths)
+            n = int(np.searchsorted(ends, bits - at, "right"))
+            place = at + ends[:n] - widths[:n]
+            first = place >> 3
+            codes = (raw[first] | raw[first + 1] << 8 | raw[first + 2] << 16) >> (place & 7) & (1 << widths[:n]) - 1
+            stops = np.flatnonzero((codes == clear) | (codes == end))
+            if len(stops) or n < look:
+                break
+            look *= 4
         last = int(stops[0]) if len(stops) else n
-        if last:
-            out.append(_expand(codes[:last], clear))
-            size += len(out[-1])
-        if last == n:
-            break  # the stream ends without an end code, or a run is longer than any encoder makes
-        if codes[last] == end:
+        for part in _expand(codes[:last], clear):
+            out.append(part)
+            size += len(part)
+            if size >= most:
+                break
+        if last == n or codes[last] == end:
             break
         at += int(ends[last])
+    if size < most:
+        raise ValueError(f"{size} samples in the stream, {most} in the image")
     return b"".join(out)[:most]
 
 
-def _expand(codes: np.ndarray, clear: int) -> bytes:
-    """Samples of the codes of one run.
+def _expand(codes: np.ndarray, clear: int) -> Iterator[bytes]:
+    """Samples of the codes of one run, in parts.
 
     The entry that the k-th code makes is its string and the next sample, so
     its samples stand in the output from where that code starts: each sample
     points back to an earlier one, and following the pointers in doubling steps
-    ends at a literal.
+    ends at a literal. Codes that come once the table is full are copies of
+    strings that stand in that first part.
     """
-    n = len(codes)
+    entries = TABLE - (clear + 2)
     made = codes - (clear + 2)
     literal = codes < clear
-    if (made >= np.arange(n)).any() or (made > 4095 - clear - 2).any():
+    if (~literal & (made >= np.minimum(np.arange(len(codes)), entries))).any():
         raise ValueError("code beyond the table")
-    own = np.arange(n)
-    up = np.where(literal, own, made)
-    length = np.ones(n, np.int64)
-    step = np.where(literal, 0, 1)
+    n = min(len(codes), entries + 1)
+    if not n:
+        return
+    own, up, lit = np.arange(n), np.where(literal[:n], np.arange(n), made[:n]), literal[:n]
+    step = np.where(lit, 0, 1)
     while True:
         higher = up[up]
         if (higher == up).all():
             break
         step = step + step[up]
         up = higher
-    length += step
+    length = step + 1
     begin = np.cumsum(length) - length
-    back = np.where(literal, 0, begin - begin[np.where(literal, own, made)])
+    back = np.where(lit, 0, begin - begin[np.where(lit, own, made[:n])])
     source = np.arange(int(length.sum())) - np.repeat(back, length)
     while True:
         further = source[source]
@@ -183,8 +206,16 @@ def _expand(codes: np.ndarray, clear: int) -> bytes:
             break
         source = further
     value = np.zeros(len(source), np.uint8)
-    value[begin[literal]] = codes[literal]
-    return value[source].tobytes()
+    value[begin[lit]] = codes[:n][lit]
+    value = value[source]
+    yield value.tobytes()
+    strings = np.concatenate([value, np.arange(clear, dtype=np.uint8)])
+    for k in range(n, len(codes), 512):
+        part, alone = made[k : k + 512], literal[k : k + 512]
+        entry = np.where(alone, 0, part)
+        size = np.where(alone, 1, length[entry] + 1)
+        first = np.where(alone, len(value) + codes[k : k + 512], begin[entry])
+        yield strings[np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes()
 
 
 @dataclass
@@ -233,10 +264,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             at += size
         code_size = data[at]
         body, at = _sub_blocks(data, at + 1)
-        samples = unpack_lzw(body, code_size, w * h)
-        index = np.zeros(w * h, np.uint8)
-        index[: len(samples)] = np.frombuffer(samples, np.uint8)
-        index = index.reshape(h, w)
+        index = np.frombuffer(unpack_lzw(body, code_size, w * h), np.uint8).reshape(h, w)
         if flags & 0x40:  # interlaced: rows 0, 8, ..; 4, 12, ..; 2, 6, ..; 1, 3, ..
             order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
             straight = np.empty_like(index)
@@ -305,7 +333,8 @@ def frames(df: DataFrame, media: str = "media", out: str = "frames") -> DataFram
 
     Pixels are those of the frame's box on the canvas: one byte each where
     all are opaque greys, else red, green, blue and alpha. The histogram has
-    the pixels in each of BINS bands of brightness. A broken file raises.
+    the pixels in each of BINS bands of brightness. A broken file, and one
+    whose code stream is too short for its image, raises.
     """
     rows = df.drop(out)
     kind = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(FRAME))])
@@ -323,6 +352,11 @@ def frames(df: DataFrame, media: str = "media", out: str = "frames") -> DataFram
     return rows.mapInArrow(run, kind)
 
 
+def samples(frames_column: str) -> F.Column:
+    """The pixels of all frames after one another, joined in time that grows with their size."""
+    return F.unhex(F.array_join(F.transform(frames_column, lambda f: F.hex(f["pixels"])), ""))
+
+
 def _row(frame: Frame) -> dict:
     left, top, w, h = frame.box
     area = frame.canvas[top : top + h, left : left + w]
