@@ -70,17 +70,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = Workspace(spark, "warc")
     folder = f"{work.path}/archives"
-    work.save(warc.write(warc.classified(read(spark, sf_dir, "pages")), folder), "manifest")
-    if work.spark.read.parquet(f"{work.path}/manifest").isEmpty():
-        return spark.createDataFrame([], warc.READ).drop("url", "payload")
-    return warc.read(spark, folder).drop("url", "payload")
+    manifest = work.save(warc.write(warc.classified(read(spark, sf_dir, "pages"), work), folder), "manifest")
+    return warc.read(manifest, folder).drop("url", "payload")
 
 
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planespark.llm import gif
 
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), gif.payload(F.col("text")).alias("payload"))
-    shown = gif.frames(gif.to_media(docs, "payload")).select("doc_id", "n_bytes", "media", F.expr("aggregate(transform(frames, f -> f.pixels), cast('' as binary), (a, x) -> a || x)").alias("back"), F.expr(f"aggregate(frames, array_repeat(0L, {gif.BINS}), (a, f) -> zip_with(a, f.histogram, (x, y) -> x + y))").alias("bins"), F.size("frames").alias("n_frames"))
+    shown = gif.frames(gif.to_media(docs, "payload")).select("doc_id", "n_bytes", "media", gif.samples("frames").alias("back"), F.expr(f"aggregate(frames, array_repeat(0L, {gif.BINS}), (a, f) -> zip_with(a, f.histogram, (x, y) -> x + y))").alias("bins"), F.size("frames").alias("n_frames"))
     return shown.select(
         "doc_id", "n_bytes", F.octet_length("back").cast("long").alias("payload_bytes"), F.sha2("back", 256).alias("payload_sha256"), F.crc32(F.expr("substring(back, -16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";bins="), F.array_join(F.col("bins").cast("array<string>"), ",")).alias("feature"),

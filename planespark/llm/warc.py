@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planespark.llm.common import Workspace, join_hot
+
 #: Payload from which equal payloads are stored once.
 LEAST_REVISIT = 100
 #: Compressed bytes after which a task starts another archive.
@@ -22,20 +24,22 @@ LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 
 
-def classified(pages: DataFrame) -> DataFrame:
+def classified(pages: DataFrame, work: Workspace) -> DataFrame:
     """page_id, url, html, digest, record_type and refers_to of each page.
 
     Of equal payloads of LEAST_REVISIT bytes or more, the one with the smallest
     page_id is the response and the others revisit it; rows that tie for the
     smallest id are all responses. Null html is empty; a null page_id revisits
-    if another row has the payload. The first id of a payload comes from a
-    pre-aggregated table, so many copies of one payload meet nowhere.
+    if another row has the payload. The first ids of payloads that occur more
+    than once are pre-aggregated and written; however many copies one payload
+    has, they are dealt evenly when they get their first id.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     long = F.octet_length("html") >= LEAST_REVISIT
-    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"))
-    again = long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    first = work.save(rows.where(long).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1 and _first is not null"), "firsts")
+    again = long & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    found = join_hot(rows, first, "digest", "_copies", ["page_id", "url"])
+    return found.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
 def _header(value: str) -> str:
@@ -58,9 +62,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
 def write(rows: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``classified`` as archives into ``folder``; the result (file, bytes, records) runs the writers once.
 
-    Each task writes under a name of its attempt and renames when the archive
-    is whole, so a lost task leaves no half archive among the others and its
-    next attempt replaces what was there.
+    The names hold the attempt of the task, so a lost attempt and its repeat
+    (or two that run at once) never touch the same file. Spark saves the rows
+    of one attempt a task alone: once the result is written, it is the list of
+    the archives that count, and what other attempts left is never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,16 +79,14 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         def close() -> None:
             nonlocal out, size, count
             out.close()
-            name = f"part-{task.partitionId():06d}-{len(done):05d}.warc.gz"
-            store.move(temporary, f"{root}/{name}")
             done.append((name, size, count))
             out, size, count = None, 0, 0
 
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
-                    temporary = f"{root}/_{task.partitionId()}-{task.taskAttemptId()}-{len(done)}"
-                    out = store.open_output_stream(temporary)
+                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):05d}.warc.gz"
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                 pack = zlib.compressobj(LEVEL, wbits=31)
                 whole = pack.compress(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["record_type"], r["refers_to"])) + pack.flush()
                 out.write(whole)
@@ -140,26 +143,44 @@ def _id(urn: str | None) -> int | None:
     return int(inner) if inner else None
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all archives of a folder; a broken archive raises. Revisits have no payload, but its length and digest."""
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """file: the paths of all archives of a folder (none gives an empty table); their contents are not read for it."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.col("path").alias("file"))
+
+
+def read(files: DataFrame, folder: str = "") -> DataFrame:
+    """Records of the archives named in the column ``file`` (in ``folder``, or whole paths); a broken archive raises.
+
+    Each archive is one row and is read from the start in steps of READ_BYTES,
+    so a task holds one record at a time. Revisits have no payload, but its
+    length and digest. No file, no record.
+    """
+    count = files.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in READ.split(", ")]
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_buffer()
+            for name in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(_uri(f"{folder}/{name}" if folder else name))
                 rows, held = [], 0
-                for headers, http, payload in records(data.slice(k, min(READ_BYTES, data.size - k)).to_pybytes() for k in range(0, data.size, READ_BYTES)):
-                    length = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length:")).split(":")[1])
-                    revisit = headers["warc-type"] == "revisit"
-                    rows.append((_id(headers["warc-record-id"]), headers.get("warc-target-uri"), length, headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"], _id(headers.get("warc-refers-to")), None if revisit else payload))
-                    held += len(payload)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, held = [], 0
+                with store.open_input_stream(path, compression=None) as stream:
+                    for headers, http, payload in records(iter(lambda: stream.read(READ_BYTES), b"")):  # noqa: B023
+                        length = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length:")).split(":")[1])
+                        revisit = headers["warc-type"] == "revisit"
+                        rows.append((_id(headers["warc-record-id"]), headers.get("warc-target-uri"), length, headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"], _id(headers.get("warc-refers-to")), None if revisit else payload))
+                        held += len(payload)
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(run, READ)
+    return files.select("file").repartition(max(count, 1), "file").mapInArrow(run, READ)
+
+
+def _uri(path: str) -> str:
+    """Spark writes local paths as file:/x, Arrow wants file:///x."""
+    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path

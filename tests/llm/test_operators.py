@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from planespark.llm import bpe, chat, gif, language_id, near_duplicates, packing, token_counts, topk, toxicity, warc
+from planespark.llm import bpe, chat, common, gif, language_id, near_duplicates, packing, token_counts, topk, toxicity, warc
+from planespark.llm.common import Workspace
 from planespark.llm.chat_template import TemplateError, compile_template
 from planespark.llm.queries import tokenizer
 
@@ -144,15 +145,38 @@ def test_gif_round_trip_and_rules(spark):
 
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "x" * 200), (2, None, "x" * 200), (3, "u\r\nv", "x"), (4, "u", "x"), (5, "u", None), (None, "u", "x" * 200), (1, "http://a/", "x" * 200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    folder = f"file://{tmp_path}/warc"
-    assert sum(r.records for r in warc.write(warc.classified(pages), folder).collect()) == len(rows)
-    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, folder).collect())
-    assert got == sorted([(1, 200, "response", None)] * 2 + [(2, 200, "revisit", 1), (3, 1, "response", None), (4, 1, "response", None), (5, 0, "response", None), (0, 200, "revisit", 1)], key=lambda x: x[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "record_type": F.lit(1)})
+    folder, work = f"file://{tmp_path}/warc", Workspace(spark, "warc-test")
+    manifest = work.save(warc.write(warc.classified(pages, work), folder), "manifest")
+    assert sum(r.records for r in manifest.collect()) == len(rows)
+    want = sorted([(1, 200, "response", None)] * 2 + [(2, 200, "revisit", 1), (3, 1, "response", None), (4, 1, "response", None), (5, 0, "response", None), (0, 200, "revisit", 1)], key=lambda x: x[0])
+    shown = lambda df: sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in df.collect())
+    assert shown(warc.read(manifest, folder)) == shown(warc.read(warc.archives(spark, folder))) == want
+    # An archive that a lost attempt left is not read.
+    (tmp_path / "warc" / "part-000000-99-00000.warc.gz").write_bytes((tmp_path / "warc" / manifest.first().file).read_bytes())
+    assert shown(warc.read(manifest, folder)) == want
+    none = work.save(warc.write(warc.classified(pages.limit(0), work), f"file://{tmp_path}/none"), "nothing")
+    assert warc.read(none, folder).count() == 0
+    (tmp_path / "empty").mkdir()
+    assert warc.read(warc.archives(spark, f"file://{tmp_path}/empty")).count() == 0
     with pytest.raises(ValueError):
         list(warc.records([b"\x1f\x8b"]))
 
 
+def test_join_hot(spark):
+    """Heavy, light, unknown and null keys get what a plain left join gives."""
+    rows = spark.createDataFrame([(k % 50 if k % 3 else 7, k) for k in range(3000)] + [(None, 1), (None, 2), (999, 3)], "g int, k int")
+    table = rows.where("g < 60").groupBy("g").agg(F.count("*").alias("n"), F.max("k").alias("most"))
+    want = sorted(map(tuple, rows.join(table, "g", "left").select("g", "k", "n", "most").collect()), key=str)
+    common.HOT_KEYS, kept = 3, common.HOT_KEYS
+    try:
+        got = common.join_hot(rows, table, "g", "n", ["k"])
+        assert got.columns == ["g", "k", "n", "most"]
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    finally:
+        common.HOT_KEYS = kept
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = [[float(v) for v in rng.normal(size=6)] for _ in range(300)]
