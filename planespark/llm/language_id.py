@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planespark.llm.common import slices, text_bytes
+from planespark.llm.common import slices, text_bytes, unused
 
 #: Bytes of an n-gram, slots of the filter and slots that each n-gram sets.
 GRAM = 4
@@ -29,6 +29,8 @@ LEAST_DOCS = 3
 LEAST_SHARE = 0.1
 #: Text without a letter, or null.
 UNDETERMINED = "und"
+#: Values of the language column, at most: one with more is no column of languages, and training on it raises.
+MOST_LANGUAGES = 1024
 
 _PROBE = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _CLASS = np.full(256, 32, np.uint8)  # letters stay, lower-cased; all else is a space
@@ -100,10 +102,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Filter of the languages of the training fold; at most ``most`` documents of each language are read for it.
 
     The counts of n-grams are summed in Spark, and so are the bits of each
-    slot; only the slots, whose number is fixed, come to the driver.
+    slot; only the slots, whose number is fixed, come to the driver, and the
+    sizes of at most MOST_LANGUAGES languages.
     """
     rows = docs.where(in_training(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count("*")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang}")
     languages = sorted(sizes)
     empty = np.zeros((-(-len(languages) // 8), 1 << SLOT_BITS), np.uint8)
     if not languages:
@@ -139,11 +144,12 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", lang_out:
 
     Ties go to the language first in order; a text whose n-grams no language
     contains gets the commonest language and score 0; null text, or text
-    without a letter, gets ``und`` and 0.
+    without a letter, gets ``und`` and 0. Columns of the results' names are
+    replaced; all other columns pass.
     """
     rows = docs.drop(lang_out, score_out)
     names = [*rows.columns, lang_out, score_out]
-    rows = rows.withColumn("_text", F.when(F.col(text).rlike("\\p{L}"), F.col(text)))
+    rows = rows.withColumn(unused(rows, "_text"), F.when(F.col(text).rlike("\\p{L}"), F.col(text)))
     model_on = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,13 @@
 
 The features of a text are its distinct words and the first bytes of its words
 (so that inflected forms share a feature). Those that go with the label are
-selected from counts made in Spark. The fit then sees, for each labelled text
-that names a group, copies with the group's name swapped, and pays for every
-change of score between a text and its copies; a mere mention of a group is so
-kept from raising scores.
+selected from counts made in Spark; the features of the names of groups are
+always among them. Every labelled text that names a group gives counterfactuals,
+in which the name is swapped for each other one of its line, and the fit pays
+for every change of score between a text and its counterfactuals. As a corpus
+may name few groups, a share of the labelled texts gets a name put in: these
+count as labelled texts too, and give counterfactuals like the others. A mere
+mention of a group is so kept from raising scores.
 """
 
 from __future__ import annotations
@@ -26,13 +29,17 @@ TRAIN_DOCS = 10_000
 #: Features of the model, at most; documents that must have one; and its least G-squared against the label.
 FEATURES = 4000
 LEAST_DOCS = 4
-LEAST_G2 = 18.0
+LEAST_G2 = 8.0
 #: Lengths in bytes of the word beginnings.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Weight of the squared change of the score (before the logistic function) under a swap, and of the squared weights.
 COUNTERFACTUAL = 5.0
 RIDGE = 3e-5
+#: Weight of a toxic text against a clean one in the fit: toxic texts are few, and a missed one costs more.
+TOXIC_WEIGHT = 8.0
 THRESHOLD = 0.7
+#: One in so many of the labelled documents that name no group gets a name put in (chosen by a hash of the id, as is the name).
+PUT_IN = 4
 #: Names of groups, swapped within each line; the last is the neutral word.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "person"),
@@ -128,19 +135,25 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def swaps(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[str]:
-    """The text with each group name it has replaced by every other of its line."""
-    out = []
-    for line in terms:
-        for word in line[:-1]:
-            if re.search(rf"\b{word}\b", text, re.IGNORECASE):
-                out += [re.sub(rf"\b{word}\b", other, text, flags=re.IGNORECASE) for other in line if other != word]
-    return out
+def mentions(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Iterator[tuple[int, int, str]]:
+    """Line and number of each group name in the text, and the text with that name taken out; one copy of the text at a time."""
+    names = {word: (i, j) for i, line in enumerate(terms) for j, word in enumerate(line[:-1])}
+    if not names:
+        return
+    seen = {m.lower() for m in re.findall(rf"\b(?:{'|'.join(map(re.escape, names))})\b", text, re.IGNORECASE)}
+    for word in sorted(seen & set(names)):
+        yield *names[word], re.sub(rf"\b{re.escape(word)}\b", " ", text, flags=re.IGNORECASE)
+
+
+def term_features(terms: tuple[tuple[str, ...], ...]) -> dict[str, np.ndarray]:
+    """Feature hashes of every name."""
+    return {word: np.unique(word_features(pa.array([word], pa.string()))[0]) for line in terms for word in line}
 
 
 def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], n: int, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """Weights and bias from (features, label) and from (features, features after a swap); gradient steps with momentum."""
     y = np.array([x[1] for x in rows], float)
+    each = np.where(y == 1, TOXIC_WEIGHT, 1.0) / max(len(rows), 1)
     row = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
     col = np.concatenate([x[0] for x in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
     gone = [np.setdiff1d(a, b) for a, b in pairs]
@@ -152,7 +165,7 @@ def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.nda
     m_w, v_w, m_b, v_b = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, 601):
         z = b + np.bincount(row, w[col], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / max(len(rows), 1)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
         g_w = np.bincount(col, error[row], n) + RIDGE * w
         if len(p_row):
             change = np.bincount(p_row, p_sign * w[p_col], len(pairs))
@@ -166,20 +179,40 @@ def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.nda
     return w, float(b)
 
 
+@dataclass
+class Sample:
+    """What the fit sees: hashes of the features, (features, label) of each text, (features, features after a swap) of each counterfactual."""
+
+    features: np.ndarray
+    rows: list[tuple[np.ndarray, int]]
+    pairs: list[tuple[np.ndarray, np.ndarray]]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_DOCS, counterfactual: float = COUNTERFACTUAL, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> ToxicityModel:
     """Fit on the labelled rows of the training fold, at most ``most`` documents of each class.
 
     A document with several labels counts as toxic if one says so. Labels
-    other than 0 and 1, and null texts, are left out. Without a toxic and a
-    clean document the model says the toxic share of what there is, or 0.
+    other than 0 and 1, and null texts, are left out; of rows that share an id
+    one is learned from. Without a toxic and a clean document the model says
+    the toxic share of what there is, or 0.
     """
+    found = sample(docs, labels, key, text, label, most, terms)
+    if isinstance(found, float):
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.clip(30 * (2 * found - 1), -30, 30)))
+    weights, bias = fit(found.rows, found.pairs, len(found.features), counterfactual)
+    return ToxicityModel(found.features, weights, bias)
+
+
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_DOCS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Sample | float:
+    """The sample that ``train`` fits; the toxic share (0 for no document) where there is only one class."""
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1
-    known = labels.where(fold & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    known = labels.where(fold & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("label"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("_label") == y).orderBy(F.xxhash64(key), key).limit(most)
+        part = known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = part if picked is None else picked.union(part)
-    sample = docs.select(key, F.col(text).alias("_text")).where(fold & F.col("_text").isNotNull()).join(F.broadcast(picked), key).select("_text", "_label")  # at most 2 * most ids
+    texts = docs.where(fold & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    chosen_texts = texts.join(F.broadcast(picked), "id").select("text", "label", F.xxhash64("id").alias("draw"))  # at most 2 * most ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,42 +232,48 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 docs_of[-1] = b - a, y.sum()  # the row of all documents
                 yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array(docs_of[:, 0]), pa.array(docs_of[:, 1])], names=["feature", "n", "toxic"])
 
-    counts = sample.mapInArrow(count, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("feature").isNull() | (F.col("n") >= LEAST_DOCS))
+    counts = chosen_texts.select("text", "label").mapInArrow(count, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("feature").isNull() | (F.col("n") >= LEAST_DOCS))
     all_docs = counts.where("feature is null").head()
     total, positive = (all_docs["n"], all_docs["toxic"]) if all_docs else (0, 0)
     if not 0 < positive < total:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.clip(30 * (2 * positive / total - 1), -30, 30)) if total else -30.0)
+        return positive / total if total else 0.0
     share = positive / total
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     n, t = F.col("n"), F.col("toxic")
     g2 = 2 * (part(t, n * share) + part(n - t, n * (1 - share)))
     chosen = counts.where("feature is not null").where((t > n * share) & (g2 >= LEAST_G2)).orderBy(g2.desc(), "feature").limit(FEATURES).select("feature")
-    features = np.sort(np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64))
+    of_terms = term_features(terms)
+    features = np.unique(np.concatenate([np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64), *of_terms.values()]))
     shell = ToxicityModel(features, np.zeros(len(features)), 0.0)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("word", pa.int32()), ("rest", pa.list_(pa.int32()))]))
         for batch in batches:
             for a, b in slices(batch.column(0), 1 << 20):
                 texts = batch.column(0).slice(a, b - a)
-                kinds, found = [], []
                 doc, feature = shell.present(texts)
-                own = [feature[doc == k] for k in range(b - a)] if b - a < 50 else np.split(feature, np.searchsorted(doc, np.arange(1, b - a)))
-                for k, x in enumerate(texts.to_pylist()):
-                    kinds.append(batch.column(1)[a + k].as_py())
-                    found.append([own[k].tolist()])
-                    other = swaps(x, terms)
-                    if other:
-                        d, f = shell.present(pa.array(other, pa.string()))
-                        found[-1] += [f[d == j].tolist() for j in range(len(other))]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["label", "features"])
+                own = np.split(feature, np.searchsorted(doc, np.arange(1, b - a)))
+                named = [[{"line": i, "word": j, "rest": shell.present(pa.array([rest], pa.string()))[1].tolist()} for i, j, rest in mentions(x, terms)] for x in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x.tolist() for x in own], pa.list_(pa.int32())), pa.array(named, kind)], names=["label", "draw", "own", "named"])
 
+    shown = chosen_texts.mapInArrow(present, "label int, draw long, own array<int>, named array<struct<line:int,word:int,rest:array<int>>>")
+    once = shown.groupBy("draw").agg(F.min(F.struct("label", "own", "named")).alias("one")).select("draw", "one.*")  # bounded by the sample, also where ids repeat
+    number = {word: np.searchsorted(features, h) for word, h in of_terms.items()}
     rows, pairs = [], []
-    for r in sample.mapInArrow(present, "label int, features array<array<int>>").collect():  # bounded by the sample
-        own = np.array(r[1][0], np.int64)
-        rows.append((own, r[0]))
-        pairs += [(own, np.array(x, np.int64)) for x in r[1][1:]]
-    weights, bias = fit(rows, pairs, len(features), counterfactual)
-    return ToxicityModel(features, weights, bias)
+    for r in once.orderBy("draw").collect():
+        own = np.array(r["own"], np.int64)
+        rows.append((own, r["label"]))
+        named = [(x["line"], x["word"], np.array(x["rest"], np.int64)) for x in r["named"]]
+        draw = r["draw"] % (1 << 62)
+        if not named and terms and draw % PUT_IN == 0:
+            line = draw // PUT_IN % len(terms)
+            word = draw // PUT_IN // len(terms) % (len(terms[line]) - 1)
+            named = [(line, word, own)]
+            rows.append((np.union1d(own, number[terms[line][word]]), r["label"]))
+        for line, word, rest in named:
+            here = np.union1d(rest, number[terms[line][word]])
+            pairs += [(here, np.union1d(rest, number[other])) for k, other in enumerate(terms[line]) if k != word]
+    return Sample(features, rows, pairs)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
