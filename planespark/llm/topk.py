@@ -1,12 +1,19 @@
 """Exact top-k inner products with a pivot-distance index.
 
-Inner products become distances: with M the largest norm, a vector x gets one
-more component sqrt(M^2 - |x|^2) and a query gets 0 there, and then
-|q - x|^2 = |q|^2 + M^2 - 2 <q, x>. Every vector is keyed by its nearest pivot
-and its distance to it; sorted by that key, the vectors are cut into blocks,
-each an annulus around a pivot. A query first searches the annuli next to it,
-which bounds the distance of its k-th neighbour, and then only those annuli
-that the triangle inequality cannot rule out.
+Every vector is keyed by a band of its norm, its nearest pivot and its distance
+to it; sorted by that key, the vectors are cut into blocks, each an annulus
+around a pivot. The queries are cut into groups in the same way. For a vector x
+of an annulus with distances lo to hi and norms up to m, and a query q, the
+triangle inequality gives
+
+    <q, x> = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= (|q|^2 + m^2 - gap^2) / 2,
+    <q, x> = <q, p> + <q, x - p>             <= <q, p> + |q| hi,
+
+where gap is what q's own distance to the pivot p leaves: |q - x| >= gap. A
+group first searches the annuli of its own pivot that are next to it, which
+gives each query a k-th score to beat. Then whole pivots, and after them single
+annuli, whose bounds are below what their group has to beat are ruled out; what
+is left is searched, and queries skip it one by one by their own bounds.
 """
 
 from __future__ import annotations
@@ -22,18 +29,24 @@ from pyspark.sql.window import Window
 from planespark.llm.common import Workspace
 
 SCALE = 1024
-#: Pivots, taken from the vectors by a hash of their ids; vectors of a block; queries that meet a block at a time.
-PIVOTS = 32
-BLOCK = 2048
-QUERY_BLOCK = 512
-#: Annuli that a query searches first.
+#: Pivots are the square root of the number of vectors, within these bounds, taken by a hash of the ids.
+PIVOTS = (16, 4096)
+#: Vectors of a block, queries of a group, and queries that a task works on at a time.
+BLOCK = 4096
+QUERY_BLOCK = 4096
+STEP = 512
+#: Annuli that a group searches first.
 SEEDS = 2
-#: Distances are compared with this much room for rounding.
-ROOM = 1e-6
+#: Norms of one band differ by at most this factor.
+BAND = 1.25
+#: Bounds have this much room for rounding, relative to the squares in them.
+ROOM = 1e-9
+#: Products below this are exact in floating point, and below the next in 64 bits.
+FLOAT_EXACT, LONG_EXACT = 2.0**53, 2.0**62
 
 
 def quantised(embeddings: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vec_id and x (array<long>): floor(1024 * component), in double.
+    """vec_id and x (array<long>): floor(1024 * component), in double, cut off at the ends of 64 bits.
 
     Rows with a null id, a null vector, or a null, NaN or infinite component
     are left out. An empty vector takes part with products of 0, and a shorter
@@ -45,110 +58,194 @@ def quantised(embeddings: DataFrame, key: str = "vec_id", column: str = "embeddi
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim))
-    for k, x in enumerate(column):
-        v = x.values.to_numpy(zero_copy_only=False)
-        out[k, : len(v)] = v
+    """Rows of a list column as whole numbers; what a short list lacks is 0."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(np.asarray(column.offsets))
+    out = np.zeros((len(column), dim), np.int64)
+    out[np.arange(dim)[None] < sizes[:, None]] = flat
     return out
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but its own id, ties to smaller ids."""
-    work = Workspace(spark, "topk")
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 32 bits where they fit, else in 64."""
+    small = not x.size or (x.min() >= -(2**31) and x.max() < 2**31)
+    return x.astype(np.int32 if small else np.int64).tobytes()
+
+
+def _unpacked(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * n * dim else np.int64).reshape(n, dim)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(float) ** 2).sum(axis=1))
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products in floating point where all fit in 53 bits, else in 64-bit integers, else in unbounded ones that are cut off at the ends of 64 bits."""
+    size = float(_norms(q).max(initial=0)) * float(_norms(x).max(initial=0))
+    if size < FLOAT_EXACT:
+        return q.astype(float) @ x.astype(float).T
+    if size < LONG_EXACT:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    return np.clip(q.astype(object) @ x.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """(id, score) of the k highest scores but that of ``own``, ties to smaller ids."""
+    on = np.flatnonzero(ids != own)
+    if len(on) > k:
+        part = scores[on]
+        on = on[part >= np.partition(part, len(on) - k)[len(on) - k]]
+    on = on[np.lexsort((ids[on], -scores[on].astype(float)))] if scores.dtype == float else on[sorted(range(len(on)), key=lambda j: (-int(scores[on[j]]), int(ids[on[j]])))]
+    return [(int(ids[j]), int(scores[j])) for j in on[:k]]
+
+
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, work: Workspace | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but its own id, ties to smaller ids.
+
+    ``vectors`` and ``queries`` have vec_id and x, as ``quantised`` gives them.
+    Scores that 64 bits do not hold are cut off at their end, and tie there. With
+    a ``work`` folder given, its tables ``index``, ``groups``, ``first`` and
+    ``later`` stay there and tell what was searched.
+    """
+    work = work or Workspace(spark, "topk")
     vectors = work.save(vectors, "vectors")
-    queries = work.save(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "queries")
-    squares = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
-    dim, most = vectors.agg(F.max(F.size("x")), F.max(squares)).head()
-    if not dim:
-        dim, most = 1, 0
-    norm2 = float(most)
-    pivots = _matrix(pa.array([r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("x").collect()], pa.list_(pa.int64())), dim)
-    pivot_last = np.sqrt(np.maximum(norm2 - (pivots**2).sum(axis=1), 0))
-
-    def distances(x: np.ndarray, last: np.ndarray) -> np.ndarray:
-        square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * x @ pivots.T + (last[:, None] - pivot_last[None]) ** 2
-        return np.sqrt(np.maximum(square, 0))
+    count, dim = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).head()
+    dim = max(dim, 1)
+    n_pivots = int(min(max(count**0.5, PIVOTS[0]), PIVOTS[1]))
+    taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("x").toPandas()["x"]  # at most PIVOTS[1] vectors
+    pivots = np.zeros((max(len(taken), 1), dim))
+    for row, x in enumerate(taken):
+        pivots[row, : len(x)] = x
+    pivot_squares = (pivots**2).sum(axis=1)
+    pivots_on = spark.sparkContext.broadcast((pivots, pivot_squares))
+
+    def distances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the pivots and inner products with them."""
+        p, squares = pivots_on.value
+        inner = x.astype(float) @ p.T
+        return np.sqrt(np.maximum((x.astype(float) ** 2).sum(axis=1)[:, None] + squares[None] - 2 * inner, 0)), inner
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            d = distances(x, np.sqrt(np.maximum(norm2 - (x**2).sum(axis=1), 0))) if len(x) else np.zeros((0, 1))
-            near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near])], names=["vec_id", "x", "pivot", "distance"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            while held.num_rows:
-                here = held["pivot"].to_numpy()
-                n = min(int(np.searchsorted(here, here[0], "right")), BLOCK)
-                if n == held.num_rows and n < BLOCK:
-                    break
-                yield _block(held.slice(0, n), dim)
-                held = held.slice(n)
-        if held is not None and held.num_rows:
-            yield _block(held, dim)
-
-    index = vectors.mapInArrow(keyed, "vec_id long, x array<long>, pivot int, distance double").repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id").mapInArrow(blocks, "pivot int, lo double, hi double, n int, ids array<long>, x binary")
-    index = work.save(index.withColumn("block", F.monotonically_increasing_id()), "index")
-    annuli = index.select("block", "pivot", "lo", "hi", "n")
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                x = _matrix(part.column(1), dim)
+                d, _ = distances(x)
+                near = d.argmin(axis=1)
+                band = np.ceil(np.log(np.maximum(_norms(x), 1.0)) / np.log(BAND)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(band), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near])], names=["vec_id", "x", "band", "pivot", "distance"])
+
+    def blocks(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                while held.num_rows:
+                    pivot, band = held["pivot"].to_numpy(), held["band"].to_numpy()
+                    other = np.flatnonzero((pivot != pivot[0]) | (band != band[0]))
+                    n = min(int(other[0]) if len(other) else len(pivot), size)
+                    if n == held.num_rows and n < size:
+                        break
+                    yield _block(held.slice(0, n), dim)
+                    held = held.slice(n)
+            if held is not None and held.num_rows:
+                yield _block(held, dim)
+
+        return run
+
+    kind = "vec_id long, x array<long>, band int, pivot int, distance double"
+    order = ("band", "pivot", "distance", "vec_id")
+
+    def cut(rows: DataFrame, size: int, name: str) -> DataFrame:
+        out = rows.mapInArrow(keyed, kind).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks(size), "pivot int, lo double, hi double, longest double, n int, ids array<long>, x binary")
+        return work.save(out.withColumn("block", F.monotonically_increasing_id()), name)
+
+    index = cut(vectors, BLOCK, "index")
+    groups = cut(queries.select("vec_id", "x"), QUERY_BLOCK, "groups").withColumnRenamed("block", "group")
+    annuli = index.select("block", "pivot", "lo", "hi", "longest")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Least and largest distance of a group's queries to each pivot, and their largest product with it."""
         for batch in batches:
-            q = _matrix(batch.column(1), dim)
-            d = distances(q, np.zeros(len(q)))
-            p = d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), p)), pa.array(np.tile(np.arange(p, dtype=np.int32), len(q))), pa.array(d.ravel()), pa.array(np.repeat((q**2).sum(axis=1), p))], names=["query_id", "pivot", "away", "square"])
-
-    ways = work.save(queries.mapInArrow(reach, "query_id long, pivot int, away double, square double"), "ways")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        spread = pairs.join(queries, "query_id")
-        sizes = pairs.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
-        grouped = spread.join(sizes, "block").groupBy("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-        return grouped.join(index.select("block", "ids", "x"), "block").select("ids", "x", "queries").mapInArrow(best, "query_id long, vec_id long, score long")
+            for row in range(batch.num_rows):
+                q = _unpacked(batch.column(2)[row].as_py(), batch.column(1)[row].as_py(), dim)
+                least, most, inner = [], [], []
+                for a in range(0, len(q), STEP):
+                    d, i = distances(q[a : a + STEP])
+                    least.append(d.min(axis=0))
+                    most.append(d.max(axis=0))
+                    inner.append(i.max(axis=0))
+                p = len(least[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0)[row].as_py(), p)), pa.array(np.arange(p, dtype=np.int32)), pa.array(np.min(least, axis=0)), pa.array(np.max(most, axis=0)), pa.array(np.max(inner, axis=0))], names=["group", "pivot", "near", "far", "inner"])
+
+    ways = work.save(groups.select("group", "n", "x").mapInArrow(reach, "group long, pivot int, near double, far double, inner double"), "ways")
+    own = groups.select("group", F.col("pivot").alias("own"), F.col("longest").alias("q_longest"))
+
+    def bound(lo: F.Column, hi: F.Column, longest: F.Column) -> F.Column:
+        """No product of a group's query with a vector of an annulus is above this."""
+        gap = F.greatest(F.lit(0.0), lo - F.col("far"), F.col("near") - hi)
+        squares = F.col("q_longest") * F.col("q_longest") + longest * longest
+        return F.least((squares - gap * gap) / 2, F.col("inner") + F.col("q_longest") * hi, F.col("q_longest") * longest) + squares * ROOM + ROOM
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, squares = pivots_on.value
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids = batch.column(0)[row].values.to_numpy()
-                x = np.frombuffer(batch.column(1)[row].as_py(), np.int32).reshape(-1, dim).astype(float)
-                asked = batch.column(2)[row].values
-                names = asked.field(0).to_numpy()
-                scores = _matrix(asked.field(1), dim) @ x.T  # whole numbers below 2**53: exact
-                scores[names[:, None] == ids[None]] = -np.inf
-                q_out, v_out, s_out = [], [], []
-                for j in range(len(names)):
-                    s = scores[j]
-                    if len(s) > k:
-                        bound = np.partition(s, len(s) - k)[len(s) - k]
-                        on = np.flatnonzero(s >= bound)
-                    else:
-                        on = np.arange(len(s))
-                    on = on[np.lexsort((ids[on], -s[on]))][:k]
-                    on = on[np.isfinite(s[on])]
-                    q_out.append(np.full(len(on), names[j]))
-                    v_out.append(ids[on])
-                    s_out.append(s[on].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in (q_out, v_out, s_out)], names=["query_id", "vec_id", "score"])
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    gap = F.greatest(F.lit(0.0), F.col("lo") - F.col("away"), F.col("away") - F.col("hi"))
-    nearest = ways.groupBy("query_id").agg(F.min_by("pivot", F.struct("away", "pivot")).alias("pivot"))
-    first = ways.join(nearest, ["query_id", "pivot"]).join(annuli, "pivot").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(gap, "block"))).where(F.col("rank") <= SEEDS).select("query_id", "block")
-    first = work.save(first, "first")
-    seeds = work.save(scored(first), "seeds")
-    bound = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    reached = ways.join(bound, "query_id", "left").withColumn("radius", F.when(F.col("bound").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("square") + norm2 - 2 * F.col("bound"))) * (1 + ROOM) + ROOM))
-    later = reached.join(annuli, "pivot").where(F.col("radius").isNull() | (gap <= F.col("radius"))).select("query_id", "block").join(first, ["query_id", "block"], "left_anti")
-    later = work.save(later, "later")
-    found = seeds.union(scored(later)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            for r in batch.to_pylist():
+                x, ids = _unpacked(r["x"], r["n"], dim), np.array(r["ids"], np.int64)
+                q, names, beat = _unpacked(r["q"], r["q_n"], dim), np.array(r["q_ids"], np.int64), dict(r["beat"] or ())
+                out = []
+                for a in range(0, len(q), STEP):
+                    part = q[a : a + STEP].astype(float)
+                    square, inner = (part**2).sum(axis=1), part @ p[r["pivot"]]
+                    away = np.sqrt(np.maximum(square + squares[r["pivot"]] - 2 * inner, 0))
+                    gap = np.maximum(0, np.maximum(r["lo"] - away, away - r["hi"]))
+                    both = square + r["longest"] ** 2
+                    most = np.minimum(np.minimum((both - gap**2) / 2, inner + np.sqrt(square) * r["hi"]), np.sqrt(square) * r["longest"]) + both * ROOM + ROOM
+                    on = np.flatnonzero(most >= np.array([beat.get(int(v), -np.inf) for v in names[a : a + STEP]], float))
+                    scores = products(q[a : a + STEP][on], x)
+                    for j, s in zip(on, scores, strict=True):
+                        out += [(int(names[a + j]), v, score) for v, score in best_of(s, ids, names[a + j], k)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+
+    def scored(pairs: DataFrame, beat: DataFrame | None) -> DataFrame:
+        """The best of each (group, block); a pair is a row of its own, so no task gets all that a group or a block has to do."""
+        asked = groups.select("group", F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("n").alias("q_n"))
+        asked = asked.join(beat, "group", "left") if beat is not None else asked.withColumn("beat", F.lit(None).cast("map<bigint,bigint>"))
+        rows = pairs.join(asked, "group").join(index.select("block", "pivot", "lo", "hi", "longest", "n", "ids", "x"), "block")
+        return rows.select("pivot", "lo", "hi", "longest", "n", "ids", "x", "q_ids", "q", "q_n", "beat").mapInArrow(best, "query_id long, vec_id long, score long")
+
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    gap = F.greatest(F.lit(0.0), F.col("lo") - F.col("far"), F.col("near") - F.col("hi"))
+    home = own.join(ways, F.expr("own = pivot") & (own["group"] == ways["group"])).select(own["group"], "pivot", "near", "far").join(annuli, "pivot")
+    first = home.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(gap, F.desc("longest"), "block"))).where(F.col("rank") <= SEEDS)
+    first = work.save(first.select("group", "block"), "first")
+    seeds = work.save(scored(first, None).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"), "seeds")
+
+    # What each query, and each group as a whole, has to beat; null where a query has no k-th score yet.
+    kth = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k).select("query_id", "score")
+    members = groups.select("group", F.explode("ids").alias("query_id")).join(kth, "query_id", "left")
+    beat = work.save(members.groupBy("group").agg(F.map_from_entries(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("query_id", "score")))).alias("beat"), F.when(F.count("score") == F.count("*"), F.min("score")).alias("least")), "beat")  # a group has at most QUERY_BLOCK queries
+    spans = annuli.groupBy("pivot").agg(F.min("lo").alias("p_lo"), F.max("hi").alias("p_hi"), F.max("longest").alias("p_longest"))
+    asked = ways.join(own, "group").join(beat.select("group", "least"), "group").join(spans, "pivot")
+    open_pivots = asked.where(F.col("least").isNull() | (bound(F.col("p_lo"), F.col("p_hi"), F.col("p_longest")) >= F.col("least")))
+    later = open_pivots.join(annuli, "pivot").where(F.col("least").isNull() | (bound(F.col("lo"), F.col("hi"), F.col("longest")) >= F.col("least")))
+    later = work.save(later.select("group", "block").join(first, ["group", "block"], "left_anti"), "later")
+    found = seeds.union(scored(later, beat.select("group", "beat"))).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def ruled_out(work: Workspace) -> float:
+    """Share of the (query group, annulus) pairs that a search in this folder did not compare."""
+    table = lambda name: work.spark.read.parquet(f"{work.path}/{name}")
+    whole = table("index").count() * table("groups").count()
+    return 1 - (table("first").count() + table("later").count()) / whole if whole else 0.0
+
+
 def _block(rows: pa.Table, dim: int) -> pa.RecordBatch:
     rows = rows.combine_chunks()
-    x = _matrix(rows["x"].chunk(0), dim).astype(np.int32)
+    x = _matrix(rows["x"].chunk(0), dim)
     d = rows["distance"].to_numpy()
-    return pa.RecordBatch.from_arrays([pa.array([rows["pivot"][0].as_py()], pa.int32()), pa.array([d[0]]), pa.array([d[-1]]), pa.array([len(d)], pa.int32()), pa.array([rows["vec_id"].to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["pivot", "lo", "hi", "n", "ids", "x"])
+    values = [rows["pivot"][0].as_py(), d[0], d[-1], float(_norms(x).max()), len(d), rows["vec_id"].to_pylist(), _packed(x)]
+    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["pivot", "lo", "hi", "longest", "n", "ids", "x"])

@@ -1,6 +1,7 @@
 """The dealt operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -177,20 +178,49 @@ def test_join_hot(spark):
         common.HOT_KEYS = kept
 
 
+def brute_topk(rows, asked, k=10):
+    """By Python's whole numbers."""
+    out = set()
+    for q in asked:
+        product = {v: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(rows[q], x, strict=False)))) for v, x in rows.items() if v != q}
+        out |= {(q, r + 1, v, product[v]) for r, v in enumerate(sorted(product, key=lambda v: (-product[v], v))[:k])}
+    return out
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = [[float(v) for v in rng.normal(size=6)] for _ in range(300)]
-    rows = [(k, v, 0) for k, v in enumerate(x)] + [(300, None, 0), (301, [float("nan")] * 6, 0), (302, [None] * 6, 0), (303, x[0], 0), (304, x[0], 0)]
-    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    rows = [(k, v, 0) for k, v in enumerate(x)] + [(300, None, 0), (301, [float("nan")] * 6, 0), (302, [None] * 6, 0), (303, x[0], 0), (304, x[0], 0), (305, [], 0), (306, [1.0], 0), (None, x[1], 0), (304, x[0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"x": F.lit(1), "pivot": F.lit(2)})
+    vectors = topk.quantised(table)
     got = topk.search(spark, vectors, vectors.where("vec_id % 100 = 0")).collect()
-    ids = [*range(300), 303, 304]
-    q = np.floor(1024 * np.array([*x, x[0], x[0]], np.float32).astype(float)).astype(np.int64)
-    want = set()
-    for k in (0, 100, 200):
-        s = q @ q[k]
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != k][:10]
-        want |= {(k, r + 1, ids[j], int(s[j])) for r, j in enumerate(order)}
-    assert {tuple(r) for r in got} == want
+    kept = {r[0]: [math.floor(1024 * float(np.float32(v))) for v in r[1]] for r in rows if r[0] is not None and r[0] not in (300, 301, 302)}
+    assert {tuple(r) for r in got} == brute_topk(kept, (0, 100, 200))
+    few = vectors.where("vec_id < 4")
+    assert topk.search(spark, few, few.where("vec_id = 0")).count() == 3
+    assert topk.search(spark, vectors.limit(0), vectors.limit(0)).count() == 0
+    assert topk.search(spark, vectors, vectors.limit(0)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    """Components whose products do not fit 53 or 64 bits."""
+    rng = random.Random(3)
+    rows = [(k, [rng.choice((1.0, -1.0)) * rng.random() * 10 ** rng.choice((0, 3, 6.5, 9, 15)) for _ in range(3)]) for k in range(60)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(spark, vectors, vectors.where("vec_id % 10 = 0"), k=5).collect()
+    assert {tuple(r) for r in got} == brute_topk({k: [math.floor(1024 * v) for v in x] for k, x in rows}, range(0, 60, 10), 5)
+
+
+def test_topk_rules_annuli_out(spark):
+    """Vectors in tight clusters of several lengths: most annuli are never compared, and the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8)) * rng.choice([1, 4], size=(20, 1))
+    x = centres[rng.integers(0, 20, 800)] + rng.normal(size=(800, 8)) / 50
+    vectors = topk.quantised(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    work = Workspace(spark, "pruned")
+    got = topk.search(spark, vectors, vectors.where("vec_id % 40 = 0"), work=work)
+    assert {tuple(r) for r in got.collect()} == brute_topk({k: np.floor(1024 * v).astype(int).tolist() for k, v in enumerate(x)}, range(0, 800, 40))
+    assert topk.ruled_out(work) > 0.5
 
 
 def test_chat(spark):
