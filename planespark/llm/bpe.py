@@ -5,13 +5,14 @@ Two ideas carry the work.
 * *Units.* No merge crosses the place where white space starts, so a text is
   cut there and equal units are encoded once per worker. The unit table is an
   Arrow string array plus flat id arrays; it is bounded and refilled.
-* *Tree concatenation.* Long unsplit text (long documents, and long runs
-  without white space) is cut in halves until the pieces are short, the pieces
-  are encoded in parallel, and the halves are joined again: a window around the
-  join is encoded anew and grows until it shares a token, at the same
-  characters, with the left half and one with the right half. All neighbours in
-  the joined sequence then stood next to each other in some true encoding,
-  which makes the sequence the encoding of the whole.
+* *Tree concatenation.* Long text is cut in halves until the pieces are short,
+  every piece is encoded whole in a task of its own, and the halves are joined
+  again up the tree: a window around the join is encoded anew and grows until
+  it shares a token, at the same characters, with the left half and one with the
+  right half. All neighbours in the joined sequence then stood next to each
+  other in some true encoding, which makes the sequence the encoding of the
+  whole. A half carries the text and tokens of its ends up to a place that no
+  merge crosses; only a run without such a place is carried whole.
 """
 
 from __future__ import annotations
@@ -52,10 +53,12 @@ PLAIN_ROWS = 500
 UNIT_MEMORY_BYTES = 64
 #: Units remembered by one worker before it starts again.
 UNIT_MEMORY_ROWS = 1_000_000
-#: Unsplit runs of more characters than this are encoded by tree concatenation.
+#: Unsplit runs of more characters than this inside one piece are encoded by tree concatenation.
 LEAF_CHARS = 4096
 #: Documents of more characters than this are dealt out as pieces.
 PIECE_CHARS = 16384
+#: The end of a half that a join may look at has at least so many characters, and goes on to the next place that no merge crosses.
+END_CHARS = 256
 #: First half width of the window around a join.
 WINDOW_CHARS = 32
 
@@ -212,6 +215,22 @@ class Codec:
 
     # tree concatenation
 
+    def ends(self, text: str) -> tuple[int, int | None]:
+        """Where the head of a piece ends and its tail begins: at places that no merge crosses; (length, None) where it has no two of them."""
+        raw, _, cuts = self._cuts(pa.array([text], pa.string()))
+        chars = np.cumsum((raw & 0xC0) != 0x80)  # characters up to and with each byte
+        inner = chars[cuts[1:-1] - 1] if len(cuts) > 2 else np.zeros(0, np.int64)
+        first, last = inner[inner >= END_CHARS], inner[inner <= len(text) - END_CHARS]
+        if not len(first) or not len(last) or first[0] > last[-1]:
+            return len(text), None
+        return int(first[0]), int(last[-1])
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(first character, one past the last, id) of each token; a long text by the tree."""
+        if len(text) <= LEAF_CHARS:
+            return self._spans(text)
+        return self.tree_spans(text)
+
     def _spans(self, text: str, at: int = 0) -> list[tuple[int, int, int]]:
         """(first character, one past the last, id) of each token."""
         x = self.tokenizer.encode(text, add_special_tokens=False)
@@ -248,11 +267,12 @@ class Codec:
             half *= 2
 
     def tree(self, text: str, leaf: int = LEAF_CHARS) -> list[int]:
-        """Ids of an unsplit text: pieces encoded in one parallel batch, then joined pairwise up the tree."""
+        """Ids of an unsplit text: pieces encoded one by one, then joined pairwise up the tree."""
+        return [i for _, _, i in self.tree_spans(text, leaf)]
+
+    def tree_spans(self, text: str, leaf: int = LEAF_CHARS) -> list[tuple[int, int, int]]:
         cuts = cut_points(len(text), leaf)
-        parts = self.tokenizer.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
-        level = [(a, b, [(s + a, e + a, i) for (s, e), i in zip(x.offsets, x.ids, strict=True)]) for a, b, x in zip(cuts, cuts[1:], parts, strict=False)]
-        return [i for _, _, i in self.join_all(text, level)]
+        return self.join_all(text, [(a, b, self._spans(text[a:b], a)) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def join_all(self, text: str, level: list[tuple[int, int, list]]) -> list:
         """Join neighbouring (first, last, tokens) halves until one is left."""
@@ -337,7 +357,8 @@ def encode(df: DataFrame, path: str, key: str, text: str = "text", out: str = "i
     their texts differ in some way, and equal rows give equal rows. Null text
     counts as empty and has no ids. Texts of more than ``piece_chars``
     characters are cut in halves until no piece is longer, the pieces are dealt
-    to all tasks, and the tree of joins restores the ids of the whole text.
+    to all tasks and encoded there, and the tree of joins restores the ids of
+    the whole text.
     """
     texts = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = T.StructType([T.StructField("_key", texts.schema["_key"].dataType), T.StructField("_ids", T.ArrayType(T.IntegerType()))])
@@ -356,15 +377,45 @@ def encode(df: DataFrame, path: str, key: str, text: str = "text", out: str = "i
     return short.unionByName(joined).select(F.col("_key").alias(key), F.col("_ids").alias(out))
 
 
-def _encode_long(texts: DataFrame, path: str, kind: T.StructType, piece_chars: int) -> DataFrame:
-    """Pieces as rows, ids of the inner units of each piece, then one join of the tree per document.
+class Half:
+    """Tokens of a stretch of a long text: ids, and the text and tokens of both ends.
 
-    A piece keeps the ids of the units that lie wholly in it, and the text of
-    its first and last unit, which the neighbours may go on with.
+    ``head`` and ``tail`` are (text, tokens); a stretch without a place that no
+    merge crosses is all head, and has no body and no tail.
     """
+
+    def __init__(self, head: tuple[str, list], body: np.ndarray, tail: tuple[str, list] | None):
+        self.head, self.body, self.tail = head, body, tail
+
+    def ids(self) -> np.ndarray:
+        last = self.tail[1] if self.tail else []
+        return np.concatenate([np.array([x[2] for x in self.head[1]], np.int32), self.body, np.array([x[2] for x in last], np.int32)])
+
+
+def _moved(tokens: list, by: int) -> list:
+    return [(a + by, b + by, i) for a, b, i in tokens]
+
+
+def join_halves(c: Codec, left: Half, right: Half) -> Half:
+    """The stretch that two neighbouring ones make: the window around their join grows inside the ends that meet."""
+    a, b = left.tail or left.head, right.head
+    text, cut = a[0] + b[0], len(a[0])
+    tokens = c._join(text, a[1], cut, _moved(b[1], cut), 0, len(text))
+    ids = np.array([x[2] for x in tokens], np.int32)
+    if left.tail and right.tail:
+        return Half(left.head, np.concatenate([left.body, ids, right.body]), right.tail)
+    if left.tail:
+        return Half(left.head, left.body, (text, tokens))
+    return Half((text, tokens), right.body, right.tail)
+
+
+def _encode_long(texts: DataFrame, path: str, kind: T.StructType, piece_chars: int) -> DataFrame:
+    """Pieces as rows, each encoded whole where it lies, then the joins up the tree of each document."""
     key = kind["_key"].dataType
     pieces_of = T.StructType([T.StructField("_key", key), T.StructField("_copy", T.LongType()), T.StructField("_at", T.IntegerType()), T.StructField("_piece", T.StringType())])
-    nodes_of = T.StructType([*list(pieces_of)[:3], T.StructField("_head", T.StringType()), T.StructField("_body", T.ArrayType(T.IntegerType())), T.StructField("_tail", T.StringType()), T.StructField("_split", T.BooleanType())])
+    spans = T.ArrayType(T.IntegerType())
+    ends_of = [T.StructField(x, t) for x, t in (("_head", T.StringType()), ("_head_spans", spans), ("_body", spans), ("_tail", T.StringType()), ("_tail_spans", spans))]
+    nodes_of = T.StructType([*list(pieces_of)[:3], *ends_of])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,39 +431,34 @@ def _encode_long(texts: DataFrame, path: str, kind: T.StructType, piece_chars: i
         for batch in batches:
             pieces = batch.column(3)
             for a, b in slices(pieces):
-                heads, bodies, tails, split = [], [], [], []
-                for x in pieces.slice(a, b - a).to_pylist():
-                    _, _, cuts = c._cuts(pa.array([x], pa.string()))
-                    raw = x.encode()
-                    split.append(len(cuts) > 2)
-                    heads.append(raw[: cuts[1]].decode())
-                    tails.append(raw[cuts[-2] :].decode() if len(cuts) > 2 else "")
-                    bodies.append(raw[cuts[1] : cuts[-2]].decode() if len(cuts) > 2 else "")
-                ids, offsets = c.encode_column(pa.array(bodies, pa.string()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(heads, pa.string()), list_array(ids, offsets), pa.array(tails, pa.string()), pa.array(split, pa.bool_())], names=nodes_of.names)
+                part = pieces.slice(a, b - a)
+                ids, offsets = c.encode_column(part)
+                heads, bodies, tails = [], [], []
+                for k, x in enumerate(part.to_pylist()):
+                    own = ids[offsets[k] : offsets[k + 1]]
+                    first, last = c.ends(x)
+                    head = c.spans(x[:first])
+                    tail = None if last is None else c.spans(x[last:])
+                    heads.append((x[:first], np.array(head, np.int32).ravel()))
+                    bodies.append(own[len(head) : len(own) - len(tail)] if tail is not None else own[:0])
+                    tails.append((None, None) if tail is None else (x[last:], np.array(tail, np.int32).ravel()))
+                columns = [pa.array([x[0] for x in heads], pa.string()), pa.array([x[1] for x in heads], pa.list_(pa.int32())), pa.array(bodies, pa.list_(pa.int32())), pa.array([x[0] for x in tails], pa.string()), pa.array([x[1] for x in tails], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *columns], names=nodes_of.names)
 
     def joined(table: pa.Table) -> pa.Table:
         c = codec(path)
-        table = table.sort_by("_at")
-        out: list[np.ndarray] = []
-        open_text: list[str] = []  # pieces of the unsplit text that is still going on
-
-        def close() -> None:
-            text = "".join(open_text)
-            out.append(c._encode_other([text])[0])
-            open_text.clear()
-
+        table = table.sort_by("_at").combine_chunks()
+        triples = lambda name, row: list(map(tuple, table[name][row].values.to_numpy(zero_copy_only=False).reshape(-1, 3).tolist()))
+        level = []
         for row in range(table.num_rows):
-            open_text.append(table["_head"][row].as_py())
-            if table["_split"][row].as_py():
-                close()
-                out.append(table["_body"][row].values.to_numpy(zero_copy_only=False).astype(np.int32))
-                open_text.append(table["_tail"][row].as_py())
-        close()
-        ids = np.concatenate(out)
+            tail = table["_tail"][row].as_py()
+            level.append(Half((table["_head"][row].as_py(), triples("_head_spans", row)), table["_body"][row].values.to_numpy(zero_copy_only=False).astype(np.int32), None if tail is None else (tail, triples("_tail_spans", row))))
+        while len(level) > 1:
+            level = [join_halves(c, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        ids = level[0].ids()
         return pa.table({"_key": table["_key"].slice(0, 1), "_ids": list_array(ids, np.array([0, len(ids)]))})
 
-    # Equal long texts give equal ids: a digest keeps apart different texts under one key.
+    # A number for each row keeps apart texts under one key.
     marked = texts.withColumn("_copy", F.monotonically_increasing_id())
     nodes = marked.mapInArrow(cut, pieces_of).repartition("_copy", "_at").mapInArrow(leaves, nodes_of)
     return nodes.groupBy("_copy").applyInArrow(joined, kind)

@@ -48,14 +48,6 @@ def test_tree_concatenation(name):
         assert c.tree(text, 100) == c.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_token_counts(spark, tmp_path):
-    lib, cache = library(BYTE), f"file://{tmp_path}/cache"
-    for _ in range(2):
-        got = token_counts.count_tokens(spark, docs(spark, TEXTS), tokenizer(BYTE), cache).collect()
-        assert {r.doc_id: r.n_tokens for r in got} == {k: len(lib.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate(TEXTS)}
-    assert spark.read.parquet(cache).count() == len({x or "" for x in TEXTS})
-
-
 def test_packing(spark):
     lib = library(WORD)
     rows = packing.pack(docs(spark, [*TEXTS, "w " * 9000]).repartition(2), tokenizer(WORD)).collect()
