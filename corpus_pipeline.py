@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planespark.llm import language_id, near_duplicates, packing, toxicity
-from planespark.llm.common import Workspace, read
+from planespark.llm.common import Workspace, read, unused
 from planespark.llm.queries import tokenizer
 
 #: A document of at least so many letters whose n-grams are this rarely in any language is not in one.
@@ -16,16 +16,17 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages: those without a letter, null texts, and long texts that no language knows go."""
-    found = language_id.predict(docs, language_id.train(docs), lang_out="_pred", score_out="_score")
+    pred, score = unused(docs, "_pred"), unused(docs, "_score")
+    found = language_id.predict(docs, language_id.train(docs), lang_out=pred, score_out=score)
     letters = F.length(F.regexp_replace("text", "[^\\p{L}]", ""))
-    known = (F.col("_pred") != language_id.UNDETERMINED) & ((F.col("_score") >= LEAST_SCORE) | (letters < LEAST_LETTERS))
+    known = (F.col(pred) != language_id.UNDETERMINED) & ((F.col(score) >= LEAST_SCORE) | (letters < LEAST_LETTERS))
     return found.where(known).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose toxicity score is below the threshold."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    model, score = toxicity.train(docs, read(spark, sf_dir, "labels")), unused(docs, "_score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +36,14 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     compared like any others and both stay unless they are near-duplicates.
     Rows that repeat id and text are one; texts without a word are near nothing.
     """
-    work = Workspace(spark, "distinct")
+    work, row = Workspace(spark, "distinct"), unused(docs, "_row")
     named = docs.where("doc_id is not null")
     blank = F.coalesce(F.btrim("text", F.lit("\t\n\x0b\x0c\r ")), F.lit("")) == ""
-    rows = work.save(named.where(~blank).withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
-    groups = near_duplicates.near_duplicates(spark, rows, key="_row", words=5).select("_row", "component_id")
-    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
-    filled = rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = work.save(named.where(~blank).withColumn(row, F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
+    groups = near_duplicates.near_duplicates(spark, rows, key=row, words=5).select(F.col(row).alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    kept = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias(row)).select(row)
+    filled = rows.join(kept, row, "left_semi").select(*docs.columns)
     return filled.unionByName(named.where(blank).dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
