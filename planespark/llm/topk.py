@@ -2,7 +2,8 @@
 
 Every vector is keyed by a band of its norm, its nearest pivot and its distance
 to it; sorted by that key, the vectors are cut into blocks, each an annulus
-around a pivot. The queries are cut into groups in the same way. For a vector x
+around a pivot. The queries are cut into groups in the same way, but that a group
+of few goes on to the next pivot. For a vector x
 of an annulus with distances lo to hi and norms up to m, and a query q, the
 triangle inequality gives
 
@@ -10,7 +11,7 @@ triangle inequality gives
     <q, x> = <q, p> + <q, x - p>             <= <q, p> + |q| hi,
 
 where gap is what q's own distance to the pivot p leaves: |q - x| >= gap. A
-group first searches the annuli of its own pivot that are next to it, which
+group first searches the annuli of its own pivots that are next to it, which
 gives each query a k-th score to beat. Then whole pivots, and after them single
 annuli, whose bounds are below what their group has to beat are ruled out; what
 is left is searched, and queries skip it one by one by their own bounds.
@@ -31,11 +32,12 @@ from planespark.llm.common import Workspace
 SCALE = 1024
 #: Pivots are the square root of the number of vectors, within these bounds, taken by a hash of the ids.
 PIVOTS = (16, 4096)
-#: Vectors of a block, queries of a group, and queries that a task works on at a time.
+#: Vectors of a block, queries of a group, at most; queries after which a group ends with its pivot; and those that a task works on at a time.
 BLOCK = 4096
 QUERY_BLOCK = 4096
+GROUP = 512
 STEP = 512
-#: Annuli that a group searches first.
+#: Annuli of each pivot of its queries that a group searches first.
 SEEDS = 2
 #: Norms of one band differ by at most this factor.
 BAND = 1.25
@@ -100,7 +102,7 @@ def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple
     return [(int(ids[j]), int(scores[j])) for j in on[:k]]
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, work: Workspace | None = None) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, work: Workspace | None = None, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but its own id, ties to smaller ids.
 
     ``vectors`` and ``queries`` have vec_id and x, as ``quantised`` gives them.
@@ -136,14 +138,15 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 band = np.ceil(np.log(np.maximum(_norms(x), 1.0)) / np.log(BAND)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(band), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near])], names=["vec_id", "x", "band", "pivot", "distance"])
 
-    def blocks(size: int):
+    def blocks(size: int, least: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for batch in batches:
                 held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
                 while held.num_rows:
                     pivot, band = held["pivot"].to_numpy(), held["band"].to_numpy()
-                    other = np.flatnonzero((pivot != pivot[0]) | (band != band[0]))
+                    other = np.flatnonzero((pivot[1:] != pivot[:-1]) | (band[1:] != band[:-1])) + 1
+                    other = other[other >= least]
                     n = min(int(other[0]) if len(other) else len(pivot), size)
                     if n == held.num_rows and n < size:
                         break
@@ -157,12 +160,12 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     kind = "vec_id long, x array<long>, band int, pivot int, distance double"
     order = ("band", "pivot", "distance", "vec_id")
 
-    def cut(rows: DataFrame, size: int, name: str) -> DataFrame:
-        out = rows.mapInArrow(keyed, kind).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks(size), "pivot int, lo double, hi double, longest double, n int, ids array<long>, x binary")
+    def cut(rows: DataFrame, size: int, least: int, name: str) -> DataFrame:
+        out = rows.mapInArrow(keyed, kind).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks(size, least), "pivot int, pivots array<int>, lo double, hi double, longest double, n int, ids array<long>, x binary")
         return work.save(out.withColumn("block", F.monotonically_increasing_id()), name)
 
-    index = cut(vectors, BLOCK, "index")
-    groups = cut(queries.select("vec_id", "x"), QUERY_BLOCK, "groups").withColumnRenamed("block", "group")
+    index = cut(vectors, BLOCK, 1, "index")
+    groups = cut(queries.select("vec_id", "x"), QUERY_BLOCK, group, "groups").withColumnRenamed("block", "group")
     annuli = index.select("block", "pivot", "lo", "hi", "longest")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0)[row].as_py(), p)), pa.array(np.arange(p, dtype=np.int32)), pa.array(np.min(least, axis=0)), pa.array(np.max(most, axis=0)), pa.array(np.max(inner, axis=0))], names=["group", "pivot", "near", "far", "inner"])
 
     ways = work.save(groups.select("group", "n", "x").mapInArrow(reach, "group long, pivot int, near double, far double, inner double"), "ways")
-    own = groups.select("group", F.col("pivot").alias("own"), F.col("longest").alias("q_longest"))
+    own = groups.select("group", F.col("longest").alias("q_longest"))
 
     def bound(lo: F.Column, hi: F.Column, longest: F.Column) -> F.Column:
         """No product of a group's query with a vector of an annulus is above this."""
@@ -217,8 +220,8 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     gap = F.greatest(F.lit(0.0), F.col("lo") - F.col("far"), F.col("near") - F.col("hi"))
-    home = own.join(ways, F.expr("own = pivot") & (own["group"] == ways["group"])).select(own["group"], "pivot", "near", "far").join(annuli, "pivot")
-    first = home.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(gap, F.desc("longest"), "block"))).where(F.col("rank") <= SEEDS)
+    home = groups.select("group", F.explode("pivots").alias("pivot")).join(ways, ["group", "pivot"]).join(annuli, "pivot")
+    first = home.withColumn("rank", F.row_number().over(Window.partitionBy("group", "pivot").orderBy(gap, F.desc("longest"), "block"))).where(F.col("rank") <= SEEDS)
     first = work.save(first.select("group", "block"), "first")
     seeds = work.save(scored(first, None).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"), "seeds")
 
@@ -246,6 +249,6 @@ def _block(rows: pa.Table, dim: int) -> pa.RecordBatch:
     rows = rows.combine_chunks()
     x = _matrix(rows["x"].chunk(0), dim)
     d = rows["distance"].to_numpy()
-    values = [rows["pivot"][0].as_py(), d[0], d[-1], float(_norms(x).max()), len(d), rows["vec_id"].to_pylist(), _packed(x)]
-    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["pivot", "lo", "hi", "longest", "n", "ids", "x"])
+    values = [rows["pivot"][0].as_py(), np.unique(rows["pivot"].to_numpy()).tolist(), float(d.min()), float(d.max()), float(_norms(x).max()), len(d), rows["vec_id"].to_pylist(), _packed(x)]
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["pivot", "pivots", "lo", "hi", "longest", "n", "ids", "x"])
