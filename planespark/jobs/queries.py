@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
 from planespark.functions import points
-from planespark.operators import combine, geometry, objects, planes, spectra, stacks, thresholds, volumes
+from planespark.operators import combine, geometry, objects, planes, spectra, stacks, stencils, thresholds, volumes
+from planespark.operators import particles as objects_of
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
 from planespark.sources import raw, text
@@ -346,31 +347,55 @@ def auto_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return thresholds.levels(D.pixels(spark, sf), IMAGE)
 
 
-def _filtered(function, px=None):
+def iterated_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return thresholds.iterated_levels(D.pixels(spark, sf), IMAGE)
+
+
+def threshold_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Every slice by its own level."""
+    return thresholds.applied(D.stack(spark, sf), ["image_id", "z"], "otsu")
+
+
+def stack_threshold_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Every slice by the level of its stack."""
+    return thresholds.applied(D.stack(spark, sf), ["image_id", "z"], "isodata", whole_stack=True)
+
+
+def _over(function):
+    """A query that applies an operator over long-form pixels to every plane."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        p = planes.per_plane(D.to_planes(D.pixels(spark, sf)), function)
-        return D.to_pixels(p).select("image_id", F.col("x").cast("int").alias("x"), "y", F.round("v", 6).alias("v"))
+        return function(D.pixels(spark, sf)).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.round("v", 6).alias("v"))
 
     return run
 
 
-smooth = _filtered(planes.smooth8)
-sobel = _filtered(planes.sobel8)
-rank_mean = _filtered(planes.rank(1.0, "mean"))
-rank_max = _filtered(planes.rank(1.0, "max"))
-convolve = _filtered(planes.convolve([[1, 2, 1], [2, 4, 2], [1, 2, 1]]))
-despeckle = _filtered(planes.rank(1.0, "median"))
-gaussian = _filtered(planes.gaussian(2.0))
-top_hat = _filtered(planes.top_hat(2.0))
-erode = _filtered(lambda a: planes.erode(a > 0) * 255)
-dilate = _filtered(lambda a: planes.dilate(a > 20, 3) * 255)
-distance_map = _filtered(lambda a: planes.distance(a > 0))
-holes_filled = _filtered(lambda a: planes.fill_holes(a > 0) * 255)
-spectrum = _filtered(planes.power_spectrum)
+smooth = _over(lambda px: stencils.smooth(px, IMAGE))
+sobel = _over(lambda px: stencils.sobel(px, IMAGE))
+rank_mean = _over(lambda px: stencils.rank(px, IMAGE, 1.0, "mean"))
+rank_max = _over(lambda px: stencils.rank(px, IMAGE, 1.0, "max"))
+rank_min = _over(lambda px: stencils.rank(px, IMAGE, 2.0, "min"))
+rank_variance = _over(lambda px: stencils.rank(px, IMAGE, 1.5, "variance"))
+rank_median = _over(lambda px: stencils.rank(px, IMAGE, 2.0, "median"))
+outliers_removed = _over(lambda px: stencils.outliers(px, IMAGE, 1.0, 15))
+convolve = _over(lambda px: stencils.convolve(px, IMAGE, [[1, 2, 1], [2, 4, 2], [1, 2, 1]]))
+despeckle = _over(lambda px: stencils.rank(px, IMAGE, 1.0, "median"))
+gaussian = _over(lambda px: stencils.gaussian(px, IMAGE, 2.0))
+unsharp_mask = _over(lambda px: stencils.unsharp(px, IMAGE, 1.0, 0.6))
+top_hat = _over(lambda px: stencils.top_hat(px, IMAGE, 2.0))
+grey_closed = _over(lambda px: stencils.closed(px, IMAGE, 1.0))
+erode = _over(lambda px: stencils.eroded(px, IMAGE, F.col("v") > 0))
+dilate = _over(lambda px: stencils.dilated(px, IMAGE, F.col("v") > 20, 3))
+outline = _over(lambda px: stencils.outline(px, IMAGE, F.col("v") > 0))
+shadows = _over(lambda px: stencils.shadows(px, IMAGE, 0))
+ball_subtracted = _over(lambda px: stencils.ball_background(px, IMAGE, 6).withColumn("v", F.col("v") - F.col("ball")))
+distance_map = _over(lambda px: stencils.distance(px, IMAGE, F.col("v") > 0))
+holes_filled = _over(lambda px: objects_of.holes_filled(px, IMAGE, F.col("v") > 0, W, H))
 
 
 def particles(spark: SparkSession, sf: str) -> DataFrame:
-    return planes.particles(D.to_planes(D.pixels(spark, sf)), 40, 255, eight=False)
+    out = objects_of.particles(D.pixels(spark, sf), IMAGE, 40, 255, W, H, eight=False)
+    return out.select("image_id", "label", "area", "x0", "y0", "w", "h", "least", "most", "edge", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "mean", "major", "minor", "angle")))
 
 
 def particle_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,14 +403,21 @@ def particle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.round(F.avg("area"), 6).alias("mean_area"), F.round(100.0 * F.sum("area") / (W * H), 6).alias("percent"))
 
 
-shadows = _filtered(objects.shadows(0))
-outline = _filtered(lambda a: objects.outline(a > 0) * 255)
+def _filtered(function):
+    """A query that applies a function of one plane to every plane row."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        p = planes.per_plane(D.to_planes(D.pixels(spark, sf)), function)
+        return D.to_pixels(p).select("image_id", F.col("x").cast("int").alias("x"), "y", F.round("v", 6).alias("v"))
+
+    return run
+
+
+spectrum = _filtered(planes.power_spectrum)
 skeleton = _filtered(lambda a: objects.thinned(a > 0) * 255)
 watershed = _filtered(lambda a: objects.split_touching(a > 0) * 255)
 ultimate_points = _filtered(lambda a: objects.ultimate_points(a > 0))
-ball_subtracted = _filtered(lambda a: a - objects.ball_background(6)(a))
 band_passed = _filtered(spectra.band_pass(20, 3))
-unsharp_mask = _filtered(planes.unsharp(1.0, 0.6))
 
 
 def find_maxima(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,8 +11,8 @@ from planespark.jobs import sql
 
 FLAGSHIP = "particles"
 
-#: Queries without SQL: iterative or numeric work on whole planes, tested against brute force.
-_NO_SQL = ("particles", "particle_summary", "gaussian", "top_hat", "distance_map", "holes_filled", "spectrum", "auto_thresholds", "skeleton", "watershed", "ultimate_points", "ball_subtracted", "band_passed", "unsharp_mask", "find_maxima", "hull_shapes", "correlated_planes")
+#: Queries without SQL: they follow paths through whole planes, or repeat steps; tested against brute force.
+_NO_SQL = ("spectrum", "iterated_thresholds", "skeleton", "watershed", "ultimate_points", "band_passed", "find_maxima", "hull_shapes", "correlated_planes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

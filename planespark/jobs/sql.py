@@ -62,8 +62,8 @@ SQL = {
     "translate": _px("SELECT g.image_id, g.x, g.y, coalesce(p.v, 7) AS v FROM px g LEFT JOIN px p ON p.image_id = g.image_id AND p.x = g.x - 5 AND p.y = g.y + 3"),
     "canvas": _px("SELECT g.image_id, g.x, g.y, coalesce(px.v, 9) AS v FROM (SELECT image_id, x, y FROM (SELECT DISTINCT image_id FROM cells), (SELECT CAST(unnest(range(72)) AS INT) AS x), (SELECT CAST(unnest(range(30)) AS INT) AS y)) g LEFT JOIN px ON px.image_id = g.image_id AND px.x = g.x - 4 AND px.y = g.y + 1"),
     "bin_blocks": _px("SELECT image_id, x // 5 AS x, y // 3 AS y, avg(v) AS average, median(v) AS median, min(v) AS least, max(v) AS most, CAST(sum(v) AS BIGINT) AS total FROM px WHERE x < 60 AND y < 30 GROUP BY image_id, x // 5, y // 3"),
-    "reslice": _st("SELECT image_id, y + 1 AS z, x, z - 1 AS y, v FROM st WHERE v > 0"),
-    "montage": _st("SELECT image_id, x + (z - 1) % 3 * 64 AS x, y + (z - 1) // 3 * 32 AS y, v FROM st WHERE v > 0"),
+    "reslice": _st("SELECT image_id, y + 1 AS z, x, z - 1 AS y, v FROM st"),
+    "montage": _st("SELECT image_id, x + (z - 1) % 3 * 64 AS x, y + (z - 1) // 3 * 32 AS y, v FROM st"),
     "tile_histogram": _px("SELECT image_id, tx, ty, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM px JOIN (SELECT CAST(unnest(range(4)) AS INT) AS tx) ON x >= tx * 16 - 2 AND x < tx * 16 + 18 JOIN (SELECT CAST(unnest(range(2)) AS INT) AS ty) ON y >= ty * 16 - 2 AND y < ty * 16 + 18 GROUP BY ALL"),
     "image_calculator": _px(f"SELECT a.image_id, a.x, a.y, least(255, a.v + b.v) AS add, greatest(0, a.v - b.v) AS subtract, least(255, a.v * b.v) AS multiply, CASE WHEN b.v = 0 THEN 255 ELSE a.v // b.v END AS divide, a.v & b.v AS \"and\", a.v | b.v AS \"or\", xor(a.v, b.v) AS xor, least(a.v, b.v) AS min, greatest(a.v, b.v) AS max, (a.v + b.v) // 2 AS average, abs(a.v - b.v) AS difference, CASE WHEN b.v = 0 THEN a.v ELSE b.v END AS copy_nonzero {_PAIR}"),
     "paste": _px("SELECT a.image_id, a.x, a.y, CASE WHEN b.v IS NULL THEN a.v ELSE greatest(a.v, b.v) END AS v FROM px a LEFT JOIN px b ON b.image_id + 1 = a.image_id AND b.x = a.x - 20 AND b.y = a.y - 10 AND b.x < 16 AND b.y < 16"),
@@ -75,15 +75,15 @@ SQL = {
     "statistics": _px("SELECT image_id, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5), 6) AS skewness, round(avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) - 3, 6) AS kurtosis FROM px JOIN (SELECT image_id, avg(v) AS m FROM px GROUP BY image_id) USING (image_id) GROUP BY image_id"),
     "moments": _px("SELECT image_id, CAST(sum(v) AS BIGINT) AS raw_density, round(avg(x) + 0.5, 6) AS cx, round(avg(y) + 0.5, 6) AS cy, round(CAST(sum(x * v) AS DOUBLE) / sum(v) + 0.5, 6) AS mx, round(CAST(sum(y * v) AS DOUBLE) / sum(v) + 0.5, 6) AS my, round(100.0 * count(*) FILTER (WHERE v <> 0) / count(*), 6) AS percent_area FROM px GROUP BY image_id"),
     "thresholded_statistics": _px("SELECT image_id, count(*) AS n, round(avg(v), 6) AS mean FROM px WHERE v BETWEEN 20 AND 60 GROUP BY image_id"),
-    "mode_median": _px("SELECT image_id, mode, median FROM (SELECT image_id, v AS mode FROM (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, v) AS k FROM px WHERE v > 0 GROUP BY image_id, v) WHERE k = 1) JOIN (SELECT image_id, min(v) AS median FROM (SELECT image_id, v, sum(count(*)) OVER (PARTITION BY image_id ORDER BY v) AS below, sum(count(*)) OVER (PARTITION BY image_id) AS total FROM px WHERE v > 0 GROUP BY image_id, v) WHERE below > total / 2.0 GROUP BY image_id) USING (image_id)"),
+    "mode_median": _px("SELECT image_id, mode, median FROM (SELECT image_id, v AS mode FROM (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, v) AS k FROM px GROUP BY image_id, v) WHERE k = 1) JOIN (SELECT image_id, min(v) AS median FROM (SELECT image_id, v, sum(count(*)) OVER (PARTITION BY image_id ORDER BY v) AS below, sum(count(*)) OVER (PARTITION BY image_id) AS total FROM px GROUP BY image_id, v) WHERE below > total / 2.0 GROUP BY image_id) USING (image_id)"),
     "stack_statistics": _st("SELECT image_id, count(*) AS voxels, round(avg(v), 6) AS mean, max(v) AS most, round(100.0 * count(*) FILTER (WHERE v > 0) / count(*), 6) AS percent_volume FROM st GROUP BY image_id"),
     "z_projection": f"WITH {FL} SELECT image_id, x, y, round(avg(v), 6) AS average, round(max(v), 6) AS most, round(min(v), 6) AS least, round(sum(v), 6) AS total, round(coalesce(stddev_samp(v), 0), 6) AS sd, round(median(v), 6) AS median FROM fl GROUP BY image_id, x, y",
-    "grouped_projection": _st("SELECT image_id, (z - 1) // 2 AS slab, x, y, avg(v) AS average FROM st GROUP BY ALL HAVING avg(v) > 0"),
-    "z_profile": _st("SELECT image_id, z, avg(v) AS mean FROM st WHERE x < 32 GROUP BY image_id, z"),
+    "grouped_projection": _st("SELECT image_id, (z - 1) // 2 AS slab, x, y, avg(v) AS average FROM st GROUP BY ALL"),
+    "z_profile": _st("SELECT image_id, z, avg(v) AS mean FROM st GROUP BY image_id, z"),
     "axis_profiles": _px("SELECT image_id, x, avg(v) AS mean FROM px GROUP BY image_id, x"),
     "table_summary": " UNION ALL ".join(f"SELECT '{n}' AS label, round({f}(o_totalprice), 2) AS o_totalprice, round(CAST({f}(o_custkey) AS DOUBLE), 4) AS o_custkey FROM orders" for n, f in (("Mean", "avg"), ("SD", "stddev_samp"), ("Min", "min"), ("Max", "max"))),
     "table_distribution": "WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, 3.49 * stddev_samp(o_totalprice) * pow(count(*), -1.0 / 3) AS w FROM orders), b AS (SELECT lo, hi, CAST(greatest(2, floor((hi - lo) / w + 0.5)) AS INT) AS bins FROM e) SELECT CAST(least(trunc((o_totalprice - lo) * bins / (hi - lo)), bins - 1) AS INT) AS bin, count(*) AS n FROM orders, b GROUP BY ALL",
-    "fractal_boxes": _px("SELECT image_id, round(-regr_slope(ln(k), ln(s)), 6) AS dimension, max(k) AS most_boxes FROM (SELECT image_id, s, count(*) AS k FROM (SELECT DISTINCT image_id, s, (x - x0) // s AS bx, (y - y0) // s AS by_ FROM (SELECT image_id, x, y, unnest([2, 3, 4, 6, 8, 12, 16]) AS s FROM px WHERE v > 0) JOIN (SELECT image_id, min(x) AS x0, min(y) AS y0 FROM px WHERE v > 0 GROUP BY image_id) USING (image_id)) GROUP BY image_id, s) GROUP BY image_id"),
+    "fractal_boxes": _px("SELECT image_id, round(-regr_slope(ln(k), ln(s)), 6) AS dimension, max(k) AS most_boxes FROM (SELECT image_id, s, count(*) AS k FROM (SELECT DISTINCT image_id, s, (x - x0) // s AS bx, (y - y0) // s AS by_ FROM (SELECT image_id, x, y, unnest([2, 3, 4, 6, 8, 12, 16, 32, 64]) AS s FROM px WHERE v > 0) JOIN (SELECT image_id, min(x) AS x0, min(y) AS y0 FROM px WHERE v > 0 GROUP BY image_id) USING (image_id)) GROUP BY image_id, s) GROUP BY image_id"),
     "otsu_threshold": _px(""",
 h AS (SELECT image_id, v, count(*) AS n FROM px GROUP BY ALL),
 c AS (SELECT image_id, v, sum(n) OVER w AS n1, sum(n * v) OVER w AS s1, sum(n) OVER (PARTITION BY image_id) AS n0, sum(n * v) OVER (PARTITION BY image_id) AS s0 FROM h WINDOW w AS (PARTITION BY image_id ORDER BY v)),
@@ -98,10 +98,10 @@ SELECT image_id, x, y, CAST(CASE WHEN hi > lo THEN greatest(0, least(255, floor(
 h AS (SELECT image_id, v, sqrt(count(*)) AS k FROM px GROUP BY ALL),
 c AS (SELECT image_id, v, k, sum(k) OVER (PARTITION BY image_id ORDER BY v) AS upto, sum(k) OVER (PARTITION BY image_id) AS total, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM h)
 SELECT image_id, x, y, CAST(CASE WHEN px.v = lo THEN 0 WHEN px.v = hi THEN 255 ELSE floor((upto - k / 2) / total * 255 + 0.5) END AS INT) AS v FROM px JOIN c USING (image_id, v)"""),
-    "substack": _st(", o AS (SELECT image_id, z, CAST(row_number() OVER (PARTITION BY image_id ORDER BY z) AS INT) AS k FROM (SELECT DISTINCT image_id, z FROM st WHERE v > 0 AND z IN (2, 4, 6))) SELECT image_id, x, y, v, k AS z FROM st JOIN o USING (image_id, z) WHERE v > 0"),
-    "delete_slices": _st(", o AS (SELECT image_id, z, CAST(row_number() OVER (PARTITION BY image_id ORDER BY z) AS INT) AS k FROM (SELECT DISTINCT image_id, z FROM st WHERE v > 0 AND z NOT IN (1, 4))) SELECT image_id, x, y, v, k AS z FROM st JOIN o USING (image_id, z) WHERE v > 0"),
-    "reduced_stack": _st("SELECT image_id, (z - 1) // 3 + 1 AS z, x, y, v FROM st WHERE (z - 1) % 3 = 0 AND v > 0"),
-    "concatenated": _st("SELECT image_id, z, x, y, v FROM st WHERE v > 0 UNION ALL SELECT image_id, 15 - z, x, y, v FROM st WHERE v > 0"),
+    "substack": _st("SELECT image_id, x, y, v, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY z) AS INT) AS z FROM st WHERE z IN (2, 4, 6)"),
+    "delete_slices": _st("SELECT image_id, x, y, v, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY z) AS INT) AS z FROM st WHERE z NOT IN (1, 4)"),
+    "reduced_stack": _st("SELECT image_id, (z - 1) // 3 + 1 AS z, x, y, v FROM st WHERE (z - 1) % 3 = 0"),
+    "concatenated": _st("SELECT image_id, z, x, y, v FROM st UNION ALL SELECT image_id, 15 - z, x, y, v FROM st"),
     "hyperstack_order": "SELECT event_id, c, z, t, CAST((c - 1) * 12 + (z - 1) * 4 + t AS BIGINT) AS back FROM (SELECT event_id, CAST(event_id % 24 % 2 + 1 AS INT) AS c, CAST(event_id % 24 // 2 % 3 + 1 AS INT) AS z, CAST(event_id % 24 // 6 % 4 + 1 AS INT) AS t FROM events)",
     "natural_names": "SELECT c_custkey, regexp_replace(lower(c_name), '[0-9]+', '') || lpad(CAST(CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS VARCHAR), 12, '0') AS sort_key FROM customer",
     "plane_hashes": _px("SELECT image_id, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY y, x)) AS md5 FROM px GROUP BY image_id"),
@@ -111,7 +111,7 @@ SELECT image_id, x, y, CAST(CASE WHEN px.v = lo THEN 0 WHEN px.v = hi THEN 255 E
     "text_image": _px("SELECT image_id, y, string_agg(CAST(v AS VARCHAR), chr(9) ORDER BY x) AS line FROM px GROUP BY image_id, y"),
     "text_image_read": _px("SELECT image_id, x, y, CAST(v AS DOUBLE) AS v FROM px"),
     "xy_coordinates": _px("SELECT image_id, x, 31 - y AS y, v FROM px WHERE v <> 0"),
-    "image_to_table": _px("SELECT image_id, 'Y' || CAST(y AS VARCHAR) AS label, " + ", ".join(f"CAST(max(CASE WHEN x = {k} THEN v END) AS DOUBLE) AS X{k}" for k in range(16)) + " FROM px GROUP BY image_id, y"),
+    "image_to_table": _px("SELECT image_id, 'Y' || CAST(y AS VARCHAR) AS label, " + ", ".join(f"CAST(max(CASE WHEN x = {k} THEN v END) AS DOUBLE) AS X{k}" for k in range(64)) + " FROM px GROUP BY image_id, y"),
     "measure_stack": _st("SELECT image_id, z, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd FROM st GROUP BY image_id, z"),
     "lane_profiles": _px(", l AS (SELECT image_id, x // 16 AS lane, y, avg(v) AS mean FROM px GROUP BY ALL), t AS (SELECT *, sum(mean) OVER (PARTITION BY image_id, lane) AS total FROM l) SELECT image_id, lane, y, round(mean, 6) AS mean, round(CASE WHEN total <> 0 THEN 100.0 * mean / total ELSE 0 END, 6) AS percent FROM t"),
     "lookup_table": _px("SELECT image_id, x, y, (v * 7 + 3) % 256 AS v FROM px"),
@@ -127,7 +127,7 @@ SELECT image_id, x, y, CAST(CASE WHEN px.v = lo THEN 0 WHEN px.v = hi THEN 255 E
     "erode": _px(", q AS (" + _AROUND.format(t=0) + ") SELECT image_id, x, y, CASE WHEN v > 0 AND k = 8 THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM q"),
     "dilate": _px(", q AS (" + _AROUND.format(t=20) + ") SELECT image_id, x, y, CASE WHEN v > 20 OR k >= 3 THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM q"),
     "filter_3d": _st("SELECT p.image_id, p.x, p.y, p.z, round(avg(n.v), 6) AS mean, min(n.v) AS least, max(n.v) AS most, round(coalesce(var_samp(n.v), 0), 6) AS variance FROM (SELECT st.*, unnest([[0, 0, 0], [1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]]) AS d FROM st) p JOIN st n ON n.image_id = p.image_id AND n.x = p.x + d[1] AND n.y = p.y + d[2] AND n.z = p.z + d[3] GROUP BY p.image_id, p.x, p.y, p.z"),
-    "depth_rescaled": _st("SELECT image_id, x, y, k AS z, sum(v * (1.0::DOUBLE - abs(k * 2 - 1 - z))) AS v FROM st JOIN (SELECT CAST(unnest(range(1, 5)) AS INT) AS k) ON abs(k * 2 - 1 - z) < 1 GROUP BY image_id, x, y, k HAVING sum(v * (1.0::DOUBLE - abs(k * 2 - 1 - z))) > 0"),
+    "depth_rescaled": _st("SELECT image_id, x, y, k AS z, sum(v * (1.0::DOUBLE - abs(k * 2 - 1 - z))) AS v FROM st JOIN (SELECT CAST(unnest(range(1, 5)) AS INT) AS k) ON abs(k * 2 - 1 - z) < 1 GROUP BY image_id, x, y, k"),
     "line_profile": _px("SELECT image_id, k AS i, sum(v * (1 - abs(4 * k + 0.5::DOUBLE - x)) * (1 - abs(2 * k + 0.25::DOUBLE - y))) AS v FROM px JOIN (SELECT CAST(unnest(range(15)) AS INT) AS k) ON x BETWEEN 4 * k AND 4 * k + 1 AND y BETWEEN 2 * k AND 2 * k + 1 GROUP BY image_id, k"),
     "side_by_side": _px("SELECT * FROM px UNION ALL SELECT image_id + 1, x + 64, y, v FROM px"),
     "curve_fits": """WITH q AS (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
@@ -139,7 +139,7 @@ g AS (SELECT l_suppkey, regr_slope(ln(y), x) AS exp_b, regr_intercept(ln(y), x)
 SELECT l_suppkey, round(exp_b, 6) AS exp_b, round(exp_log_a, 6) AS exp_log_a, round(power_b, 6) AS power_b, round(power_log_a, 6) AS power_log_a, round(c0 - c1 * mx + c2 * mx * mx, 2) AS p0, round(c1 - 2 * c2 * mx, 2) AS p1, round(c2, 2) AS p2 FROM p JOIN g USING (l_suppkey)""",
     "table_edits": "SELECT o_orderkey, o_orderstatus AS State, o_totalprice / (o_custkey + 1) AS Ratio, printf('%.2f', CAST(o_totalprice AS DOUBLE)) AS shown FROM orders WHERE NOT o_orderkey BETWEEN 10 AND 40",
     "raw_round_trip": _px("SELECT image_id, x, y, v FROM px"),
-    "stream_frame_profile": "SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM events) WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY start, event_type",
+    "stream_frame_profile": "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY ALL",
     "stream_projection": "SELECT CAST(user_id % 16 AS INT) AS x, CAST(event_id % 16 AS INT) AS y, count(*) AS n, max(value) AS most, min(value) AS least, round(sum(value), 4) AS total, round(avg(value), 6) AS average FROM events GROUP BY ALL",
     "shadows": _near("CAST(least(255, greatest(0, sum(n.v * (CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE -dy * (2 - abs(dx)) END)))) AS DOUBLE)"),
     "outline": _px("SELECT p.image_id, p.x, p.y, CASE WHEN any_value(p.v) > 0 AND count(n.v) < 9 THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM (SELECT * FROM px, (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dx), (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dy)) p LEFT JOIN px n ON n.image_id = p.image_id AND n.x = p.x + dx AND n.y = p.y + dy AND n.v > 0 GROUP BY p.image_id, p.x, p.y"),
@@ -147,4 +147,78 @@ SELECT l_suppkey, round(exp_b, 6) AS exp_b, round(exp_log_a, 6) AS exp_log_a, ro
     "stream_histogram": "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL",
 }
 
+
+
+def _window(source: str, value: str, limit: int) -> str:
+    """``value`` aggregated over the neighbours n of each pixel of ``source`` with dx^2 + dy^2 up to the limit."""
+    side = f"(SELECT CAST(unnest(range(-{limit}, {limit} + 1)) AS INT)"
+    return f"""SELECT p.image_id, p.x, p.y, {value} AS v, any_value(p.v) AS own FROM (SELECT * FROM {source}, {side} AS dx), {side} AS dy) WHERE dx * dx + dy * dy <= {limit}) p
+    JOIN {source} n ON n.image_id = p.image_id AND n.x = greatest(0, least(63, p.x + dx)) AND n.y = greatest(0, least(31, p.y + dy)) GROUP BY p.image_id, p.x, p.y"""
+
+
+def _blur(sigma: int, reach: int) -> str:
+    """CTEs that end in ``blurred``: a Gaussian cut at ``reach``, along x and then along y; ``own`` is the pixel itself."""
+    return f""", g AS (SELECT d, exp(-(d * d) / CAST(2 * {sigma} * {sigma} AS DOUBLE)) AS k0 FROM (SELECT CAST(unnest(range(-{reach}, {reach} + 1)) AS INT) AS d)), w AS (SELECT d, k0 / (SELECT sum(k0) FROM g) AS k FROM g),
+    across AS (SELECT p.image_id, p.x, p.y, sum(n.v * k) AS v, any_value(p.v) AS own FROM (SELECT * FROM px, w) p JOIN px n ON n.image_id = p.image_id AND n.y = p.y AND n.x = greatest(0, least(63, p.x + d)) GROUP BY p.image_id, p.x, p.y),
+    blurred AS (SELECT p.image_id, p.x, p.y, sum(n.v * k) AS v, any_value(p.own) AS own FROM (SELECT * FROM across, w) p JOIN across n ON n.image_id = p.image_id AND n.x = p.x AND n.y = greatest(0, least(31, p.y + d)) GROUP BY p.image_id, p.x, p.y)"""
+
+
+def _objects(lower: int) -> str:
+    """Recursive CTEs that end in ``objects``: pixels above the level with the first pixel of their object (four neighbours)."""
+    return f"""WITH RECURSIVE {PX}, lit AS (SELECT image_id, x, y, v, y * 64 + x AS p FROM px WHERE v >= {lower}),
+    reached(image_id, p, x, y, first) AS (SELECT image_id, p, x, y, p FROM lit UNION SELECT n.image_id, n.p, n.x, n.y, r.first FROM reached r JOIN lit n ON n.image_id = r.image_id AND abs(n.x - r.x) + abs(n.y - r.y) = 1 AND n.p IN (r.p - 64, r.p - 1, r.p + 1, r.p + 64)),
+    objects AS (SELECT lit.*, first FROM lit JOIN (SELECT image_id, p, min(first) AS first FROM reached GROUP BY image_id, p) USING (image_id, p)),
+    found AS (SELECT image_id, first, count(*) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy, CAST(sum(x * y) AS DOUBLE) AS sxy, avg(v) AS mean, min(v) AS least, max(v) AS most, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM objects GROUP BY image_id, first),
+    shaped AS (SELECT *, sx / n AS cx, sy / n AS cy, x0 = 0 OR y0 = 0 OR x1 = 63 OR y1 = 31 AS edge, sxx / n - (sx / n) * (sx / n) + 1.0::DOUBLE / 12 AS mxx, syy / n - (sy / n) * (sy / n) + 1.0::DOUBLE / 12 AS myy, sxy / n - (sx / n) * (sy / n) AS mxy FROM found),
+    axes AS (SELECT *, sqrt((mxx + myy) / 2 + sqrt(pow((mxx - myy) / 2, 2) + mxy * mxy)) AS a, sqrt(greatest((mxx + myy) / 2 - sqrt(pow((mxx - myy) / 2, 2) + mxy * mxy), 1e-12)) AS b, degrees(atan2(2 * (sx * sy - n * sxy), n * sxx - sx * sx - n * syy + sy * sy)) / 2 AS turn FROM shaped)"""
+
+
+_SCORES = {
+    "percentile": "-abs(CAST(n1 AS DOUBLE) / total - 0.5)",
+    "otsu": "low * high * (a - b) * (a - b)",
+    "max_entropy": "ln(low) + h1 / low + ln(high) + (hh - h1) / high",
+    "yen": "2 * ln(low * high) - ln(q1 * (qq - q1))",
+    "min_error": "CASE WHEN va > 1e-9 AND vb > 1e-9 THEN 2 * (low * ln(low) + high * ln(high)) - low * ln(va) - high * ln(vb) END",
+    "triangle": "CASE WHEN v BETWEEN least(peak, last) AND greatest(peak, last) AND peak <> last THEN top + (foot - top) * (v - peak) / CAST(last - peak AS DOUBLE) - n END",
+}
+
+
+def _levels(source: str, key: str) -> str:
+    """CTEs that end in ``levels`` (key, method, level) of the planes of ``source``."""
+    best = " UNION ALL ".join(f"SELECT {key}, '{m}' AS method, CASE WHEN s IS NULL THEN {'peak' if m == 'triangle' else '0'} ELSE v END AS level FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s DESC NULLS LAST, v) AS k FROM (SELECT *, round({score if m in ('percentile', 'triangle') else f'CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN {score} END'}, 9) AS s FROM q)) WHERE k = 1" for m, score in _SCORES.items())
+    return f""", counts AS (SELECT {key}, v, count(*) AS n FROM {source} GROUP BY {key}, v),
+    dense AS (SELECT {key}, b.v, coalesce(n, 0) AS n FROM (SELECT DISTINCT {key} FROM counts) CROSS JOIN (SELECT CAST(unnest(range(256)) AS INT) AS v) b LEFT JOIN counts USING ({key}, v)),
+    sums AS (SELECT *, sum(n) OVER u AS n1, sum(n) OVER a AS total, sum(n * v) OVER u AS s1, sum(n * v) OVER a AS ss, sum(n * v * v) OVER u AS t1, sum(n * v * v) OVER a AS tt, sum(n * v * v * v) OVER a AS cc, max(n) OVER a AS top, min(CASE WHEN n > 0 THEN v END) OVER a AS first, max(CASE WHEN n > 0 THEN v END) OVER a AS final FROM dense WINDOW u AS (PARTITION BY {key} ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY {key})),
+    parts AS (SELECT *, n / CAST(total AS DOUBLE) AS p, CASE WHEN n1 > 0 THEN CAST(n1 AS DOUBLE) / CAST(total AS DOUBLE) END AS low, CASE WHEN n1 < total THEN CAST(total - n1 AS DOUBLE) / CAST(total AS DOUBLE) END AS high, CASE WHEN n1 > 0 THEN CAST(s1 AS DOUBLE) / CAST(n1 AS DOUBLE) END AS a, CASE WHEN n1 < total THEN CAST(ss - s1 AS DOUBLE) / CAST(total - n1 AS DOUBLE) END AS b, min(CASE WHEN n = top THEN v END) OVER (PARTITION BY {key}) AS peak FROM sums),
+    more AS (SELECT *, CASE WHEN final - peak >= peak - first THEN final ELSE first END AS last, CASE WHEN n > 0 THEN p * ln(p) ELSE 0 END AS e, CAST(t1 AS DOUBLE) / CAST(n1 AS DOUBLE) - a * a AS va, CASE WHEN n1 < total THEN CAST(tt - t1 AS DOUBLE) / CAST(total - n1 AS DOUBLE) - b * b END AS vb FROM parts),
+    q AS (SELECT *, max(CASE WHEN v = last THEN n END) OVER (PARTITION BY {key}) AS foot, -sum(e) OVER (PARTITION BY {key} ORDER BY v ROWS UNBOUNDED PRECEDING) AS h1, -sum(e) OVER (PARTITION BY {key}) AS hh, sum(p * p) OVER (PARTITION BY {key} ORDER BY v ROWS UNBOUNDED PRECEDING) AS q1, sum(p * p) OVER (PARTITION BY {key}) AS qq FROM more),
+    three AS (SELECT DISTINCT {key}, CAST(ss AS DOUBLE) / CAST(total AS DOUBLE) AS m1, CAST(tt AS DOUBLE) / CAST(total AS DOUBLE) AS m2, CAST(cc AS DOUBLE) / CAST(total AS DOUBLE) AS m3 FROM sums),
+    roots AS (SELECT *, (m1 * m3 - m2 * m2) / nullif(m2 - m1 * m1, 0) AS c0, (m1 * m2 - m3) / nullif(m2 - m1 * m1, 0) AS c1 FROM three),
+    shares AS (SELECT {key}, CASE WHEN c1 * c1 - 4 * c0 > 0 THEN ((sqrt(c1 * c1 - 4 * c0) - c1) / 2 - m1) / sqrt(c1 * c1 - 4 * c0) ELSE 1.0 END AS share FROM roots),
+    chosen AS ({best}
+      UNION ALL SELECT DISTINCT {key}, 'mean', CAST(floor(CAST(ss AS DOUBLE) / CAST(total AS DOUBLE)) AS INT) FROM sums
+      UNION ALL SELECT {key}, 'isodata', coalesce(min(CASE WHEN v >= floor((a + b) / 2) THEN v END), 0) FROM q GROUP BY {key}
+      UNION ALL SELECT {key}, 'moments', CAST(least(255, sum(CASE WHEN round(CAST(n1 AS DOUBLE) / CAST(total AS DOUBLE) - share, 9) <= 0 THEN 1 ELSE 0 END)) AS INT) FROM sums JOIN shares USING ({key}) GROUP BY {key}),
+    levels AS (SELECT {key}, method, CAST(CASE WHEN first = final THEN first ELSE level END AS INT) AS level FROM chosen JOIN (SELECT DISTINCT {key}, first, final FROM sums) USING ({key}))"""
+
+
+SQL |= {
+    "rank_min": _px(", m AS (" + _window("px", "CAST(min(n.v) AS DOUBLE)", 5) + ") SELECT image_id, x, y, v FROM m"),
+    "rank_variance": _px(", m AS (" + _window("px", "round(var_pop(n.v), 6)", 4) + ") SELECT image_id, x, y, v FROM m"),
+    "rank_median": _px(", m AS (" + _window("px", "CAST(median(n.v) AS DOUBLE)", 5) + ") SELECT image_id, x, y, v FROM m"),
+    "outliers_removed": _px(", m AS (" + _window("px", "CAST(median(n.v) AS DOUBLE)", 2) + ") SELECT image_id, x, y, CASE WHEN own - v > 15 THEN v ELSE CAST(own AS DOUBLE) END AS v FROM m"),
+    "top_hat": _px(", lo AS (" + _window("px", "min(n.v)", 5) + "), hi AS (" + _window("lo", "max(n.v)", 5) + ") SELECT image_id, x, y, CAST(px.v - hi.v AS DOUBLE) AS v FROM px JOIN hi USING (image_id, x, y)"),
+    "grey_closed": _px(", hi AS (" + _window("px", "max(n.v)", 2) + "), lo AS (" + _window("hi", "min(n.v)", 2) + ") SELECT image_id, x, y, CAST(v AS DOUBLE) AS v FROM lo"),
+    "gaussian": _px(_blur(2, 8) + " SELECT image_id, x, y, round(v, 6) AS v FROM blurred"),
+    "unsharp_mask": _px(_blur(1, 4) + " SELECT image_id, x, y, round((own - v * 0.6::DOUBLE) / (1 - 0.6::DOUBLE), 6) AS v FROM blurred"),
+    "ball_subtracted": _px(", lo AS (" + _window("px", "min(n.v - sqrt(CAST(36 - dx * dx - dy * dy AS DOUBLE)))", 36).replace("range(-36, 36 + 1)", "range(-6, 7)") + "), hi AS (" + _window("lo", "max(n.v + sqrt(CAST(36 - dx * dx - dy * dy AS DOUBLE)))", 36).replace("range(-36, 36 + 1)", "range(-6, 7)") + ") SELECT image_id, x, y, round(px.v - least(hi.v, px.v), 6) AS v FROM px JOIN hi USING (image_id, x, y)"),
+    "distance_map": _px(", g AS (SELECT p.image_id, p.x, p.y, min(abs(p.y - b.y)) AS g FROM px p LEFT JOIN px b ON b.image_id = p.image_id AND b.x = p.x AND b.v <= 0 GROUP BY p.image_id, p.x, p.y) SELECT p.image_id, p.x, p.y, round(sqrt(CAST(coalesce(min((p.x - q.x) * (p.x - q.x) + q.g * q.g), 0) AS DOUBLE)), 6) AS v FROM g p JOIN g q ON q.image_id = p.image_id AND q.y = p.y GROUP BY p.image_id, p.x, p.y"),
+    "holes_filled": f"WITH RECURSIVE {PX}, back AS (SELECT image_id, x, y FROM px WHERE v <= 0), open(image_id, x, y) AS (SELECT image_id, x, y FROM back WHERE x IN (0, 63) OR y IN (0, 31) UNION SELECT n.image_id, n.x, n.y FROM open o JOIN (SELECT CAST(unnest([1, -1, 0, 0]) AS INT) AS dx, CAST(unnest([0, 0, 1, -1]) AS INT) AS dy) d ON true JOIN back n ON n.image_id = o.image_id AND n.x = o.x + dx AND n.y = o.y + dy) SELECT px.image_id, px.x, px.y, CASE WHEN open.x IS NULL THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM px LEFT JOIN open USING (image_id, x, y)",
+    "particles": _objects(40) + " SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first) AS INT) AS label, n AS area, x0, y0, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, CAST(least AS DOUBLE) AS least, CAST(most AS DOUBLE) AS most, edge, round(cx + 0.5, 6) AS cx, round(cy + 0.5, 6) AS cy, round(mean, 6) AS mean, round(a * sqrt(n / (pi() * a * b)) * 2, 6) AS major, round(b * sqrt(n / (pi() * a * b)) * 2, 6) AS minor, round(CASE WHEN turn < 0 THEN turn + 180 ELSE turn END, 6) AS angle FROM axes",
+    "particle_summary": _objects(40) + " SELECT image_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS area, round(avg(n), 6) AS mean_area, round(100.0 * CAST(sum(n) AS DOUBLE) / 2048, 6) AS percent FROM shaped WHERE n >= 2 AND NOT edge GROUP BY image_id",
+    "auto_thresholds": _px(_levels("px", "image_id") + " SELECT * FROM levels"),
+    "threshold_applied": _st(_levels("st", "image_id, z") + " SELECT image_id, z, x, y, CASE WHEN v > level THEN 255 ELSE 0 END AS v FROM st JOIN levels USING (image_id, z) WHERE method = 'otsu'"),
+    "stack_threshold_applied": _st(_levels("st", "image_id") + " SELECT image_id, z, x, y, CASE WHEN v > level THEN 255 ELSE 0 END AS v FROM st JOIN levels USING (image_id) WHERE method = 'isodata'"),
+}
+
 SQL = {k: s.replace("\n,", ",").replace("\n, ", ", ") for k, s in SQL.items()}

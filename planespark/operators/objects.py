@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from planespark.operators.planes import convolve, distance, label, shifted
+from planespark.operators.planes import distance, label
 
 
 def basins(a: np.ndarray, tolerance: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -92,24 +92,6 @@ def ultimate_points(on: np.ndarray, tolerance: float = 0.5) -> np.ndarray:
     return out
 
 
-def outline(on: np.ndarray) -> np.ndarray:
-    """Foreground pixels with background among their eight neighbours; outside the plane is background."""
-    p = np.pad(on, 1)
-    h, w = on.shape
-    inner = np.logical_and.reduce([p[1 + j : 1 + j + h, 1 + i : 1 + i + w] for j in (-1, 0, 1) for i in (-1, 0, 1)])
-    return on & ~inner
-
-
-def shadows(direction: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Relief of an 8-bit plane lit from one of eight directions: 0 is north, then clockwise."""
-    ring = np.roll([1, 2, 1, 0, -1, -2, -1, 0], direction)
-    kernel = np.ones((3, 3))
-    for (y, x), k in zip([(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)], ring, strict=True):
-        kernel[y, x] = k
-    relief = convolve(kernel, normalise=False)
-    return lambda a: np.clip(relief(a), 0, 255)
-
-
 def thinned(on: np.ndarray) -> np.ndarray:
     """Skeleton by alternating passes until nothing changes (Zhang and Suen 1984)."""
     on = on.copy()
@@ -128,17 +110,6 @@ def thinned(on: np.ndarray) -> np.ndarray:
             return on
 
 
-def ball_background(radius: int) -> Callable[[np.ndarray], np.ndarray]:
-    """What a ball rolled under the surface reaches: the opening by a half sphere (Sternberg 1983)."""
-    spots = [(dy, dx, float(np.sqrt(radius * radius - dy * dy - dx * dx))) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-
-    def run(a: np.ndarray) -> np.ndarray:
-        low = np.minimum.reduce([shifted(a, dy, dx) - z for dy, dx, z in spots])
-        return np.minimum(np.maximum.reduce([shifted(low, -dy, -dx) + z for dy, dx, z in spots]), a)
-
-    return run
-
-
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull of (x, y) points, counter-clockwise (monotone chain)."""
     points = np.unique(points, axis=0)

@@ -1,8 +1,10 @@
 """Automatic thresholds of 8-bit planes: published methods on 256 counts a plane.
 
-Counting is a grouped aggregation; what reaches Python is one row of 256 counts
-a plane. A level t puts values above t in the foreground. A plane with one
-value has that value as its level; where a method finds nothing it gives 0.
+Counting is a grouped aggregation, and most methods are windows over the counts
+of each plane. Three methods repeat steps until nothing changes; these get one
+row of 256 counts a plane. A level t puts values above t in the foreground. A
+plane with one value has that value as its level; where a method finds nothing
+it gives 0. Scores are compared to nine decimals, ties go to the lower level.
 """
 
 from __future__ import annotations
@@ -11,95 +13,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-_BINS = np.arange(256.0)
-
-
-def _classes(n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Share of pixels up to each level, and the mean of both sides (NaN where a side is empty)."""
-    p = n / n.sum()
-    low, first = np.cumsum(p), np.cumsum(p * _BINS)
-    with np.errstate(all="ignore"):
-        return p, low, first / low, (first[-1] - first) / np.where(low < 1 - 1e-12, 1 - low, np.nan)
-
-
-def _best(score: np.ndarray) -> int:
-    score = np.where(np.isfinite(score), score, -np.inf)
-    return int(score.argmax()) if np.isfinite(score).any() else 0
-
-
-def mean(n: np.ndarray) -> int:
-    """The mean value (Glasbey 1993)."""
-    return int((n * _BINS).sum() / n.sum())
-
-
-def percentile(n: np.ndarray, share: float = 0.5) -> int:
-    """The level whose share of pixels is nearest to a fixed one (Doyle 1962)."""
-    return int(np.abs(np.cumsum(n) / n.sum() - share).argmin())
-
-
-def isodata(n: np.ndarray) -> int:
-    """The lowest level that is not below the middle of the means of its sides (Ridler and Calvard 1978)."""
-    _, _, a, b = _classes(n)
-    ok = np.flatnonzero(_BINS >= np.floor((a + b) / 2))
-    return int(ok[0]) if len(ok) else 0
-
-
-def otsu(n: np.ndarray) -> int:
-    """Largest variance between the sides (Otsu 1979)."""
-    _, w, a, b = _classes(n)
-    return _best(w * (1 - w) * (a - b) ** 2)
-
+#: Methods that are windows over the counts, with their sources.
+#: mean (Glasbey 1993), percentile (Doyle 1962), isodata (Ridler and Calvard 1978), otsu (Otsu 1979),
+#: max_entropy (Kapur, Sahoo and Wong 1985), yen (Yen, Chang and Chang 1995), min_error (Kittler and Illingworth 1986),
+#: moments (Tsai 1985), triangle (Zack, Rogers and Latt 1977).
+DIRECT = ("mean", "percentile", "isodata", "otsu", "max_entropy", "yen", "min_error", "moments", "triangle")
 
-def max_entropy(n: np.ndarray) -> int:
-    """Largest sum of the entropies of the sides (Kapur, Sahoo and Wong 1985)."""
-    p, w, _, _ = _classes(n)
-    plogp = np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0)
-    h = -np.cumsum(plogp)
-    with np.errstate(all="ignore"):
-        rest = np.where(w < 1 - 1e-12, 1 - w, np.nan)
-        return _best(np.log(w) + h / w + np.log(rest) + (h[-1] - h) / rest)
-
-
-def yen(n: np.ndarray) -> int:
-    """Largest total correlation (Yen, Chang and Chang 1995)."""
-    p, w, _, _ = _classes(n)
-    square = np.cumsum(p * p)
-    with np.errstate(all="ignore"):
-        return _best(2 * np.log(w * (1 - w)) - np.log(square * (square[-1] - square)))
 
-
-def min_error(n: np.ndarray) -> int:
-    """Least classification error of two normal distributions (Kittler and Illingworth 1986)."""
-    p, w, a, b = _classes(n)
-    second = np.cumsum(p * _BINS**2)
-    with np.errstate(all="ignore"):
-        rest = np.where(w < 1 - 1e-12, 1 - w, np.nan)
-        va, vb = second / w - a**2, (second[-1] - second) / rest - b**2
-        cost = 1 + w * np.log(va) + rest * np.log(vb) - 2 * (w * np.log(w) + rest * np.log(rest))
-    return _best(np.where((va > 1e-9) & (vb > 1e-9), -cost, np.nan))
-
-
-def moments(n: np.ndarray) -> int:
-    """Two levels that keep the first three moments; the share of the lower one sets the threshold (Tsai 1985)."""
-    p = n / n.sum()
-    m1, m2, m3 = ((p * _BINS**k).sum() for k in (1, 2, 3))
-    spread = m2 - m1 * m1
-    if spread <= 0:
-        return 0
+def _counts(px: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and 256 counts."""
+    counts = px.groupBy(*keys, F.col("v").cast("int").alias("v")).agg(F.count("*").alias("n"))
+    counts = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("at"))
+    return counts.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0))).alias("counts"))
+
+
+def levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = DIRECT) -> DataFrame:
+    """keys, method, level for every plane of 8-bit values, by methods of DIRECT."""
+    line = Window.partitionBy(*keys).orderBy("v")
+    upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = _counts(px, keys).select(*keys, F.posexplode("counts").alias("v", "n"))
+    v, n = F.col("v").cast("double"), F.col("n").cast("double")
+    h = h.withColumns({"n_all": F.sum(n).over(whole), "n1": F.sum(n).over(upto), "s_all": F.sum(n * v).over(whole), "s1": F.sum(n * v).over(upto), "t_all": F.sum(n * v * v).over(whole), "t1": F.sum(n * v * v).over(upto), "c_all": F.sum(n * v * v * v).over(whole)})
+    h = h.withColumn("p", n / F.col("n_all")).withColumn("e", F.when(F.col("n") > 0, F.col("p") * F.log("p")).otherwise(0.0))
+    h = h.withColumns({"h_all": -F.sum("e").over(whole), "h1": -F.sum("e").over(upto), "q_all": F.sum(F.col("p") * F.col("p")).over(whole), "q1": F.sum(F.col("p") * F.col("p")).over(upto)})
+    some, rest = F.col("n1") > 0, F.col("n1") < F.col("n_all")
+    h = h.withColumns({"low": F.when(some, F.col("n1") / F.col("n_all")), "high": F.when(rest, (F.col("n_all") - F.col("n1")) / F.col("n_all")), "a": F.when(some, F.col("s1") / F.col("n1")), "b": F.when(rest, (F.col("s_all") - F.col("s1")) / (F.col("n_all") - F.col("n1")))})
+    used = F.when(F.col("n") > 0, F.col("v"))
+    h = h.withColumns({"peak": F.min_by("v", F.struct((-n).alias("k"), F.col("v"))).over(whole), "first": F.min(used).over(whole), "last": F.max(used).over(whole), "top": F.max(n).over(whole)})
+    h = h.withColumn("end", F.when(F.col("last") - F.col("peak") >= F.col("peak") - F.col("first"), F.col("last")).otherwise(F.col("first")))
+    h = h.withColumn("foot", F.max(F.when(F.col("v") == F.col("end"), n)).over(whole))
+    m1, m2, m3 = F.col("s_all") / F.col("n_all"), F.col("t_all") / F.col("n_all"), F.col("c_all") / F.col("n_all")
+    spread = F.nullif(m2 - m1 * m1, F.lit(0.0))
     c0, c1 = (m1 * m3 - m2 * m2) / spread, (m1 * m2 - m3) / spread
-    root = np.sqrt(max(c1 * c1 - 4 * c0, 0.0))
-    z0, z1 = (-c1 - root) / 2, (-c1 + root) / 2
-    share = (z1 - m1) / (z1 - z0) if z1 > z0 else 1.0
-    return int(np.searchsorted(np.cumsum(p), share, "right").clip(0, 255))
+    root = F.sqrt(F.greatest(c1 * c1 - c0 * 4, F.lit(0.0)))
+    share = F.when(root > 0, ((root - c1) / 2 - m1) / root).otherwise(1.0)
+    low, high, a, b = (F.col(c) for c in ("low", "high", "a", "b"))
+    va, vb = F.try_divide(F.col("t1"), F.col("n1")) - a * a, F.try_divide(F.col("t_all") - F.col("t1"), F.col("n_all") - F.col("n1")) - b * b
+    between = F.col("v").between(F.least("peak", "end"), F.greatest("peak", "end"))
+
+    def best(score: Column) -> Column:
+        s = F.round(score, 9)
+        return F.coalesce(-F.max(F.when(s.isNotNull() & ~F.isnan(s), F.struct(s.alias("s"), (-F.col("v")).alias("v"))))["v"], F.lit(0))
+
+    made = {
+        "mean": F.floor(F.max(m1)),
+        "percentile": best(-F.abs(F.col("n1") / F.col("n_all") - 0.5)),
+        "isodata": F.coalesce(F.min(F.when(F.col("v") >= F.floor((a + b) / 2), F.col("v"))), F.lit(0)),
+        "otsu": best(low * high * (a - b) * (a - b)),
+        "max_entropy": best(F.log(low) + F.col("h1") / low + F.log(high) + (F.col("h_all") - F.col("h1")) / high),
+        "yen": best(F.log(low * high) * 2 - F.log(F.col("q1") * F.when(rest, F.col("q_all") - F.col("q1")))),
+        "min_error": best(F.when((va > 1e-9) & (vb > 1e-9), (low * F.log(low) + high * F.log(high)) * 2 - low * F.log(va) - high * F.log(vb))),
+        "moments": F.least(F.sum(F.when(F.round(F.col("n1") / F.col("n_all") - share, 9) <= 0, 1).otherwise(0)), F.lit(255)),
+        "triangle": F.when(F.max("end") == F.max("peak"), F.max("peak")).otherwise(best(F.when(between, F.col("top") + (F.col("foot") - F.col("top")) * (F.col("v") - F.col("peak")) / F.nullif(F.col("end") - F.col("peak"), F.lit(0)) - n))),
+    }
+    found = h.groupBy(*keys).agg(F.min("first").alias("_first"), F.max("last").alias("_last"), *(made[m].cast("int").alias(f"_{m}") for m in methods))
+    pairs = F.array(*(F.struct(F.lit(m).alias("method"), F.when(F.col("_first") == F.col("_last"), F.col("_first")).otherwise(F.col(f"_{m}")).alias("level")) for m in methods))
+    return found.select(*keys, F.inline(pairs))
+
+
+def applied(px: DataFrame, keys: list[str], method: str, whole_stack: bool = False) -> DataFrame:
+    """255 above the method's level of each plane (keys and z), or of each stack, and 0 up to it."""
+    at = [k for k in keys if k != "z"] if whole_stack else keys
+    level = levels(px, at, (method,)).select(*at, "level")
+    return px.join(level, at).select(*keys, "x", "y", F.when(F.col("v") > F.col("level"), 255).otherwise(0).alias("v"))
+
+
+# Methods that repeat steps, on one row of counts
+
+_BINS = np.arange(256.0)
 
 
 def li(n: np.ndarray) -> int:
     """Minimum cross entropy, by iteration from the mean (Li and Tam 1998)."""
-    _, _, a, b = _classes(n)
-    t = mean(n)
+    below, total = np.cumsum(n), np.cumsum(n * _BINS)
+    with np.errstate(all="ignore"):
+        a, b = total / below, (total[-1] - total) / (below[-1] - below)
+    t = int(total[-1] / below[-1])
     for _ in range(256):
         low, high = max(a[t], 1e-9), max(b[t], 1e-9)
         if not np.isfinite(low) or not np.isfinite(high) or high <= low:
@@ -111,18 +104,6 @@ def li(n: np.ndarray) -> int:
     return t
 
 
-def triangle(n: np.ndarray) -> int:
-    """Farthest bin from the line between the peak and the farther end of the histogram (Zack, Rogers and Latt 1977)."""
-    used = np.flatnonzero(n)
-    lo, hi, peak = int(used[0]), int(used[-1]), int(n.argmax())
-    end = hi if hi - peak >= peak - lo else lo
-    if end == peak:
-        return peak
-    bins = np.arange(min(peak, end), max(peak, end) + 1)
-    line = n[peak] + (n[end] - n[peak]) * (bins - peak) / (end - peak)
-    return int(bins[(line - n[bins]).argmax()])
-
-
 def _smoothed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Counts after running means of three until only two peaks are left, and those peaks."""
     h = n.astype(float)
@@ -149,21 +130,19 @@ def minimum(n: np.ndarray) -> int:
     return int(found[1][0] + found[0][found[1][0] : found[1][1] + 1].argmin()) if found else 0
 
 
-METHODS = {f.__name__: f for f in (mean, percentile, isodata, otsu, max_entropy, yen, min_error, moments, li, triangle, intermodes, minimum)}
+ITERATED = {"li": li, "intermodes": intermodes, "minimum": minimum}
 
 
-def levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
-    """keys, method, level for every plane of 8-bit values."""
-    counts = px.groupBy(*keys, F.col("v").cast("int").alias("v")).agg(F.count("*").alias("n"))
-    counts = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("at"))
-    counts = counts.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0))).alias("counts"))
+def iterated_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = tuple(ITERATED)) -> DataFrame:
+    """keys, method, level for every plane of 8-bit values, by methods of ITERATED."""
+    counts = _counts(px, keys)
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema.fields[:-1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [np.asarray(c, np.int64) for c in batch["counts"]]
             for name in methods:
-                level = [int(n.argmax()) if (n > 0).sum() == 1 else METHODS[name](n) for n in rows]
+                level = [int(n.argmax()) if (n > 0).sum() == 1 else ITERATED[name](n) for n in rows]
                 yield batch[keys].assign(method=name, level=level)
 
     return counts.mapInPandas(run, f"{head}, method string, level int")

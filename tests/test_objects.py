@@ -72,27 +72,13 @@ def test_hull_and_diameters():
     assert abs(min(turned) - least) < 1e-3 and area > 0
 
 
-def test_outline_and_skeleton():
+def test_skeleton():
     on = np.zeros((9, 15), bool)
     on[2:7, 2:13] = True
-    assert (O.outline(on).sum(), O.outline(np.ones((3, 3), bool)).sum()) == (28, 8)
     thin = O.thinned(on)
     assert thin.any() and not (thin & ~on).any() and label(thin).max() == 1 and thin.sum() < 15
 
 
-def test_ball_background():
-    a = np.add.outer(np.arange(15.0), np.zeros(15))
-    a[7, 7] += 40
-    back = O.ball_background(4)(a)
-    assert (back <= a).all() and a[7, 7] - back[7, 7] > 35
-
-
-def test_shadows():
-    a = np.zeros((5, 5))
-    a[2, 2] = 10
-    assert O.shadows(0)(a)[3, 2] == 20 and O.shadows(4)(a)[1, 2] == 20
-
-
 def test_spectra():
     a, b = RANDOM.random((8, 8)), RANDOM.random((8, 8))
     want = [[sum(a[(y + j) % 8, (x + i) % 8] * b[j, i] for j in range(8) for i in range(8)) for x in range(8)] for y in range(8)]

@@ -15,7 +15,7 @@ def values(rows):
     return sorted(tuple(str(round(x, 6) + 0.0 if isinstance(x, float) else x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["pixel_arithmetic", "type_conversion", "bin_blocks", "measure_regions", "mode_median", "otsu_threshold", "equalised", "substack", "despeckle", "text_image", "text_image_read", "xy_coordinates", "image_to_table", "measure_stack", "lane_profiles", "lookup_table", "window_level", "merge_channels", "region_algebra", "filter_3d", "depth_rescaled", "line_profile", "side_by_side", "curve_fits", "table_edits", "raw_round_trip", "stream_frame_profile", "stream_projection", "stream_histogram", "shadows", "outline", "region_lengths"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

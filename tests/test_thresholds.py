@@ -1,4 +1,4 @@
-"""Automatic thresholds on histograms whose answer is known, and across planes."""
+"""Automatic thresholds on histograms whose answer is known, against brute force, and applied."""
 
 import numpy as np
 import pytest
@@ -8,39 +8,32 @@ from planespark.operators import thresholds as T
 RANDOM = np.random.default_rng(5)
 
 
-def two_modes():
-    a = np.concatenate([RANDOM.normal(60, 10, 6000), RANDOM.normal(180, 12, 4000)])
-    return np.bincount(np.clip(np.floor(a), 0, 255).astype(int), minlength=256)
-
-
-@pytest.mark.parametrize("name", sorted(set(T.METHODS) - {"percentile", "triangle"}))
-def test_between_modes(name):
-    assert 75 <= T.METHODS[name](two_modes()) <= 165
-
-
-def test_percentile_and_triangle():
-    n = two_modes()
-    assert 55 <= T.percentile(n) <= 75
-    assert 60 < T.triangle(n) < 160
+def planes(spark, *planes_of_values):
+    rows = [(k, int(v)) for k, values in enumerate(planes_of_values) for v in values]
+    return spark.createDataFrame(rows, "image_id int, v int")
 
 
-def test_otsu_brute_force():
-    n = RANDOM.integers(0, 50, 256)
-    v = np.repeat(np.arange(256), n)
-    split = [((v <= t).mean() * (v > t).mean() * (v[v <= t].mean() - v[v > t].mean()) ** 2) if 0 < (v <= t).sum() < len(v) else -1 for t in range(256)]
-    assert T.otsu(n) == int(np.argmax(split))
-
-
-@pytest.mark.parametrize("name", sorted(T.METHODS))
-def test_few_values(name):
-    n = np.zeros(256, int)
-    n[[0, 255]] = 5, 9
-    assert 0 <= T.METHODS[name](n) <= 255
-
-
-def test_planes(spark):
-    px = spark.createDataFrame([(1, x, 0, 7) for x in range(4)] + [(2, x, 0, 10 if x < 2 else 200) for x in range(4)], "image_id int, x int, y int, v int")
-    got = {(r.image_id, r.method): r.level for r in T.levels(px, ["image_id"], ("otsu", "mean", "isodata")).collect()}
-    assert got[1, "otsu"] == got[1, "mean"] == got[1, "isodata"] == 7
-    assert got[2, "otsu"] == 10 and got[2, "mean"] == 105 and 10 <= got[2, "isodata"] < 200
-    assert T.levels(px.where("v > 300"), ["image_id"]).count() == 0
+def two_modes():
+    a = np.concatenate([RANDOM.normal(60, 10, 6000), RANDOM.normal(180, 12, 4000)])
+    return np.clip(np.floor(a), 0, 255).astype(int)
+
+
+def test_all_methods(spark):
+    flat = RANDOM.integers(0, 256, 4000)
+    px = planes(spark, two_modes(), flat, [7] * 5, [0] * 5 + [255] * 9)
+    got = {(r.image_id, r.method): r.level for f in (T.levels, T.iterated_levels) for r in f(px, ["image_id"]).collect()}
+    methods = {*T.DIRECT, *T.ITERATED}
+    assert set(got) == {(k, m) for k in range(4) for m in methods}
+    assert all(75 <= got[0, m] <= 165 for m in methods - {"percentile", "triangle"})
+    assert 55 <= got[0, "percentile"] <= 75 and 60 < got[0, "triangle"] < 160
+    assert {got[2, m] for m in methods} == {7} and all(0 <= got[3, m] <= 255 for m in methods)
+    split = [((flat <= t).mean() * (flat > t).mean() * (flat[flat <= t].mean() - flat[flat > t].mean()) ** 2) if 0 < (flat <= t).sum() < len(flat) else -1 for t in range(256)]
+    assert got[1, "otsu"] == int(np.argmax(split)) and got[1, "mean"] == int(flat.mean())
+    assert T.levels(px.where("v > 300"), ["image_id"]).count() == T.iterated_levels(px.where("v > 300"), ["image_id"]).count() == 0
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_applied(spark, whole):
+    px = spark.createDataFrame([(1, z, x, 0, 10 * z + (200 if x > 1 else 0)) for z in (1, 2) for x in range(4)], "image_id int, z int, x int, y int, v int")
+    got = {(r.z, r.x): r.v for r in T.applied(px, ["image_id", "z"], "otsu", whole).collect()}
+    assert got == {(z, x): 255 if x > 1 else 0 for z in (1, 2) for x in range(4)}
