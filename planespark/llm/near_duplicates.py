@@ -10,7 +10,9 @@ ones branch again. Links are then confirmed on the full shingle sets:
    find nearly all groups with about one comparison a document);
 2. after the components of these links, all pairs of members that share a node
    and are still in different components. Large nodes whose members are all in
-   one component are done; the others go on branching until they are small.
+   one component are done. Where few members are outside the largest component,
+   these meet all others in blocks, which costs about one row a member; nodes
+   with many outside go on branching until it is so.
 
 Groups of any size are never expanded into all their pairs. The number of roots
 follows from RECALL: a pair at the least similarity that counts shares a small
@@ -414,37 +416,38 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, sketches: DataFrame, found: DataFrame, leaf: int, deeper: int, work: Workspace) -> DataFrame:
     """Members, with texts, of the nodes whose members are in several components, sorted by node.
 
-    Large nodes branch, as long as they are mixed, until they are small. What
-    ``deeper`` levels leave large (sketches that no pick tells apart) is met in
-    blocks: members outside the node's largest component meet all others.
+    Large nodes branch until no more than ``leaf`` of their members are outside
+    the largest component. What ``deeper`` levels leave (sketches that no pick
+    tells apart) is met in blocks all the same.
     """
     labelled = texts.select("c").join(found.withColumnRenamed("id", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("component"))
 
     def mixed(rows: DataFrame, name: str) -> DataFrame:
-        sizes = work.save(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node", "size"), name)
-        return join_hot(rows, sizes, "node", "size", ["c"]).where("size is not null")
-
-    out = mixed(leaf_rows.join(labelled, "c"), "mixed-leaves").select("node", "c", "component", F.lit(0).alias("side"))
-    rows = None if large is None else mixed(large.select("node", "c").join(labelled, "c").select("node", "c", "component"), "mixed0")
-    for d in range(1, deeper + 1):
+        """Members of mixed nodes, with the node's size, largest component and number of members outside it."""
+        parts = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
+        sizes = parts.groupBy("node").agg(F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("rest")).where("rest > 0")
+        return join_hot(rows, work.save(sizes, name), "node", "size", ["c"]).where("size is not null")
+
+    small = lambda rows: rows.where(F.col("size") <= leaf).select("node", "c", "component", F.lit(0).alias("side"))
+    out = small(mixed(leaf_rows.join(labelled, "c").select("node", "c", "component"), "mixed-leaves"))
+    rows = None if large is None else work.save(mixed(large.select("node", "c").join(labelled, "c").select("node", "c", "component"), "mixed0"), "rows0")
+    for d in range(1, deeper + 2):
         if rows is None or rows.isEmpty():
             break
-        children = work.save(rows.join(sketches, "c").select("node", "c", "sketch", "component").mapInArrow(_branch(MIXED_PICKS if d == 1 else 0), "node long, c long, component long"), f"children{d}")
+        open_ = (F.col("rest") > leaf) & F.lit(d <= deeper)
+        out = out.union(small(rows)).union(_blocks(rows.where((F.col("size") > leaf) & ~open_), leaf))
+        wide = rows.where((F.col("size") > leaf) & open_)
+        if wide.isEmpty():
+            break
+        children = work.save(wide.join(sketches, "c").select("node", "c", "sketch", "component").mapInArrow(_branch(MIXED_PICKS if d == 1 else 0), "node long, c long, component long"), f"children{d}")
         rows = work.save(mixed(children, f"mixed{d}"), f"rows{d}")
-        out = out.union(rows.where(F.col("size") <= leaf).select("node", "c", "component", F.lit(0)))
-        rows = rows.where(F.col("size") > leaf)
-    if rows is not None and not rows.isEmpty():
-        out = out.union(_blocks(rows, leaf))
     near = out.join(sketches, "c").select("node", "c", "component", "side", "sketch").repartition("node").sortWithinPartitions("node", "c").mapInArrow(_still_close, "node long, c long, component long, side int")
     return near.join(texts.hint("merge"), "c").repartition("node").sortWithinPartitions("node", "c").select("node", "c", "component", "side", "text")
 
 
 def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
     """Members of large nodes dealt into blocks in which each member outside the main component meets every other."""
-    sizes = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
-    most = sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("total"), (F.sum("k") - F.max("k")).alias("rest"))
-    rows = rows.join(most, "node")
-    across = F.ceil(F.col("total") / leaf).cast("int")
+    across = F.ceil(F.col("size") / leaf).cast("int")
     down = F.ceil(F.col("rest") / leaf).cast("int")
     own = F.col("component") != F.col("main")
     block = lambda n, seed: F.pmod(F.xxhash64("c", F.lit(seed)), n).cast("int")
