@@ -9,14 +9,15 @@ ones branch again. Links are then confirmed on the full shingle sets:
 1. each member with the first member of its node whose sketch is close (stars
    find nearly all groups with about one comparison a document);
 2. after the components of these links, all pairs of members that share a node
-   and are still in different components. Large nodes whose members are all in
-   one component are done. Where few members are outside the largest component,
-   these meet all others in blocks, which costs about one row a member; nodes
-   with many outside go on branching until it is so.
-
-Groups of any size are never expanded into all their pairs. The number of roots
-follows from RECALL: a pair at the least similarity that counts shares a small
-node of some tree with at least that probability, branching levels included.
+   and are still in different components.
+
+So two members of a leaf, or of a large node of the last level, are either in
+one component already or compared by sketch and then exactly. Members of a large
+node above the last level are compared with its first member and branch again: a
+pair that no child keeps together is not compared. Groups of any size are never
+expanded into all their pairs; a large node of the last level whose members are
+in many components costs (its size) x (members outside the largest) / LEAF rows.
+``meets`` gives the probability that a pair meets, branching levels included.
 """
 
 from __future__ import annotations
@@ -30,44 +31,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planespark.llm.common import Workspace, join_hot, list_array, slices, text_bytes
+from planespark.llm.common import Workspace, list_array, slices, text_bytes
 from planespark.llm.components import components
 
 #: Minwise tokens of a sketch; one byte of each is kept.
 TOKENS = 128
-#: Members up to which a node is compared exhaustively; levels before the first links are confirmed; and most levels after them.
+#: Independent trees, and minwise tokens that each root picks.
+TREES = 4
+ROOT_PICKS = 3
+#: Members up to which a node is compared exhaustively, and the deepest level.
 LEAF = 200
-DEPTH = 2
-DEEPER = 16
-#: Every node makes one pick, and one node in so many a second one (1 / 0.8 picks on average); a node that is still mixed after the first links makes so many more.
-SECOND_PICK = 4
-MIXED_PICKS = 3
+DEPTH = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Sketches agree in at least this share of tokens to be compared on full sets (4.9 standard deviations below 0.8).
 CLOSE = 0.625
-#: Probability, at least, that a pair at PERCENT meets in a small node, where LEVELS levels of nodes are large.
-RECALL = 0.9999
-LEVELS = 3
-#: Comparisons with one first member that go to one task.
-FAN = 500
 #: Text that one step of the vectorised shingling works on.
 STEP_BYTES = 2 << 20
 
 
 
-def meets(similarity: float, levels: int, roots: int) -> float:
-    """Probability that a pair meets in a node below ``levels`` large ones in one of the trees at least (a branching process)."""
+def meets(similarity: float, levels: int, roots: int = TREES * ROOT_PICKS) -> float:
+    """Probability that a pair is together in a node below ``levels`` large ones, in one of the trees at least (a branching process)."""
     on = 1.0
     for _ in range(levels):
         miss = 1 - similarity * on
-        on = 1 - miss * (1 - 1 / SECOND_PICK + miss / SECOND_PICK)
+        on = 1 - miss * (0.75 + 0.25 * miss)  # one pick, and a second one at every fourth node
     return 1 - (1 - similarity * on) ** roots
 
 
-#: Independent trees: the fewest that reach RECALL.
-ROOTS = next(n for n in range(1, TOKENS) if meets(PERCENT / 100, LEVELS, n) >= RECALL)
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -149,11 +141,11 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id, sig (hash of the text), n (set size), digest of the set, sketch (TOKENS bytes) and the child of each root."""
-    kind = "id long, sig long, n long, digest binary, sketch binary, roots array<long>"
+    """id, n (set size), digest of the set, sketch (TOKENS bytes) and the child of each root pick."""
+    kind = "id long, n long, digest binary, sketch binary, roots array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picks = np.arange(ROOTS)
+        picks = np.arange(TREES * ROOT_PICKS)
         for batch in batches:
             for a, b in slices(batch.column(1), STEP_BYTES):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), words)
@@ -169,38 +161,33 @@ def features(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        batch.column(2).slice(a, b - a),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                         pa.array(sketch, pa.binary()),
                         list_array(roots.ravel(), np.concatenate([[0], np.cumsum(counts)])),
                     ],
-                    names=["id", "sig", "n", "digest", "sketch", "roots"],
+                    names=["id", "n", "digest", "sketch", "roots"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sig")).mapInArrow(run, kind)
-
-
-def _branch(more: int = 0):
-    """Children of (node, c, sketch, component): one pick and ``more``, and another one at every SECOND_PICK-th node."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column(0).to_numpy().view(np.uint64)
-            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, TOKENS)
-            rows, children = [], []
-            for pick in range(more + 2):
-                drawn = _mix(node + _PLACES[pick])
-                on = np.flatnonzero((pick <= more) | ((drawn >> np.uint64(32)) % np.uint64(SECOND_PICK) == 0))
-                token = (drawn[on] % np.uint64(TOKENS)).astype(np.int64)
-                rows.append(on)
-                children.append(_mix(drawn[on] ^ (sketch[on, token].astype(np.uint64) + np.uint64(1)) * _PLACES[2]).view(np.int64))
-            rows = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), batch.column(1).take(rows), batch.column(3).take(rows)], names=["node", "c", "component"])
 
-    return run
+def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Children of (node, id, sketch): one pick, and a second one at every fourth node (1 / 0.8 picks on average)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column(0).to_numpy().view(np.uint64)
+        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, TOKENS)
+        rows, children = [], []
+        for pick in range(2):
+            drawn = _mix(node + _PLACES[pick])
+            on = np.flatnonzero((pick == 0) | (drawn >> np.uint64(62) == 0))
+            token = (drawn[on] % np.uint64(TOKENS)).astype(np.int64)
+            rows.append(on)
+            children.append(_mix(drawn[on] ^ (sketch[on, token].astype(np.uint64) + np.uint64(1)) * _PLACES[2]).view(np.int64))
+        rows = np.concatenate(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), batch.column(1).take(pa.array(rows))], names=["node", "id"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -231,7 +218,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for table in whole_groups(batches, "node"):
         node = table["node"].to_numpy()
-        ids = table["c"].to_numpy()
+        ids = table["id"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
         left = np.arange(len(node))
         pairs, alone, joined = [], [], np.zeros(len(node), bool)
@@ -297,7 +284,7 @@ def _verify_groups(words: int):
             found_a, found_b = [], []
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 part = table.slice(lo, hi - lo)
-                ids, side = part["c"].to_pylist(), part["side"].to_pylist()
+                ids, side = part["id"].to_pylist(), part["side"].to_pylist()
                 up = {x: x for x in part["component"].to_pylist()}
 
                 def root(x: int, up: dict = up) -> int:
@@ -319,93 +306,90 @@ def _verify_groups(words: int):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, leaf: int = LEAF, depth: int = DEPTH, deeper: int = DEEPER) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
     Words are split at ASCII white space after lower-casing A-Z; a set holds the
     distinct shingles of ``words`` words, or the whole sequence as one shingle
     where there are fewer. Null or blank text has an empty set and is linked
     with nothing. component_id is the smallest key reachable through links; kept
-    marks the row with that key. Rows that share a key but not a text are
-    members of their own: each has the links of its own text. Equal rows give
-    equal rows; a null key gives a null component_id and is kept, and its text
-    links nothing. Other columns do not pass.
+    marks the row with that key. Rows that share a key but not a set are members
+    of their own: each has the links of its own text. Equal rows give equal
+    rows; a null key gives a null component_id and is kept. Other columns do not
+    pass.
     """
     work = Workspace(spark, "near")
     feats = work.save(features(docs, key, text, words), "features")
-    classes = feats.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
-    classes = work.save(classes.select(F.monotonically_increasing_id().alias("c"), "digest", "rep.id", "rep.sig", "copies", "sketch", "roots"), "classes")  # written, so that the numbers stay
-    sketches = classes.select("c", "sketch")
+    several = feats.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        return _linked(spark, docs, feats, work, key, text, words, leaf, depth)
+    # Each row gets a number of its own and is a member by that; components then get their smallest key.
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
+    found = _linked(spark, rows, work.save(features(rows, "row", "text", words), "row-features"), work, "row", "text", words, leaf, depth)
+    named = work.save(found.join(rows.select("row", "key"), "row").select("key", "n_shingles", "component_id"), "named")
+    least = named.groupBy("component_id").agg(F.min("key").alias("least"))
+    out = named.join(least, "component_id").select(F.col("key").alias(key), "n_shingles", F.col("least").alias("component_id"), (F.col("key") == F.col("least")).alias("kept"))
+    unnamed = feats.where("id is null").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(unnamed)
+
+
+def _linked(spark: SparkSession, docs: DataFrame, feats: DataFrame, work: Workspace, key: str, text: str, words: int, leaf: int, depth: int) -> DataFrame:
+    """The result for keys each of which stands for one set."""
+    least = work.save(feats.where("n > 0").groupBy("digest").agg(F.min("id").alias("class")), "classes")
+    classes = feats.where("n > 0").join(least.where("class is not null").select("digest", F.col("class").alias("id")), ["digest", "id"], "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
+    classes = work.save(classes, "sketches")
 
     # Down the trees.
-    level = classes.select(F.explode("roots").alias("node"), "c")
+    level = classes.select(F.explode("roots").alias("node"), "id")
     leaves, large, stars = [], None, []
     for d in range(1, depth + 1):
-        members = work.save(_sized(level, work, d), f"members{d}")
-        leaves.append(members.where(F.col("size") <= leaf).select("node", "c"))
+        size = level.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
+        members = work.save(level.join(size, "node"), f"level{d}")
+        leaves.append(members.where(F.col("size") <= leaf).select("node", "id"))
         large = members.where(F.col("size") > leaf)
         if large.isEmpty():
             large = None
             break
-        heads = large.select("first").distinct().join(sketches.withColumnRenamed("c", "first"), "first")  # one row a large node, about
-        wide = work.save(join_hot(large.join(sketches, "c"), work.save(_fans(large, "first").join(heads.withColumnRenamed("sketch", "head"), "first"), f"heads{d}"), "first", "k", ["c"]), f"wide{d}")
-        stars.append(wide.where("first <> c").select(F.col("first").alias("a"), F.col("c").alias("b"), "head", "sketch").mapInArrow(_close, "a long, b long"))
+        stars.append(large.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b"))
         if d < depth:
-            level = work.save(wide.select("node", "c", "sketch", F.lit(0).cast("long").alias("component")).mapInArrow(_branch(), "node long, c long, component long").select("node", "c"), f"level{d}")
+            level = large.select("node", "id").join(classes.select("id", "sketch"), "id").select("node", "id", "sketch").mapInArrow(_branch, "node long, id long")
     leaf_rows = leaves[0]
     for x in leaves[1:]:
         leaf_rows = leaf_rows.union(x)
 
     # Stars, confirmed on full sets.
-    pairs = leaf_rows.join(sketches, "c").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c").mapInArrow(_stars, "a long, b long")
-    for x in stars:
-        pairs = pairs.union(x)
+    sketches = classes.select("id", "sketch")
+    pairs = leaf_rows.join(sketches, "id").select("node", "id", "sketch").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_stars, "a long, b long")
+    if stars:
+        wide = stars[0]
+        for x in stars[1:]:
+            wide = wide.union(x)
+        wide = wide.distinct().join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        pairs = pairs.union(wide.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"))
     pairs = work.save(pairs.distinct(), "pairs")
     wanted = pairs.select("a").union(pairs.select("b"))
     if large is not None:
-        wanted = wanted.union(large.select("c"))
-    named = wanted.distinct().toDF("c").join(classes.select("c", "id", "sig"), "c")
-    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("sig"), F.col(text).alias("text"))
-    texts = work.save(source.join(named.hint("merge"), ["id", "sig"]).select("c", "text").dropDuplicates(["c"]), "texts")
-    links = work.save(_both_texts(pairs, texts, work).mapInArrow(_verify_pairs(words), "a long, b long"), "links")
+        wanted = wanted.union(large.select("id"))
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = work.save(source.join(wanted.distinct().toDF("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    confirmed = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    links = work.save(confirmed.select("a", "b", "text", "text_a").mapInArrow(_verify_pairs(words), "a long, b long"), "links")
     found = work.save(components(links, work), "components")
 
     # What shares a node and is still apart, compared exactly.
-    apart = _apart(leaf_rows, large, texts, sketches, found, leaf, deeper, work)
+    apart = _apart(leaf_rows, large, texts, sketches, found, leaf)
     more = work.save(apart.mapInArrow(_verify_groups(words), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         found = work.save(components(links.union(more), work, "again"), "all")
 
-    # The smallest key of each component, for every set.
-    placed = work.save(classes.select("c", "digest", "id", "copies").join(found.withColumnRenamed("id", "c"), "c", "left").select("digest", "id", "copies", F.coalesce("component", "c").alias("component")), "placed")
-    least = work.save(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("k")), "least")
-    named = work.save(join_hot(placed.select("component", "digest", "copies"), least, "component", "k", ["digest"]).select("digest", "copies", "component_id"), "named")
-    work.drop(*(f"{x}{d}" for d in range(1, depth + 1) for x in ("sizes", "members", "heads", "wide", "level")), "classes", "pairs", "fans", "texts", "links", "components", "more", "all", "placed", "least")
-    out = join_hot(feats.select("id", "n", "digest"), named, "digest", "copies", ["id"])
+    rep = least.join(found.withColumnRenamed("id", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component_id"))
+    out = feats.select("id", "n", "digest").join(rep, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _fans(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("k"))
-
-
-def _sized(level: DataFrame, work: Workspace, d: int) -> DataFrame:
-    """Members of the nodes that have several, with size and first member; a node with very many members is dealt out."""
-    sizes = work.save(level.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("first")).where("size > 1"), f"sizes{d}")
-    return join_hot(level, sizes, "node", "size", ["c"]).where("size is not null")
-
-
-def _both_texts(pairs: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """a, b and both texts of each pair. A first member with many pairs is repeated for every FAN of them, so that no task gets them all."""
-    fans = work.save(_fans(pairs, "a"), "fans")
-    parts = F.ceil(F.col("k") / FAN)
-    dealt = join_hot(pairs, fans, "a", "k", ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
-    heads = texts.join(fans.withColumnRenamed("a", "c"), "c").select(F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("text").alias("text_a"))
-    return dealt.join(texts.withColumnRenamed("c", "b"), "b").join(heads, ["a", "part"]).select("a", "b", "text", "text_a")
-
-
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TOKENS) for k in (2, 3))
@@ -413,47 +397,35 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, sketches: DataFrame, found: DataFrame, leaf: int, deeper: int, work: Workspace) -> DataFrame:
+def _apart(leaf_rows: DataFrame, large: DataFrame | None, texts: DataFrame, sketches: DataFrame, found: DataFrame, leaf: int) -> DataFrame:
     """Members, with texts, of the nodes whose members are in several components, sorted by node.
 
-    Large nodes branch until no more than ``leaf`` of their members are outside
-    the largest component. What ``deeper`` levels leave (sketches that no pick
-    tells apart) is met in blocks all the same.
+    In a node above the leaf size, members outside the largest component meet
+    all others in blocks: both sides are dealt into blocks of the leaf size.
     """
-    labelled = texts.select("c").join(found.withColumnRenamed("id", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("component"))
-
-    def mixed(rows: DataFrame, name: str) -> DataFrame:
-        """Members of mixed nodes, with the node's size, largest component and number of members outside it."""
-        parts = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
-        sizes = parts.groupBy("node").agg(F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("rest")).where("rest > 0")
-        return join_hot(rows, work.save(sizes, name), "node", "size", ["c"]).where("size is not null")
-
-    small = lambda rows: rows.where(F.col("size") <= leaf).select("node", "c", "component", F.lit(0).alias("side"))
-    out = small(mixed(leaf_rows.join(labelled, "c").select("node", "c", "component"), "mixed-leaves"))
-    rows = None if large is None else work.save(mixed(large.select("node", "c").join(labelled, "c").select("node", "c", "component"), "mixed0"), "rows0")
-    for d in range(1, deeper + 2):
-        if rows is None or rows.isEmpty():
-            break
-        open_ = (F.col("rest") > leaf) & F.lit(d <= deeper)
-        out = out.union(small(rows)).union(_blocks(rows.where((F.col("size") > leaf) & ~open_), leaf))
-        wide = rows.where((F.col("size") > leaf) & open_)
-        if wide.isEmpty():
-            break
-        children = work.save(wide.join(sketches, "c").select("node", "c", "sketch", "component").mapInArrow(_branch(MIXED_PICKS if d == 1 else 0), "node long, c long, component long"), f"children{d}")
-        rows = work.save(mixed(children, f"mixed{d}"), f"rows{d}")
-    near = out.join(sketches, "c").select("node", "c", "component", "side", "sketch").repartition("node").sortWithinPartitions("node", "c").mapInArrow(_still_close, "node long, c long, component long, side int")
-    return near.join(texts.hint("merge"), "c").repartition("node").sortWithinPartitions("node", "c").select("node", "c", "component", "side", "text")
+    labelled = texts.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
+    def mixed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(labelled, "id")
+        several = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
+        return rows.join(several, "node", "left_semi")
 
-def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
-    """Members of large nodes dealt into blocks in which each member outside the main component meets every other."""
-    across = F.ceil(F.col("size") / leaf).cast("int")
-    down = F.ceil(F.col("rest") / leaf).cast("int")
-    own = F.col("component") != F.col("main")
-    block = lambda n, seed: F.pmod(F.xxhash64("c", F.lit(seed)), n).cast("int")
-    minor = rows.where(own).withColumn("i", block(down, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), across - 1))).withColumn("side", F.lit(0))
-    every = rows.withColumn("j", block(across, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), down - 1))).withColumn("side", F.lit(1))
-    return minor.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "c", "component", "side")
+    out = mixed(leaf_rows).select("node", "id", "component", F.lit(0).alias("side"))
+    if large is not None:
+        rows = mixed(large.select("node", "id"))
+        sizes = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
+        most = sizes.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("total"), (F.sum("k") - F.max("k")).alias("rest"))
+        rows = rows.join(most, "node")
+        across = F.ceil(F.col("total") / leaf).cast("int")
+        down = F.ceil(F.col("rest") / leaf).cast("int")
+        own = F.col("component") != F.col("main")
+        block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+        minor = rows.where(own).withColumn("i", block(down, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), across - 1))).withColumn("side", F.lit(0))
+        every = rows.withColumn("j", block(across, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), down - 1))).withColumn("side", F.lit(1))
+        blocks = minor.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "id", "component", "side")
+        out = out.union(blocks)
+    near = out.join(sketches, "id").select("node", "id", "component", "side", "sketch").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_still_close, "node long, id long, component long, side int")
+    return near.join(texts.hint("merge"), "id").repartition("node").sortWithinPartitions("node", "id").select("node", "id", "component", "side", "text")
 
 
 def _still_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,4 +440,4 @@ def _still_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(lo, hi):
                 close = (sketch[lo:hi] == sketch[k]).mean(axis=1) >= CLOSE
                 keep[k] = (close & (component[lo:hi] != component[k])).any()
-        yield from table.select(["node", "c", "component", "side"]).filter(pa.array(keep)).to_batches()
+        yield table.select(["node", "id", "component", "side"]).filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=1 << 20)[0] if keep.any() else pa.RecordBatch.from_pylist([], schema=table.select(["node", "id", "component", "side"]).schema)

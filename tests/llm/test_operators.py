@@ -115,6 +115,16 @@ def test_near_duplicates(spark, leaf):
     assert near_duplicates.near_duplicates(spark, docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_that_share_a_key(spark):
+    """Different texts under one id: each has the links of its own text."""
+    first, second = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(5, first), (5, second), (9, second + " end"), (7, first + " end"), (None, first), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit(1))
+    got = sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(spark, table).collect())))
+    assert got == sorted(map(str, [(5, 5, True), (5, 5, True), (9, 5, False), (7, 5, False), (None, None, True), (8, 8, True)]))
+    assert near_duplicates.meets(0.8, 3) > 0.999 and near_duplicates.meets(0.8, 0) > 0.9999
+
+
 def test_gif_round_trip_and_rules(spark):
     rows = docs(spark, TEXTS).select("doc_id", gif.payload(F.col("text")).alias("payload"))
     want = {r.doc_id: bytes(r.payload) for r in rows.collect()}
