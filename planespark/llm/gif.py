@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +30,20 @@ TABLE = 1 << 12
 LOOK = 1 << 13
 
 
+@functools.cache
+def _growing_widths(code_size: int) -> np.ndarray:
+    return np.array([code_size + 1] + [min(12, ((1 << code_size) + 1 + k).bit_length()) for k in range(1, TABLE)], np.int64)
+
+
 def code_widths(code_size: int, n: int) -> np.ndarray:
     """Bits of the first n codes after a clear code: they grow with the table and stay at 12 once it is full."""
-    grown = [code_size + 1] + [min(12, ((1 << code_size) + 1 + k).bit_length()) for k in range(1, min(n, TABLE))]
-    return np.concatenate([grown, np.full(max(n - TABLE, 0), 12)]).astype(np.int64)[:n]
+    return np.concatenate([_growing_widths(code_size), np.full(max(n - TABLE, 0), 12, np.int64)])[:n]
+
+
+@functools.cache
+def _first_look(code_size: int) -> tuple[np.ndarray, np.ndarray]:
+    widths = code_widths(code_size, LOOK)
+    return widths, np.cumsum(widths)
 
 
 _WIDTHS = code_widths(8, TABLE)
@@ -147,8 +158,11 @@ def unpack_lzw(data: bytes, code_size: int, most: int) -> bytes:
     while at < bits and size < most:
         look = LOOK
         while True:
-            widths = code_widths(code_size, look)
-            ends = np.cumsum(widths)
+            if look == LOOK:
+                widths, ends = _first_look(code_size)
+            else:
+                widths = code_widths(code_size, look)
+                ends = np.cumsum(widths)
             n = int(np.searchsorted(ends, bits - at, "right"))
             place = at + ends[:n] - widths[:n]
             first = place >> 3
