@@ -6,6 +6,7 @@ their range, 32 is floating point.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,6 +130,16 @@ def hsb(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return F.when(span == 0, 0.0).when(hue < 0, hue + 1).otherwise(hue), F.when(most == 0, 0.0).otherwise(span / most), most / 255.0
 
 
+def rgb_of_hsb(h: Column, s: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue (0 to 255) of hue, saturation and brightness from 0 to 1.
+
+    A channel falls by saturation times its hue's distance from the channel's
+    own sixth, counted from one sixth on and cut at one.
+    """
+    part = lambda home: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs(F.pmod(h * 6 - home + 3, F.lit(6.0)) - 3) - 1))
+    return tuple(F.floor(255 * b * (1 - s * part(home)) + 0.5).cast("int") for home in (0, 2, 4))
+
+
 #: Linear sRGB to XYZ (D65), and its white point.
 SRGB_TO_XYZ = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
 WHITE_D65 = (95.0429, 100.0, 108.89)
@@ -146,6 +157,24 @@ def lab(x: Column, y: Column, z: Column, white: tuple[float, float, float] = WHI
     return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
 
 
+def rgb_of_xyz(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    bend = lambda v: F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+    lines = [sum(float(w) * p / 100 for w, p in zip(row, (x, y, z), strict=True)) for row in np.linalg.inv(np.array(SRGB_TO_XYZ))]
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(bend(v) * 255 + 0.5))).cast("int") for v in lines)
+
+
+def xyz_of_lab(l: Column, a: Column, b: Column, white: tuple[float, float, float] = WHITE_D65) -> tuple[Column, Column, Column]:  # noqa: E741
+    fy = (l + 16) / 116
+    straight = lambda f: F.when(f * f * f > 0.008856, f * f * f).otherwise((f - 16.0 / 116.0) / 7.787)
+    return tuple(straight(f) * w for f, w in zip((a / 500 + fy, fy, fy - b / 200), white, strict=True))
+
+
+def xyy(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Chromaticity x and y, and Y; black has the chromaticity of the white point."""
+    total, white = x + y + z, sum(WHITE_D65)
+    return F.when(total == 0, WHITE_D65[0] / white).otherwise(F.try_divide(x, total)), F.when(total == 0, WHITE_D65[1] / white).otherwise(F.try_divide(y, total)), y
+
+
 def calibrated(p: Column, origin: float, size: float) -> Column:
     return (p - origin) * size
 

@@ -33,3 +33,11 @@ def angle(points: Column) -> Column:
     turn = F.degrees(F.atan2(p[0]["y"] - p[1]["y"], p[0]["x"] - p[1]["x"]) - F.atan2(p[2]["y"] - p[1]["y"], p[2]["x"] - p[1]["x"]))
     turn = F.abs(turn)
     return F.when(turn > 180, 360 - turn).otherwise(turn)
+
+
+def holds(points: Column, x: Column, y: Column) -> Column:
+    """Whether a place lies in the closed polygon: an odd number of its sides passes to the right (even-odd rule)."""
+    sides = _steps(F.concat(points, F.slice(points, 1, 1)))
+    across = lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y)
+    meets = lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])
+    return F.size(F.filter(sides, lambda s: F.when(across(s), meets(s) > x).otherwise(False))) % 2 == 1

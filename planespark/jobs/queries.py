@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
 from planespark.functions import points
-from planespark.operators import combine, geometry, objects, planes, spectra, stacks, stencils, thresholds, volumes
+from planespark.operators import combine, geometry, metadata, objects, planes, resample, spectra, stacks, stencils, thresholds, volumes
 from planespark.operators import particles as objects_of
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
-from planespark.sources import raw, text
+from planespark.sources import folders, raw, scratch, tables, text
 from planespark.streaming import live
 
 W, H = D.WIDTH, D.HEIGHT
@@ -234,8 +234,7 @@ def plane_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return stacks.table_sort(rows, "o_orderpriority")
+    return stacks.table_sort(D.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
 
 
 def line_fits(spark: SparkSession, sf: str) -> DataFrame:
@@ -438,3 +437,103 @@ def region_lengths(spark: SparkSession, sf: str) -> DataFrame:
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     rows = D.table(spark, sf, "orders").select("o_orderkey", F.array(corner(customer % 64, key % 32), corner(key % 50, customer % 20), corner(F.lit(70), F.lit(40))).alias("p"))
     return rows.select("o_orderkey", F.round(points.length(F.col("p")), 6).alias("length"), points.shoelace(F.col("p")).alias("area"))
+
+
+def results_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as text and read back: quoted cells, missing numbers, columns told apart."""
+    rows = D.table(spark, sf, "orders")
+    label = F.concat("o_orderstatus", F.lit(', "'), "o_orderpriority", F.lit('"'))
+    path = scratch.folder(spark, "table")
+    tables.write(rows.select("o_orderkey", label.alias("label"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_totalprice").cast("double")).alias("price")), path)
+    return tables.read(spark, path).select("o_orderkey", "label", "price", F.isnan("price").alias("missing")).withColumn("price", F.nanvl("price", F.lit(-1.0)))
+
+
+def table_rows_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    return stacks.rows_deleted(D.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 5, 20)
+
+
+def _image_folder(spark: SparkSession, sf: str) -> str:
+    path = scratch.folder(spark, "images")
+    folders.write_images(D.pixels(spark, sf), "image_id", path)
+    return path
+
+
+def folder_measured(spark: SparkSession, sf: str) -> DataFrame:
+    """A file a plane, read in natural order as one stack, measured by slice."""
+    px = folders.read_images(spark, _image_folder(spark, sf), "(^plane[0-9]+$)")
+    out = px.groupBy("name", "z").agg(*S.basic())
+    return out.select("name", "z", "n", "least", "most", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def stream_folder_measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Each arriving image measured once."""
+    images = folders.files(spark, _image_folder(spark, sf), stream=True)
+    out = live.append(folders.measured(images), "folder")
+    return out.select("name", "n", F.round("mean", 6).alias("mean"), "least", "most")
+
+
+def scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.scaled(D.pixels(spark, sf), IMAGE, W, H, 48, 40)
+
+
+def averaged(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.averaged(D.pixels(spark, sf), IMAGE, W, H, 24, 20)
+
+
+def rotated(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.rotated(D.pixels(spark, sf), IMAGE, W, H, 30, 7)
+
+
+def polygon_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every polygon on every slice of every stack."""
+    px = D.stack(spark, sf)
+    k = F.col("roi_id")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ids = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id")).distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("roi_id"))
+    rois = ids.withColumn("points", F.array(corner(k * 6 + 0.25, k * 2 + 0.25), corner(k * 6 + 20.25, k + 3.25), corner(k * 6 + 6.25, k + 9.25), corner(k * 6 + 14.25, k * 3 + 0.75), corner(k * 6 + 2.25, k + 16.25)))
+    return combine.inside_polygons(px, rois).groupBy("image_id", "z", "roi_id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"))
+
+
+def point_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with the values below them."""
+    spots = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("region_group"), F.col("l_suppkey").alias("image_id"), (F.col("l_orderkey") % 70).cast("int").alias("x"), (F.col("l_partkey") % H).cast("int").alias("y"))
+    return combine.at_points(D.pixels(spark, sf), spots, ["image_id", "x", "y"])
+
+
+def redirected_measure(spark: SparkSession, sf: str) -> DataFrame:
+    """Segmented on one plane, measured on the plane before."""
+    px = D.pixels(spark, sf)
+    found = combine.redirected(px.where(F.col("v") > 20), px.withColumn("image_id", F.col("image_id") + 1), ["image_id", "x", "y"])
+    return found.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"))
+
+
+def image_calculator_16bit(spark: SparkSession, sf: str) -> DataFrame:
+    px = D.pixels(spark, sf).withColumn("v", F.col("v") * 250)
+    return combine.calculate(px, px.withColumn("image_id", F.col("image_id") + 1), ["image_id", "x", "y"], ["add", "subtract", "multiply", "divide", "average", "difference"], top=65535)
+
+
+def stack_by_plane(spark: SparkSession, sf: str) -> DataFrame:
+    """Every slice of a stack with the one plane of its image, as 32-bit values."""
+    out = combine.calculate(D.stack(spark, sf), D.pixels(spark, sf), ["image_id", "x", "y"], ["subtract", "multiply", "divide", "average", "difference"], top=None, along=("z",))
+    return out.withColumn("divide", F.when(F.isnan("divide"), -1.0).when(F.col("divide") == float("inf"), -2.0).otherwise(F.round("divide", 6)))
+
+
+def colour_round_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Colours by hue, saturation and brightness and back, and by XYZ and Lab and back."""
+    rgb = D.rgb(spark, sf)
+    hsb = P.rgb_of_hsb(*P.hsb(*(F.col(c) for c in "rgb")))
+    there = rgb.withColumns(dict(zip(("cx", "cy", "cz"), P.xyz(*(F.col(c) for c in "rgb")), strict=True)))
+    there = there.withColumns(dict(zip(("l", "a", "bb"), P.lab(*(F.col(c) for c in ("cx", "cy", "cz"))), strict=True)))
+    there = there.withColumns(dict(zip(("lx", "ly", "lz"), P.xyz_of_lab(*(F.col(c) for c in ("l", "a", "bb"))), strict=True)))
+    back = P.rgb_of_xyz(*(F.col(c) for c in ("lx", "ly", "lz")))
+    small = P.xyy(*(F.col(c) for c in ("cx", "cy", "cz")))
+    return there.select("image_id", "x", "y", *(c.alias(f"hsb_{n}") for c, n in zip(hsb, "rgb", strict=True)), *(c.alias(f"lab_{n}") for c, n in zip(back, "rgb", strict=True)), F.round(small[0], 6).alias("chroma_x"), F.round(small[1], 6).alias("chroma_y"))
+
+
+def tag_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.consistency(D.table(spark, sf, "orders"), ["o_custkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+def slice_spacing(spark: SparkSession, sf: str) -> DataFrame:
+    out = metadata.spacing(D.table(spark, sf, "orders"), ["o_custkey"], "o_orderkey")
+    return out.withColumn("mean", F.round("mean", 6))

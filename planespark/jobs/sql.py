@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _PLACE = "l_suppkey AS image_id, CAST(l_partkey % 64 AS INT) AS x, CAST((l_partkey // 64) % 32 AS INT) AS y"
 _GRID = "(SELECT CAST(unnest(range(64)) AS INT) AS x), (SELECT CAST(unnest(range(32)) AS INT) AS y)"
 
@@ -105,7 +107,7 @@ SELECT image_id, x, y, CAST(CASE WHEN px.v = lo THEN 0 WHEN px.v = hi THEN 255 E
     "hyperstack_order": "SELECT event_id, c, z, t, CAST((c - 1) * 12 + (z - 1) * 4 + t AS BIGINT) AS back FROM (SELECT event_id, CAST(event_id % 24 % 2 + 1 AS INT) AS c, CAST(event_id % 24 // 2 % 3 + 1 AS INT) AS z, CAST(event_id % 24 // 6 % 4 + 1 AS INT) AS t FROM events)",
     "natural_names": "SELECT c_custkey, regexp_replace(lower(c_name), '[0-9]+', '') || lpad(CAST(CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS VARCHAR), 12, '0') AS sort_key FROM customer",
     "plane_hashes": _px("SELECT image_id, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY y, x)) AS md5 FROM px GROUP BY image_id"),
-    "table_sorted": "WITH r AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, n, CAST(rank() OVER (ORDER BY TRY_CAST(o_orderpriority AS DOUBLE) IS NOT NULL, CASE WHEN TRY_CAST(o_orderpriority AS DOUBLE) IS NULL THEN o_orderpriority END NULLS FIRST, TRY_CAST(o_orderpriority AS DOUBLE) NULLS FIRST) AS INT) AS rank FROM r",
+    "table_sorted": "SELECT o_orderkey, o_orderpriority, rank() OVER (ORDER BY TRY_CAST(o_orderpriority AS DOUBLE) IS NOT NULL, CASE WHEN TRY_CAST(o_orderpriority AS DOUBLE) IS NULL THEN o_orderpriority END NULLS FIRST, TRY_CAST(o_orderpriority AS DOUBLE) NULLS FIRST) AS rank FROM orders",
     "line_fits": "SELECT l_suppkey, round(regr_intercept(l_extendedprice, l_quantity), 3) AS a, round(regr_slope(l_extendedprice, l_quantity), 4) AS b, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_suppkey",
     "event_frames": "SELECT CAST(hour(ts) AS INT) AS t, CAST(user_id % 16 AS INT) AS x, CAST(event_id % 16 AS INT) AS y, round(sum(value), 4) AS v FROM events GROUP BY ALL",
     "text_image": _px("SELECT image_id, y, string_agg(CAST(v AS VARCHAR), chr(9) ORDER BY x) AS line FROM px GROUP BY image_id, y"),
@@ -221,4 +223,55 @@ SQL |= {
     "stack_threshold_applied": _st(_levels("st", "image_id") + " SELECT image_id, z, x, y, CASE WHEN v > level THEN 255 ELSE 0 END AS v FROM st JOIN levels USING (image_id) WHERE method = 'isodata'"),
 }
 
+
+def _taps(name: str, size: int, new: int) -> str:
+    """d, p, w: the two old positions whose weights make the new one."""
+    ratio = new / size
+    centre = new / 2 + ratio / 4
+    at = f"(d - {centre!r}::DOUBLE) / {ratio!r}::DOUBLE + {size / 2!r}::DOUBLE"
+    held = f"CASE WHEN {at} < 0 THEN 0.0::DOUBLE WHEN {at} >= {size - 1} THEN {size - 1.001!r}::DOUBLE ELSE {at} END"
+    return f"{name} AS (SELECT d, p, 1 - abs(s - p) AS w FROM (SELECT d, {held} AS s FROM (SELECT CAST(unnest(range({new})) AS INT) AS d)), (SELECT CAST(unnest(range({size})) AS INT) AS p) WHERE abs(s - p) < 1)"
+
+
+def _areas(name: str, size: int, new: int) -> str:
+    span = f"{size / new!r}::DOUBLE"
+    return f"{name} AS (SELECT d, p, (least(p + 1, (d + 1) * {span}) - greatest(p, d * {span})) / {span} AS w FROM (SELECT CAST(unnest(range({new})) AS INT) AS d), (SELECT CAST(unnest(range({size})) AS INT) AS p) WHERE least(p + 1, (d + 1) * {span}) > greatest(p, d * {span}))"
+
+
+_RESIZED = " SELECT image_id, xt.d AS x, yt.d AS y, CAST(floor(round(sum(v * xt.w * yt.w), 9) + 0.5) AS INT) AS v FROM px JOIN xt ON px.x = xt.p JOIN yt ON px.y = yt.p GROUP BY ALL"
+_TURN = math.radians(-30)
+_CA, _SA = f"{math.cos(_TURN)!r}::DOUBLE", f"({math.sin(_TURN)!r}::DOUBLE)"
+_HOLD = "CASE WHEN {0} < 0 THEN 0.0::DOUBLE WHEN {0} >= {1} - 1 THEN {1} - 1.001::DOUBLE ELSE {0} END"
+_NAME = "format('plane{:04d}', image_id) AS name"
+_SIDES = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0)]
+_AT = [("k * 6 + 0.25", "k * 2 + 0.25"), ("k * 6 + 20.25", "k + 3.25"), ("k * 6 + 6.25", "k + 9.25"), ("k * 6 + 14.25", "k * 3 + 0.75"), ("k * 6 + 2.25", "k + 16.25")]
+_EDGES = " UNION ALL ".join(f"SELECT k, ({_AT[i][0]})::DOUBLE AS ax, ({_AT[i][1]})::DOUBLE AS ay, ({_AT[j][0]})::DOUBLE AS bx, ({_AT[j][1]})::DOUBLE AS b_y FROM (SELECT CAST(unnest(range(8)) AS INT) AS k)" for i, j in _SIDES)
+
+SQL |= {
+    "results_table": """SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderstatus || ', "' || o_orderpriority || '"' AS label, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_totalprice AS DOUBLE) ELSE -1 END AS price, o_custkey % 3 = 0 AS missing FROM orders""",
+    "table_rows_deleted": "SELECT o_orderkey, row_number() OVER (ORDER BY k) - 1 AS row FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k NOT BETWEEN 5 AND 20",
+    "folder_measured": _px(f"SELECT {_NAME}, CAST(dense_rank() OVER (ORDER BY image_id) AS INT) AS z, count(*) AS n, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM px GROUP BY image_id"),
+    "stream_folder_measured": _px(f"SELECT {_NAME}, CAST(count(*) AS INT) AS n, round(avg(v), 6) AS mean, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most FROM px GROUP BY image_id"),
+    "scaled": _px(f", {_taps('xt', 64, 48)}, {_taps('yt', 32, 40)}" + _RESIZED),
+    "averaged": _px(f", {_areas('xt', 64, 24)}, {_areas('yt', 32, 20)}" + _RESIZED),
+    "rotated": _px(f""", src AS (SELECT image_id, x, y, 31.5 + (x - 31.5) * {_CA} - (y - 15.5) * {_SA} AS xs, 15.5 + (x - 31.5) * {_SA} + (y - 15.5) * {_CA} AS ys FROM px),
+      held AS (SELECT image_id, x, y, {_HOLD.format('xs', 64)} AS xs, {_HOLD.format('ys', 32)} AS ys FROM src WHERE xs >= -0.01 AND xs < 64 AND ys >= -0.01 AND ys < 32),
+      turned AS (SELECT h.image_id, h.x, h.y, CAST(floor(round(sum(n.v * (1 - abs(xs - n.x)) * (1 - abs(ys - n.y))), 9) + 0.5) AS INT) AS v
+        FROM held h, (SELECT CAST(unnest([0, 1]) AS INT) AS i), (SELECT CAST(unnest([0, 1]) AS INT) AS j) JOIN px n ON n.image_id = h.image_id AND n.x = CAST(floor(xs) AS INT) + i AND n.y = CAST(floor(ys) AS INT) + j GROUP BY ALL)
+      SELECT image_id, x, y, coalesce(turned.v, 7) AS v FROM px LEFT JOIN turned USING (image_id, x, y)"""),
+    "polygon_regions": _st(f""", edges AS ({_EDGES}), grid AS (SELECT * FROM {_GRID}),
+      members AS (SELECT k AS roi_id, x, y FROM grid JOIN edges ON (ay > y + 0.5) <> (b_y > y + 0.5) AND ax + (bx - ax) * (y + 0.5 - ay) / (b_y - ay) > x + 0.5 GROUP BY k, x, y HAVING count(*) % 2 = 1)
+      SELECT image_id, z, roi_id, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS most FROM st JOIN members USING (x, y) GROUP BY image_id, z, roi_id"""),
+    "point_values": _px("SELECT l_orderkey, l_linenumber, l_returnflag AS region_group, image_id, x, y, v FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey AS image_id, CAST(l_orderkey % 70 AS INT) AS x, CAST(l_partkey % 32 AS INT) AS y FROM lineitem) JOIN px USING (image_id, x, y)"),
+    "redirected_measure": _px("SELECT a.image_id, count(*) AS n, round(avg(b.v), 6) AS mean, max(b.v) AS most FROM px a JOIN px b ON b.image_id + 1 = a.image_id AND a.x = b.x AND a.y = b.y WHERE a.v > 20 GROUP BY a.image_id"),
+    "image_calculator_16bit": _px(""", w AS (SELECT image_id, x, y, v * 250 AS v FROM px) SELECT a.image_id, a.x, a.y, least(65535, a.v + b.v) AS add, greatest(0, a.v - b.v) AS subtract, CAST(least(65535, CAST(a.v AS BIGINT) * b.v) AS INT) AS multiply, CASE WHEN b.v = 0 THEN 65535 ELSE a.v // b.v END AS divide, (a.v + b.v) // 2 AS average, abs(a.v - b.v) AS difference FROM w a JOIN w b ON b.image_id + 1 = a.image_id AND a.x = b.x AND a.y = b.y"""),
+    "stack_by_plane": f"""WITH {STACK}, plane AS (SELECT {_PLACE}, {_level("l_quantity")} AS v FROM lineitem GROUP BY ALL), q AS (SELECT st.image_id, x, y, z, CAST(st.v AS DOUBLE) AS a, CAST(coalesce(plane.v, 0) AS DOUBLE) AS b FROM st LEFT JOIN plane USING (image_id, x, y))
+      SELECT image_id, x, y, z, a - b AS subtract, a * b AS multiply, CASE WHEN b <> 0 THEN round(a / b, 6) WHEN a = 0 THEN -1 ELSE -2 END AS divide, (a + b) / 2 AS average, abs(a - b) AS difference FROM q""",
+    "colour_round_trips": f"""WITH {RGB}, lin AS (SELECT *, {", ".join(f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS l{c}" for c in "rgb")} FROM rgb),
+      xyz AS (SELECT *, 0.4124::DOUBLE * lr + 0.3576::DOUBLE * lg + 0.1805::DOUBLE * lb AS cx, 0.2126::DOUBLE * lr + 0.7152::DOUBLE * lg + 0.0722::DOUBLE * lb AS cy, 0.0193::DOUBLE * lr + 0.1192::DOUBLE * lg + 0.9505::DOUBLE * lb AS cz FROM lin)
+      SELECT image_id, x, y, r AS hsb_r, g AS hsb_g, b AS hsb_b, r AS lab_r, g AS lab_g, b AS lab_b, round(CASE WHEN cx + cy + cz = 0 THEN 95.0429::DOUBLE / 303.9329 ELSE cx / (cx + cy + cz) END, 6) AS chroma_x, round(CASE WHEN cx + cy + cz = 0 THEN 100.0::DOUBLE / 303.9329 ELSE cy / (cx + cy + cz) END, 6) AS chroma_y FROM xyz""",
+    "tag_consistency": "WITH t AS (SELECT o_custkey, 'o_orderstatus' AS tag, o_orderstatus AS value FROM orders UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority FROM orders) SELECT o_custkey, tag, count(DISTINCT value) AS values, count(*) - count(value) AS missing, count(DISTINCT value) = 1 AND count(*) = count(value) AS consistent FROM t GROUP BY ALL",
+    "slice_spacing": "SELECT o_custkey, count(step) AS steps, round(avg(step), 6) AS mean, min(step) AS least, max(step) AS most, coalesce(max(step) = min(step), true) AS uniform FROM (SELECT o_custkey, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders) GROUP BY o_custkey",
+}
+
 SQL = {k: s.replace("\n,", ",").replace("\n, ", ", ") for k, s in SQL.items()}

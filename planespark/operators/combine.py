@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planespark.functions import points
 
 
-def _modes(a: Column, b: Column) -> dict[str, Column]:
+def _modes(a: Column, b: Column, top: int = 255) -> dict[str, Column]:
+    """The modes for integers from 0 to ``top``."""
     return {
-        "add": F.least(a + b, F.lit(255)),
+        "add": F.least(a + b, F.lit(top)),
         "subtract": F.greatest(a - b, F.lit(0)),
-        "multiply": F.least(a * b, F.lit(255)),
-        "divide": F.when(b == 0, 255).otherwise((a / b).cast("int")),
+        "multiply": F.least(a.cast("long") * b, F.lit(top)).cast("int"),
+        "divide": F.when(b == 0, top).otherwise((a / b).cast("int")),
         "and": a.bitwiseAND(b),
         "or": a.bitwiseOR(b),
         "xor": a.bitwiseXOR(b),
@@ -25,11 +27,23 @@ def _modes(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def calculate(left: DataFrame, right: DataFrame, on: list[str], modes: list[str]) -> DataFrame:
-    """One column per mode for 8-bit values that share a place; the join carries any key that both sides have."""
+def _real_modes(a: Column, b: Column) -> dict[str, Column]:
+    """The modes for 32-bit images: nothing is cut off, and a quotient by 0 is infinite or NaN."""
+    quotient = F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(a == 0, float("nan")).otherwise(F.signum(a) * float("inf"))
+    return {"add": a + b, "subtract": a - b, "multiply": a * b, "divide": quotient, "min": F.least(a, b), "max": F.greatest(a, b), "average": (a + b) / 2, "difference": F.abs(a - b), "copy": b, "copy_nonzero": F.when(b == 0, a).otherwise(b)}
+
+
+def calculate(left: DataFrame, right: DataFrame, on: list[str], modes: list[str], top: int | None = 255, along: tuple[str, ...] = ()) -> DataFrame:
+    """One column per mode for values that share a place; ``top`` is the largest level, None for 32-bit images.
+
+    For a stack by a single plane ``on`` leaves z out and ``along`` names it, so the one plane meets every slice.
+    """
     both = left.withColumnRenamed("v", "_a").join(right.withColumnRenamed("v", "_b"), on)
-    known = _modes(F.col("_a"), F.col("_b"))
-    return both.select(*on, *(known[m].alias(m) for m in modes))
+    if top is None:
+        known = _real_modes(F.col("_a").cast("double"), F.col("_b").cast("double"))
+    else:
+        known = _modes(F.col("_a"), F.col("_b"), top)
+    return both.select(*on, *along, *(known[m].alias(m) for m in modes))
 
 
 def paste(px: DataFrame, patch: DataFrame, on: list[str], dx: int, dy: int, mode: str = "copy") -> DataFrame:
@@ -50,12 +64,37 @@ def contains(kind: Column, x: Column, y: Column, x0: Column, y0: Column, w: Colu
     return box & ((kind != "oval") | (dx * dx + dy * dy <= 1))
 
 
-def inside(px: DataFrame, rois: DataFrame) -> DataFrame:
-    """Pixels of each region: an equi-join on tiles of the bounding box, then the exact test. No side is broadcast by hand."""
+def _by_tile(px: DataFrame, rois: DataFrame) -> DataFrame:
+    """Pixels and regions that share a tile of the region's bounding box: an equi-join. No side is broadcast by hand."""
     last = lambda p, n: F.floor((F.col(p) + F.col(n) - 1) / TILE).cast("int")
     tiled = rois.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / TILE).cast("int"), last("x0", "w")))).withColumn("_ty", F.explode(F.sequence(F.floor(F.col("y0") / TILE).cast("int"), last("y0", "h"))))
     placed = px.withColumns({"_tx": F.floor(F.col("x") / TILE).cast("int"), "_ty": F.floor(F.col("y") / TILE).cast("int")})
-    return placed.join(tiled, ["image_id", "_tx", "_ty"]).where(contains(*(F.col(c) for c in ("kind", "x", "y", "x0", "y0", "w", "h")))).drop("_tx", "_ty")
+    return placed.join(tiled, ["image_id", "_tx", "_ty"]).drop("_tx", "_ty")
+
+
+def inside(px: DataFrame, rois: DataFrame) -> DataFrame:
+    """Pixels of each rectangle or oval: by tile, then the exact test."""
+    return _by_tile(px, rois).where(contains(*(F.col(c) for c in ("kind", "x", "y", "x0", "y0", "w", "h"))))
+
+
+def inside_polygons(px: DataFrame, rois: DataFrame) -> DataFrame:
+    """Pixels whose centre lies in a region's ``points`` (array<struct<x, y>>, closed by itself, even-odd); regions of fewer than three points have none."""
+    ends = lambda c, f: f(F.transform("points", lambda p: p[c].cast("double")))
+    low = {"x0": F.floor(ends("x", F.array_min)).cast("int"), "y0": F.floor(ends("y", F.array_min)).cast("int")}
+    boxed = rois.where(F.size("points") > 2).withColumns(low)
+    boxed = boxed.withColumns({"w": F.greatest(F.lit(1), F.ceil(ends("x", F.array_max)).cast("int") - F.col("x0")), "h": F.greatest(F.lit(1), F.ceil(ends("y", F.array_max)).cast("int") - F.col("y0"))})
+    met = _by_tile(px, boxed).where(points.holds(F.col("points"), F.col("x") + 0.5, F.col("y") + 0.5))
+    return met.drop("x0", "y0", "w", "h")
+
+
+def at_points(px: DataFrame, spots: DataFrame, on: list[str]) -> DataFrame:
+    """Each point with the value of its pixel; points off the planes are left out."""
+    return spots.join(px.select(*on, "v"), on)
+
+
+def redirected(px: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """Pixels picked on one image with the values that another has there."""
+    return px.drop("v").join(values, on)
 
 
 def outside(px: DataFrame, rois: DataFrame, key: list[str]) -> DataFrame:
@@ -71,9 +110,6 @@ def compare(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], s
     return out.withColumn("rmse", F.sqrt("mse")).withColumn("psnr", F.when(F.col("mse") > 0, 10 * F.log10(span * span / F.col("mse"))))
 
 
-__all__ = ["calculate", "compare", "contains", "inside", "outside", "paste"]
-
-
 def merged(px: DataFrame, at: list[str], names: dict[int, str]) -> DataFrame:
     """One row a position with a column per channel (c -> name): one aggregation in place of a join for each channel."""
     return px.groupBy(*at).agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in names.items()))

@@ -36,12 +36,12 @@ def running_histogram(rows: DataFrame, keys: list[str], bin: Column) -> DataFram
     return rows.groupBy(*keys, bin.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def append(stream: DataFrame, name: str) -> DataFrame:
+def append(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Process what has arrived, append final rows to a table in the shared folder, and return the table.
 
-    A restart from the same checkpoint goes on where the last one ended; files of a batch are listed in the sink's log once.
+    A restart with the same ``path`` goes on where the last one ended; files of a batch are listed in the sink's log once.
     """
-    path = scratch.folder(stream.sparkSession, name)
+    path = path or scratch.folder(stream.sparkSession, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
