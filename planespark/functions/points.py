@@ -35,9 +35,8 @@ def angle(points: Column) -> Column:
     return F.when(turn > 180, 360 - turn).otherwise(turn)
 
 
-def holds(points: Column, x: Column, y: Column) -> Column:
-    """Whether a place lies in the closed polygon: an odd number of its sides passes to the right (even-odd rule)."""
+def crossings(points: Column, y: Column) -> Column:
+    """Where a level line meets the sides of the closed polygon, from left to right; the inside lies between the first and second, third and fourth."""
     sides = _steps(F.concat(points, F.slice(points, 1, 1)))
-    across = lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y)
-    meets = lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])
-    return F.size(F.filter(sides, lambda s: F.when(across(s), meets(s) > x).otherwise(False))) % 2 == 1
+    across = F.filter(sides, lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
+    return F.array_sort(F.transform(across, lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])))
