@@ -245,13 +245,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the similarity."""
     small, large = sorted((len(x), len(y)))
-    if not small or 100 * small < PERCENT * large:
+    if not small or 100 * small < percent * large:
         return False
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= PERCENT * (small + large - common)
+    return 100 * common >= percent * (small + large - common)
 
 
 def _verify_pairs(words: int):

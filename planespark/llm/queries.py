@@ -100,3 +100,21 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
     return topk.search(spark, vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm.alignment import align
+
+    return align(spark, read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm.jaccard import jaccard_join
+
+    return jaccard_join(spark, read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planespark.llm.centroids import cluster
+
+    return cluster(spark, read(spark, sf_dir, "embeddings"))

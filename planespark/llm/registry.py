@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gif": q.op8_gif,
         "op9_token_counts": q.op9_token_counts,
         "op10_packing": q.op10_packing,
+        "op11_alignment": q.op11_alignment,
+        "op12_jaccard_join": q.op12_jaccard_join,
+        "op13_centroids": q.op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that DuckDB can express; the others are tested against brute force or the tokenizers library."""
-    return {"op1_near_duplicates": sql.NEAR_DUPLICATES, "op4_warc": sql.WARC, "op5_topk": sql.TOPK, "op6_chat": sql.CHAT}
+    return {"op1_near_duplicates": sql.NEAR_DUPLICATES, "op4_warc": sql.WARC, "op5_topk": sql.TOPK, "op6_chat": sql.CHAT, "op12_jaccard_join": sql.JACCARD_JOIN, "op13_centroids": sql.CENTROIDS}

@@ -65,3 +65,34 @@ WITH turns AS (
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
 FROM joined
 """
+
+JACCARD_JOIN = NEAR_DUPLICATES.replace("80 *", "85 *").replace(", documents.doc_id = c AS kept", "")
+
+
+def _rounds(rounds: int) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ... of each round."""
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f"""
+), a{k} AS MATERIALIZED (
+    SELECT r, min({{'d': list_inner_product(v.x, v.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(v.x, c.x), 'k': c.k}}) AS best FROM kept v, c{k} c GROUP BY r"""
+        if k < rounds:
+            steps += f"""
+), c{k + 1} AS MATERIALIZED (
+    SELECT c.k, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+        SELECT k, list(floor(s / n) ORDER BY i) AS x FROM (SELECT a.best.k AS k, i, sum(v.x[i]) AS s, count(*) AS n FROM a{k} a JOIN kept v USING (r), range(1, 65) t(i) GROUP BY ALL) GROUP BY k
+    ) m ON m.k = c.k"""
+    return steps
+
+
+CENTROIDS = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(256 * CAST(y AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+), c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS k, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM kept WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 40){_rounds(5)}
+)
+SELECT vec_id, a.best.k AS cluster, CAST(a.best.d AS BIGINT) AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM a5 a JOIN kept USING (r) JOIN c5 c ON c.k = a.best.k
+"""
