@@ -16,15 +16,17 @@ Each such token has a tree; its place in the order also bounds the overlap, sinc
 at the first token a pair shares nothing before it is common.
 
 Sets that share minwise tokens are linked and confirmed first. The trees then
-skip all pairs inside one component, as whole nodes where they can, so a group of
-thousands of near copies costs its members, not its pairs. A token with more sets
-than BLOCK is cut into cells in which those outside its largest component meet
-all others.
+skip all pairs inside one component, as whole nodes where they can. What the trees
+of small nodes leave is confirmed as pairs. A node of more than SMALL sets has the
+sets themselves at its leaves and gives the links that join its members, never
+more than it has members; one of more than BLOCK sets is cut into cells in which
+those outside its largest component meet all others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,9 @@ from planespark.llm.near_duplicates import STEP_BYTES, linked, shingle_sets, who
 
 #: Sets of a cell, on each of its two sides, at most (on average where cells are dealt by hash).
 BLOCK = 1024
+#: Nodes of more sets than this are walked with the sets themselves, and signatures this many times as wide.
+SMALL = 32
+FINE = 16
 #: Minwise tokens by which sets are linked before the trees.
 ROOTS = 3
 #: A token that starts more sets than this comes late in the order; so many such tokens at most, the most frequent ones (any order is exact, the list only saves work).
@@ -214,6 +219,50 @@ def _candidates(percent: int):
     return run
 
 
+def _tokens(words: int):
+    """The tokens of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1), STEP_BYTES):
+                sets = [x.tobytes() for x in shingle_sets(batch.column(1).slice(a, b - a), words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["cid", "tokens"])
+
+    return run
+
+
+def _linked_in_nodes(percent: int):
+    """Links that join all that is linked in each large node: candidates of its trees, compared on their tokens unless they are joined by then.
+
+    Signatures are FINE times as wide as in small nodes, made here from the tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "node"):
+            cid, node, side, component, n, rest = (table[x].to_numpy() for x in ("cid", "node", "side", "component", "n", "rest"))
+            tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+            width = [FINE * signature_bits(int(k)) >> int(f) for k, f in zip(n, table["narrow"].to_pylist(), strict=True)]
+            i, j = candidates(node, side, component, n, rest, [signature(x, w) for x, w in zip(tokens, width, strict=True)], percent)
+            up: dict[int, int] = {}
+
+            def root(x: int, up: dict = up) -> int:
+                while (higher := up.get(x, x)) != x:
+                    up[x] = up.get(higher, higher)
+                    x = higher
+                return x
+
+            found = []
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = root(int(component[a])), root(int(component[b]))
+                if x != y and linked(tokens[a], tokens[b], percent):
+                    up[max(x, y)] = min(x, y)
+                    found.append((min(cid[a], cid[b]), max(cid[a], cid[b])))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.names.index("bits")
@@ -264,32 +313,35 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     work = Workspace(spark, "jaccard")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     heavy, rank = heavy_tokens(rows, "text", words, percent)
-    feats = work.save(rows.mapInArrow(_features(words, percent, heavy, rank), "id long, n long, digest binary, bits binary, roots array<long>, prefix array<long>"), "features")
-    sets = feats.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), *(F.any_value(x).alias(x) for x in ("n", "bits", "roots", "prefix")))
+    whole = work.save(rows.mapInArrow(_features(words, percent, heavy, rank), "id long, n long, digest binary, bits binary, roots array<long>, prefix array<long>"), "features")
+    feats = work.save(whole.select("id", "n", "digest"), "digests")
+    sets = whole.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"), *(F.any_value(x).alias(x) for x in ("n", "bits", "roots", "prefix")))
     sets = work.save(sets.withColumn("cid", F.monotonically_increasing_id()), "sets")  # written, so that the numbers stay
+    work.drop("features")
 
     # Sets that share a minwise token, confirmed.
     minwise = sets.select("cid", F.posexplode("roots").alias("k", "root"))
     first = minwise.groupBy("k", "root").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a < last").select("k", "root", "a")
     pairs = work.save(minwise.join(first, ["k", "root"]).select("a", F.col("cid").alias("b")).where("a <> b").distinct(), "pairs")
     links = work.save(_confirmed(rows, sets, pairs, words, percent, work, "pair-texts"), "links")
+    work.drop("pair-texts", "pairs")
     found = work.save(components(links, work), "components")
 
     # Pairs that are still apart, by the trees.
-    labelled = sets.select("cid", "n", "prefix", F.octet_length("bits").alias("octets")).join(found.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    # A set whose smaller partners may have a signature half as wide is also there with its own folded.
-    log = F.length(F.bin("octets")) + 2  # the signature has two to the power of this bits
-    labelled = labelled.withColumn("log", log).withColumn("half_n", F.expr("shiftleft(1L, log - 2)"))
-    both = (F.col("log") > 6) & (F.col("n") * percent <= 100 * F.col("half_n"))
-    labelled = labelled.withColumn("narrow", F.explode(F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    members = labelled.select("cid", "component", "n", "narrow", (F.col("log") - F.col("narrow").cast("int")).alias("width"), F.posexplode("prefix").alias("at", "token"))
-    members = members.select(F.xxhash64("token", "width").alias("node"), "cid", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "narrow")
-    several = members.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node", "size")
-    shared = work.save(members.join(several, "node"), "members")
-    cells = _cells(shared, block).join(sets.select("cid", "bits"), "cid").mapInArrow(_fold, "cid long, node long, side int, component long, n long, rest long, narrow boolean, bits binary")
-    tried = cells.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_candidates(percent), "a long, b long").distinct()
+    members = _members(sets, found, percent, work)
+    small = members.where(F.col("size") <= SMALL).withColumn("side", F.col("narrow").cast("int")).join(sets.select("cid", "bits"), "cid")
+    small = small.select("node", "cid", "side", "component", "n", "rest", "narrow", "bits").mapInArrow(_fold, "node long, cid long, side int, component long, n long, rest long, narrow boolean, bits binary")
+    tried = small.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_candidates(percent), "a long, b long").distinct()
     tried = work.save(tried, "tried")
-    more = work.save(_confirmed(rows, sets, tried, words, percent, work, "tried-texts"), "more")
+    more = _confirmed(rows, sets, tried, words, percent, work, "tried-texts")
+    large = members.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        texts = _texts(rows, sets, large.select("cid").distinct(), words)
+        tokens = work.save(texts.mapInArrow(_tokens(words), "cid long, tokens binary"), "tokens")
+        cells = _cells(large, block).join(tokens, "cid")
+        more = more.union(cells.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_linked_in_nodes(percent), "a long, b long"))
+    more = work.save(more.distinct(), "more")
+    work.drop("members", "shared", "tokens", "tried-texts", "tried")
     if not more.isEmpty():
         found = work.save(components(links.union(more), work, "again"), "all")
 
@@ -301,6 +353,32 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _members(sets: DataFrame, found: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """cid, node, size, component, n, rest, narrow: the sets of each node (prefix token, width of the signature, size band) that holds several components.
+
+    Linked sets have sizes in one band or in neighbouring ones, so a set is also
+    in the band below its own. What most tokens have is one set: those rows go
+    through two shuffles of a few numbers each, without anything else of the set.
+    """
+    labelled = sets.select("cid", "n", "prefix", F.octet_length("bits").alias("octets")).join(found.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # A set whose smaller partners may have a signature half as wide is also there with its own folded.
+    log = F.length(F.bin("octets")) + 2  # the signature has two to the power of this bits
+    labelled = labelled.withColumn("log", log).withColumn("half_n", F.expr("shiftleft(1L, log - 2)"))
+    both = (F.col("log") > 6) & (F.col("n") * percent <= 100 * F.col("half_n"))
+    labelled = labelled.withColumn("narrow", F.explode(F.when(both, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    spread = labelled.select("cid", "component", "narrow", (F.col("log") - F.col("narrow")).alias("width"), F.posexplode("prefix").alias("at", "token"))
+    spread = spread.select(F.xxhash64("token", "width").alias("node"), "cid", "component", (F.col("at") * 2 + F.col("narrow")).alias("at"))
+    several = spread.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
+    shared = work.save(spread.select("node", "cid", "at").join(several, "node"), "shared")
+    sizes = labelled.where("narrow = 0").select("cid", "component", "n")
+    named = shared.join(sizes, "cid").withColumns({"rest": F.col("n") - F.floor(F.col("at") / 2), "narrow": F.col("at") % 2 == 1})
+    width = max(math.log(100 / percent), 1e-3) * (1 + 1e-6)  # a little wider than linked sizes differ, so that rounding moves no set two bands away
+    band = F.floor(F.log(F.col("n").cast("double")) / width)
+    named = named.withColumn("band", F.explode(F.array(band, band - 1))).withColumn("node", F.xxhash64("node", "band")).drop("band", "at")
+    held = named.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node", "size")
+    return work.save(named.join(held, "node"), "members")
+
+
 def _cells(members: DataFrame, block: int) -> DataFrame:
     """cid, node, side, component, n, rest, narrow: nodes of up to ``block`` sets as they are, of larger ones the cells.
 
@@ -325,6 +403,13 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
 def _confirmed(rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int, work: Workspace, name: str) -> DataFrame:
     """The pairs of sets (a, b) that are linked, by the text of one row each."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("cid")
+    texts = work.save(_texts(rows, sets, wanted, words), name)
+    both = pairs.join(texts.select(F.col("cid").alias("b"), "text"), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text", "text_a").mapInArrow(_confirm(words, percent), "a long, b long")
+
+
+def _texts(rows: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cid and text of one row of each set that is wanted."""
     chosen = sets.join(wanted, "cid", "left_semi").select("cid", F.col("least").alias("id"), "digest")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +421,4 @@ def _confirmed(rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, p
                 ok = pa.array([x == y for x, y in zip(digests, part.column(1).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(2).filter(ok)], names=["cid", "text"])
 
-    texts = rows.join(chosen.hint("merge"), "id").select("cid", "digest", "text").mapInArrow(own, "cid long, text string").dropDuplicates(["cid"])
-    texts = work.save(texts, name)
-    both = pairs.join(texts.select(F.col("cid").alias("b"), "text"), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text", "text_a").mapInArrow(_confirm(words, percent), "a long, b long")
+    return rows.join(chosen.hint("merge"), "id").select("cid", "digest", "text").mapInArrow(own, "cid long, text string").dropDuplicates(["cid"])

@@ -94,10 +94,11 @@ def sets_of(texts, words):
     return out
 
 
-@pytest.mark.parametrize(("block", "percent", "heavy"), [(1024, 85, 16), (4, 85, 2), (1024, 50, 16), (8, 60, 1)])
-def test_jaccard_join(spark, monkeypatch, block, percent, heavy):
-    """Small blocks send groups through the cells; low similarities put pairs in trees of folded signatures."""
+@pytest.mark.parametrize(("small", "block", "percent", "heavy"), [(32, 1024, 85, 16), (2, 4, 85, 2), (32, 1024, 50, 16), (3, 8, 60, 1)])
+def test_jaccard_join(spark, monkeypatch, small, block, percent, heavy):
+    """Small nodes and blocks send groups through the cells; low similarities put pairs in trees of folded signatures."""
     monkeypatch.setattr(jaccard, "HEAVY_AT", heavy)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rng = random.Random(percent + block)
     texts = [None, "", "  ", "one two", "ONE two", "short text here", "a", "a"]
     passage = [f"p{k}" for k in range(40)]
