@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
 from planespark.functions import points
-from planespark.operators import combine, geometry, metadata, objects, planes, resample, spectra, stacks, stencils, thresholds, volumes
+from planespark.operators import combine, contours, fits, geometry, metadata, noise, objects, peaks, planes, resample, spectra, stacks, stencils, thresholds, volumes
 from planespark.operators import particles as objects_of
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
@@ -313,6 +313,19 @@ def curve_fits(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_suppkey", F.round("exp_b", 6).alias("exp_b"), F.round(F.log("exp_a"), 6).alias("exp_log_a"), F.round("power_b", 6).alias("power_b"), F.round(F.log("power_a"), 6).alias("power_log_a"), *(F.round(f"p{k}", 2).alias(f"p{k}") for k in range(3)))
 
 
+def polynomial_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """Cubics of all suppliers side by side, with their values at three places."""
+    out = fits.polynomials(D.table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 3)
+    at = lambda x: F.round(F.aggregate(F.reverse("p"), F.lit(0.0), lambda s, c: s * x + c), 2)
+    return out.select("l_suppkey", "n", at(5).alias("at_5"), at(25).alias("at_25"), at(45).alias("at_45"), F.round("r2", 6).alias("r2"))
+
+
+def iterated_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """A power curve through the prices of each supplier, by least squares of the prices themselves."""
+    out = fits.iterated(D.table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", "power")
+    return out.select("l_suppkey", "n", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(2)), "sse", "converged")
+
+
 def table_edits(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.table(spark, sf, "orders").where("not o_orderkey between 10 and 40")
     rows = rows.withColumn("Ratio", F.expr("o_totalprice / (o_custkey + 1)")).withColumnRenamed("o_orderstatus", "State")
@@ -402,6 +415,40 @@ def particle_summary(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.round(F.avg("area"), 6).alias("mean_area"), F.round(100.0 * F.sum("area") / (W * H), 6).alias("percent"))
 
 
+def outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every closed contour of every plane, corner by corner."""
+    out = contours.traced(D.pixels(spark, sf), IMAGE, F.col("v") >= 40, W)
+    return out.select("image_id", "x0", "y0", "outer", "sides", "corners", "area", F.round("perimeter", 6).alias("perimeter"), "points")
+
+
+def round_particles(spark: SparkSession, sf: str) -> DataFrame:
+    out = objects_of.outlined(D.pixels(spark, sf), IMAGE, 1, 255, W, H, size=(4, 400), circularity=(0.2, 1.0))
+    return out.select("image_id", "label", "area", "x0", "y0", "w", "h", "edge", *(F.round(c, 6).alias(c) for c in ("perimeter", "circularity", "roundness")))
+
+
+def wand_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven seeds on each plane, and what each reaches within 15 of its own value."""
+    k = F.col("seed")
+    seeds = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.col("l_linenumber").cast("int").alias("seed")).distinct()
+    seeds = seeds.select("image_id", "seed", ((k * 9 + F.col("image_id") * 5) % W).cast("int").alias("x"), ((k * 5 + F.col("image_id")) % H).cast("int").alias("y"))
+    out = objects_of.wand(D.pixels(spark, sf), seeds, IMAGE, "seed", W, H, 15, eight=True)
+    return out.select("image_id", "seed", F.col("area").cast("long").alias("area"), "x0", "y0", "w", "h", F.round("mean", 6).alias("mean"), "least", "most")
+
+
+def image_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Structural similarity of each plane and the one before."""
+    px = D.pixels(spark, sf)
+    return combine.ssim(px, px.withColumn("image_id", F.col("image_id") + 1), IMAGE).select("image_id", F.round("ssim", 6).alias("ssim"))
+
+
+def noise_added(spark: SparkSession, sf: str) -> DataFrame:
+    return noise.gaussian(D.pixels(spark, sf), IMAGE, 12.0, 7)
+
+
+def salt_and_pepper(spark: SparkSession, sf: str) -> DataFrame:
+    return noise.salt_and_pepper(D.pixels(spark, sf), IMAGE, 5.0, 7)
+
+
 def _filtered(function):
     """A query that applies a function of one plane to every plane row."""
 
@@ -414,13 +461,13 @@ def _filtered(function):
 
 spectrum = _filtered(planes.power_spectrum)
 skeleton = _filtered(lambda a: objects.thinned(a > 0) * 255)
-watershed = _filtered(lambda a: objects.split_touching(a > 0) * 255)
-ultimate_points = _filtered(lambda a: objects.ultimate_points(a > 0))
+watershed = _over(lambda px: peaks.watershed(px, IMAGE, F.col("v") > 0, W))
+ultimate_points = _over(lambda px: peaks.ultimate_points(px, IMAGE, F.col("v") > 0, W, H))
 band_passed = _filtered(spectra.band_pass(20, 3))
 
 
 def find_maxima(spark: SparkSession, sf: str) -> DataFrame:
-    return objects.maxima(D.to_planes(D.pixels(spark, sf)), 30)
+    return peaks.maxima(D.pixels(spark, sf), IMAGE, W, H, 30)
 
 
 def hull_shapes(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,13 +17,13 @@ def _level(what: str) -> str:
     return f"least(255, CAST(sum({what}) AS INT))"
 
 
-PX = f"""cells AS (SELECT {_PLACE}, {_level("l_quantity")} AS v FROM lineitem GROUP BY ALL),
-px AS (SELECT image_id, x, y, coalesce(v, 0) AS v FROM {_cells('image_id')})"""
-STACK = f"""cells AS (SELECT {_PLACE}, CAST(l_linenumber AS INT) AS z, {_level("l_quantity")} AS v FROM lineitem GROUP BY ALL),
-st AS (SELECT image_id, z, x, y, coalesce(v, 0) AS v FROM {_cells('image_id, z')})"""
+PX = f"""cells AS MATERIALIZED (SELECT {_PLACE}, {_level("l_quantity")} AS v FROM lineitem GROUP BY ALL),
+px AS MATERIALIZED (SELECT image_id, x, y, coalesce(v, 0) AS v FROM {_cells('image_id')})"""
+STACK = f"""cells AS MATERIALIZED (SELECT {_PLACE}, CAST(l_linenumber AS INT) AS z, {_level("l_quantity")} AS v FROM lineitem GROUP BY ALL),
+st AS MATERIALIZED (SELECT image_id, z, x, y, coalesce(v, 0) AS v FROM {_cells('image_id, z')})"""
 _FLAG = "CASE WHEN l_returnflag = '{}' THEN l_quantity ELSE 0 END"
-RGB = f"""cells AS (SELECT {_PLACE}, {_level(_FLAG.format("N"))} AS r, {_level(_FLAG.format("A"))} AS g, {_level(_FLAG.format("R"))} AS b FROM lineitem GROUP BY ALL),
-rgb AS (SELECT image_id, x, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM {_cells('image_id')})"""
+RGB = f"""cells AS MATERIALIZED (SELECT {_PLACE}, {_level(_FLAG.format("N"))} AS r, {_level(_FLAG.format("A"))} AS g, {_level(_FLAG.format("R"))} AS b FROM lineitem GROUP BY ALL),
+rgb AS MATERIALIZED (SELECT image_id, x, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM {_cells('image_id')})"""
 FL = """vec AS (SELECT label AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS z, embedding FROM embeddings),
 items AS (SELECT image_id, z, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM vec),
 fl AS (SELECT image_id, CAST(z AS INT) AS z, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, CAST(e AS DOUBLE) AS v FROM items)"""
@@ -45,14 +45,14 @@ def _near(value: str, where: str = "") -> str:
 
 
 _AROUND = """SELECT p.image_id, p.x, p.y, any_value(p.v) AS v, sum(CASE WHEN n.v > {t} AND (dx <> 0 OR dy <> 0) THEN 1 ELSE 0 END) AS k FROM (SELECT * FROM px, (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dx), (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dy)) p LEFT JOIN px n ON n.image_id = p.image_id AND n.x = p.x + dx AND n.y = p.y + dy GROUP BY p.image_id, p.x, p.y"""
-_ROIS = "rois AS (SELECT image_id, k AS roi_id, CASE WHEN k % 2 = 0 THEN 'rectangle' ELSE 'oval' END AS kind, k % 8 * 8 AS x0, k // 8 * 8 AS y0 FROM (SELECT DISTINCT image_id FROM cells), (SELECT CAST(unnest(range(32)) AS INT) AS k)), members AS (SELECT px.*, roi_id, kind FROM px JOIN rois ON px.image_id = rois.image_id AND x >= x0 AND x < x0 + 8 AND y >= y0 AND y < y0 + 8 AND (kind = 'rectangle' OR pow((x + 0.5 - x0 - 4) / 4.0, 2) + pow((y + 0.5 - y0 - 4) / 4.0, 2) <= 1))"
+_ROIS = "rois AS (SELECT image_id, k AS roi_id, CASE WHEN k % 2 = 0 THEN 'rectangle' ELSE 'oval' END AS kind, k % 8 * 8 AS x0, k // 8 * 8 AS y0 FROM (SELECT DISTINCT image_id FROM cells), (SELECT CAST(unnest(range(32)) AS INT) AS k)), members AS MATERIALIZED (SELECT px.*, roi_id, kind FROM px JOIN rois ON px.image_id = rois.image_id AND x >= x0 AND x < x0 + 8 AND y >= y0 AND y < y0 + 8 AND (kind = 'rectangle' OR pow((x + 0.5 - x0 - 4) / 4.0, 2) + pow((y + 0.5 - y0 - 4) / 4.0, 2) <= 1))"
 _PAIR = "FROM px a JOIN px b ON b.image_id + 1 = a.image_id AND a.x = b.x AND a.y = b.y"
 _LINE = "CASE WHEN {0} / 255.0 <= 0.04045 THEN {0} / 255.0 / 12.92 ELSE pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END"
 _R, _G, _B = (_LINE.format(c) for c in "rgb")
 
 SQL = {
     "pixel_arithmetic": _px("SELECT image_id, x, y, least(255, v + 40) AS added, greatest(0, v - 20) AS subtracted, CAST(least(255, floor(v * 1.5 + 0.5)) AS INT) AS multiplied, CAST(least(255, floor(v * (1.0 / 3) + 0.5)) AS INT) AS divided, v & 12 AS anded, v | 3 AS ored, xor(v, 255) AS xored, greatest(v, 5) AS raised, least(v, 30) AS lowered FROM px"),
-    "pixel_functions": _px("SELECT image_id, x, y, CASE WHEN v <= 0 THEN 0 ELSE CAST(floor(exp(ln(v / 255.0) * 0.5) * 255 + 0.5) AS INT) END AS gamma, CASE WHEN v <= 0 THEN 0 ELSE CAST(floor(ln(v) * (255.0 / ln(255.0)) + 0.5) AS INT) END AS log, least(255, v * v) AS square, round(sqrt(v), 6) AS root, round(1.0 / (v + 1), 6) AS reciprocal, 255 - v AS inverted, CASE WHEN v <= 20 THEN 0 ELSE 255 END AS binary, CASE WHEN v BETWEEN 10 AND 40 THEN 255 ELSE 0 END AS mask, round(CASE WHEN v = 0 THEN log10(510.0) ELSE log10(255.0 / v) END, 6) AS density, round(CAST(1 AS DOUBLE) + CAST(0.5 AS DOUBLE) * v + CAST(0.01 AS DOUBLE) * v * v, 6) AS polynomial, (x - 2.0) * 0.5 AS cal_x FROM px"),
+    "pixel_functions": _px("SELECT image_id, x, y, CASE WHEN v <= 0 THEN 0 ELSE CAST(floor(exp(ln(v / 255.0) * 0.5) * 255 + 0.5) AS INT) END AS gamma, CASE WHEN v <= 0 THEN 0 ELSE CAST(floor(ln(v) * (255.0 / ln(255.0)) + 0.5) AS INT) END AS log, least(255, v * v) AS square, round(sqrt(v), 6) AS root, round(1.0 / (v + 1), 6) AS reciprocal, 255 - v AS inverted, CASE WHEN v <= 20 THEN 0 ELSE 255 END AS binary, CASE WHEN v BETWEEN 10 AND 40 THEN 255 ELSE 0 END AS mask, round(CASE WHEN v = 0 THEN log10(510.0) ELSE log10(255.0 / v) END, 6) AS density, round(CAST(1 AS DOUBLE) + CAST(0.5 AS DOUBLE) * v + CAST(0.01 AS DOUBLE) * v * v, 6) AS polynomial, CAST(x - 2 AS DOUBLE) * 0.5 AS cal_x FROM px"),
     "pixel_expression": _px("SELECT image_id, x, y, round(v * 2 + sqrt(pow(x - 31.5, 2) + pow(15.5 - y, 2)) - CAST(x AS DOUBLE) / (y + 1), 6) AS v FROM px"),
     "type_conversion": _px("SELECT image_id, x, y, CAST(greatest(0, least(255, trunc(CAST(v - lo AS DOUBLE) * 256 / (hi - lo + 1) + 0.5))) AS INT) AS v FROM px JOIN (SELECT image_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY image_id) USING (image_id)"),
     "rgb_gray_hsb": f"WITH {RGB}, q AS (SELECT *, greatest(r, g, b) AS hi, CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE) AS span FROM rgb), h AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN r = hi THEN (g - b) / span / 6 WHEN g = hi THEN (2 + (b - r) / span) / 6 ELSE (4 + (r - g) / span) / 6 END AS hue0 FROM q) SELECT image_id, x, y, CAST(trunc(r * 0.25 + g * 0.5 + b * 0.25 + 0.5) AS INT) AS gray, round(CASE WHEN hue0 < 0 THEN hue0 + 1 ELSE hue0 END, 6) AS hue, round(CASE WHEN hi = 0 THEN 0 ELSE span / hi END, 6) AS saturation, round(CAST(hi AS DOUBLE) / 255, 6) AS brightness FROM h",
@@ -165,10 +165,11 @@ def _blur(sigma: int, reach: int) -> str:
     blurred AS (SELECT p.image_id, p.x, p.y, sum(n.v * k) AS v, any_value(p.own) AS own FROM (SELECT * FROM across, w) p JOIN across n ON n.image_id = p.image_id AND n.x = p.x AND n.y = greatest(0, least(31, p.y + d)) GROUP BY p.image_id, p.x, p.y)"""
 
 
-def _objects(lower: int) -> str:
-    """Recursive CTEs that end in ``objects``: pixels above the level with the first pixel of their object (four neighbours)."""
+def _objects(lower: int, eight: bool = False) -> str:
+    """Recursive CTEs that end in ``objects``: pixels above the level with the first pixel of their object (four or eight neighbours)."""
+    near = "abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 AND n.p IN (r.p - 65, r.p - 64, r.p - 63, r.p - 1, r.p + 1, r.p + 63, r.p + 64, r.p + 65)" if eight else "abs(n.x - r.x) + abs(n.y - r.y) = 1 AND n.p IN (r.p - 64, r.p - 1, r.p + 1, r.p + 64)"
     return f"""WITH RECURSIVE {PX}, lit AS (SELECT image_id, x, y, v, y * 64 + x AS p FROM px WHERE v >= {lower}),
-    reached(image_id, p, x, y, first) AS (SELECT image_id, p, x, y, p FROM lit UNION SELECT n.image_id, n.p, n.x, n.y, r.first FROM reached r JOIN lit n ON n.image_id = r.image_id AND abs(n.x - r.x) + abs(n.y - r.y) = 1 AND n.p IN (r.p - 64, r.p - 1, r.p + 1, r.p + 64)),
+    reached(image_id, p, x, y, first) AS (SELECT image_id, p, x, y, p FROM lit UNION SELECT n.image_id, n.p, n.x, n.y, r.first FROM reached r JOIN lit n ON n.image_id = r.image_id AND {near}),
     objects AS (SELECT lit.*, first FROM lit JOIN (SELECT image_id, p, min(first) AS first FROM reached GROUP BY image_id, p) USING (image_id, p)),
     found AS (SELECT image_id, first, count(*) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy, CAST(sum(x * y) AS DOUBLE) AS sxy, avg(v) AS mean, min(v) AS least, max(v) AS most, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM objects GROUP BY image_id, first),
     shaped AS (SELECT *, sx / n AS cx, sy / n AS cy, x0 = 0 OR y0 = 0 OR x1 = 63 OR y1 = 31 AS edge, sxx / n - (sx / n) * (sx / n) + 1.0::DOUBLE / 12 AS mxx, syy / n - (sy / n) * (sy / n) + 1.0::DOUBLE / 12 AS myy, sxy / n - (sx / n) * (sy / n) AS mxy FROM found),
@@ -209,11 +210,11 @@ SQL |= {
     "rank_variance": _px(", m AS (" + _window("px", "round(var_pop(n.v), 6)", 4) + ") SELECT image_id, x, y, v FROM m"),
     "rank_median": _px(", m AS (" + _window("px", "CAST(median(n.v) AS DOUBLE)", 5) + ") SELECT image_id, x, y, v FROM m"),
     "outliers_removed": _px(", m AS (" + _window("px", "CAST(median(n.v) AS DOUBLE)", 2) + ") SELECT image_id, x, y, CASE WHEN own - v > 15 THEN v ELSE CAST(own AS DOUBLE) END AS v FROM m"),
-    "top_hat": _px(", lo AS (" + _window("px", "min(n.v)", 5) + "), hi AS (" + _window("lo", "max(n.v)", 5) + ") SELECT image_id, x, y, CAST(px.v - hi.v AS DOUBLE) AS v FROM px JOIN hi USING (image_id, x, y)"),
+    "top_hat": _px(", lo AS MATERIALIZED (" + _window("px", "min(n.v)", 5) + "), hi AS MATERIALIZED (" + _window("lo", "max(n.v)", 5) + ") SELECT image_id, x, y, CAST(px.v - hi.v AS DOUBLE) AS v FROM px JOIN hi USING (image_id, x, y)"),
     "grey_closed": _px(", hi AS (" + _window("px", "max(n.v)", 2) + "), lo AS (" + _window("hi", "min(n.v)", 2) + ") SELECT image_id, x, y, CAST(v AS DOUBLE) AS v FROM lo"),
     "gaussian": _px(_blur(2, 8) + " SELECT image_id, x, y, round(v, 6) AS v FROM blurred"),
     "unsharp_mask": _px(_blur(1, 4) + " SELECT image_id, x, y, round((own - v * 0.6::DOUBLE) / (1 - 0.6::DOUBLE), 6) AS v FROM blurred"),
-    "ball_subtracted": _px(", lo AS (" + _window("px", "min(n.v - sqrt(CAST(36 - dx * dx - dy * dy AS DOUBLE)))", 36).replace("range(-36, 36 + 1)", "range(-6, 7)") + "), hi AS (" + _window("lo", "max(n.v + sqrt(CAST(36 - dx * dx - dy * dy AS DOUBLE)))", 36).replace("range(-36, 36 + 1)", "range(-6, 7)") + ") SELECT image_id, x, y, round(px.v - least(hi.v, px.v), 6) AS v FROM px JOIN hi USING (image_id, x, y)"),
+    "ball_subtracted": _px(", lo AS MATERIALIZED (" + _window("px", "min(n.v - sqrt(CAST(36 - dx * dx - dy * dy AS DOUBLE)))", 36).replace("range(-36, 36 + 1)", "range(-6, 7)") + "), hi AS MATERIALIZED (" + _window("lo", "max(n.v + sqrt(CAST(36 - dx * dx - dy * dy AS DOUBLE)))", 36).replace("range(-36, 36 + 1)", "range(-6, 7)") + ") SELECT image_id, x, y, round(px.v - least(hi.v, px.v), 6) AS v FROM px JOIN hi USING (image_id, x, y)"),
     "distance_map": _px(", g AS (SELECT p.image_id, p.x, p.y, min(abs(p.y - b.y)) AS g FROM px p LEFT JOIN px b ON b.image_id = p.image_id AND b.x = p.x AND b.v <= 0 GROUP BY p.image_id, p.x, p.y) SELECT p.image_id, p.x, p.y, round(sqrt(CAST(coalesce(min((p.x - q.x) * (p.x - q.x) + q.g * q.g), 0) AS DOUBLE)), 6) AS v FROM g p JOIN g q ON q.image_id = p.image_id AND q.y = p.y GROUP BY p.image_id, p.x, p.y"),
     "holes_filled": f"WITH RECURSIVE {PX}, back AS (SELECT image_id, x, y FROM px WHERE v <= 0), open(image_id, x, y) AS (SELECT image_id, x, y FROM back WHERE x IN (0, 63) OR y IN (0, 31) UNION SELECT n.image_id, n.x, n.y FROM open o JOIN (SELECT CAST(unnest([1, -1, 0, 0]) AS INT) AS dx, CAST(unnest([0, 0, 1, -1]) AS INT) AS dy) d ON true JOIN back n ON n.image_id = o.image_id AND n.x = o.x + dx AND n.y = o.y + dy) SELECT px.image_id, px.x, px.y, CASE WHEN open.x IS NULL THEN CAST(255 AS DOUBLE) ELSE 0 END AS v FROM px LEFT JOIN open USING (image_id, x, y)",
     "particles": _objects(40) + " SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first) AS INT) AS label, n AS area, x0, y0, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, CAST(least AS DOUBLE) AS least, CAST(most AS DOUBLE) AS most, edge, round(cx + 0.5, 6) AS cx, round(cy + 0.5, 6) AS cy, round(mean, 6) AS mean, round(a * sqrt(n / (pi() * a * b)) * 2, 6) AS major, round(b * sqrt(n / (pi() * a * b)) * 2, 6) AS minor, round(CASE WHEN turn < 0 THEN turn + 180 ELSE turn END, 6) AS angle FROM axes",
@@ -254,7 +255,7 @@ SQL |= {
     "stream_folder_measured": _px(f"SELECT {_NAME}, CAST(count(*) AS INT) AS n, round(avg(v), 6) AS mean, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most FROM px GROUP BY image_id"),
     "scaled": _px(f", {_taps('xt', 64, 48)}, {_taps('yt', 32, 40)}" + _RESIZED),
     "averaged": _px(f", {_areas('xt', 64, 24)}, {_areas('yt', 32, 20)}" + _RESIZED),
-    "rotated": _px(f""", src AS (SELECT image_id, x, y, 31.5 + (x - 31.5) * {_CA} - (y - 15.5) * {_SA} AS xs, 15.5 + (x - 31.5) * {_SA} + (y - 15.5) * {_CA} AS ys FROM px),
+    "rotated": _px(f""", src AS MATERIALIZED (SELECT image_id, x, y, 31.5 + (x - 31.5) * {_CA} - (y - 15.5) * {_SA} AS xs, 15.5 + (x - 31.5) * {_SA} + (y - 15.5) * {_CA} AS ys FROM px),
       held AS (SELECT image_id, x, y, {_HOLD.format('xs', 64)} AS xs, {_HOLD.format('ys', 32)} AS ys FROM src WHERE xs >= -0.01 AND xs < 64 AND ys >= -0.01 AND ys < 32),
       turned AS (SELECT h.image_id, h.x, h.y, CAST(floor(round(sum(n.v * (1 - abs(xs - n.x)) * (1 - abs(ys - n.y))), 9) + 0.5) AS INT) AS v
         FROM held h, (SELECT CAST(unnest([0, 1]) AS INT) AS i), (SELECT CAST(unnest([0, 1]) AS INT) AS j) JOIN px n ON n.image_id = h.image_id AND n.x = CAST(floor(xs) AS INT) + i AND n.y = CAST(floor(ys) AS INT) + j GROUP BY ALL)
@@ -264,7 +265,7 @@ SQL |= {
       SELECT image_id, z, roi_id, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS most FROM st JOIN members USING (x, y) GROUP BY image_id, z, roi_id"""),
     "point_values": _px("SELECT l_orderkey, l_linenumber, l_returnflag AS region_group, image_id, x, y, v FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey AS image_id, CAST(l_orderkey % 70 AS INT) AS x, CAST(l_partkey % 32 AS INT) AS y FROM lineitem) JOIN px USING (image_id, x, y)"),
     "redirected_measure": _px("SELECT a.image_id, count(*) AS n, round(avg(b.v), 6) AS mean, max(b.v) AS most FROM px a JOIN px b ON b.image_id + 1 = a.image_id AND a.x = b.x AND a.y = b.y WHERE a.v > 20 GROUP BY a.image_id"),
-    "image_calculator_16bit": _px(""", w AS (SELECT image_id, x, y, v * 250 AS v FROM px) SELECT a.image_id, a.x, a.y, least(65535, a.v + b.v) AS add, greatest(0, a.v - b.v) AS subtract, CAST(least(65535, CAST(a.v AS BIGINT) * b.v) AS INT) AS multiply, CASE WHEN b.v = 0 THEN 65535 ELSE a.v // b.v END AS divide, (a.v + b.v) // 2 AS average, abs(a.v - b.v) AS difference FROM w a JOIN w b ON b.image_id + 1 = a.image_id AND a.x = b.x AND a.y = b.y"""),
+    "image_calculator_16bit": _px(""", w AS MATERIALIZED (SELECT image_id, x, y, v * 250 AS v FROM px) SELECT a.image_id, a.x, a.y, least(65535, a.v + b.v) AS add, greatest(0, a.v - b.v) AS subtract, CAST(least(65535, CAST(a.v AS BIGINT) * b.v) AS INT) AS multiply, CASE WHEN b.v = 0 THEN 65535 ELSE a.v // b.v END AS divide, (a.v + b.v) // 2 AS average, abs(a.v - b.v) AS difference FROM w a JOIN w b ON b.image_id + 1 = a.image_id AND a.x = b.x AND a.y = b.y"""),
     "stack_by_plane": f"""WITH {STACK}, plane AS (SELECT {_PLACE}, {_level("l_quantity")} AS v FROM lineitem GROUP BY ALL), q AS (SELECT st.image_id, x, y, z, CAST(st.v AS DOUBLE) AS a, CAST(coalesce(plane.v, 0) AS DOUBLE) AS b FROM st LEFT JOIN plane USING (image_id, x, y))
       SELECT image_id, x, y, z, a - b AS subtract, a * b AS multiply, CASE WHEN b <> 0 THEN round(a / b, 6) WHEN a = 0 THEN -1 ELSE -2 END AS divide, (a + b) / 2 AS average, abs(a - b) AS difference FROM q""",
     "colour_round_trips": f"""WITH {RGB}, lin AS (SELECT *, {", ".join(f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS l{c}" for c in "rgb")} FROM rgb),
@@ -274,4 +275,58 @@ SQL |= {
     "slice_spacing": "SELECT o_custkey, count(step) AS steps, round(avg(step), 6) AS mean, min(step) AS least, max(step) AS most, coalesce(max(step) = min(step), true) AS uniform FROM (SELECT o_custkey, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders) GROUP BY o_custkey",
 }
 
+_TRACED = """sides AS MATERIALIZED (SELECT q.image_id, way, q.x + dx AS x, q.y + dy AS y, q.x + ex AS xe, q.y + ey AS ye, ((q.y + dy) * 65 + q.x + dx) * 4 + way AS id
+      FROM (SELECT * FROM lit, (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)) w(way, nx, ny, dx, dy, ex, ey)) q LEFT JOIN lit n ON n.image_id = q.image_id AND n.x = q.x + nx AND n.y = q.y + ny WHERE n.x IS NULL),
+    steps AS MATERIALIZED (SELECT s.image_id, s.id, arg_min(t.id, CASE (t.way - s.way + 4) % 4 WHEN 3 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS next FROM sides s JOIN sides t ON t.image_id = s.image_id AND t.x = s.xe AND t.y = s.ye GROUP BY s.image_id, s.id),
+    walk(image_id, start, cur, place) AS (SELECT image_id, id, id, 0 FROM sides WHERE way < 2 UNION ALL SELECT w.image_id, start, next, place + 1 FROM walk w JOIN steps n ON n.image_id = w.image_id AND n.id = w.cur WHERE next > start),
+    firsts AS (SELECT w.image_id, start, place + 1 AS size FROM walk w JOIN steps n ON n.image_id = w.image_id AND n.id = w.cur WHERE next = start),
+    placed AS (SELECT w.image_id, start, size, place, s.way, s.x, s.y, lag(s.way) OVER (PARTITION BY w.image_id, start ORDER BY place) AS before FROM walk w JOIN firsts USING (image_id, start) JOIN sides s ON s.image_id = w.image_id AND s.id = w.cur),
+    turns AS (SELECT *, row_number() OVER c AS k, coalesce(place - lag(place) OVER c, size - max(place) OVER (PARTITION BY image_id, start)) AS step, coalesce(lead(x) OVER c, first_value(x) OVER c) AS xn, coalesce(lead(y) OVER c, first_value(y) OVER c) AS yn FROM placed WHERE before IS NULL OR before <> way WINDOW c AS (PARTITION BY image_id, start ORDER BY place)),
+    cut AS (SELECT *, (k - max(CASE WHEN step > 1 OR k = 1 THEN k END) OVER (PARTITION BY image_id, start ORDER BY k)) % 2 = 0 AS is_cut FROM turns),
+    traced AS (SELECT image_id, min(CASE WHEN k = 1 THEN x END) AS x0, min(CASE WHEN k = 1 THEN y END) AS y0, sum(x * yn - xn * y) > 0 AS "outer", CAST(max(size) AS BIGINT) AS sides, count(*) AS corners, CAST(sum(x * yn - xn * y) AS DOUBLE) / 2 AS area, max(size) - count(*) FILTER (WHERE is_cut) * (2 - sqrt(2::DOUBLE)) AS perimeter, string_agg(x || ',' || y, ' ' ORDER BY k) AS points FROM cut GROUP BY image_id, start)"""
+
+SQL |= {
+    "outlines": f"WITH RECURSIVE {PX}, lit AS MATERIALIZED (SELECT image_id, x, y FROM px WHERE v >= 40), {_TRACED} SELECT * REPLACE (round(perimeter, 6) AS perimeter) FROM traced",
+    "round_particles": _objects(1, eight=True) + f""", {_TRACED}, whole AS (SELECT a.image_id, a.first, n AS area, a.x0, a.y0, x1 - a.x0 + 1 AS w, y1 - a.y0 + 1 AS h, edge, round(perimeter, 6) AS perimeter, round(least(1, 4 * pi() * n / (perimeter * perimeter)), 6) AS circularity, round(b / a, 6) AS roundness FROM axes a JOIN traced t ON t.image_id = a.image_id AND t.outer AND t.y0 * 64 + t.x0 = a.first)
+      SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first) AS INT) AS label, area, x0, y0, w, h, edge, perimeter, circularity, roundness FROM whole WHERE area BETWEEN 4 AND 400 AND circularity >= 0.2""",
+}
+
+
+def _cubics() -> str:
+    """Least squares of degree 3 by elimination, a step a CTE."""
+    n = range(4)
+    sums = ", ".join([f"sum(pow(t, {i + j})) AS a{i}{j}" for i in n for j in n] + [f"sum(pow(t, {i}) * o) AS a{i}4, sum(pow(t, {i}) * o) AS b{i}" for i in n])
+    steps, last = "", "m"
+    for k in n:
+        cells = ", ".join(f"{f'a{k}{j} / a{k}{k}' if i == k else f'a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j}'} AS a{i}{j}" for i in n for j in range(5))
+        steps += f", e{k} AS (SELECT l_suppkey, n, mean, sd, level, sst, {', '.join(f'b{i}' for i in n)}, {cells} FROM {last})"
+        last = f"e{k}"
+    at = lambda x: f"round(level + a04 + a14 * (({x} - mean) / sd) + a24 * pow(({x} - mean) / sd, 2) + a34 * pow(({x} - mean) / sd, 3), 2) AS at_{x}"
+    return f"""WITH d AS (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+    q AS (SELECT l_suppkey, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd, avg(y) AS level FROM d GROUP BY l_suppkey),
+    r AS (SELECT q.*, (x - mean) / sd AS t, y - level AS o FROM d JOIN q USING (l_suppkey)),
+    m AS (SELECT l_suppkey, any_value(n) AS n, any_value(mean) AS mean, any_value(sd) AS sd, any_value(level) AS level, sum(o * o) AS sst, {sums} FROM r GROUP BY l_suppkey){steps}
+    SELECT l_suppkey, n, {at(5)}, {at(25)}, {at(45)}, round(least(1, (a04 * b0 + a14 * b1 + a24 * b2 + a34 * b3) / sst), 6) AS r2 FROM {last}"""
+
+
+SQL["polynomial_fits"] = _cubics()
+
+_DIGEST = "CAST(CAST('0x' || substr(md5('7:' || image_id || ':' || x || ':' || y || ':' || {0}), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
+_SSIM = [math.exp(-(d * d) / 4.5) for d in range(-5, 6)]
+_SSIM = ", ".join(f"({d}, {w / sum(_SSIM)!r}::DOUBLE)" for d, w in zip(range(-5, 6), _SSIM, strict=True))
+
+SQL |= {
+    "wand_regions": f"""WITH RECURSIVE {PX}, seeds AS (SELECT DISTINCT l_suppkey AS image_id, CAST(l_linenumber AS INT) AS seed FROM lineitem),
+      spots AS (SELECT s.image_id, seed, px.x, px.y, px.v AS own FROM seeds s JOIN px ON px.image_id = s.image_id AND px.x = (seed * 9 + s.image_id * 5) % 64 AND px.y = (seed * 5 + s.image_id) % 32),
+      reached(image_id, seed, own, x, y, v) AS (SELECT image_id, seed, own, x, y, own FROM spots UNION SELECT n.image_id, r.seed, r.own, n.x, n.y, n.v FROM reached r, (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dx) a, (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dy) b JOIN px n ON n.image_id = r.image_id AND n.x = r.x + dx AND n.y = r.y + dy WHERE abs(n.v - r.own) <= 15)
+      SELECT image_id, seed, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS most FROM reached GROUP BY image_id, seed""",
+    "image_similarity": f"""WITH {PX}, taps(d, w) AS (VALUES {_SSIM}), pair AS MATERIALIZED (SELECT a.image_id, a.x, a.y, CAST(a.v AS DOUBLE) AS a, CAST(b.v AS DOUBLE) AS b {_PAIR}),
+      wide AS MATERIALIZED (SELECT p.image_id, p.x, p.y, sum(w * n.a) AS ua, sum(w * n.b) AS ub, sum(w * n.a * n.a) AS aa, sum(w * n.b * n.b) AS bb, sum(w * n.a * n.b) AS ab FROM (SELECT image_id, x, y, w, greatest(0, least(63, x + d)) AS nx FROM pair, taps) p JOIN pair n ON n.image_id = p.image_id AND n.y = p.y AND n.x = nx GROUP BY ALL),
+      tall AS (SELECT p.image_id, p.x, p.y, sum(w * ua) AS ua, sum(w * ub) AS ub, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab FROM (SELECT image_id, x, y, w, greatest(0, least(31, y + d)) AS ny FROM pair, taps) p JOIN wide n ON n.image_id = p.image_id AND n.x = p.x AND n.y = ny GROUP BY ALL)
+      SELECT image_id, round(avg((2 * ua * ub + 6.5025::DOUBLE) * (2 * (ab - ua * ub) + 58.5225::DOUBLE) / ((ua * ua + ub * ub + 6.5025::DOUBLE) * (aa - ua * ua + bb - ub * ub + 58.5225::DOUBLE))), 6) AS ssim FROM tall GROUP BY image_id""",
+    "noise_added": _px(f""", drawn AS (SELECT image_id, x, y, k, v + floor(sqrt(-2 * ln(1 - {_DIGEST.format("(2 * k)")})) * cos(2 * pi() * {_DIGEST.format("(2 * k + 1)")}) * 12 + 0.5) AS d FROM px, (SELECT CAST(unnest(range(64)) AS INT) AS k))
+      SELECT image_id, x, y, CAST(coalesce(d, v) AS INT) AS v FROM px LEFT JOIN (SELECT image_id, x, y, arg_min(d, k) AS d FROM drawn WHERE d BETWEEN 0 AND 255 GROUP BY image_id, x, y) USING (image_id, x, y)"""),
+    "salt_and_pepper": _px(f"SELECT image_id, x, y, CASE WHEN u < 0.025::DOUBLE THEN 255 WHEN u < 0.05::DOUBLE THEN 0 ELSE v END AS v FROM (SELECT *, {_DIGEST.format(0)} AS u FROM px)"),
+}
+
 SQL = {k: s.replace("\n,", ",").replace("\n, ", ", ") for k, s in SQL.items()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planespark.functions import points
+from planespark.operators import lines
 
 
 def _modes(a: Column, b: Column, top: int = 255) -> dict[str, Column]:
@@ -126,3 +129,28 @@ def algebra(first: DataFrame, second: DataFrame, at: list[str]) -> DataFrame:
     rows = first.select(*at, F.lit(1).alias("side")).union(second.select(*at, F.lit(2).alias("side")))
     sides = rows.groupBy(*at).agg(F.bit_or("side").alias("sides"))
     return sides.select(*at, (F.col("sides") == 3).alias("both"), F.lit(True).alias("either"), (F.col("sides") != 3).alias("one"))
+
+
+#: Fixed values of the structural similarity: reach and sigma of its Gaussian window, and its two constants.
+SSIM_REACH, SSIM_SIGMA, SSIM_K1, SSIM_K2 = 5, 1.5, 0.01, 0.03
+
+
+def ssim(first: DataFrame, second: DataFrame, keys: list[str], top: float = 255.0) -> DataFrame:
+    """keys, ssim: mean structural similarity of two images (Wang et al. 2004), ``top`` being the range of values.
+
+    One stencil carries the five weighted moments of both images.
+    """
+    window = [math.exp(-(d * d) / (2 * SSIM_SIGMA**2)) for d in range(-SSIM_REACH, SSIM_REACH + 1)]
+    window = [w / sum(window) for w in window]
+    both = first.select(*keys, "x", "y", F.col("v").cast("double").alias("a")).join(second.select(*keys, "x", "y", F.col("v").cast("double").alias("b")), [*keys, "x", "y"])
+    moments = {"ua": lambda p: p["a"], "ub": lambda p: p["b"], "aa": lambda p: p["a"] * p["a"], "bb": lambda p: p["b"] * p["b"], "ab": lambda p: p["a"] * p["b"]}
+    c1, c2 = (SSIM_K1 * top) ** 2, (SSIM_K2 * top) ** 2
+
+    def similar(p: dict[str, list[Column]]) -> Column:
+        m = {n: lines.weighted(p[n], window) for n in moments}
+        va, vb, vab = m["aa"] - m["ua"] * m["ua"], m["bb"] - m["ub"] * m["ub"], m["ab"] - m["ua"] * m["ub"]
+        return (2 * m["ua"] * m["ub"] + c1) * (2 * vab + c2) / ((m["ua"] * m["ua"] + m["ub"] * m["ub"] + c1) * (va + vb + c2))
+
+    out = lines.stencil(lines.to_lines(both, keys, ["a", "b"]), keys, (SSIM_REACH, SSIM_REACH), lambda v: {n: lines.weighted([f(p) for p in v], window) for n, f in moments.items()}, similar)
+    sums = out.select(*keys, F.aggregate("out", F.lit(0.0), lambda s, v: s + v).alias("s"), F.size("out").alias("n"))
+    return sums.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("ssim"))

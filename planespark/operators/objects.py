@@ -1,4 +1,4 @@
-"""Peaks, basins, hulls and thinned shapes of single planes; each a function of one plane, dealt by Spark plane by plane."""
+"""Hulls and thinned shapes of single planes; each a function of one plane, dealt by Spark plane by plane."""
 
 from __future__ import annotations
 
@@ -8,88 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from planespark.operators.planes import distance, label
-
-
-def basins(a: np.ndarray, tolerance: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Basins (numbered from 1, highest peak first; 0 on the ridges between them) and the (y, x) of their peaks.
-
-    Pixels are flooded from high to low. A peak counts if it rises by more than
-    the tolerance above the highest pass to a higher one (the highest peak: above
-    the lowest pixel). A flat peak stands at the pixel nearest to its middle.
-    NaN pixels are ridges. The time is n log n in the pixels of a plane.
-    """
-    h, w = a.shape
-    flat = a.ravel()
-    order = np.argsort(-flat, kind="stable")
-    order = order[~np.isnan(flat[order])]
-    if not len(order):
-        return np.zeros((h, w), int), []
-    value = flat.tolist()
-    owner = [-1] * (h * w)
-    up: dict[int, int] = {}
-
-    def root(p: int) -> int:
-        while up[p] != p:
-            up[p] = p = up[up[p]]
-        return p
-
-    for p in order.tolist():
-        y, x = divmod(p, w)
-        around = [j * w + i for j in range(max(y - 1, 0), min(y + 2, h)) for i in range(max(x - 1, 0), min(x + 2, w)) if owner[j * w + i] >= 0]
-        met = sorted({root(owner[q]) for q in around}, key=lambda r: (-value[r], r))
-        if not met:
-            up[p] = owner[p] = p
-            continue
-        high = [met[0], *(r for r in met[1:] if value[r] - value[p] > tolerance)]
-        for r in met[1:]:
-            if r not in high:
-                up[r] = met[0]
-        if len(high) == 1:
-            owner[p] = met[0]
-    ids = np.array([root(o) if o >= 0 else -1 for o in owner])
-    peaks = sorted({int(r) for r in ids if r >= 0}, key=lambda r: (-value[r], r))
-    low = value[int(order[-1])]
-    peaks = [r for r in peaks if value[r] - low > tolerance]
-    out, places = np.zeros(h * w, int), []
-    for k, r in enumerate(peaks, 1):
-        mine = ids == r
-        out[mine] = k
-        y, x = np.divmod(np.flatnonzero(mine & (flat == value[r])), w)
-        middle = ((y - y.mean()) ** 2 + (x - x.mean()) ** 2).argmin()
-        places.append((int(y[middle]), int(x[middle])))
-    return out.reshape(h, w), places
-
-
-def maxima(planes: DataFrame, tolerance: float, exclude_edges: bool = False) -> DataFrame:
-    """keys, rank (1 is the highest), x, y, v of the peaks of every plane."""
-    keys = [f for f in planes.schema.fields if f.name not in ("width", "height", "pixels")]
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                a = np.asarray(r.pixels, float).reshape(r.height, r.width)
-                found = [p for p in basins(a, tolerance)[1] if not exclude_edges or (0 < p[0] < r.height - 1 and 0 < p[1] < r.width - 1)]
-                rows += [(*(getattr(r, f.name) for f in keys), k, x, y, float(a[y, x])) for k, (y, x) in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=[*(f.name for f in keys), "rank", "x", "y", "v"])
-
-    return planes.mapInPandas(run, f"{head}, rank int, x int, y int, v double")
-
-
-def split_touching(on: np.ndarray, tolerance: float = 0.5) -> np.ndarray:
-    """A mask cut along the ridges between the peaks of its distance map (watershed)."""
-    depth = distance(on)
-    return on & (basins(np.where(on, depth, np.nan), tolerance)[0] > 0) if on.any() and not on.all() else on.copy()
-
-
-def ultimate_points(on: np.ndarray, tolerance: float = 0.5) -> np.ndarray:
-    """Distance values at the peaks of the distance map, 0 elsewhere."""
-    depth, out = distance(on), np.zeros(on.shape)
-    for y, x in basins(depth, tolerance)[1]:
-        out[y, x] = depth[y, x]
-    return out
+from planespark.operators.planes import label
 
 
 def thinned(on: np.ndarray) -> np.ndarray:

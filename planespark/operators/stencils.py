@@ -1,11 +1,11 @@
-"""Neighbourhood operators over long-form pixels: two passes of windows, along the rows and then along the columns.
+"""Neighbourhood operators over long-form pixels, worked out on image rows as arrays (see ``lines``).
 
 A stencil reads what lies a few pixels beside each pixel of its image row, makes
-a few partial values of it, and then reads these above and below. So a pixel
-crosses two shuffles whatever the size of the stencil, no plane has to fit a
-task (a window holds one row or one column), and all of it stays in the JVM.
-Planes are dense: a row for every x and y. Beyond the edge of a plane the
-nearest edge pixel is read, or a fixed value where an operator says so.
+a few partial values of it, and then reads these above and below. So the rows of
+a plane cross two shuffles whatever the size of the stencil, no plane has to fit
+a task, and all of it stays in the JVM. Planes are dense: a row for every x and
+y. Beyond the edge of a plane the nearest edge pixel is read, or a fixed value
+where an operator says so.
 """
 
 from __future__ import annotations
@@ -17,47 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-Rows = Callable[[list[Column]], dict[str, Column]]
-Join = Callable[[dict[str, list[Column]]], Column]
+from planespark.operators import lines
+from planespark.operators.lines import Join, Rows
+from planespark.operators.lines import total as _total
+from planespark.operators.lines import weighted as _weighted
 
 #: Radii of circular windows that stand for another one (from, below, meant).
 MEANT_RADII = ((1.5, 1.75, 1.75), (2.5, 2.85, 2.85))
 
 
-def _beside(px: DataFrame, keys: list[str], along: str, across: str, names: list[str], reach: int, outside: float | None) -> DataFrame:
-    """Columns ``<name>_0`` to ``<name>_<2 reach>``: the values from ``reach`` places before to ``reach`` after."""
-    line = Window.partitionBy(*keys, across).orderBy(along)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = {}
-    for name in names:
-        for d in range(-reach, reach + 1):
-            near = F.lag(name, -d) if d < 0 else F.lead(name, d)
-            edge = F.lit(outside) if outside is not None else (F.first(name) if d < 0 else F.last(name)).over(whole)
-            out[f"{name}_{d + reach}"] = F.coalesce(near.over(line), edge) if d else F.col(name)
-    return px.withColumns(out)
-
-
 def stencil(px: DataFrame, keys: list[str], reach: tuple[int, int], rows: Rows, join: Join, outside: float | None = None, out: str = "v") -> DataFrame:
     """keys, x, y, v and ``out``: ``rows`` makes named values of v at x - rx .. x + rx, ``join`` the result of those at y - ry .. y + ry."""
-    rx, ry = reach
-    wide = _beside(px.select(*keys, "x", "y", "v"), keys, "x", "y", ["v"], rx, outside)
-    parts = rows([F.col(f"v_{k}") for k in range(2 * rx + 1)])
-    wide = wide.select(*keys, "x", "y", "v", *(c.alias(f"_{n}") for n, c in parts.items()))
-    tall = _beside(wide, keys, "y", "x", [f"_{n}" for n in parts], ry, outside)
-    value = join({n: [F.col(f"_{n}_{k}") for k in range(2 * ry + 1)] for n in parts})
-    return tall.select(*keys, "x", "y", value.alias(out)) if out == "v" else tall.select(*keys, "x", "y", "v", value.alias(out))
-
-
-def _total(parts: list[Column]) -> Column:
-    out = parts[0]
-    for c in parts[1:]:
-        out = out + c
-    return out
+    return _shown(lines.stencil(lines.to_lines(px, keys), keys, reach, rows, join, outside), keys, out)
 
 
-def _weighted(values: list[Column], weights: list[float]) -> Column:
-    used = [v if w == 1 else v * F.lit(w) for v, w in zip(values, weights, strict=True) if w]
-    return _total(used) if used else F.lit(0)
+def _shown(strips: DataFrame, keys: list[str], out: str) -> DataFrame:
+    return lines.to_pixels(strips, keys, {"out": "v"} if out == "v" else {"line": "v", "out": out})
 
 
 def correlation(px: DataFrame, keys: list[str], kernel: list[list[float]], out: str = "v") -> DataFrame:
@@ -103,8 +78,7 @@ def gaussian_kernel(sigma: float, accuracy: float = 2e-4) -> list[float]:
 
 def gaussian(px: DataFrame, keys: list[str], sigma: float, accuracy: float = 2e-4, out: str = "v") -> DataFrame:
     """Blur by a Gaussian, one axis after the other."""
-    k = gaussian_kernel(sigma, accuracy)
-    return stencil(px, keys, (len(k) // 2,) * 2, lambda v: {"g": _weighted(v, k)}, lambda p: _weighted(p["g"], k), out=out)
+    return _shown(lines.blurred(lines.to_lines(px, keys), keys, gaussian_kernel(sigma, accuracy)), keys, out)
 
 
 def unsharp(px: DataFrame, keys: list[str], sigma: float, weight: float) -> DataFrame:
@@ -123,6 +97,10 @@ def half_widths(radius: float) -> dict[int, int]:
 
 def rank(px: DataFrame, keys: list[str], radius: float, kind: str, out: str = "v") -> DataFrame:
     """mean, min, max, variance (population) or median over the circular window."""
+    return _shown(_ranked(lines.to_lines(px, keys), keys, radius, kind), keys, out)
+
+
+def _ranked(rows_of: DataFrame, keys: list[str], radius: float, kind: str) -> DataFrame:
     widths = half_widths(radius)
     reach, widest = max(widths), max(widths.values())
     inner = lambda v, w: v[widest - w : widest + w + 1]
@@ -140,7 +118,7 @@ def rank(px: DataFrame, keys: list[str], radius: float, kind: str, out: str = "v
         "median": (lambda v: {f"a{w}": F.array(*inner(v, w)) for w in set(widths.values())}, lambda p: F.element_at(F.array_sort(F.concat(*each(p, "a"))), n // 2 + 1)),
     }
     rows, join = make[kind]
-    return stencil(px, keys, (widest, reach), rows, lambda p: join(p).cast("double"), out=out)
+    return lines.stencil(rows_of, keys, (widest, reach), rows, lambda p: join(p).cast("double"))
 
 
 def outliers(px: DataFrame, keys: list[str], radius: float, threshold: float, bright: bool = True) -> DataFrame:
@@ -150,18 +128,26 @@ def outliers(px: DataFrame, keys: list[str], radius: float, threshold: float, br
     return both.select(*keys, "x", "y", F.when(off > threshold, F.col("m")).otherwise(F.col("v")).cast("double").alias("v"))
 
 
+def _twice(px: DataFrame, keys: list[str], radius: float, first: str, then: str) -> DataFrame:
+    """Strips (own, out) of one rank after the other; the rows stay arrays between them."""
+    own = lines.to_lines(px, keys)
+    once = lines.whole_lines(_ranked(own, keys, radius, first), keys, "out")
+    return _ranked(once, keys, radius, then)
+
+
 def opened(px: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    return rank(rank(px, keys, radius, "min"), keys, radius, "max")
+    return _shown(_twice(px, keys, radius, "min", "max"), keys, "v")
 
 
 def closed(px: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    return rank(rank(px, keys, radius, "max"), keys, radius, "min")
+    return _shown(_twice(px, keys, radius, "max", "min"), keys, "v")
 
 
 def top_hat(px: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """The plane without its opening."""
-    low = opened(px, keys, radius).withColumnRenamed("v", "low")
-    return px.join(low, [*keys, "x", "y"]).select(*keys, "x", "y", (F.col("v") - F.col("low")).alias("v"))
+    low = lines.whole_lines(_twice(px, keys, radius, "min", "max"), keys, "out").withColumnRenamed("line", "low")
+    both = lines.to_lines(px, keys).join(low, [*keys, "y"])
+    return lines.to_pixels(both.withColumn("out", F.zip_with("line", "low", lambda a, b: a - b)), keys, {"out": "v"})
 
 
 def neighbours(px: DataFrame, keys: list[str], on: Column) -> DataFrame:
@@ -195,13 +181,15 @@ def ball_background(px: DataFrame, keys: list[str], radius: int) -> DataFrame:
     height = {(dy, dx): math.sqrt(radius * radius - dy * dy - dx * dx) for dy in range(radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius}
     reach = {dy: max(dx for y, dx in height if y == dy) for dy in range(radius + 1)}
 
-    def side(rows: DataFrame, pick: Callable, sign: float, out: str) -> DataFrame:
+    def side(rows: DataFrame, pick: Callable, sign: float) -> DataFrame:
         parts = lambda v: {str(dy): pick(*(v[radius + dx] + F.lit(sign * height[dy, dx]) for dx in range(-w, w + 1))) if w else v[radius] + F.lit(sign * height[dy, 0]) for dy, w in reach.items()}
-        return stencil(rows, keys, (radius, radius), parts, lambda p: pick(*(p[str(abs(dy))][dy + radius] for dy in range(-radius, radius + 1))), out=out)
+        return lines.stencil(rows, keys, (radius, radius), parts, lambda p: pick(*(p[str(abs(dy))][dy + radius] for dy in range(-radius, radius + 1))))
 
-    low = side(px, F.least, -1.0, "low").select(*keys, "x", "y", F.col("low").alias("v"))
-    ball = side(low, F.greatest, 1.0, "ball").select(*keys, "x", "y", "ball")
-    return px.join(ball, [*keys, "x", "y"]).select(*keys, "x", "y", "v", F.least(F.col("ball"), F.col("v").cast("double")).alias("ball"))
+    own = lines.to_lines(px, keys)
+    low = lines.whole_lines(side(own, F.least, -1.0), keys, "out")
+    ball = lines.whole_lines(side(low, F.greatest, 1.0), keys, "out").withColumnRenamed("line", "_ball")
+    both = own.join(ball, [*keys, "y"]).withColumn("out", F.zip_with("line", "_ball", lambda v, b: F.least(b, v.cast("double"))))
+    return _shown(both, keys, "ball")
 
 
 def distance(px: DataFrame, keys: list[str], on: Column) -> DataFrame:

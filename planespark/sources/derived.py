@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _filled(cells: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """A row for every cell of every plane: the grid is generated per plane, not by a cross join."""
-    grid = cells.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))).alias("p"))
-    grid = grid.select(*keys, (F.col("p") % WIDTH).alias("x"), (F.col("p") / WIDTH).cast("int").alias("y"))
-    return grid.join(cells, [*keys, "x", "y"], "left").select(*keys, "x", "y", *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
+    """A row for every cell of every plane, made image row by image row: an array of its cells, filled up with 0.
+
+    The pixels stay where their image row is, so that putting them into arrays again needs no shuffle.
+    """
+    blank = cells.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("y"))
+    rows = cells.select(*keys, "y", F.struct("x", F.struct(*values).alias("v")).alias("cell")).unionByName(blank, allowMissingColumns=True)
+    rows = rows.groupBy(*keys, "y").agg(F.map_from_entries(F.collect_list("cell")).alias("cells"))  # the list leaves out nulls
+    line = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda x: F.try_element_at("cells", x))
+    px = rows.select(*keys, "y", F.posexplode(line).alias("x", "_v"))
+    return px.select(*keys, "x", "y", *(F.coalesce(F.col("_v").getField(v), F.lit(0)).alias(v) for v in values))
 
 
 def _place() -> list:

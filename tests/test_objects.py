@@ -1,4 +1,4 @@
-"""Peaks, hulls, thinning, spectra and points against brute force on small planes."""
+"""Peaks, contours, hulls, thinning, spectra and points against brute force on small planes."""
 
 import itertools
 import math
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planespark.functions import points
 from planespark.operators import objects as O
-from planespark.operators import spectra
+from planespark.operators import contours, particles, peaks, spectra
 from planespark.operators.planes import label
 
 RANDOM = np.random.default_rng(11)
@@ -37,28 +37,102 @@ def connected(on, p, others):
     return any(ids[q] == ids[p] and ids[q] for q in others)
 
 
-@pytest.mark.parametrize("tolerance", [0, 2, 5])
-def test_peaks(tolerance):
-    for shape in ((6, 7), (1, 20), (1, 1)):
-        a = RANDOM.integers(0, 12, shape).astype(float)
-        assert len(O.basins(a, tolerance)[1]) == prominent(a, tolerance)
+def pixels(spark, planes):
+    return spark.createDataFrame([(k, x, y, float(a[y, x])) for k, a in enumerate(planes) for y in range(a.shape[0]) for x in range(a.shape[1])], "image_id int, x int, y int, v double")
 
 
-def test_peaks_of_special_planes():
-    assert O.basins(np.full((4, 4), 3.0), 0)[1] == []
-    assert O.basins(np.full((2, 2), np.nan), 0)[1] == []
+@pytest.mark.parametrize("shape", [(6, 7), (1, 20), (1, 1)])
+def test_peaks(spark, shape):
+    """As many as by definition, each the highest of its surroundings, higher ones first."""
+    planes = [RANDOM.integers(0, 12, shape).astype(float) for _ in range(6)]
+    for tolerance in (0, 2, 5):
+        found = peaks.maxima(pixels(spark, planes), ["image_id"], shape[1], shape[0], tolerance).orderBy("image_id", "rank").collect()
+        for k, a in enumerate(planes):
+            mine = [r for r in found if r.image_id == k]
+            assert len(mine) == prominent(a, tolerance) and [r.rank for r in mine] == list(range(1, len(mine) + 1))
+            assert [r.v for r in mine] == sorted((r.v for r in mine), reverse=True)
+            for r in mine:
+                assert r.v == a[r.y, r.x] == a[max(r.y - 1, 0) : r.y + 2, max(r.x - 1, 0) : r.x + 2].max()
+
+
+def test_peaks_of_special_planes(spark):
     flat = np.zeros((5, 5))
     flat[1:4, 1:4] = 9
-    assert O.basins(flat, 1)[1] == [(2, 2)]
+    holes = np.full((5, 5), np.nan)
+    holes[0, :2] = 4, 1
+    holes[4, 4] = 7
+    planes = [np.full((5, 5), 3.0), np.full((5, 5), np.nan), flat, holes]
+    rows = peaks.maxima(pixels(spark, planes), ["image_id"], 5, 5, 1).orderBy("image_id", "rank").collect()
+    assert [(r.image_id, r.x, r.y) for r in rows] == [(2, 2, 2), (3, 4, 4), (3, 0, 0)]
+    assert peaks.maxima(pixels(spark, planes), ["image_id"], 5, 5, 1, exclude_edges=True).count() == 1
+    assert peaks.maxima(pixels(spark, []), ["image_id"], 5, 5, 1).count() == 0
 
 
-def test_watershed_cuts_two_discs():
+def test_watershed_cuts_two_discs(spark):
     y, x = np.mgrid[:21, :35]
     on = ((y - 10) ** 2 + (x - 10) ** 2 <= 64) | ((y - 10) ** 2 + (x - 23) ** 2 <= 64)
     assert label(on).max() == 1
-    cut = O.split_touching(on)
-    assert label(cut, True).max() == 2 and not (cut & ~on).any()
-    assert (O.ultimate_points(on) > 0).sum() == 2
+    px = pixels(spark, [on.astype(float), np.ones(on.shape)])
+    cut = np.zeros((2, *on.shape), bool)
+    for r in peaks.watershed(px, ["image_id"], F.col("v") > 0, 35).collect():
+        cut[r.image_id, r.y, r.x] = r.v > 0
+    assert label(cut[0], True).max() == 2 and not (cut[0] & ~on).any() and cut[0].sum() > on.sum() - 25 and cut[1].all()
+    spots = peaks.ultimate_points(px.where("image_id = 0"), ["image_id"], F.col("v") > 0, 35, 21).where("v > 0").collect()
+    assert sorted((r.x, r.y) for r in spots) == [(10, 10), (23, 10)]
+
+
+def walked(on, eight):
+    """Contours by walking, side by side: (first point, outer, sides, perimeter)."""
+    h, w = on.shape
+    at = lambda x, y: 0 <= x < w and 0 <= y < h and on[y, x]
+    start = {}
+    for y, x in zip(*np.nonzero(on), strict=True):
+        for way, free, a, b in ((0, at(x, y - 1), (x, y), (x + 1, y)), (1, at(x + 1, y), (x + 1, y), (x + 1, y + 1)), (2, at(x, y + 1), (x + 1, y + 1), (x, y + 1)), (3, at(x - 1, y), (x, y + 1), (x, y))):
+            if not free:
+                start[int(a[1]), int(a[0]), way] = (int(b[1]), int(b[0]))
+    out, left = [], set(start)
+    while left:
+        first = side = min(left)
+        path = []
+        while True:
+            left.discard(side)
+            path.append(side)
+            y, x = start[side]
+            side = next((y, x, (side[2] + t) % 4) for t in ((3, 0, 1) if eight else (1, 0, 3)) if (y, x, (side[2] + t) % 4) in start)
+            if side == first:
+                break
+        points = [s for k, s in enumerate(path) if k == 0 or s[2] != path[k - 1][2]]
+        ends = [path.index(p) for p in points]
+        cuts, cut = 0, False
+        for k in range(len(points)):
+            cut = (ends[k] - ends[k - 1]) % len(path) > 1 or not cut
+            cuts += cut
+        twice = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(path, [*path[1:], path[0]], strict=True))
+        out.append((first[1], first[0], twice > 0, len(path), twice / 2, round(len(path) - cuts * (2 - math.sqrt(2)), 9), " ".join(f"{p[1]},{p[0]}" for p in points)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("eight", [True, False])
+def test_contours(spark, eight):
+    ring = np.ones((7, 9))
+    ring[2:5, 3:6] = 0
+    ring[3, 4] = 1
+    planes = [ring, np.ones((7, 9)), np.zeros((7, 9)), *((RANDOM.random((7, 9)) < p).astype(float) for p in (0.3, 0.5, 0.7))]
+    rows = contours.traced(pixels(spark, planes), ["image_id"], F.col("v") > 0, 9, eight).collect()
+    for k, a in enumerate(planes):
+        got = sorted((r.x0, r.y0, r.outer, r.sides, r.area, round(r.perimeter, 9), r.points) for r in rows if r.image_id == k)
+        assert got == walked(a > 0, eight)
+    assert contours.traced(pixels(spark, []), ["image_id"], F.col("v") > 0, 9).count() == 0
+
+
+def test_perimeters_of_small_squares(spark):
+    """One pixel: 4 sides less two cut corners; two by two: 8 less four."""
+    one, two = np.zeros((5, 5)), np.zeros((5, 5))
+    one[2, 2] = two[1:3, 1:3] = 1
+    rows = {r.image_id: r for r in particles.outlined(pixels(spark, [one, two]), ["image_id"], 1, 1, 5, 5).collect()}
+    assert math.isclose(rows[0].perimeter, 4 - 2 * (2 - math.sqrt(2))) and math.isclose(rows[1].perimeter, 8 - 4 * (2 - math.sqrt(2)))
+    assert rows[0].circularity == 1.0 and rows[0].roundness == 1.0
+    assert particles.outlined(pixels(spark, [one, two]), ["image_id"], 1, 1, 5, 5, size=(2, 9)).count() == 1
 
 
 def test_hull_and_diameters():

@@ -74,8 +74,8 @@ def test_masks_and_distance(spark):
     assert (plane(stencils.outline(px, KEYS, lit), on.shape) == 255 * (on & (k < 8))).all()
     back = np.argwhere(~on)
     want = np.array([[0 if not on[y, x] else np.sqrt(((back - (y, x)) ** 2).sum(1).min()) for x in range(11)] for y in range(9)])
-    assert np.allclose(plane(stencils.distance(px, KEYS, lit), on.shape), want) and np.allclose(planes.distance(on), want)
-    assert (plane(stencils.distance(px, KEYS, lit), (4, 4), 1) == 0).all() and (planes.distance(np.ones((4, 4), bool)) == 0).all()
+    assert np.allclose(plane(stencils.distance(px, KEYS, lit), on.shape), want)
+    assert (plane(stencils.distance(px, KEYS, lit), (4, 4), 1) == 0).all()
     assert stencils.distance(px.limit(0), KEYS, lit).count() == 0
 
 
