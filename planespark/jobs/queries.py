@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
 from planespark.functions import points
-from planespark.operators import combine, contours, fits, geometry, metadata, noise, objects, peaks, planes, resample, spectra, stacks, stencils, thresholds, volumes
+from planespark.operators import combine, contours, fits, geometry, hulls, metadata, noise, peaks, planes, resample, spectra, stacks, stencils, thinning, thresholds, volumes
 from planespark.operators import particles as objects_of
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
@@ -460,7 +460,7 @@ def _filtered(function):
 
 
 spectrum = _filtered(planes.power_spectrum)
-skeleton = _filtered(lambda a: objects.thinned(a > 0) * 255)
+skeleton = _over(lambda px: thinning.thinned(px, IMAGE, F.col("v") > 0))
 watershed = _over(lambda px: peaks.watershed(px, IMAGE, F.col("v") > 0, W))
 ultimate_points = _over(lambda px: peaks.ultimate_points(px, IMAGE, F.col("v") > 0, W, H))
 band_passed = _filtered(spectra.band_pass(20, 3))
@@ -471,7 +471,7 @@ def find_maxima(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hull_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return objects.shapes(D.to_planes(D.pixels(spark, sf)), 1, 255)
+    return hulls.shapes(D.pixels(spark, sf), IMAGE, F.col("v").between(1, 255), W, H)
 
 
 def correlated_planes(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,13 +8,58 @@ import pytest
 from pyspark.sql import functions as F
 
 from planespark.functions import points
-from planespark.operators import objects as O
-from planespark.operators import contours, particles, peaks, spectra
+from planespark.operators import contours, hulls, particles, peaks, spectra, thinning
 from planespark.operators.planes import label
 
 RANDOM = np.random.default_rng(11)
 
 
+def hull(points):
+    """Corners of the convex hull of (x, y) points, counter-clockwise (monotone chain)."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def half(rows: np.ndarray) -> list:
+        out: list = []
+        for p in rows.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    return np.array(half(points)[:-1] + half(points[::-1])[:-1])
+
+
+def calipers(corners):
+    """Area, largest diameter and its angle (degrees, 0..180), and smallest width of a convex polygon."""
+    x, y = corners[:, 0].astype(float), corners[:, 1].astype(float)
+    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    dx, dy = x[:, None] - x, y[:, None] - y
+    i, j = divmod(int((dx * dx + dy * dy).argmax()), len(x))
+    ex, ey = np.roll(x, -1) - x, np.roll(y, -1) - y
+    across = (-ey[:, None] * x + ex[:, None] * y) / np.hypot(ex, ey)[:, None]
+    return float(area), float(np.hypot(dx[i, j], dy[i, j])), float(np.degrees(np.arctan2(-dy[i, j], dx[i, j])) % 180), float((across.max(1) - across.min(1)).min())
+
+
+def thinned(on):
+    """Skeleton by alternating passes until nothing changes (Zhang and Suen 1984)."""
+    on = on.copy()
+    while True:
+        before = on.copy()
+        for half in (0, 1):
+            p = np.pad(on, 1)
+            h, w = on.shape
+            n, ne, e, se, s, sw, west, nw = (p[1 + j : 1 + j + h, 1 + i : 1 + i + w] for j, i in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)))
+            ring = [n, ne, e, se, s, sw, west, nw]
+            count = sum(r.astype(int) for r in ring)
+            turns = sum((~a & b).astype(int) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
+            open_sides = ~(n & e & s) & ~(e & s & west) if half == 0 else ~(n & e & west) & ~(n & s & west)
+            on = on & ~((count >= 2) & (count <= 6) & (turns == 1) & open_sides)
+        if (on == before).all():
+            return on
+
+
 def prominent(a, tolerance):
     """Number of peaks by definition: the highest pass to a higher (or earlier equal) pixel lies more than the tolerance below."""
     found, values = [], a.ravel()
@@ -135,22 +180,36 @@ def test_perimeters_of_small_squares(spark):
     assert particles.outlined(pixels(spark, [one, two]), ["image_id"], 1, 1, 5, 5, size=(2, 9)).count() == 1
 
 
-def test_hull_and_diameters():
-    p = RANDOM.integers(0, 20, (30, 2))
-    corners = O.hull(p)
-    area, feret, _, least = O.calipers(corners)
-    assert math.isclose(feret, max(math.dist(a, b) for a, b in itertools.combinations(p.tolist(), 2)))
-    for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
-        assert ((b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) >= 0).all()
-    turned = [np.ptp(p @ [math.cos(t), math.sin(t)]) for t in np.linspace(0, math.pi, 20001)]
-    assert abs(min(turned) - least) < 1e-3 and area > 0
-
-
-def test_skeleton():
+def test_hull_and_diameters(spark):
+    """Against the hull and calipers of all pixel corners of each object."""
+    y, x = np.mgrid[:11, :13]
+    disc = ((y - 5) ** 2 + (x - 6) ** 2 <= 18).astype(float)
+    bar = np.zeros((11, 13))
+    bar[4, 2:9] = 1
+    planes = [disc, bar, np.ones((11, 13)), *((RANDOM.random((11, 13)) < p).astype(float) for p in (0.2, 0.35, 0.6))]
+    rows = hulls.shapes(pixels(spark, planes), ["image_id"], F.col("v") > 0, 13, 11).collect()
+    for k, a in enumerate(planes):
+        ids = label(a > 0, True)
+        mine = {r.label: r for r in rows if r.image_id == k}
+        assert len(mine) == ids.max()
+        for n, r in mine.items():
+            ys, xs = np.nonzero(ids == n)
+            corners = hull(np.concatenate([np.stack([xs + i, ys + j], axis=1) for i in (0, 1) for j in (0, 1)]))
+            area, feret, _, least = calipers(corners)
+            assert r.area == len(ys) and np.allclose([r.hull_area, r.feret, r.min_feret, r.solidity], [area, feret, least, len(ys) / area])
+    assert math.isclose({r.image_id: r for r in rows}[1].feret_angle, math.degrees(math.atan2(1, 7))) or math.isclose({r.image_id: r for r in rows}[1].feret_angle, 180 - math.degrees(math.atan2(1, 7)))
+
+
+def test_skeleton(spark):
     on = np.zeros((9, 15), bool)
     on[2:7, 2:13] = True
-    thin = O.thinned(on)
-    assert thin.any() and not (thin & ~on).any() and label(thin).max() == 1 and thin.sum() < 15
+    planes = [on, *(RANDOM.random((9, 15)) < p for p in (0.4, 0.7, 1.0)), np.zeros((9, 15), bool)]
+    got = np.zeros((len(planes), 9, 15), bool)
+    for r in thinning.thinned(pixels(spark, [a.astype(float) for a in planes]), ["image_id"], F.col("v") > 0).collect():
+        got[r.image_id, r.y, r.x] = r.v > 0
+    for a, thin in zip(planes, got, strict=True):
+        assert (thin == thinned(a)).all()
+    assert label(got[0]).max() == 1 and got[0].sum() < 15
 
 
 def test_spectra():
