@@ -99,7 +99,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planespark.llm import topk
 
     vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
-    return topk.search(spark, vectors, vectors.where("vec_id % 100 = 0"))
+    return topk.search(spark, vectors, "vec_id % 100 = 0")
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,11 +52,11 @@ def quantised(embeddings: DataFrame, key: str = "vec_id", column: str = "embeddi
 
     Rows with a null id, a null vector, or a null, NaN or infinite component
     are left out. An empty vector takes part with products of 0, and a shorter
-    one as if zeros followed. Of rows that share an id one is kept.
+    one as if zeros followed. Rows that share an id stay rows of their own.
     """
     bad = F.exists(column, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = embeddings.where(F.col(key).isNotNull() & F.col(column).isNotNull()).where(~bad)
-    return good.select(F.col(key).cast("long").alias("vec_id"), F.transform(column, lambda v: F.floor(v.cast("double") * SCALE)).alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+    return good.select(F.col(key).cast("long").alias("vec_id"), F.transform(column, lambda v: F.floor(v.cast("double") * SCALE)).alias("x"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -102,16 +102,21 @@ def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple
     return [(int(ids[j]), int(scores[j])) for j in on[:k]]
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, work: Workspace | None = None, group: int = GROUP) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but its own id, ties to smaller ids.
+def search(spark: SparkSession, vectors: DataFrame, queries: str, k: int = 10, work: Workspace | None = None, group: int = GROUP) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest inner products of each query with all rows but its own, ties to smaller ids, then smaller vectors.
 
-    ``vectors`` and ``queries`` have vec_id and x, as ``quantised`` gives them.
+    ``vectors`` has vec_id and x, as ``quantised`` gives them; ``queries`` is a
+    condition on them. Inside, rows go by numbers in the order of id and vector.
     Scores that 64 bits do not hold are cut off at their end, and tie there. With
     a ``work`` folder given, its tables ``index``, ``groups``, ``first`` and
     ``later`` stay there and tell what was searched.
     """
     work = work or Workspace(spark, "topk")
-    vectors = work.save(vectors, "vectors")
+    numbered = vectors.repartitionByRange("vec_id", "x").sortWithinPartitions("vec_id", "x")
+    rows = work.save(numbered.select(F.monotonically_increasing_id().alias("row"), "vec_id", "x"), "vectors")
+    queries = rows.where(queries).select(F.col("row").alias("vec_id"), "x")
+    names = rows.select("row", F.col("vec_id").alias("name"))
+    vectors = rows.select(F.col("row").alias("vec_id"), "x")
     count, dim = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).head()
     dim = max(dim, 1)
     n_pivots = int(min(max(count**0.5, PIVOTS[0]), PIVOTS[1]))
@@ -235,7 +240,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     later = open_pivots.join(annuli, "pivot").where(F.col("least").isNull() | (bound(F.col("lo"), F.col("hi"), F.col("longest")) >= F.col("least")))
     later = work.save(later.select("group", "block").join(first, ["group", "block"], "left_anti"), "later")
     found = seeds.union(scored(later, beat.select("group", "beat"))).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    found = found.join(names.withColumnRenamed("name", "_query"), F.col("query_id") == F.col("row")).drop("row")
+    found = found.join(names.withColumnRenamed("name", "_found"), F.col("vec_id") == F.col("row"))
+    return found.select(F.col("_query").alias("query_id"), "rank", F.col("_found").alias("vec_id"), "score")
 
 
 def ruled_out(work: Workspace) -> float:

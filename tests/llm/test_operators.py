@@ -181,12 +181,13 @@ def test_join_hot(spark):
 
 
 def brute_topk(rows, asked, k=10):
-    """By Python's whole numbers."""
-    out = set()
-    for q in asked:
-        product = {v: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(rows[q], x, strict=False)))) for v, x in rows.items() if v != q}
-        out |= {(q, r + 1, v, product[v]) for r, v in enumerate(sorted(product, key=lambda v: (-product[v], v))[:k])}
-    return out
+    """By Python's whole numbers; ``rows`` are (id, vector) pairs, and only a query's own row is left out."""
+    out = []
+    for n, (q, own) in enumerate(rows):
+        if asked(q):
+            product = [(v, max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, x, strict=False))))) for m, (v, x) in enumerate(rows) if m != n]
+            out += [(q, r + 1, v, p) for r, (v, p) in enumerate(sorted(product, key=lambda t: (-t[1], t[0]))[:k])]
+    return sorted(out)
 
 
 def test_topk(spark):
@@ -195,13 +196,28 @@ def test_topk(spark):
     rows = [(k, v, 0) for k, v in enumerate(x)] + [(300, None, 0), (301, [float("nan")] * 6, 0), (302, [None] * 6, 0), (303, x[0], 0), (304, x[0], 0), (305, [], 0), (306, [1.0], 0), (None, x[1], 0), (304, x[0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"x": F.lit(1), "pivot": F.lit(2)})
     vectors = topk.quantised(table)
-    got = topk.search(spark, vectors, vectors.where("vec_id % 100 = 0")).collect()
-    kept = {r[0]: [math.floor(1024 * float(np.float32(v))) for v in r[1]] for r in rows if r[0] is not None and r[0] not in (300, 301, 302)}
-    assert {tuple(r) for r in got} == brute_topk(kept, (0, 100, 200))
+    got = topk.search(spark, vectors, "vec_id % 100 = 0").collect()
+    kept = [(r[0], [math.floor(1024 * float(np.float32(v))) for v in r[1]]) for r in rows if r[0] is not None and r[0] not in (300, 301, 302)]
+    assert sorted(map(tuple, got)) == brute_topk(kept, lambda q: q % 100 == 0)
     few = vectors.where("vec_id < 4")
-    assert topk.search(spark, few, few.where("vec_id = 0")).count() == 3
-    assert topk.search(spark, vectors.limit(0), vectors.limit(0)).count() == 0
-    assert topk.search(spark, vectors, vectors.limit(0)).count() == 0
+    assert topk.search(spark, few, "vec_id = 0").count() == 3
+    assert topk.search(spark, vectors.limit(0), "vec_id = 0").count() == 0
+    assert topk.search(spark, vectors, "vec_id < 0").count() == 0
+
+
+def test_topk_of_rows_that_share_an_id(spark, tmp_path):
+    """Other vectors under one id are candidates of their own, as in the query's SQL."""
+    import duckdb
+
+    from planespark.llm import queries, sql
+
+    rng = np.random.default_rng(8)
+    rows = [(k // 3 + 1, rng.normal(size=4).round(2).tolist()) for k in range(90)] + [(0, [1.0, -1.0, 0.5, 2.0]), (5, [3.0, 1.0, 0.0, 0.0]), (5, [0.0, 9.0, 0.0, 0.0]), (5, [0.0, 9.0, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = "query_id, rank, vec_id, score"
+    assert sorted(map(tuple, queries.op5_topk(spark, str(tmp_path)).collect())) == sorted(con.sql(f"select {columns} from ({sql.TOPK})").fetchall())
 
 
 def test_topk_of_large_components(spark):
@@ -209,8 +225,8 @@ def test_topk_of_large_components(spark):
     rng = random.Random(3)
     rows = [(k, [rng.choice((1.0, -1.0)) * rng.random() * 10 ** rng.choice((0, 3, 6.5, 9, 15)) for _ in range(3)]) for k in range(60)]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = topk.search(spark, vectors, vectors.where("vec_id % 10 = 0"), k=5).collect()
-    assert {tuple(r) for r in got} == brute_topk({k: [math.floor(1024 * v) for v in x] for k, x in rows}, range(0, 60, 10), 5)
+    got = topk.search(spark, vectors, "vec_id % 10 = 0", k=5).collect()
+    assert sorted(map(tuple, got)) == brute_topk([(k, [math.floor(1024 * v) for v in x]) for k, x in rows], lambda q: q % 10 == 0, 5)
 
 
 def test_topk_rules_annuli_out(spark):
@@ -220,8 +236,8 @@ def test_topk_rules_annuli_out(spark):
     x = centres[rng.integers(0, 20, 800)] + rng.normal(size=(800, 8)) / 50
     vectors = topk.quantised(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
     work = Workspace(spark, "pruned")
-    got = topk.search(spark, vectors, vectors.where("vec_id % 40 = 0"), work=work, group=1)
-    assert {tuple(r) for r in got.collect()} == brute_topk({k: np.floor(1024 * v).astype(int).tolist() for k, v in enumerate(x)}, range(0, 800, 40))
+    got = topk.search(spark, vectors, "vec_id % 40 = 0", work=work, group=1)
+    assert sorted(map(tuple, got.collect())) == brute_topk([(k, np.floor(1024 * v).astype(int).tolist()) for k, v in enumerate(x)], lambda q: q % 40 == 0)
     assert topk.ruled_out(work) > 0.5
 
 
