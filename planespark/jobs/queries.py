@@ -340,19 +340,26 @@ def raw_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_frame_profile(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.arriving(spark, f"{sf}/events*.parquet")
-    out = live.latest(live.running_profile(rows, "ts", ["event_type"], F.col("value"), "6 hours"), "frame-profile")
+    out = live.latest(live.running_profile(rows, "ts", ["event_type"], F.col("value"), "6 hours"), "frame-profile", ["start", "event_type"])
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "most")
+
+
+def stream_closed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that are over: two hours behind the newest event at least, appended once."""
+    rows = live.arriving(spark, f"{sf}/events*.parquet")
+    out = live.append(live.frame_profile(rows, "ts", ["event_type"], F.col("value"), "6 hours", "2 hours", "3 hours"), "closed")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "most")
 
 
 def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.arriving(spark, f"{sf}/events*.parquet").select((F.col("user_id") % 16).cast("int").alias("x"), (F.col("event_id") % 16).cast("int").alias("y"), "value")
-    out = live.latest(live.running_projection(rows, ["x", "y"], F.col("value")), "projection")
+    out = live.latest(live.running_projection(rows, ["x", "y"], F.col("value")), "projection", ["x", "y"])
     return out.select("x", "y", "n", "most", "least", F.round("total", 4).alias("total"), F.round("average", 6).alias("average"))
 
 
 def stream_histogram(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.arriving(spark, f"{sf}/events*.parquet")
-    return live.latest(live.running_histogram(rows, ["event_type"], F.floor(F.col("value") / 10)), "histogram")
+    return live.latest(live.running_histogram(rows, ["event_type"], F.floor(F.col("value") / 10)), "histogram", ["event_type", "bin"])
 
 
 def auto_thresholds(spark: SparkSession, sf: str) -> DataFrame:

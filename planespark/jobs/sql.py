@@ -310,6 +310,9 @@ def _cubics() -> str:
 
 
 SQL["polynomial_fits"] = _cubics()
+SQL["stream_closed_windows"] = """SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most
+    FROM (SELECT time_bucket(INTERVAL 3 HOURS, ts) - k * INTERVAL 3 HOURS AS start, event_type, value FROM events, (SELECT unnest([0, 1]) AS k))
+    WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS GROUP BY start, event_type"""
 
 _DIGEST = "CAST(CAST('0x' || substr(md5('7:' || image_id || ':' || x || ':' || y || ':' || {0}), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
 _SSIM = [math.exp(-(d * d) / 4.5) for d in range(-5, 6)]

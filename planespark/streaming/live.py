@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planespark.sources import scratch
 
@@ -47,16 +49,44 @@ def append(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def latest(stream: DataFrame, name: str) -> DataFrame:
-    """Process what has arrived, write the whole state after each batch, and return that of the last batch."""
-    path = scratch.folder(stream.sparkSession, name)
-    last = []
+def latest(stream: DataFrame, name: str, keys: list[str], path: str | None = None) -> DataFrame:
+    """Process what has arrived and return the last version of each key.
+
+    Each batch writes only the rows that it changed, under its own number, so a
+    batch that is done again after a failure replaces what it wrote. A restart
+    with the same ``path`` goes on where the last one ended. ``upkeep`` folds old
+    batches together.
+    """
+    path = path or scratch.folder(stream.sparkSession, name)
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/state{batch}")
-        last[:] = [batch]
+        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    read = stream.sparkSession.read.schema(stream.schema)
-    return read.parquet(f"{path}/state{last[0]}") if last else stream.sparkSession.createDataFrame([], stream.schema)
+    return _last_versions(stream.sparkSession, stream.schema, keys, path)
+
+
+def _last_versions(spark: SparkSession, schema: T.StructType, keys: list[str], path: str) -> DataFrame:
+    try:
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/changes")
+    except AnalysisException as e:  # nothing has arrived yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "batch").alias("_row"))
+    return last.select("_row.*")
+
+
+def upkeep(spark: SparkSession, schema: T.StructType, keys: list[str], path: str, batch: int) -> None:
+    """Fold all batches of a state written by ``latest`` into one, numbered ``batch`` (the last that was written); to be called between runs."""
+    _last_versions(spark, schema, keys, path).write.mode("overwrite").parquet(f"{path}/folded")
+    folded = spark.read.schema(schema).parquet(f"{path}/folded")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/changes")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in files.listStatus(at)]
+    folded.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+    for x in old:
+        if x.getName() != f"batch={batch}":
+            files.delete(x, True)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planespark.operators import combine, metadata, resample, stacks
-from planespark.sources import folders, tables
+from planespark.sources import folders, tables, text
 from planespark.streaming import live
 
 PIXEL = "image_id int, x int, y int, v int"
@@ -119,3 +119,44 @@ def test_divisions_by_zero_of_real_images(spark):
     px, other = plane(spark, [[0, 5, 6]]), plane(spark, [[0, 0, 4]])
     got = combine.calculate(px, other, ["image_id", "x", "y"], ["divide"], top=None).orderBy("x").select(F.col("divide").cast("string")).collect()
     assert [r[0] for r in got] == ["NaN", "Infinity", "1.5"]
+
+
+def test_table_cells_with_line_breaks_and_odd_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1.0, 'two\nlines, "quoted"'), (2.0, "")], "n double, label string")
+    tables.write(rows, f"{tmp_path}/out")
+    assert sorted((r.n, r.label) for r in tables.read(spark, f"{tmp_path}/out").collect()) == [(1.0, 'two\nlines, "quoted"'), (2.0, None)]
+    (tmp_path / "same.tsv").write_text("a\ta\tb\n1\t2\n3\t4\tx\n")
+    got = tables.read(spark, f"{tmp_path}/same.tsv")
+    assert got.columns == ["a", "a_2", "b"] and sorted(map(tuple, got.collect())) == [(1.0, 2.0, None), (3.0, 4.0, "x")]
+    (tmp_path / "long.csv").write_text("a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells"):
+        tables.read(spark, f"{tmp_path}/long.csv", numeric=[]).collect()
+
+
+def test_text_images(spark):
+    lines = [(1, 0, "left right"), (1, 1, ""), (1, 2, "1,2"), (1, 4, "3\tx"), (2, 0, "7")]
+    got = text.from_lines(spark.createDataFrame(lines, "image_id int, y int, line string"), ["image_id"]).collect()
+    assert sorted((r.image_id, r.x, r.y, str(r.v)) for r in got) == [(1, 0, 0, "1.0"), (1, 0, 1, "3.0"), (1, 1, 0, "2.0"), (1, 1, 1, "nan"), (2, 0, 0, "7.0")]
+    with pytest.raises(Exception, match="a line has 1 numbers"):
+        text.from_lines(spark.createDataFrame([(1, 0, "1 2"), (1, 1, "3")], "image_id int, y int, line string"), ["image_id"]).collect()
+
+
+def test_stream_windows_late_rows_and_restart(spark, tmp_path):
+    """Rows behind the watermark are dropped, a restart goes on, and the last version of each key is what counts."""
+    folder, kept = tmp_path / "in", str(tmp_path / "state")
+    write = lambda name, rows: spark.createDataFrame([(f"2024-01-01 {t}", k, v) for t, k, v in rows], "ts string, kind string, value double").selectExpr("cast(ts as timestamp) ts", "kind", "value").coalesce(1).write.parquet(f"{folder}/{name}")
+    closed, running = [], []
+    parts = [[("00:10:00", "a", 1.0), ("01:20:00", "a", 5.0)], [("00:50:00", "a", 3.0), ("04:00:00", "b", 9.0)], [("00:20:00", "a", 100.0), ("09:00:00", "b", 1.0)]]
+    for k, rows in enumerate(parts):
+        write(f"p{k}", rows)
+        arriving = lambda: live.arriving(spark, f"{folder}/*/*.parquet")
+        closed = live.append(live.frame_profile(arriving(), "ts", ["kind"], F.col("value"), "1 hour", "1 hour"), "closed", f"{kept}/closed")
+        stream = live.running_profile(arriving(), "ts", ["kind"], F.col("value"), "1 hour")
+        running = live.latest(stream, "running", ["start", "kind"], f"{kept}/running")
+    hour = lambda r: r.start.hour
+    # 00:50 came while 01:20 was the newest: in time. 00:20 came after 04:00: too late.
+    assert sorted((hour(r), r.kind, r.n, r["mean"]) for r in closed.collect()) == [(0, "a", 2, 2.0), (1, "a", 1, 5.0), (4, "b", 1, 9.0)]
+    want = [(0, "a", 3, 104 / 3), (1, "a", 1, 5.0), (4, "b", 1, 9.0), (9, "b", 1, 1.0)]
+    assert sorted((hour(r), r.kind, r.n, r["mean"]) for r in running.collect()) == want
+    live.upkeep(spark, stream.schema, ["start", "kind"], f"{kept}/running", 2)
+    assert sorted((hour(r), r.kind, r.n, r["mean"]) for r in spark.read.parquet(f"{kept}/running/changes").collect()) == want
