@@ -519,6 +519,24 @@ def folder_measured(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("name", "z", "n", "least", "most", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
+def listed_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """A stack by a list of names, every fourth of an image that is not there."""
+    path, listing = _image_folder(spark, sf), scratch.folder(spark, "list")
+    names = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k")).distinct()
+    name = F.when(F.col("k") % 4 == 1, F.format_string("gone%04d", "k")).otherwise(F.format_string("plane%04d", "k"))
+    lines = names.agg(F.reverse(F.sort_array(F.collect_list(F.struct("k", name.alias("name"))))).alias("r"))  # one name a plane
+    lines.select(F.concat(F.array_join(F.transform("r", lambda r: r["name"]), "\n"), F.lit("\n\nplane0000\n"))).coalesce(1).write.text(listing)
+    out = folders.read_listed(spark, listing, path).groupBy("name", "z").agg(*S.basic())
+    return out.select("name", "z", "n", "least", "most", F.round("mean", 6).alias("mean"))
+
+
+def batch_converted(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of images made smaller, image by image, into another folder, and measured there."""
+    out = scratch.folder(spark, "converted")
+    folders.convert(spark, _image_folder(spark, sf), out, lambda px: resample.averaged(px, ["name"], W, H, 24, 20))
+    return folders.read_images(spark, out).groupBy("name").agg(*S.basic()).select("name", "n", "least", "most", F.round("mean", 6).alias("mean"))
+
+
 def stream_folder_measured(spark: SparkSession, sf: str) -> DataFrame:
     """Each arriving image measured once."""
     images = folders.files(spark, _image_folder(spark, sf), stream=True)

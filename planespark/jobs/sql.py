@@ -309,6 +309,9 @@ def _cubics() -> str:
     SELECT l_suppkey, n, {at(5)}, {at(25)}, {at(45)}, round(least(1, (a04 * b0 + a14 * b1 + a24 * b2 + a34 * b3) / sst), 6) AS r2 FROM {last}"""
 
 
+SQL["listed_stack"] = _px("""SELECT CASE WHEN gone THEN format('gone{:04d}', image_id) ELSE format('plane{:04d}', image_id) END AS name, z, count(*) AS n, min(CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE v END) AS least, max(CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE v END) AS most, round(avg(CASE WHEN gone THEN 0 ELSE v END), 6) AS mean
+    FROM px JOIN (SELECT image_id, image_id % 4 = 1 AS gone, CAST(row_number() OVER (ORDER BY image_id DESC) AS INT) AS z FROM (SELECT DISTINCT image_id FROM cells)) USING (image_id) GROUP BY image_id, gone, z""")
+SQL["batch_converted"] = _px(f", {_areas('xt', 64, 24)}, {_areas('yt', 32, 20)}, small AS ({_RESIZED}) SELECT {_NAME}, count(*) AS n, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, round(avg(v), 6) AS mean FROM small GROUP BY image_id")
 SQL["polynomial_fits"] = _cubics()
 SQL["stream_closed_windows"] = """SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most
     FROM (SELECT time_bucket(INTERVAL 3 HOURS, ts) - k * INTERVAL 3 HOURS AS start, event_type, value FROM events, (SELECT unnest([0, 1]) AS k))

@@ -160,3 +160,15 @@ def test_stream_windows_late_rows_and_restart(spark, tmp_path):
     assert sorted((hour(r), r.kind, r.n, r["mean"]) for r in running.collect()) == want
     live.upkeep(spark, stream.schema, ["start", "kind"], f"{kept}/running", 2)
     assert sorted((hour(r), r.kind, r.n, r["mean"]) for r in spark.read.parquet(f"{kept}/running/changes").collect()) == want
+
+
+def test_listed_images(spark, tmp_path):
+    """Order of the list, a missing image, another size, the end at a blank line."""
+    for name, value in (("b.txt", "1 2\n3 4"), ("a.txt", "1 2 3 4\n5 6 7 8\n9 10 11 12\n13 14 15 16"), ("c.txt", "9")):
+        (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(value)
+    (tmp_path / "list.txt").write_text("b.txt\nnone.txt\na.txt\n\nc.txt\n")
+    got = folders.read_listed(spark, str(tmp_path / "list.txt"), str(tmp_path / "in"))
+    assert sorted((r.z, r.y, r.x, r.v) for r in got.collect()) == [(z, y, x, v) for z, plane_of in ((1, [[1, 2], [3, 4]]), (2, [[0, 0], [0, 0]]), (3, [[1, 3], [9, 11]])) for y, row in enumerate(plane_of) for x, v in enumerate(row)]
+    (tmp_path / "empty.txt").write_text("\nb.txt")
+    assert folders.read_listed(spark, str(tmp_path / "empty.txt"), str(tmp_path / "in")).count() == 0
