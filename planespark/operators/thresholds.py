@@ -1,18 +1,14 @@
 """Automatic thresholds of 8-bit planes: published methods on 256 counts a plane.
 
 Counting is a grouped aggregation, and most methods are windows over the counts
-of each plane. Three methods repeat steps until nothing changes; these get one
-row of 256 counts a plane. A level t puts values above t in the foreground. A
+of each plane. Three methods repeat steps until nothing changes; these are
+aggregations over the steps, on an array of 256 counts a plane. A level t puts values above t in the foreground. A
 plane with one value has that value as its level; where a method finds nothing
 it gives 0. Scores are compared to nine decimals, ties go to the lower level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,67 +78,66 @@ def applied(px: DataFrame, keys: list[str], method: str, whole_stack: bool = Fal
     return px.join(level, at).select(*keys, "x", "y", F.when(F.col("v") > F.col("level"), 255).otherwise(0).alias("v"))
 
 
-# Methods that repeat steps, on one row of counts
+# Methods that repeat steps: each is one aggregation over the steps, on the array of 256 counts of a plane. A state that is done passes through.
+
+#: Steps at most of Li's method, and of smoothing.
+LI_STEPS, SMOOTH_STEPS = 256, 10_000
+
 
-_BINS = np.arange(256.0)
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
-def li(n: np.ndarray) -> int:
+def _li(n: Column) -> Column:
     """Minimum cross entropy, by iteration from the mean (Li and Tam 1998)."""
-    below, total = np.cumsum(n), np.cumsum(n * _BINS)
-    with np.errstate(all="ignore"):
-        a, b = total / below, (total[-1] - total) / (below[-1] - below)
-    t = int(total[-1] / below[-1])
-    for _ in range(256):
-        low, high = max(a[t], 1e-9), max(b[t], 1e-9)
-        if not np.isfinite(low) or not np.isfinite(high) or high <= low:
-            break
-        new = int((high - low) / (np.log(high) - np.log(low)) + 0.5)
-        if new in (t, t - 1):
-            return min(new, t)
-        t = min(new, 255)
-    return t
-
-
-def _smoothed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Counts after running means of three until only two peaks are left, and those peaks."""
-    h = n.astype(float)
-    for _ in range(10_000):
-        wide = np.concatenate([[-1.0], h, [-1.0]])
-        peaks = np.flatnonzero((wide[1:-1] > wide[:-2]) & (wide[1:-1] >= wide[2:]) & (h > 0))
-        if len(peaks) == 2:
-            return h, peaks
-        if len(peaks) < 2:
-            return None
-        h = np.convolve(h, np.full(3, 1 / 3), "same")
-    return None
-
-
-def intermodes(n: np.ndarray) -> int:
-    """The middle of the two modes of the smoothed histogram (Prewitt and Mendelsohn 1966)."""
-    found = _smoothed(n)
-    return int(found[1].sum() // 2) if found else 0
-
-
-def minimum(n: np.ndarray) -> int:
-    """The lowest point between the two modes of the smoothed histogram (Prewitt and Mendelsohn 1966)."""
-    found = _smoothed(n)
-    return int(found[1][0] + found[0][found[1][0] : found[1][1] + 1].argmin()) if found else 0
-
-
-ITERATED = {"li": li, "intermodes": intermodes, "minimum": minimum}
-
-
-def iterated_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = tuple(ITERATED)) -> DataFrame:
-    """keys, method, level for every plane of 8-bit values, by methods of ITERATED."""
-    counts = _counts(px, keys)
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema.fields[:-1])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [np.asarray(c, np.int64) for c in batch["counts"]]
-            for name in methods:
-                level = [int(n.argmax()) if (n > 0).sum() == 1 else ITERATED[name](n) for n in rows]
-                yield batch[keys].assign(method=name, level=level)
-
-    return counts.mapInPandas(run, f"{head}, method string, level int")
+    levels = F.transform(n, lambda c, k: c * k)
+    mean = F.floor(_sum(levels) / _sum(n)).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        t = s["t"]
+        below, above = _sum(F.slice(n, 1, t + 1)), _sum(F.slice(n, t + 2, 255 - t))
+        a = F.try_divide(_sum(F.slice(levels, 1, t + 1)), below)
+        b = F.try_divide(_sum(F.slice(levels, t + 2, 255 - t)), above)
+        low, high = F.greatest(a, F.lit(1e-9)), F.greatest(b, F.lit(1e-9))
+        new = F.floor((high - low) / F.try_subtract(F.log(high), F.log(low)) + 0.5).cast("int")
+        stop = a.isNull() | b.isNull() | (high <= low)
+        ended = F.struct(t.alias("t"), F.lit(True).alias("done"))
+        return F.when(s["done"] | stop, ended).when((new == t) | (new == t - 1), F.struct(F.least(new, t).alias("t"), F.lit(True).alias("done"))).otherwise(F.struct(F.least(new, F.lit(255)).alias("t"), F.lit(False).alias("done")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LI_STEPS)), F.struct(mean.alias("t"), F.lit(False).alias("done")), step, lambda s: s["t"])
+
+
+def _two_modes(n: Column) -> Column:
+    """Counts after running means of three until two peaks are left at most (struct h, peaks, done)."""
+    at = lambda h, k, beyond: F.coalesce(F.get(h, k), F.lit(beyond))
+    peaks = lambda h: F.filter(F.sequence(F.lit(0), F.lit(255)), lambda k: (F.get(h, k) > at(h, k - 1, -1.0)) & (F.get(h, k) >= at(h, k + 1, -1.0)) & (F.get(h, k) > 0))
+    third = 1 / 3
+    mean = lambda h: F.transform(h, lambda v, k: at(h, k - 1, 0.0) * third + v * third + at(h, k + 1, 0.0) * third)
+    state = lambda h, p: F.struct(h.alias("h"), p.alias("peaks"))
+
+    def step(s: Column, _: Column) -> Column:
+        smooth = F.aggregate(F.array(F.lit(0)), s["h"], lambda h, _: mean(h))
+        return F.when(F.size(s["peaks"]) <= 2, s).otherwise(F.element_at(F.transform(F.array(smooth), lambda h: state(h, peaks(h))), 1))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SMOOTH_STEPS)), state(n, peaks(n)), step)
+
+
+ITERATED = ("li", "intermodes", "minimum")
+
+
+def iterated_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = ITERATED) -> DataFrame:
+    """keys, method, level for every plane of 8-bit values, by methods of ITERATED.
+
+    Intermodes is the middle of the two modes of the smoothed histogram, minimum
+    the lowest place between them (Prewitt and Mendelsohn 1966); both are 0
+    where smoothing leaves no two modes.
+    """
+    counts = _counts(px, keys).select(*keys, F.transform("counts", lambda c: c.cast("double")).alias("n"))
+    used = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda k: F.get("n", k) > 0)
+    counts = counts.withColumns({"_used": used, "_modes": _two_modes(F.col("n"))})
+    first, last = F.get("_modes.peaks", F.lit(0)), F.get("_modes.peaks", F.lit(1))
+    between = F.transform(F.sequence(first, last), lambda k: F.struct(F.get("_modes.h", k).alias("h"), k.alias("k")))
+    two = F.size("_modes.peaks") == 2
+    level = {"li": _li(F.col("n")), "intermodes": F.when(two, F.floor((first + last) / 2)).otherwise(0), "minimum": F.when(two, F.array_min(between)["k"]).otherwise(0)}
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.when(F.size("_used") == 1, F.get("_used", F.lit(0))).otherwise(level[m]).cast("int").alias("level")) for m in methods))
+    return counts.select(*keys, F.explode(each).alias("m")).select(*keys, "m.method", "m.level")
