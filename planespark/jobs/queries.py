@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
 from planespark.functions import points
-from planespark.operators import combine, contours, fits, geometry, hulls, metadata, noise, peaks, planes, resample, spectra, stacks, stencils, thinning, thresholds, volumes
+from planespark.operators import combine, contours, fits, fourier, geometry, hulls, metadata, noise, peaks, resample, stacks, stencils, thinning, thresholds, volumes
 from planespark.operators import particles as objects_of
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
@@ -456,21 +456,11 @@ def salt_and_pepper(spark: SparkSession, sf: str) -> DataFrame:
     return noise.salt_and_pepper(D.pixels(spark, sf), IMAGE, 5.0, 7)
 
 
-def _filtered(function):
-    """A query that applies a function of one plane to every plane row."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        p = planes.per_plane(D.to_planes(D.pixels(spark, sf)), function)
-        return D.to_pixels(p).select("image_id", F.col("x").cast("int").alias("x"), "y", F.round("v", 6).alias("v"))
-
-    return run
-
-
-spectrum = _filtered(planes.power_spectrum)
+spectrum = _over(lambda px: fourier.power_spectrum(px, IMAGE, W, H))
 skeleton = _over(lambda px: thinning.thinned(px, IMAGE, F.col("v") > 0))
 watershed = _over(lambda px: peaks.watershed(px, IMAGE, F.col("v") > 0, W))
 ultimate_points = _over(lambda px: peaks.ultimate_points(px, IMAGE, F.col("v") > 0, W, H))
-band_passed = _filtered(spectra.band_pass(20, 3))
+band_passed = _over(lambda px: fourier.band_passed(px, IMAGE, W, H, 20, 3))
 
 
 def find_maxima(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,8 +472,10 @@ def hull_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def correlated_planes(spark: SparkSession, sf: str) -> DataFrame:
-    p = D.to_planes(D.pixels(spark, sf))
-    return spectra.pairs(p, p.withColumn("image_id", F.col("image_id") + 1), IMAGE, "correlate")
+    """Each plane and the one before."""
+    px = D.pixels(spark, sf)
+    out = fourier.product(px, px.withColumn("image_id", F.col("image_id") + 1), IMAGE, W, H, "correlate")
+    return out.select("image_id", "x", "y", F.round("v", 6).alias("v"))
 
 
 def region_lengths(spark: SparkSession, sf: str) -> DataFrame:

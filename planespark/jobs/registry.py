@@ -11,8 +11,8 @@ from planespark.jobs import sql
 
 FLAGSHIP = "particles"
 
-#: Queries without SQL: they follow paths through whole planes, or repeat steps; tested against brute force.
-_NO_SQL = ("spectrum", "iterated_thresholds", "skeleton", "watershed", "ultimate_points", "band_passed", "find_maxima", "hull_shapes", "correlated_planes", "iterated_fits")
+#: Queries without SQL: they follow paths through whole planes, or repeat steps; tested against brute force or numpy.
+_NO_SQL = ("iterated_thresholds", "skeleton", "watershed", "ultimate_points", "band_passed", "find_maxima", "hull_shapes", "iterated_fits")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -312,6 +312,12 @@ def _cubics() -> str:
 SQL["listed_stack"] = _px("""SELECT CASE WHEN gone THEN format('gone{:04d}', image_id) ELSE format('plane{:04d}', image_id) END AS name, z, count(*) AS n, min(CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE v END) AS least, max(CASE WHEN gone THEN CAST(0 AS DOUBLE) ELSE v END) AS most, round(avg(CASE WHEN gone THEN 0 ELSE v END), 6) AS mean
     FROM px JOIN (SELECT image_id, image_id % 4 = 1 AS gone, CAST(row_number() OVER (ORDER BY image_id DESC) AS INT) AS z FROM (SELECT DISTINCT image_id FROM cells)) USING (image_id) GROUP BY image_id, gone, z""")
 SQL["batch_converted"] = _px(f", {_areas('xt', 64, 24)}, {_areas('yt', 32, 20)}, small AS ({_RESIZED}) SELECT {_NAME}, count(*) AS n, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, round(avg(v), 6) AS mean FROM small GROUP BY image_id")
+SQL["correlated_planes"] = _px("""SELECT g.image_id, g.x, g.y, CAST(coalesce(s.v, 0) AS DOUBLE) AS v FROM (SELECT * FROM px WHERE image_id - 1 IN (SELECT image_id FROM cells)) g
+    LEFT JOIN (SELECT a.image_id, (a.x - b.x + 96) % 64 AS x, (a.y - b.y + 48) % 32 AS y, sum(a.v * b.v) AS v FROM px a JOIN px b ON b.image_id + 1 = a.image_id WHERE a.v > 0 AND b.v > 0 GROUP BY ALL) s USING (image_id, x, y)""")
+SQL["spectrum"] = _px("""SELECT image_id, CAST((u + 32) % 64 AS INT) AS x, CAST((w + 32) % 64 AS INT) AS y, CASE WHEN most > 0 THEN floor(l * 253.0::DOUBLE / most + 0.5) + 1 ELSE 1 END AS v
+    FROM (SELECT *, max(l) OVER (PARTITION BY image_id) AS most FROM (SELECT image_id, u, t.k AS w, ln(greatest(pow(sum(re * c - im * s), 2) + pow(sum(re * s + im * c), 2), 1.0::DOUBLE)) AS l
+      FROM (SELECT image_id, y, t.k AS u, sum(v * c) AS re, sum(v * s) AS im
+        FROM (SELECT m.image_id, gx AS x, gy AS y, CAST(coalesce(px.v, mean) AS DOUBLE) AS v FROM (SELECT * FROM (SELECT image_id, avg(v) AS mean FROM px GROUP BY image_id), (SELECT CAST(unnest(range(64)) AS INT) AS gx), (SELECT CAST(unnest(range(64)) AS INT) AS gy)) m LEFT JOIN px ON px.image_id = m.image_id AND px.x = gx AND px.y = gy) q JOIN taps t ON t.at = q.x GROUP BY ALL) r JOIN taps t ON t.at = r.y GROUP BY ALL))""").replace("WITH ", "WITH taps AS MATERIALIZED (SELECT k, i AS at, cos(2 * pi() * k * i / 64) AS c, -sin(2 * pi() * k * i / 64) AS s FROM range(64) a(k), range(64) b(i)), ", 1)
 SQL["polynomial_fits"] = _cubics()
 SQL["stream_closed_windows"] = """SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most
     FROM (SELECT time_bucket(INTERVAL 3 HOURS, ts) - k * INTERVAL 3 HOURS AS start, event_type, value FROM events, (SELECT unnest([0, 1]) AS k))

@@ -1,60 +1,8 @@
-"""Work in the frequency domain: band passes, products of pairs of planes, amplitudes of series."""
+"""Amplitudes of series by frequency."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def _square(a: np.ndarray, least: float = 1.0) -> tuple[np.ndarray, int, int]:
-    """The plane mirrored at its edges into a square of a power of two, and where it begins there."""
-    size = 1 << int(np.ceil(np.log2(max(least * max(a.shape), 2))))
-    top, left = (size - a.shape[0]) // 2, (size - a.shape[1]) // 2
-    pad = ((top, size - a.shape[0] - top), (left, size - a.shape[1] - left))
-    return np.pad(a, pad, mode="symmetric"), top, left
-
-
-def band_pass(large: float, small: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Removes structures larger than ``large`` and smaller than ``small`` pixels with Gaussian edges; the mean stays."""
-
-    def run(a: np.ndarray) -> np.ndarray:
-        square, top, left = _square(a, 1.5)
-        f = np.fft.fftfreq(len(square))
-        r2 = f[:, None] ** 2 + f[None] ** 2
-        keep = np.exp(-r2 * small**2) * (1 - np.exp(-r2 * large**2))
-        keep[0, 0] = 1.0
-        out = np.fft.ifft2(np.fft.fft2(square) * keep).real
-        return out[top : top + a.shape[0], left : left + a.shape[1]]
-
-    return run
-
-
-def product(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
-    """correlate, convolve or deconvolve two planes, which wrap around; the zero shift is in the middle."""
-    fa, fb = np.fft.fft2(a), np.fft.fft2(b)
-    if kind == "correlate":
-        out = fa * np.conj(fb)
-    elif kind == "convolve":
-        out = fa * fb
-    else:
-        out = fa * np.conj(fb) / np.maximum(np.abs(fb) ** 2, 1e-20)
-    return np.fft.fftshift(np.fft.ifft2(out).real)
-
-
-def pairs(first: DataFrame, second: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """Plane rows with the product of the planes of both tables that share their keys and have equal sizes."""
-    both = first.join(second.withColumnRenamed("pixels", "other"), [*keys, "width", "height"]).select(*keys, "width", "height", "pixels", "other")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [product(np.asarray(p, float).reshape(h, w), np.asarray(q, float).reshape(h, w), kind).ravel() for p, q, w, h in zip(batch["pixels"], batch["other"], batch["width"], batch["height"], strict=True)]
-            yield batch.drop(columns="other").assign(pixels=out)
-
-    return both.mapInPandas(run, both.drop("other").schema)
-
 
 #: Cosine coefficients of the windows.
 WINDOWS = {"none": (1.0,), "hamming": (0.54, -0.46), "hann": (0.5, -0.5), "flat_top": (1.0, -1.93, 1.29, -0.388, 0.028)}

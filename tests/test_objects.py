@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plain import label
 from planespark.functions import points
-from planespark.operators import contours, hulls, particles, peaks, spectra, thinning
-from planespark.operators.planes import label
+from planespark.operators import contours, fourier, hulls, particles, peaks, spectra, thinning
 
 RANDOM = np.random.default_rng(11)
 
@@ -212,14 +212,39 @@ def test_skeleton(spark):
     assert label(got[0]).max() == 1 and got[0].sum() < 15
 
 
-def test_spectra():
-    a, b = RANDOM.random((8, 8)), RANDOM.random((8, 8))
-    want = [[sum(a[(y + j) % 8, (x + i) % 8] * b[j, i] for j in range(8) for i in range(8)) for x in range(8)] for y in range(8)]
-    assert np.allclose(spectra.product(a, b, "correlate"), np.fft.fftshift(want))
-    assert np.allclose(spectra.product(np.fft.ifftshift(spectra.product(a, b, "convolve")), b, "deconvolve"), np.fft.fftshift(a))
+def values(px, shape, images=1):
+    out = np.zeros((images, *shape))
+    for r in px.collect():
+        out[r.image_id, r.y, r.x] = r.v
+    return out
+
+
+def test_spectra(spark):
+    """Transforms against numpy, also of planes that are not square; products and band passes by their definition."""
+    keys = ["image_id"]
+    a, b = RANDOM.random((8, 4)), RANDOM.random((8, 4))
+    pa, pb = pixels(spark, [a]), pixels(spark, [b])
+    want = [[sum(a[(y + j) % 8, (x + i) % 4] * b[j, i] for j in range(8) for i in range(4)) for x in range(4)] for y in range(8)]
+    assert np.allclose(values(fourier.product(pa, pb, keys, 4, 8, "correlate"), a.shape)[0], np.fft.fftshift(want))
+    spread = np.fft.ifft2(np.fft.fft2(a) * np.fft.fft2(b)).real
+    assert np.allclose(values(fourier.product(pa, pb, keys, 4, 8, "convolve"), a.shape)[0], np.fft.fftshift(spread))
+    assert np.allclose(values(fourier.product(pixels(spark, [spread]), pb, keys, 4, 8, "deconvolve"), a.shape)[0], np.fft.fftshift(a))
+    c = RANDOM.integers(0, 256, (5, 9)).astype(float)
+    square = np.full((16, 16), c.mean())
+    square[:5, :9] = c
+    logs = np.log(np.maximum(np.abs(np.fft.fft2(square)) ** 2, 1))
+    got = values(fourier.power_spectrum(pixels(spark, [c, np.zeros((5, 9))]), keys, 9, 5), (16, 16), 2)
+    assert np.abs(got[0] - np.fft.fftshift(np.floor(logs * 253 / logs.max() + 0.5) + 1)).max() <= 1 and (got[0] != np.fft.fftshift(np.floor(logs * 253 / logs.max() + 0.5) + 1)).mean() < 0.01 and (got[1] == 1).all()
+    f = np.fft.fftfreq(16)
+    r2 = f[:, None] ** 2 + f[None] ** 2
+    keep = np.exp(-r2 * 9.0) * (1 - np.exp(-r2 * 1600.0))
+    keep[0, 0] = 1
+    mirrored = np.pad(c, ((5, 6), (3, 4)), mode="symmetric")
+    want = np.fft.ifft2(np.fft.fft2(mirrored) * keep).real[5:10, 3:12]
+    got = values(fourier.band_passed(pixels(spark, [c, np.full((5, 9), 4.0)]), keys, 9, 5, 40, 3), (5, 9), 2)
+    assert np.allclose(got[0], want) and np.allclose(got[1], 4.0)
     wave = 3 + 2 * np.sqrt(2) * np.sin(2 * np.pi * 5 * np.arange(64) / 64)
     assert np.allclose(spectra.amplitude(wave)[[0, 5, 6]], [3, 2, 0])
-    assert np.allclose(spectra.band_pass(40, 3)(np.full((5, 9), 4.0)), 4.0)
 
 
 def test_points(spark):

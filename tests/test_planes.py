@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planespark.operators import particles, planes, stencils
+from plain import label
+from planespark.operators import particles, stencils
 
 RANDOM = np.random.default_rng(3)
 KEYS = ["image_id"]
@@ -125,7 +126,7 @@ def test_particles(spark, eight):
             assert np.allclose((r.cx, r.cy, r.mean), (x.mean() + 0.5, y.mean() + 0.5, a[y, x].mean()))
             assert r.edge == bool(x.min() == 0 or y.min() == 0 or x.max() == w - 1 or y.max() == h - 1)
             assert np.isclose(np.pi * r.major * r.minor / 4, r.area)
-        assert (planes.label(on, eight) == want).all()
+        assert (label(on, eight) == want).all()
 
 
 def test_holes(spark):
