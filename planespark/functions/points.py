@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,34 @@ def crossings(points: Column, y: Column) -> Column:
     sides = _steps(F.concat(points, F.slice(points, 1, 1)))
     across = F.filter(sides, lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
     return F.array_sort(F.transform(across, lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])))
+
+
+def crossings_of_parts(parts: Column, y: Column) -> Column:
+    """``crossings`` of all polygons of a composite region (array of point arrays) together, so that a polygon inside another one is a hole."""
+    return F.array_sort(F.flatten(F.transform(parts, lambda p: crossings(p, y))))
+
+
+def _bounds_centre(points: Column, axis: str) -> Column:
+    at = F.transform(points, lambda p: p[axis].cast("double"))
+    return (F.array_min(at) + F.array_max(at)) / 2
+
+
+def _placed(points: Column, x, y) -> Column:
+    return F.transform(points, lambda p: F.struct(x(p).alias("x"), y(p).alias("y")))
+
+
+def moved(points: Column, dx: Column, dy: Column) -> Column:
+    return _placed(points, lambda p: p["x"] + dx, lambda p: p["y"] + dy)
+
+
+def scaled(points: Column, sx: float, sy: float, centred: bool = True) -> Column:
+    """Points farther from the middle of their bounds, or from the origin."""
+    cx, cy = (_bounds_centre(points, a) if centred else F.lit(0.0) for a in "xy")
+    return _placed(points, lambda p: (p["x"] - cx) * sx + cx, lambda p: (p["y"] - cy) * sy + cy)
+
+
+def rotated(points: Column, degrees: float) -> Column:
+    """Points turned clockwise (y points down) about the middle of their bounds."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    cx, cy = (_bounds_centre(points, a) for a in "xy")
+    return _placed(points, lambda p: (p["x"] - cx) * c - (p["y"] - cy) * s + cx, lambda p: (p["x"] - cx) * s + (p["y"] - cy) * c + cy)

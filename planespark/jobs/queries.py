@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planespark.functions import pixel as P
 from planespark.functions import points
-from planespark.operators import combine, contours, fits, fourier, geometry, hulls, metadata, noise, peaks, resample, stacks, stencils, thinning, thresholds, volumes
+from planespark.operators import combine, contours, fits, fourier, geometry, hulls, metadata, noise, peaks, resample, shapes, stacks, stencils, thinning, thresholds, volumes
 from planespark.operators import particles as objects_of
 from planespark.operators import statistics as S
 from planespark.sources import derived as D
@@ -601,3 +601,60 @@ def tag_consistency(spark: SparkSession, sf: str) -> DataFrame:
 def slice_spacing(spark: SparkSession, sf: str) -> DataFrame:
     out = metadata.spacing(D.table(spark, sf, "orders"), ["o_custkey"], "o_orderkey")
     return out.withColumn("mean", F.round("mean", 6))
+
+
+def scaled_bicubic(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.resized(D.pixels(spark, sf), IMAGE, (W, H), (96, 40))
+
+
+def rotated_bicubic(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.turned(D.pixels(spark, sf), IMAGE, (W, H), 30, background=7)
+
+
+def rotated_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.turned(D.pixels(spark, sf), IMAGE, (W, H), -40, "nearest", 3)
+
+
+def searched_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return thresholds.searched_levels(D.pixels(spark, sf), IMAGE)
+
+
+def shapes_between(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapes of every third slice, and between these."""
+    return shapes.between(D.stack(spark, sf), IMAGE, (F.col("z") % 3 == 1) & (F.col("v") > 0))
+
+
+def gaussian_3d(spark: SparkSession, sf: str) -> DataFrame:
+    out = volumes.gaussian3d(D.stack(spark, sf), IMAGE, (1.5, 1.0, 0.7))
+    return out.select("image_id", "z", "x", "y", F.round("v", 6).alias("v"))
+
+
+def _ring(k) -> list:
+    """A square and a smaller one inside it, by region number."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    square = lambda x, y, side: F.array(corner(x, y), corner(x + side, y), corner(x + side, y + side), corner(x, y + side))
+    return [square(k * 6 + 0.25, k + 0.25, 14), square(k * 6 + 4.25, k + 5.25, 6)]
+
+
+def _rings(spark: SparkSession, sf: str) -> DataFrame:
+    ids = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id")).distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("roi_id"))
+    return ids.withColumn("parts", F.array(*_ring(F.col("roi_id"))))
+
+
+def composite_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions with a hole on every plane."""
+    found = combine.inside_composites(D.pixels(spark, sf), _rings(spark, sf))
+    return found.groupBy("image_id", "roi_id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"))
+
+
+def moved_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of the regions, larger, turned and moved, on every plane."""
+    rois = combine.split(_rings(spark, sf))
+    rois = rois.withColumn("points", points.moved(points.rotated(points.scaled(F.col("points"), 1.5, 0.75), 30), F.col("image_id") % 5 + 0.125, F.lit(2.0)))
+    found = combine.inside_polygons(D.pixels(spark, sf), rois)
+    return found.groupBy("image_id", "roi_id", "part").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"))
+
+
+def slices_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_custkey") % 3 + F.col("o_orderkey") % 11 > 0, F.regexp_extract("o_orderpriority", "[0-9]+", 0).cast("int")).alias("number"))
+    return metadata.sorted_slices(rows, ["o_custkey"], "o_orderkey", "number")

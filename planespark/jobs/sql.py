@@ -341,4 +341,103 @@ SQL |= {
     "salt_and_pepper": _px(f"SELECT image_id, x, y, CASE WHEN u < 0.025::DOUBLE THEN 255 WHEN u < 0.05::DOUBLE THEN 0 ELSE v END AS v FROM (SELECT *, {_DIGEST.format(0)} AS u FROM px)"),
 }
 
+
+def _mapped(new_width: int, new_height: int, xs: str, ys: str, background: int) -> str:
+    """Bicubic values at the places xs, ys of each new place (d, e): weights by the distances, four by four, or two by two near the edge."""
+    cubic = "CASE WHEN {0} < 1 THEN 1.5::DOUBLE * {0} * {0} * {0} - 2.5::DOUBLE * {0} * {0} + 1 ELSE -0.5::DOUBLE * {0} * {0} * {0} + 2.5::DOUBLE * {0} * {0} - 4 * {0} + 2 END"
+    return f""", spots AS (SELECT d, e, {xs} AS xs, {ys} AS ys FROM (SELECT CAST(unnest(range({new_width})) AS INT) AS d), (SELECT CAST(unnest(range({new_height})) AS INT) AS e)),
+      sorted AS (SELECT *, floor(xs) BETWEEN 1 AND 61 AND floor(ys) BETWEEN 1 AND 29 AS inner_one, xs >= -1 AND xs < 64 AND ys >= -1 AND ys < 32 AS lies_on, {_HOLD.format("xs", 64)} AS hx, {_HOLD.format("ys", 32)} AS hy FROM spots),
+      four AS (SELECT d, e, CAST(floor(xs) AS INT) + i AS px, CAST(floor(ys) AS INT) + j AS py, abs(xs - floor(xs) - i) AS ax, abs(ys - floor(ys) - j) AS ay FROM sorted, (SELECT CAST(unnest([-1, 0, 1, 2]) AS INT) AS i), (SELECT CAST(unnest([-1, 0, 1, 2]) AS INT) AS j) WHERE inner_one),
+      taps AS MATERIALIZED (SELECT d, e, px, py, ({cubic.format("ax")}) * ({cubic.format("ay")}) AS w FROM four
+        UNION ALL SELECT d, e, CAST(floor(hx) AS INT) + i, CAST(floor(hy) AS INT) + j, (1 - abs(hx - floor(hx) - i)) * (1 - abs(hy - floor(hy) - j)) FROM sorted, (SELECT CAST(unnest([0, 1]) AS INT) AS i), (SELECT CAST(unnest([0, 1]) AS INT) AS j) WHERE lies_on AND NOT inner_one
+        UNION ALL SELECT d, e, 0, 0, NULL FROM sorted WHERE NOT lies_on)
+      SELECT image_id, d AS x, e AS y, CAST(greatest(0, least(255, coalesce(floor(round(sum(v * w), 9) + 0.5), {background}))) AS INT) AS v FROM px JOIN taps ON px.x = taps.px AND px.y = taps.py GROUP BY ALL"""
+
+
+def _turned(degrees: float) -> tuple[str, str]:
+    """Where the pixel (d, e) of a turned plane comes from."""
+    ca, sa = math.cos(math.radians(-degrees)), math.sin(math.radians(-degrees))
+    return f"31.5 + (d - 31.5) * {ca!r}::DOUBLE - (e - 15.5) * ({sa!r}::DOUBLE)", f"15.5 + (d - 31.5) * ({sa!r}::DOUBLE) + (e - 15.5) * {ca!r}::DOUBLE"
+
+
+def _settled(method: str, n: str) -> str:
+    """Ridler and Calvard's level upwards, of the counts ``n`` without the ends of the scale."""
+    return f"""SELECT image_id, '{method}' AS method, coalesce(CAST(floor(round(arg_min(m, v), 9) + 0.5) AS INT), 128) AS level FROM (SELECT DISTINCT image_id FROM dense) LEFT JOIN (
+        SELECT *, (CAST(s1 AS DOUBLE) / n1 + CAST(ss - s1 AS DOUBLE) / nullif(nn - n1, 0)) / 2 AS m FROM (SELECT image_id, v, sum(c) OVER u AS n1, sum(c) OVER a AS nn, sum(c * v) OVER u AS s1, sum(c * v) OVER a AS ss, min(CASE WHEN c > 0 THEN v END) OVER a AS low, max(CASE WHEN c > 0 THEN v END) OVER a AS high FROM (SELECT image_id, v, CASE WHEN v BETWEEN 1 AND 254 THEN {n} ELSE 0 END AS c FROM peaks) WINDOW u AS (PARTITION BY image_id ORDER BY v), a AS (PARTITION BY image_id))
+        WHERE low < high AND v BETWEEN low AND greatest(low, high - 1) AND (v + 1 > round(m, 9) OR v + 1 >= high - 1)) USING (image_id) GROUP BY image_id"""
+
+
+_UNSURE = "CASE WHEN m BETWEEN 1e-6 AND 0.999999 THEN -m * ln(m) - (1 - m) * ln(1 - m) ELSE 0 END"
+_ORDERS = [
+    "2 * ln(r1 * r2 / sqrt(low * high))",
+    "ln(low) - e1 / low + ln(high) - e2 / high",
+    "-ln((q1 / low / low) * (q2 / high / high))",
+]
+_SEARCHED = f""", counts AS (SELECT image_id, v, count(*) AS n FROM px GROUP BY ALL),
+    dense AS MATERIALIZED (SELECT image_id, b.v, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM counts) CROSS JOIN (SELECT CAST(unnest(range(256)) AS INT) AS v) b LEFT JOIN counts USING (image_id, v)),
+    tops AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, v) AS k FROM dense),
+    peaks AS (SELECT *, CASE WHEN k = 1 AND n > 2 * second AND second > 0 THEN CAST(floor(second * 1.5) AS BIGINT) ELSE n END AS tamed FROM (SELECT *, max(CASE WHEN k = 2 THEN n END) OVER (PARTITION BY image_id) AS second FROM tops)),
+    cum AS MATERIALIZED (SELECT image_id, v, n, CAST(sum(n) OVER u AS DOUBLE) AS low, CAST(sum(n) OVER a - sum(n) OVER u AS DOUBLE) AS high, CAST(sum(n * v) OVER u AS DOUBLE) AS s1, CAST(sum(n * v) OVER a - sum(n * v) OVER u AS DOUBLE) AS s2,
+      CAST(sum(n * n) OVER u AS DOUBLE) AS q1, CAST(sum(n * n) OVER a - sum(n * n) OVER u AS DOUBLE) AS q2, sum(sqrt(n)) OVER u AS r1, sum(sqrt(n)) OVER a - sum(sqrt(n)) OVER u AS r2, sum(CASE WHEN n > 0 THEN n * ln(n) ELSE 0 END) OVER u AS e1, sum(CASE WHEN n > 0 THEN n * ln(n) ELSE 0 END) OVER a - sum(CASE WHEN n > 0 THEN n * ln(n) ELSE 0 END) OVER u AS e2,
+      min(CASE WHEN n > 0 THEN v END) OVER a AS first, max(CASE WHEN n > 0 THEN v END) OVER a AS final, count(*) FILTER (WHERE n > 0) OVER a AS used FROM dense WINDOW u AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY image_id)),
+    pairs AS (SELECT t.image_id, t.v AS t, t.low, t.high, t.first, t.final, k.v, k.n, k.low AS upto, k.high AS beyond, 1 / (1 + abs(k.v - CASE WHEN k.v <= t.v THEN CASE WHEN t.low > 0 THEN t.s1 / t.low ELSE 0 END ELSE CASE WHEN t.high > 0 THEN t.s2 / t.high ELSE 0 END END) / nullif(t.final - t.first, 0)) AS m FROM cum t JOIN cum k ON k.image_id = t.image_id),
+    scores AS (SELECT image_id, t, round(sum(n * ({_UNSURE})), 9) AS fuzzy, any_value(t >= first AND t < final) AS between_ends,
+      round(abs(sum(CASE WHEN v <= t THEN n * ln(1 - 0.5::DOUBLE * (upto - n) / nullif(low, 0)) END) * 0.5::DOUBLE / any_value(nullif(low, 0)) - coalesce(sum(CASE WHEN v > t THEN n * ln(1 - 0.5::DOUBLE * beyond / nullif(high, 0)) END), 0) * 0.5::DOUBLE / any_value(nullif(high, 0))), 9) AS told FROM pairs GROUP BY image_id, t),
+    orders_ AS ({" UNION ALL ".join(f"SELECT image_id, coalesce(arg_max(v, (s, -v)) FILTER (WHERE s > 0), 0) AS t FROM (SELECT image_id, v, CASE WHEN v >= first AND v < final THEN round({f}, 9) END AS s FROM cum) GROUP BY image_id" for f in _ORDERS)}),
+    three AS (SELECT image_id, list_sort(list(t)) AS ts FROM orders_ GROUP BY image_id),
+    renyi AS (SELECT image_id, ts[1] AS t1, ts[2] AS t2, ts[3] AS t3, a.low / (a.low + a.high) AS p1, c.low / (c.low + c.high) AS p3, CASE WHEN (ts[2] - ts[1] <= 5) = (ts[3] - ts[2] <= 5) THEN [1, 2, 1] WHEN ts[2] - ts[1] <= 5 THEN [0, 1, 3] ELSE [3, 1, 0] END AS b FROM three JOIN cum a USING (image_id) JOIN cum c USING (image_id) WHERE a.v = ts[1] AND c.v = ts[3]),
+    found AS ({_settled("isodata_plain", "n")} UNION ALL {_settled("default", "tamed")}
+      UNION ALL SELECT image_id, 'huang', arg_min(t, (fuzzy, t)) FROM scores GROUP BY image_id
+      UNION ALL SELECT image_id, 'shanbhag', arg_min(t, (told, t)) FILTER (WHERE between_ends) FROM scores GROUP BY image_id
+      UNION ALL SELECT image_id, 'renyi', CAST(floor(round(t1 * (p1 + (p3 - p1) * b[1] / 4) + t2 * (p3 - p1) * b[2] / 4 + t3 * (1 - p3 + (p3 - p1) * b[3] / 4), 9)) AS INT) FROM renyi)
+    SELECT image_id, method, CAST(CASE used WHEN 1 THEN first WHEN 2 THEN final - 1 ELSE level END AS INT) AS level FROM found JOIN (SELECT DISTINCT image_id, used, first, final FROM cum) USING (image_id)"""
+
+
+def _swept(source: str, line: str, along: str, step: int) -> str:
+    """``d`` lowered along lines."""
+    return f"SELECT * REPLACE (least(min(d - {step} * {along}) OVER (PARTITION BY image_id, z, {line} ORDER BY {along}) + {step} * {along}, min(d + {step} * {along}) OVER (PARTITION BY image_id, z, {line} ORDER BY {along} DESC) - {step} * {along}) AS d) FROM {source}"
+
+
+def _weights(name: str, sigma: float) -> str:
+    reach = int(sigma * math.sqrt(-2 * math.log(2e-4)))
+    side = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    return f"{name}(d, w) AS (VALUES " + ", ".join(f"({d}, {w / sum(side)!r}::DOUBLE)" for d, w in zip(range(-reach, reach + 1), side, strict=True)) + ")"
+
+
+def _polygon(name: str, corners: str) -> str:
+    """CTEs that end in ``name`` (keys, x, y, n): how many sides of the polygons lie to the right of each pixel's centre; ``corners`` has roi_id, image_id, part, i, x, y."""
+    return f"""corners AS MATERIALIZED ({corners}), sides AS (SELECT a.image_id, a.roi_id, a.part, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM corners a JOIN corners b ON b.image_id = a.image_id AND b.roi_id = a.roi_id AND b.part = a.part AND b.i = (a.i + 1) % 4),
+      {name} AS (SELECT px.image_id, roi_id, part, px.x, px.y, v, count(*) AS n FROM px JOIN sides s ON s.image_id = px.image_id AND (ay > px.y + 0.5) <> (b_y > px.y + 0.5) AND ax + (bx - ax) * (px.y + 0.5 - ay) / (b_y - ay) > px.x + 0.5 GROUP BY ALL)"""
+
+
+_RINGS = "SELECT image_id, roi_id, part, i, CASE part WHEN 0 THEN roi_id * 6 + 0.25::DOUBLE + CASE WHEN i IN (1, 2) THEN 14 ELSE 0 END ELSE roi_id * 6 + 4.25::DOUBLE + CASE WHEN i IN (1, 2) THEN 6 ELSE 0 END END AS x, CASE part WHEN 0 THEN roi_id + 0.25::DOUBLE + CASE WHEN i > 1 THEN 14 ELSE 0 END ELSE roi_id + 5.25::DOUBLE + CASE WHEN i > 1 THEN 6 ELSE 0 END END AS y FROM (SELECT DISTINCT image_id FROM cells), (SELECT CAST(unnest(range(8)) AS INT) AS roi_id), (SELECT CAST(unnest([0, 1]) AS INT) AS part), (SELECT CAST(unnest(range(4)) AS INT) AS i)"
+_C30, _S30 = f"{math.cos(math.radians(30))!r}::DOUBLE", f"{math.sin(math.radians(30))!r}::DOUBLE"
+_MOVED = f"""SELECT image_id, roi_id, part, i, (x - (min(x) OVER r + max(x) OVER r) / 2) * {_C30} - (y - (min(y) OVER r + max(y) OVER r) / 2) * {_S30} + (min(x) OVER r + max(x) OVER r) / 2 + image_id % 5 + 0.125::DOUBLE AS x, (x - (min(x) OVER r + max(x) OVER r) / 2) * {_S30} + (y - (min(y) OVER r + max(y) OVER r) / 2) * {_C30} + (min(y) OVER r + max(y) OVER r) / 2 + 2 AS y
+      FROM (SELECT image_id, roi_id, part, i, (x - (min(x) OVER r + max(x) OVER r) / 2) * 1.5::DOUBLE + (min(x) OVER r + max(x) OVER r) / 2 AS x, (y - (min(y) OVER r + max(y) OVER r) / 2) * 0.75::DOUBLE + (min(y) OVER r + max(y) OVER r) / 2 AS y FROM ({_RINGS}) WINDOW r AS (PARTITION BY image_id, roi_id, part)) WINDOW r AS (PARTITION BY image_id, roi_id, part)"""
+
+SQL |= {
+    "scaled_bicubic": _px(_mapped(96, 40, "(d - 48.375::DOUBLE) / 1.5::DOUBLE + 32", "(e - 20.3125::DOUBLE) / 1.25::DOUBLE + 16", 0)),
+    "rotated_bicubic": _px(_mapped(64, 32, *_turned(30), 7)),
+    "rotated_nearest": _px(f""", spots AS MATERIALIZED (SELECT d, e, {_turned(-40)[0]} AS xs, {_turned(-40)[1]} AS ys FROM (SELECT CAST(unnest(range(64)) AS INT) AS d), (SELECT CAST(unnest(range(32)) AS INT) AS e)),
+      taken AS (SELECT d, e, CASE WHEN xs >= -0.01 AND xs < 64 AND ys >= -0.01 AND ys < 32 THEN CAST(least(63, floor(xs + 0.5)) AS INT) END AS tx, CAST(least(31, floor(ys + 0.5)) AS INT) AS ty FROM spots)
+      SELECT g.image_id, g.x, g.y, coalesce(px.v, 3) AS v FROM px g JOIN taken ON taken.d = g.x AND taken.e = g.y LEFT JOIN px ON px.image_id = g.image_id AND px.x = tx AND px.y = ty"""),
+    "searched_thresholds": _px(_SEARCHED),
+    "shapes_between": _st(f""", mask AS MATERIALIZED (SELECT image_id, z, x, y, z % 3 = 1 AND v > 0 AS lit FROM st),
+      near AS (SELECT m.image_id, m.z, m.x, m.y, any_value(m.lit) AS lit, count(n.x) AS k FROM (SELECT * FROM mask, (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dx), (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS dy)) m LEFT JOIN (SELECT * FROM mask WHERE lit) n ON n.image_id = m.image_id AND n.z = m.z AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY m.image_id, m.z, m.x, m.y),
+      seeds AS (SELECT image_id, z, x, y, lit, CASE WHEN lit AND k < 9 THEN 0 WHEN NOT lit AND k > 0 THEN 1 END AS d FROM near),
+      h AS ({_swept("seeds", "y", "x", 3)}), w AS ({_swept("h", "x", "y", 3)}), g AS ({_swept("w", "x - y", "y", 4)}),
+      s AS MATERIALIZED (SELECT image_id, z, x, y, CASE WHEN lit THEN d ELSE -d END AS d FROM g),
+      q AS (SELECT *, last_value(CASE WHEN d IS NOT NULL THEN [z, d] END IGNORE NULLS) OVER (PARTITION BY image_id, x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, first_value(CASE WHEN d IS NOT NULL THEN [z, d] END IGNORE NULLS) OVER (PARTITION BY image_id, x, y ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM s)
+      SELECT image_id, z, x, y, CASE WHEN d >= 0 OR (d IS NULL AND a[2] * (b[1] - z) + b[2] * (z - a[1]) >= 0) THEN 255 ELSE 0 END AS v FROM q"""),
+    "gaussian_3d": _st(f""", {_weights("wx", 1.5)}, {_weights("wy", 1.0)}, {_weights("wz", 0.7)},
+      across AS MATERIALIZED (SELECT image_id, z, p.d AS x, y, sum(v * w) AS v FROM st JOIN (SELECT CAST(g.x AS INT) AS d, greatest(0, least(63, g.x + d)) AS x, w FROM range(64) g(x), wx) p USING (x) GROUP BY ALL),
+      tall AS MATERIALIZED (SELECT image_id, z, x, p.d AS y, sum(v * w) AS v FROM across JOIN (SELECT CAST(g.y AS INT) AS d, greatest(0, least(31, g.y + d)) AS y, w FROM range(32) g(y), wy) p USING (y) GROUP BY ALL),
+      ranked AS (SELECT DISTINCT image_id, z, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY z) AS INT) AS k FROM (SELECT DISTINCT image_id, z FROM st)),
+      deep AS (SELECT a.image_id, a.z, b.z AS other, w FROM ranked a JOIN wz ON true JOIN (SELECT *, max(k) OVER (PARTITION BY image_id) AS depth FROM ranked) b ON b.image_id = a.image_id AND b.k = greatest(1, least(b.depth, a.k + wz.d)))
+      SELECT image_id, deep.z, x, y, round(sum(v * w), 6) AS v FROM deep JOIN (SELECT image_id, z AS other, x, y, v FROM tall) USING (image_id, other) GROUP BY ALL"""),
+    "composite_regions": _px(f", {_polygon('parts', _RINGS)} SELECT image_id, roi_id, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS most FROM (SELECT image_id, roi_id, x, y, any_value(v) AS v FROM parts GROUP BY ALL HAVING sum(n) % 2 = 1) GROUP BY ALL"),
+    "moved_regions": _px(f", {_polygon('parts', _MOVED)} SELECT image_id, roi_id, part, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS most FROM parts WHERE n % 2 = 1 GROUP BY ALL"),
+    "slices_by_number": "WITH t AS (SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 3 + o_orderkey % 11 > 0 THEN CAST(regexp_extract(o_orderpriority, '[0-9]+') AS INT) END AS number FROM orders) SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_custkey IN (SELECT o_custkey FROM t WHERE number IS NULL) THEN NULL ELSE number END, o_orderkey) AS INT) AS z FROM t",
+}
+
 SQL = {k: s.replace("\n,", ",").replace("\n, ", ", ") for k, s in SQL.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,9 +87,29 @@ def inside_polygons(px: DataFrame, rois: DataFrame) -> DataFrame:
     Each polygon becomes its pixels once, row by row between its crossings,
     however many slices it is measured on; they meet the images by place.
     """
-    ys = F.transform("points", lambda p: p["y"].cast("double"))
-    rows = rois.where(F.size("points") > 2).withColumn("y", F.explode(F.sequence(F.floor(F.array_min(ys)).cast("int"), F.ceil(F.array_max(ys)).cast("int"))))
-    rows = rows.withColumn("_cut", points.crossings(F.col("points"), F.col("y") + 0.5)).where(F.size("_cut") > 1)
+    return _filled(px, rois.where(F.size("points") > 2), F.col("points"), lambda y: points.crossings(F.col("points"), y))
+
+
+def inside_composites(px: DataFrame, rois: DataFrame) -> DataFrame:
+    """Pixels of composite regions: ``parts`` is an array of polygons, and what lies in an even number of them is outside.
+
+    Parts of fewer than three points and regions without parts have no pixels.
+    """
+    whole = rois.withColumn("parts", F.filter("parts", lambda p: F.size(p) > 2)).where(F.size("parts") > 0)
+    return _filled(px, whole, F.flatten("parts"), lambda y: points.crossings_of_parts(F.col("parts"), y))
+
+
+def split(rois: DataFrame) -> DataFrame:
+    """A row for each part of composite regions: ``part`` from 0 and its ``points``."""
+    kept = [c for c in rois.columns if c != "parts"]
+    return rois.select(*kept, F.posexplode("parts").alias("part", "points"))
+
+
+def _filled(px: DataFrame, rois: DataFrame, corners: Column, crossings: Callable[[Column], Column]) -> DataFrame:
+    """Regions as their pixels, by rows between ``crossings``, joined with the images by place."""
+    ys = F.transform(corners, lambda p: p["y"].cast("double"))
+    rows = rois.withColumn("y", F.explode(F.sequence(F.floor(F.array_min(ys)).cast("int"), F.ceil(F.array_max(ys)).cast("int"))))
+    rows = rows.withColumn("_cut", crossings(F.col("y") + 0.5)).where(F.size("_cut") > 1)
     rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("_cut") / 2).cast("int") - 1)))
     first, last = (F.ceil(F.element_at("_cut", 2 * F.col("_k") + k) - 0.5).cast("int") for k in (1, 2))
     spans = rows.withColumns({"_a": first, "_b": last - 1}).where("_a <= _b")

@@ -128,3 +128,18 @@ def blurred(lines: DataFrame, keys: list[str], kernel: list[float], outside: flo
     around = F.concat(F.array_repeat("_top", lacks(F.col("_before"))), F.col("_near"), F.array_repeat("_end", lacks(F.col("_size") - 1 - F.col("_before"))))
     tall = tall.select(*keys, "y", "x0", "line", around.alias("_around"))
     return tall.select(*keys, "y", "x0", "line", summed("line", lambda k: F.get("_around", k)).alias("out"))
+
+
+def summed_rows(rows: DataFrame, by: list[str], order: str, column: str, kernel: list[float]) -> DataFrame:
+    """``column``, an array in every row, becomes the weighted sum of those of the rows around it; beyond the first and the last row they are repeated."""
+    reach = len(kernel) // 2
+    line = Window.partitionBy(*by).orderBy(order)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = {"_near": F.collect_list(column).over(line.rowsBetween(-reach, reach)), "_first": F.first(column).over(whole), "_last": F.last(column).over(whole), "_before": F.row_number().over(line) - 1, "_n": F.count("*").over(whole).cast("int")}
+    rows = rows.withColumns(near)
+    lacks = lambda have: F.greatest(F.lit(0), F.lit(reach) - have)
+    around = F.concat(F.array_repeat("_first", lacks(F.col("_before"))), F.col("_near"), F.array_repeat("_last", lacks(F.col("_n") - 1 - F.col("_before"))))
+    weights, zeros = F.array(*map(F.lit, kernel)), F.transform(column, lambda _: F.lit(0.0))
+    rows = rows.withColumn("_around", F.arrays_zip(around.alias("r"), weights.alias("w"))).withColumn("_zeros", zeros)
+    out = F.aggregate("_around", F.col("_zeros"), lambda acc, t: F.zip_with(acc, t["r"], lambda a, v: a + v * t["w"]))
+    return rows.withColumn(column, out).drop("_near", "_first", "_last", "_before", "_n", "_around", "_zeros")

@@ -24,3 +24,10 @@ def spacing(rows: DataFrame, keys: list[str], position: str, tolerance: float =
     step = F.col(position) - F.lag(position).over(Window.partitionBy(*keys).orderBy(position))
     out = rows.where(F.col(position).isNotNull()).select(*keys, step.alias("step")).groupBy(*keys).agg(F.count("step").alias("steps"), F.avg("step").alias("mean"), F.min("step").alias("least"), F.max("step").alias("most"))
     return out.withColumn("uniform", F.coalesce(F.col("most") - F.col("least") <= tolerance, F.lit(True)))
+
+
+def sorted_slices(rows: DataFrame, series: list[str], order: str, number: str) -> DataFrame:
+    """``z`` from 1 by the image number of each slice, ties in the given order; a series in which a slice lacks the number stays in that order."""
+    of = Window.partitionBy(*series)
+    whole = F.min(F.col(number).isNotNull()).over(of)
+    return rows.withColumns({"_given": F.row_number().over(of.orderBy(order)), "_whole": whole}).withColumn("z", F.row_number().over(of.orderBy(F.when(F.col("_whole"), F.col(number)), "_given"))).drop("_given", "_whole")

@@ -141,3 +141,107 @@ def iterated_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = I
     level = {"li": _li(F.col("n")), "intermodes": F.when(two, F.floor((first + last) / 2)).otherwise(0), "minimum": F.when(two, F.array_min(between)["k"]).otherwise(0)}
     each = F.array(*(F.struct(F.lit(m).alias("method"), F.when(F.size("_used") == 1, F.get("_used", F.lit(0))).otherwise(level[m]).cast("int").alias("level")) for m in methods))
     return counts.select(*keys, F.explode(each).alias("m")).select(*keys, "m.method", "m.level")
+
+
+# Methods that score every level against all counts: arrays of 256 values a plane, in one row, so nothing more is shuffled.
+
+SEARCHED = ("default", "isodata_plain", "huang", "renyi", "shanbhag")
+#: Shares in quarters of the three levels of Renyi's method, by whether the lower two and the upper two are near each other (at most NEAR apart).
+RENYI_SHARES = {(True, True): (1, 2, 1), (True, False): (0, 1, 3), (False, True): (3, 1, 0), (False, False): (1, 2, 1)}
+NEAR = 5
+#: Fixed values of the default method: a highest count above FAR times the second is cut to CUT times the second.
+FAR, CUT = 2, 1.5
+
+
+def _running(values: Column) -> Column:
+    """Sums up to each place."""
+    return F.aggregate(values, F.array().cast("array<double>"), lambda done, v: F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0.0)) + v)))
+
+
+def _least(levels: Column, score) -> Column:
+    """The level of the least score to nine decimals, the lower one of equals; null without a score."""
+    scored = F.transform(levels, lambda t: F.struct(F.round(score(t), 9).alias("s"), t.alias("t")))
+    return F.array_min(F.filter(scored, lambda p: p["s"].isNotNull() & ~F.isnan(p["s"])))["t"]
+
+
+def _first_settled(n: str, n1: str, s1: str) -> Column:
+    """Ridler and Calvard's level found upwards from the lowest: the first one that is not below the middle of the two means, or the last but two.
+
+    The ends of the scale do not count; 128 where fewer than two levels are left.
+    """
+    at = lambda array, t: F.get(array, t)
+    last = lambda array: F.get(array, F.lit(255))
+    used = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda t: at(n, t) > 0)
+    middle = lambda t: (at(s1, t) / at(n1, t) + F.try_divide(last(s1) - at(s1, t), last(n1) - at(n1, t))) / 2
+    low, high = F.array_min(used), F.array_max(used)
+    steps = F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda t: F.struct(t.alias("t"), middle(t).alias("m"))))
+    stops = F.filter(steps, lambda p: (p["t"] + 1 > F.round(p["m"], 9)) | (p["t"] + 1 >= high - 1))
+    return F.coalesce(F.floor(F.round(F.get(stops, F.lit(0))["m"], 9) + 0.5), F.lit(128))
+
+
+def searched_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = SEARCHED) -> DataFrame:
+    """keys, method, level for every plane of 8-bit values, by methods of SEARCHED.
+
+    default is isodata_plain with a dominant count cut down; huang the least
+    fuzziness (Huang and Wang 1995), renyi a mean of the levels of greatest
+    entropy of orders 1/2, 1 and 2 (Sahoo, Wilkins and Yeager 1997), shanbhag
+    the level at which both sides tell as much (Shanbhag 1994). A plane with two
+    values has the level just below the higher one.
+    """
+    every = F.sequence(F.lit(0), F.lit(255))
+    at, last = (lambda array, t: F.get(array, t)), (lambda array: F.get(array, F.lit(255)))
+    rows = _counts(px, keys).select(*keys, F.transform("counts", lambda c: c.cast("double")).alias("n"))
+    peak = F.array_position("n", F.array_max("n")).cast("int")
+    second = F.array_max(F.transform("n", lambda c, k: F.when(k + 1 != peak, c).otherwise(0.0)))
+    cut = F.when((F.array_max("n") > second * FAR) & (second > 0), F.floor(second * CUT).cast("double")).otherwise(F.array_max("n"))
+    rows = rows.withColumns({"used": F.filter(every, lambda t: at("n", t) > 0), "tamed": F.transform("n", lambda c, k: F.when(k + 1 == peak, cut).otherwise(c))})
+    inner = lambda array: F.transform(array, lambda c, k: F.when((k > 0) & (k < 255), c).otherwise(0.0))
+    rows = rows.withColumns({"plain": inner("n"), "tamed": inner("tamed")})
+    moment = lambda array: F.transform(array, lambda c, k: c * k)
+    rows = rows.withColumns({
+        "n1": _running(F.col("n")), "s1": _running(moment("n")), "r1": _running(F.transform("n", F.sqrt)), "q1": _running(F.transform("n", lambda c: c * c)), "e1": _running(F.transform("n", lambda c: F.when(c > 0, c * F.log(c)).otherwise(0.0))),
+        "plain_n": _running(F.col("plain")), "plain_s": _running(moment("plain")), "tamed_n": _running(F.col("tamed")), "tamed_s": _running(moment("tamed")),
+    })
+    first, end = F.array_min("used"), F.array_max("used")
+    low, high = (lambda t: at("n1", t)), (lambda t: last("n1") - at("n1", t))
+    rest = lambda array, t: last(array) - at(array, t)
+    between = F.filter(every, lambda t: (t >= first) & (t < end))
+
+    def fuzziness(t: Column) -> Column:
+        means = F.struct(F.when(low(t) > 0, at("s1", t) / low(t)).otherwise(0.0).alias("a"), F.when(high(t) > 0, rest("s1", t) / high(t)).otherwise(0.0).alias("b"))
+
+        def unsure(m: Column) -> Column:
+            near = F.when((m >= 1e-6) & (m <= 0.999999), -m * F.log(m) - (1 - m) * F.log(1 - m))
+            return F.coalesce(near, F.lit(0.0))
+
+        def summed(m: Column) -> Column:
+            belongs = F.transform("n", lambda c, k: F.struct(c.alias("c"), (1 / (1 + F.abs(k - F.when(k <= t, m["a"]).otherwise(m["b"])) / F.nullif(end - first, F.lit(0)))).alias("m")))
+            return F.aggregate(belongs, F.lit(0.0), lambda s, p: s + p["c"] * unsure(p["m"]))
+
+        return F.get(F.transform(F.array(means), summed), F.lit(0))
+
+    def told(t: Column) -> Column:
+        below = F.transform("n", lambda c, k: F.when(k <= t, c * F.log(1 - (at("n1", k) - c) * 0.5 / low(t))).otherwise(0.0))
+        above = F.transform("n", lambda c, k: F.when(k > t, c * F.log(1 - high(k) * 0.5 / high(t))).otherwise(0.0))
+        return F.abs(_sum(below) * 0.5 / low(t) - _sum(above) * 0.5 / high(t))
+
+    order = {
+        "half": lambda t: F.log(at("r1", t) * rest("r1", t) / F.sqrt(low(t) * high(t))) * 2,
+        "one": lambda t: F.log(low(t)) - at("e1", t) / low(t) + F.log(high(t)) - rest("e1", t) / high(t),
+        "two": lambda t: -F.log(at("q1", t) / low(t) / low(t) * (rest("q1", t) / high(t) / high(t))),
+    }
+    best = lambda f: F.coalesce(_least(between, lambda t: F.when(F.round(f(t), 9) > 0, -f(t))), F.lit(0))
+    rows = rows.withColumn("three", F.array_sort(F.array(*(best(f) for f in order.values()))))
+    t1, t2, t3 = (F.get("three", F.lit(k)) for k in range(3))
+    mid = (at("n1", t3) - at("n1", t1)) / last("n1")
+
+    def mixed(shares: tuple[int, int, int]) -> Column:
+        q = [mid * s / 4 for s in shares]
+        return F.floor(F.round(t1 * (at("n1", t1) / last("n1") + q[0]) + t2 * q[1] + t3 * (high(t3) / last("n1") + q[2]), 9))
+
+    renyi = F.lit(None).cast("long")
+    for (lower, upper), shares in RENYI_SHARES.items():
+        renyi = F.when(((t2 - t1 <= NEAR) == F.lit(lower)) & ((t3 - t2 <= NEAR) == F.lit(upper)), mixed(shares)).otherwise(renyi)
+    level = {"default": _first_settled("tamed", "tamed_n", "tamed_s"), "isodata_plain": _first_settled("plain", "plain_n", "plain_s"), "huang": _least(every, fuzziness), "renyi": renyi, "shanbhag": _least(between, told)}
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.when(F.size("used") == 1, first).when(F.size("used") == 2, end - 1).otherwise(level[m]).cast("int").alias("level")) for m in methods))
+    return rows.select(*keys, F.explode(each).alias("m")).select(*keys, "m.method", "m.level")
