@@ -24,7 +24,8 @@ def _counts(px: DataFrame, keys: list[str]) -> DataFrame:
     """keys and 256 counts."""
     counts = px.groupBy(*keys, F.col("v").cast("int").alias("v")).agg(F.count("*").alias("n"))
     counts = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("at"))
-    return counts.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0))).alias("counts"))
+    dense = F.transform(F.array("at"), lambda at: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at(at, k), F.lit(0))))  # the map is made once
+    return counts.select(*keys, F.get(dense, F.lit(0)).alias("counts"))
 
 
 def levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = DIRECT) -> DataFrame:
@@ -143,9 +144,10 @@ def iterated_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = I
     return counts.select(*keys, F.explode(each).alias("m")).select(*keys, "m.method", "m.level")
 
 
-# Methods that score every level against all counts: arrays of 256 values a plane, in one row, so nothing more is shuffled.
+# Methods on running sums of the counts, as arrays of 256 values in one row a plane; two of them score every level against every count.
 
 SEARCHED = ("default", "isodata_plain", "huang", "renyi", "shanbhag")
+PAIRED = ("huang", "shanbhag")
 #: Shares in quarters of the three levels of Renyi's method, by whether the lower two and the upper two are near each other (at most NEAR apart).
 RENYI_SHARES = {(True, True): (1, 2, 1), (True, False): (0, 1, 3), (False, True): (3, 1, 0), (False, False): (1, 2, 1)}
 NEAR = 5
@@ -173,10 +175,14 @@ def _first_settled(n: str, n1: str, s1: str) -> Column:
     last = lambda array: F.get(array, F.lit(255))
     used = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda t: at(n, t) > 0)
     middle = lambda t: (at(s1, t) / at(n1, t) + F.try_divide(last(s1) - at(s1, t), last(n1) - at(n1, t))) / 2
-    low, high = F.array_min(used), F.array_max(used)
-    steps = F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda t: F.struct(t.alias("t"), middle(t).alias("m"))))
-    stops = F.filter(steps, lambda p: (p["t"] + 1 > F.round(p["m"], 9)) | (p["t"] + 1 >= high - 1))
-    return F.coalesce(F.floor(F.round(F.get(stops, F.lit(0))["m"], 9) + 0.5), F.lit(128))
+
+    def stop(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        steps = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda t: F.struct(t.alias("t"), middle(t).alias("m"))))
+        return F.get(F.filter(steps, lambda p: (p["t"] + 1 > F.round(p["m"], 9)) | (p["t"] + 1 >= high - 1)), F.lit(0))["m"]
+
+    ends = F.transform(F.array(used), lambda u: F.struct(F.array_min(u).alias("low"), F.array_max(u).alias("high")))
+    return F.coalesce(F.floor(F.round(F.get(F.transform(ends, stop), F.lit(0)), 9) + 0.5), F.lit(128))
 
 
 def searched_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = SEARCHED) -> DataFrame:
@@ -192,9 +198,10 @@ def searched_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = S
     at, last = (lambda array, t: F.get(array, t)), (lambda array: F.get(array, F.lit(255)))
     rows = _counts(px, keys).select(*keys, F.transform("counts", lambda c: c.cast("double")).alias("n"))
     peak = F.array_position("n", F.array_max("n")).cast("int")
-    second = F.array_max(F.transform("n", lambda c, k: F.when(k + 1 != peak, c).otherwise(0.0)))
-    cut = F.when((F.array_max("n") > second * FAR) & (second > 0), F.floor(second * CUT).cast("double")).otherwise(F.array_max("n"))
-    rows = rows.withColumns({"used": F.filter(every, lambda t: at("n", t) > 0), "tamed": F.transform("n", lambda c, k: F.when(k + 1 == peak, cut).otherwise(c))})
+    second = F.array_max(F.transform("n", lambda c, k: F.when(k + 1 != F.col("peak"), c).otherwise(0.0)))
+    cut = F.when((F.array_max("n") > F.col("second") * FAR) & (F.col("second") > 0), F.floor(F.col("second") * CUT).cast("double")).otherwise(F.array_max("n"))
+    rows = rows.withColumns({"used": F.filter(every, lambda t: at("n", t) > 0), "peak": peak}).withColumns({"first": F.array_min("used"), "end": F.array_max("used"), "second": second})
+    rows = rows.withColumns({"tamed": F.transform("n", lambda c, k: F.when(k + 1 == F.col("peak"), cut).otherwise(c))})
     inner = lambda array: F.transform(array, lambda c, k: F.when((k > 0) & (k < 255), c).otherwise(0.0))
     rows = rows.withColumns({"plain": inner("n"), "tamed": inner("tamed")})
     moment = lambda array: F.transform(array, lambda c, k: c * k)
@@ -202,29 +209,11 @@ def searched_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = S
         "n1": _running(F.col("n")), "s1": _running(moment("n")), "r1": _running(F.transform("n", F.sqrt)), "q1": _running(F.transform("n", lambda c: c * c)), "e1": _running(F.transform("n", lambda c: F.when(c > 0, c * F.log(c)).otherwise(0.0))),
         "plain_n": _running(F.col("plain")), "plain_s": _running(moment("plain")), "tamed_n": _running(F.col("tamed")), "tamed_s": _running(moment("tamed")),
     })
-    first, end = F.array_min("used"), F.array_max("used")
+    first, end = F.col("first"), F.col("end")
     low, high = (lambda t: at("n1", t)), (lambda t: last("n1") - at("n1", t))
     rest = lambda array, t: last(array) - at(array, t)
     between = F.filter(every, lambda t: (t >= first) & (t < end))
 
-    def fuzziness(t: Column) -> Column:
-        means = F.struct(F.when(low(t) > 0, at("s1", t) / low(t)).otherwise(0.0).alias("a"), F.when(high(t) > 0, rest("s1", t) / high(t)).otherwise(0.0).alias("b"))
-
-        def unsure(m: Column) -> Column:
-            near = F.when((m >= 1e-6) & (m <= 0.999999), -m * F.log(m) - (1 - m) * F.log(1 - m))
-            return F.coalesce(near, F.lit(0.0))
-
-        def summed(m: Column) -> Column:
-            belongs = F.transform("n", lambda c, k: F.struct(c.alias("c"), (1 / (1 + F.abs(k - F.when(k <= t, m["a"]).otherwise(m["b"])) / F.nullif(end - first, F.lit(0)))).alias("m")))
-            return F.aggregate(belongs, F.lit(0.0), lambda s, p: s + p["c"] * unsure(p["m"]))
-
-        return F.get(F.transform(F.array(means), summed), F.lit(0))
-
-    def told(t: Column) -> Column:
-        below = F.transform("n", lambda c, k: F.when(k <= t, c * F.log(1 - (at("n1", k) - c) * 0.5 / low(t))).otherwise(0.0))
-        above = F.transform("n", lambda c, k: F.when(k > t, c * F.log(1 - high(k) * 0.5 / high(t))).otherwise(0.0))
-        return F.abs(_sum(below) * 0.5 / low(t) - _sum(above) * 0.5 / high(t))
-
     order = {
         "half": lambda t: F.log(at("r1", t) * rest("r1", t) / F.sqrt(low(t) * high(t))) * 2,
         "one": lambda t: F.log(low(t)) - at("e1", t) / low(t) + F.log(high(t)) - rest("e1", t) / high(t),
@@ -242,6 +231,31 @@ def searched_levels(px: DataFrame, keys: list[str], methods: tuple[str, ...] = S
     renyi = F.lit(None).cast("long")
     for (lower, upper), shares in RENYI_SHARES.items():
         renyi = F.when(((t2 - t1 <= NEAR) == F.lit(lower)) & ((t3 - t2 <= NEAR) == F.lit(upper)), mixed(shares)).otherwise(renyi)
-    level = {"default": _first_settled("tamed", "tamed_n", "tamed_s"), "isodata_plain": _first_settled("plain", "plain_n", "plain_s"), "huang": _least(every, fuzziness), "renyi": renyi, "shanbhag": _least(between, told)}
-    each = F.array(*(F.struct(F.lit(m).alias("method"), F.when(F.size("used") == 1, first).when(F.size("used") == 2, end - 1).otherwise(level[m]).cast("int").alias("level")) for m in methods))
+    level = {"default": _first_settled("tamed", "tamed_n", "tamed_s"), "isodata_plain": _first_settled("plain", "plain_n", "plain_s"), "renyi": renyi}
+    plane = {"first": first, "end": end, "used": F.size("used")} | {m: level[m].cast("int") for m in methods if m in level}
+    rows = rows.select(*keys, *(c.alias(f"_{m}") for m, c in plane.items()), "n", "n1", "s1")
+    if set(methods) & set(PAIRED):
+        rows = _paired(rows, keys, [f"_{m}" for m in plane])
+    each = F.array(*(F.struct(F.lit(m).alias("method"), F.when(F.col("_used") == 1, F.col("_first")).when(F.col("_used") == 2, F.col("_end") - 1).otherwise(F.col(f"_{m}")).alias("level")) for m in methods))
     return rows.select(*keys, F.explode(each).alias("m")).select(*keys, "m.method", "m.level")
+
+
+def _paired(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """keys, ``kept`` (whole numbers of a plane), _huang, _shanbhag: each level t against each count k, summed before they are shuffled; a group holds 256 levels."""
+    at, last = (lambda array, t: F.get(array, t)), (lambda array: F.get(array, F.lit(255)))
+    high = lambda t: last("n1") - at("n1", t)
+    every = F.sequence(F.lit(0), F.lit(255))
+    levels_of = F.transform(every, lambda t: F.struct(t.alias("t"), at("n1", t).alias("low"), high(t).alias("high"), F.coalesce(F.try_divide(at("s1", t), at("n1", t)), F.lit(0.0)).alias("a"), F.coalesce(F.try_divide(last("s1") - at("s1", t), high(t)), F.lit(0.0)).alias("b")))
+    counts_of = F.filter(F.transform(every, lambda k: F.struct(k.alias("k"), at("n", k).alias("n"), (at("n1", k) - at("n", k)).alias("before"), high(k).alias("beyond"))), lambda c: c["n"] > 0)
+    rows = rows.select(*keys, *kept, counts_of.alias("_counts"), levels_of.alias("_levels"))  # once a plane, before its rows
+    rows = rows.select(*keys, *kept, "_counts", F.explode_outer("_levels").alias("l")).select(*keys, *kept, "l.*", F.explode_outer("_counts").alias("c"))  # outer: a test for empty arrays would work them out again
+    n, below = F.col("c.n"), F.col("c.k") <= F.col("t")
+    m = 1 / (1 + F.abs(F.col("c.k") - F.when(below, F.col("a")).otherwise(F.col("b"))) / F.nullif(F.col("_end") - F.col("_first"), F.lit(0)))
+    rows = rows.withColumn("m", m)
+    unsure = F.when((F.col("m") >= 1e-6) & (F.col("m") <= 0.999999), -F.col("m") * F.log("m") - (1 - F.col("m")) * F.log(1 - F.col("m"))).otherwise(0.0)
+    inside = (F.col("t") >= F.col("_first")) & (F.col("t") < F.col("_end"))
+    told = F.when(inside & below, n * F.log(1 - F.col("c.before") * 0.5 / F.col("low")) / F.col("low")).when(inside, -n * F.log(1 - F.col("c.beyond") * 0.5 / F.col("high")) / F.col("high"))
+    whole = [F.max(c).alias(c) for c in kept]
+    scores = rows.groupBy(*keys, "t").agg(*whole, F.round(F.sum(n * unsure), 9).alias("fuzzy"), F.round(F.abs(F.sum(told)) * 0.5, 9).alias("told"))
+    least = lambda score: F.min(F.when(F.col(score).isNotNull(), F.struct(score, "t")))["t"]
+    return scores.groupBy(*keys).agg(*whole, least("fuzzy").alias("_huang"), least("told").alias("_shanbhag"))
