@@ -354,6 +354,7 @@ def _linked(spark: SparkSession, docs: DataFrame, feats: DataFrame, work: Worksp
         stars.append(large.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b"))
         if d < depth:
             level = large.select("node", "id").join(classes.select("id", "sketch"), "id").select("node", "id", "sketch").mapInArrow(_branch, "node long, id long")
+            level = work.save(level, f"branched{d}")  # read twice, for the sizes and for the members: written, so that each member branches once
     leaf_rows = leaves[0]
     for x in leaves[1:]:
         leaf_rows = leaf_rows.union(x)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -125,6 +126,30 @@ def test_near_duplicates_that_share_a_key(spark):
     assert near_duplicates.meets(0.8, 3) > 0.999 and near_duplicates.meets(0.8, 0) > 0.9999
 
 
+def test_near_duplicates_branch_once(spark, monkeypatch, tmp_path):
+    """Each member of a large node branches once, and twice the group makes about twice the rows."""
+    rng, branch = random.Random(23), near_duplicates._branch
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [similar(rng, base, 1) for _ in range(600)]
+    rows = []
+    for n in (300, 600):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+
+        def counted(batches, folder=str(folder), branch=branch):
+            for batch in batches:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.writelines(f"{node} {i}\n" for node, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                yield from branch([batch])
+
+        monkeypatch.setattr(near_duplicates, "_branch", counted)
+        assert {r.component_id for r in near_duplicates.near_duplicates(spark, docs(spark, texts[:n]), words=4, leaf=40).collect()} == {0}
+        seen = [x for f in folder.iterdir() for x in f.read_text().splitlines()]
+        assert len(seen) == len(set(seen))
+        rows.append(len(seen))
+    assert 0 < rows[0] and rows[1] < 3 * rows[0]
+
+
 def test_gif_round_trip_and_rules(spark):
     rows = docs(spark, TEXTS).select("doc_id", gif.payload(F.col("text")).alias("payload"))
     want = {r.doc_id: bytes(r.payload) for r in rows.collect()}
