@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planespark.llm import alignment, centroids, jaccard, queries
+from planespark.llm import alignment, centroids, common, jaccard, queries
 from planespark.llm.common import Workspace
 from planespark.llm.queries import tokenizer
 
@@ -207,3 +208,20 @@ def test_centroids_of_odd_vectors(spark):
     empty = centroids.cluster(spark, table.limit(0), dim=2)
     assert empty.count() == 0 and empty.columns == got[0].__fields__
     assert centroids.cluster(spark, table.where(F.col("vec_id").isNull()), dim=2).count() == 0
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """Shuffle files that led to a table go when it is written, without a collection of the driver's garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def ours():
+        files = blocks.getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = ours(), spark.conf.get(common.CLEANUP)
+    Workspace(spark, "left").save(spark.range(20_000).groupBy(F.xxhash64("id").alias("k")).count(), "table")
+    end = time.time() + 20
+    while ours() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not ours() - before
+    assert spark.conf.get(common.CLEANUP) == setting
