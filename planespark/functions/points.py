@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,27 +50,36 @@ def crossings_of_parts(parts: Column, y: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(parts, lambda p: crossings(p, y))))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once: what a function of points is given may itself be a function of points."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _bounds_centre(points: Column, axis: str) -> Column:
-    at = F.transform(points, lambda p: p[axis].cast("double"))
-    return (F.array_min(at) + F.array_max(at)) / 2
+    return let(F.transform(points, lambda p: p[axis].cast("double")), lambda at: (F.array_min(at) + F.array_max(at)) / 2)
 
 
 def _placed(points: Column, x, y) -> Column:
     return F.transform(points, lambda p: F.struct(x(p).alias("x"), y(p).alias("y")))
 
 
+def _about_centre(points: Column, placed: Callable[[Column, Column, Column], Column]) -> Column:
+    """``placed`` of the points and the middle of their bounds."""
+    middle = lambda ps: F.struct(ps.alias("points"), _bounds_centre(ps, "x").alias("x"), _bounds_centre(ps, "y").alias("y"))
+    return let(points, lambda ps: let(middle(ps), lambda m: placed(m["points"], m["x"], m["y"])))
+
+
 def moved(points: Column, dx: Column, dy: Column) -> Column:
     return _placed(points, lambda p: p["x"] + dx, lambda p: p["y"] + dy)
 
 
 def scaled(points: Column, sx: float, sy: float, centred: bool = True) -> Column:
     """Points farther from the middle of their bounds, or from the origin."""
-    cx, cy = (_bounds_centre(points, a) if centred else F.lit(0.0) for a in "xy")
-    return _placed(points, lambda p: (p["x"] - cx) * sx + cx, lambda p: (p["y"] - cy) * sy + cy)
+    around = lambda ps, cx, cy: _placed(ps, lambda p: (p["x"] - cx) * sx + cx, lambda p: (p["y"] - cy) * sy + cy)
+    return _about_centre(points, around) if centred else around(points, F.lit(0.0), F.lit(0.0))
 
 
 def rotated(points: Column, degrees: float) -> Column:
     """Points turned clockwise (y points down) about the middle of their bounds."""
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    cx, cy = (_bounds_centre(points, a) for a in "xy")
-    return _placed(points, lambda p: (p["x"] - cx) * c - (p["y"] - cy) * s + cx, lambda p: (p["x"] - cx) * s + (p["y"] - cy) * c + cy)
+    return _about_centre(points, lambda ps, cx, cy: _placed(ps, lambda p: (p["x"] - cx) * c - (p["y"] - cy) * s + cx, lambda p: (p["x"] - cx) * s + (p["y"] - cy) * c + cy))

@@ -106,15 +106,24 @@ def split(rois: DataFrame) -> DataFrame:
 
 
 def _filled(px: DataFrame, rois: DataFrame, corners: Column, crossings: Callable[[Column], Column]) -> DataFrame:
-    """Regions as their pixels, by rows between ``crossings``, joined with the images by place."""
+    """Pixels of regions, by spans of image rows between ``crossings``; ``px`` may be pixels or lines.
+
+    Image rows and spans meet by row, and only then does a span become pixels.
+    The spans are many more than the regions that they are made of, which the
+    planner's sizes do not show, so they are hashed by partition and never broadcast.
+    """
     ys = F.transform(corners, lambda p: p["y"].cast("double"))
-    rows = rois.withColumn("y", F.explode(F.sequence(F.floor(F.array_min(ys)).cast("int"), F.ceil(F.array_max(ys)).cast("int"))))
-    rows = rows.withColumn("_cut", crossings(F.col("y") + 0.5)).where(F.size("_cut") > 1)
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("_cut") / 2).cast("int") - 1)))
-    first, last = (F.ceil(F.element_at("_cut", 2 * F.col("_k") + k) - 0.5).cast("int") for k in (1, 2))
-    spans = rows.withColumns({"_a": first, "_b": last - 1}).where("_a <= _b")
-    mask = spans.withColumn("x", F.explode(F.sequence("_a", "_b"))).drop("_cut", "_k", "_a", "_b")
-    return px.join(mask, ["image_id", "x", "y"])
+    spans = rois.withColumn("y", F.explode(F.sequence(F.floor(F.array_min(ys)).cast("int"), F.ceil(F.array_max(ys)).cast("int"))))
+    level = lambda c: F.ceil(c - 0.5).cast("int")
+    pairs = lambda cut: F.transform(cut, lambda c, i: F.when((i % 2 == 0) & (i + 1 < F.size(cut)), F.struct(level(c).alias("_a"), (level(F.get(cut, i + 1)) - 1).alias("_b"))))
+    spans = spans.select(*spans.columns, F.inline(F.array_compact(points.let(crossings(F.col("y") + 0.5), pairs)))).where("_a <= _b")
+    kept = [c for c in spans.columns if c not in ("image_id", "y", "_a", "_b")]
+    if "line" in px.columns:
+        keys = [c for c in px.columns if c != "line"]
+        met = px.join(spans.hint("shuffle_hash"), ["image_id", "y"]).where((F.col("_b") >= 0) & (F.col("_a") < F.size("line"))).withColumn("_a", F.greatest("_a", F.lit(0)))
+        found = met.select(*keys, *kept, "_a", F.posexplode(F.slice("line", F.col("_a") + 1, F.col("_b") - F.col("_a") + 1)).alias("_at", "v"))
+        return found.select("image_id", (F.col("_a") + F.col("_at")).alias("x"), "y", *(c for c in keys if c not in ("image_id", "y")), "v", *kept)
+    return px.join(spans.hint("shuffle_hash"), ["image_id", "y"]).where("x between _a and _b").select("image_id", "x", "y", *(c for c in px.columns if c not in ("image_id", "x", "y")), *kept)
 
 
 def at_points(px: DataFrame, spots: DataFrame, on: list[str]) -> DataFrame:
