@@ -22,3 +22,10 @@ def test_regions_are_not_broadcast(spark):
     """The planner sees the size of the regions' table, not that of the places made of it."""
     for query in (queries.moved_regions, queries.composite_regions):
         assert "BroadcastHashJoin" not in final_plan(query(spark, SF))
+
+
+def test_polygons_meet_image_rows(spark):
+    """Slices are joined as image rows: no pixel goes through a shuffle before its region is known."""
+    plan = queries.polygon_regions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join ") :]
+    assert "posexplode" not in joined and "Generate inline" in joined
