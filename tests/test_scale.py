@@ -1,7 +1,12 @@
 """What large tables need: what is shuffled and broadcast, read from plans, beside results."""
 
+import itertools
+
+import numpy as np
+import pytest
 
 from planespark.jobs import queries
+from planespark.operators import statistics, volumes
 from planespark.sources import derived
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +34,21 @@ def test_polygons_meet_image_rows(spark):
     plan = queries.polygon_regions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[plan.index("Join ") :]
     assert "posexplode" not in joined and "Generate inline" in joined
+
+
+def written(df) -> int:
+    """Exchanges in the plan that ran."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_grouped_projection_of_lines(spark):
+    """A slab with a slice less, rows of two lengths; and one shuffle for the whole query."""
+    lines = {(z, y): [float(10 * z + y + x * x) for x in range(3 + (z + y) % 2)] for z, y in itertools.product((1, 2, 3), (0, 1))}
+    df = spark.createDataFrame([(7, z, y, v) for (z, y), v in lines.items()], "image_id int, z int, y int, line array<double>")
+    got = {(r.slab, r.x, r.y): r.average for r in statistics.grouped_projection(df, ["image_id"], 2).collect()}
+    near = {}
+    for (z, y), v in lines.items():
+        for x, value in enumerate(v):
+            near.setdefault(((z - 1) // 2, x, y), []).append(value)
+    assert got == pytest.approx({k: np.mean(v) for k, v in near.items()})
+    assert written(queries.grouped_projection(spark, SF)) == 1
