@@ -41,6 +41,21 @@ def written(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
 
+def test_filter_3d_of_lines(spark):
+    """Rows of several lengths and a slice that is not there, against all voxels; and one shuffle for the whole query."""
+    rng = np.random.default_rng(5)
+    voxels = {(x, y, z): int(rng.integers(0, 9)) for z in (1, 2, 4, 5, 6) for y in range(5) for x in range(4 + y % 2)}
+    rows = [(1, z, y, [voxels[x, y, z] for x in range(4 + y % 2)]) for z in (1, 2, 4, 5, 6) for y in range(5)]
+    df = spark.createDataFrame(rows, "image_id int, z int, y int, line array<int>")
+    for radii in ((1, 1, 1), (2, 1, 2), (1, 2, 0)):
+        got = {(r.x, r.y, r.z): (r.mean, r.least, r.most, r.variance) for r in volumes.filter3d(df, ["image_id"], radii).collect()}
+        assert set(got) == set(voxels)
+        for x, y, z in voxels:
+            near = [voxels[p] for dx, dy, dz in volumes.ellipsoid(*radii) if (p := (x + dx, y + dy, z + dz)) in voxels]
+            assert np.allclose(got[x, y, z], (np.mean(near), min(near), max(near), np.var(near, ddof=1) if len(near) > 1 else 0))
+    assert written(queries.filter_3d(spark, SF)) == 1
+
+
 def test_grouped_projection_of_lines(spark):
     """A slab with a slice less, rows of two lengths; and one shuffle for the whole query."""
     lines = {(z, y): [float(10 * z + y + x * x) for x in range(3 + (z + y) % 2)] for z, y in itertools.product((1, 2, 3), (0, 1))}
