@@ -67,3 +67,9 @@ def test_grouped_projection_of_lines(spark):
             near.setdefault(((z - 1) // 2, x, y), []).append(value)
     assert got == pytest.approx({k: np.mean(v) for k, v in near.items()})
     assert written(queries.grouped_projection(spark, SF)) == 1
+
+
+def test_band_pass_takes_one_shuffle(spark):
+    """Besides that of the source; and the plane is not made a square."""
+    df = queries.band_passed(spark, SF)
+    assert written(df) == 2 and "128" not in df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
