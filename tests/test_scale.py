@@ -73,3 +73,9 @@ def test_band_pass_takes_one_shuffle(spark):
     """Besides that of the source; and the plane is not made a square."""
     df = queries.band_passed(spark, SF)
     assert written(df) == 2 and "128" not in df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+
+
+def test_planes_are_paired_before_they_are_transformed(spark):
+    plan = queries.correlated_planes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "ArrowEvalPython" not in plan[plan.index("Join ") :]
+    assert written(queries.correlated_planes(spark, SF)) <= 6  # two sources, two sides of the join, one for each turn
