@@ -4,10 +4,11 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planespark.jobs import queries
 from planespark.operators import statistics, volumes
-from planespark.sources import derived
+from planespark.sources import derived, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +80,11 @@ def test_planes_are_paired_before_they_are_transformed(spark):
     plan = queries.correlated_planes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "ArrowEvalPython" not in plan[plan.index("Join ") :]
     assert written(queries.correlated_planes(spark, SF)) <= 6  # two sources, two sides of the join, one for each turn
+
+
+def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
+    """The setting that does it is as it was afterwards."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files(), spark.conf.get(scratch.CLEANUP, None)
+    out = scratch.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), f"{tmp_path}/t")
+    assert (files(), spark.conf.get(scratch.CLEANUP, None)) == before and out.count() == 7
