@@ -88,3 +88,8 @@ def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
     before = files(), spark.conf.get(scratch.CLEANUP, None)
     out = scratch.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), f"{tmp_path}/t")
     assert (files(), spark.conf.get(scratch.CLEANUP, None)) == before and out.count() == 7
+
+
+def test_shapes_between_take_one_shuffle(spark):
+    """All windows over lines of a stack lie within the partition of its image."""
+    assert written(queries.shapes_between(spark, SF)) == 1
