@@ -93,3 +93,9 @@ def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
 def test_shapes_between_take_one_shuffle(spark):
     """All windows over lines of a stack lie within the partition of its image."""
     assert written(queries.shapes_between(spark, SF)) == 1
+
+
+def test_scaled_bicubic_takes_one_shuffle(spark):
+    """Image rows go to their tiles within the partition of their image, and are not made of pixels again."""
+    df = queries.scaled_bicubic(spark, SF)
+    assert written(df) == 1 and df._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 0
