@@ -85,9 +85,10 @@ def test_planes_are_paired_before_they_are_transformed(spark):
 def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
     """The setting that does it is as it was afterwards."""
     files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
-    before = files(), spark.conf.get(scratch.CLEANUP, None)
+    before, setting = files(), spark.conf.get(scratch.CLEANUP, None)
     out = scratch.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), f"{tmp_path}/t")
-    assert (files(), spark.conf.get(scratch.CLEANUP, None)) == before and out.count() == 7
+    assert files() <= before  # fewer, where the driver collected its garbage meanwhile
+    assert spark.conf.get(scratch.CLEANUP, None) == setting and out.count() == 7
 
 
 def test_shapes_between_take_one_shuffle(spark):
